@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import slices
+from strandwell.llm.common import materialise, slices
 
 UNIT = 576
 PAD = b"\xff"
@@ -216,7 +216,7 @@ STORED = "doc_id long, n_bytes long, media binary"
 
 
 def store_column(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the stream that holds the padded UTF-8 text of each row."""
+    """doc_id, n_bytes and the stream that holds the padded UTF-8 text of each row, written as a table of the shared folder."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +227,7 @@ def store_column(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(pack, STORED)
+    return materialise(rows.mapInArrow(pack, STORED), "mpeg-streams")
 
 
 READ = (
