@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["op01_media", "op02_mixing", "op05_tokens", "op06_toxicity", "op07_quality"]
+MODULES = ["op01_media", "op02_mixing", "op05_tokens", "op06_toxicity", "op07_quality", "op09_sentencepiece"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
