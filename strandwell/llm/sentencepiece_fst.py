@@ -8,8 +8,8 @@ input gives a lattice over the input's positions; the encoding is its shortest p
 * BPE models: a segmentation is the one that merging makes exactly if each pair of neighbouring pieces, merged alone, stays this
   pair. The compiled filter gives all other pairs an infinite weight, which leaves one finite path, the BPE encoding.
 
-No piece has U+2581 behind another character (checked when compiling), so the lattice falls apart before each word; the paths
-of words are remembered in a bounded cache.
+The lattice falls apart wherever no piece has the two neighbouring characters side by side, which is so before each word unless a
+piece has U+2581 behind another character (checked when compiling); the paths of such parts are remembered in bounded caches.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal U+2581 decodes to a space; repeated
 rows stay; no rows give no rows; columns beyond those named are passed on or ignored as each function says.
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from strandwell.llm.common import slices, whole_text
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 400_000
+#: Length up to which the steps of a word's beginning are remembered.
+SHARED = 9
 #: Weight of a byte path: more than that of any piece.
 BYTE_WEIGHT = 1e12
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -102,11 +104,9 @@ class Transducer:
         self.text = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces
         ]
-        joined = sorted({c for p in self.id if len(p) > 1 for c in p} - {SPACE})
-        inner = "".join(map(re.escape, joined))
         splits = all(SPACE not in p.lstrip(SPACE) for p in self.id)
-        self.words = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]" if inner else ".", re.DOTALL) if splits else re.compile(".+", re.DOTALL)
         self.by_space = splits and prefix and escape
+        self.known: dict[str, str] = {}
         self.paths: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.pairs: dict[str, dict[str, bool]] = {}  # by the vocabulary's size, not by the corpus
@@ -140,20 +140,32 @@ class Transducer:
             return self.merged(b) == [b]  # nothing spans the border
         return self.merged(a + b) == ([a, b] if a else [b])
 
+    def arcs_into(self, word: str, end: int) -> list[tuple[int, str]]:
+        """Start and piece of the lattice's arcs into position `end`, shortest first."""
+        node, start, arcs = self.arcs, end, []
+        while start and (node := node.get(word[start - 1])) is not None:
+            start -= 1
+            if "" in node:
+                arcs.append((start, node[""]))
+        if word[end - 1] not in self.id:
+            arcs.insert(0, (end - 1, word[end - 1]))
+        return arcs
+
     def path(self, word: str) -> list[str]:
-        """The shortest path through the lattice of a word: its pieces, and single characters where bytes stand in."""
-        n, unique, ids = len(word), self.kind == BPE, self.id
+        """The shortest path through the lattice of a word: its pieces, and single characters where bytes stand in.
+
+        The last piece of a shortest path depends on what lies before its end only, so words with a common beginning share these steps."""
+        n, unique, known = len(word), self.kind == BPE, self.known
         cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
         for end in range(1, n + 1):
-            node, start, arcs = self.arcs, end, []
-            while start and (node := node.get(word[start - 1])) is not None:
-                start -= 1
-                if "" in node:
-                    arcs.append((start, node[""]))
-            if word[end - 1] not in ids:
-                arcs.insert(0, (end - 1, word[end - 1]))
+            if unique and end <= SHARED:
+                prefix = word[:end]
+                taken = known.get(prefix)
+                if taken is not None:
+                    last[end], cost[end] = taken, 0.0
+                    continue
             best, taken = math.inf, ""
-            for start, piece in reversed(arcs):
+            for start, piece in reversed(self.arcs_into(word, end)):
                 before = last[start]
                 row = self.pairs.get(before)
                 if row is None:
@@ -168,6 +180,10 @@ class Transducer:
                     if unique:  # no other arc can have a finite weight
                         break
             cost[end], last[end] = best, taken
+            if unique and end <= SHARED:
+                if len(known) >= 2 * CACHE:
+                    known.clear()
+                known[prefix] = taken
         out, at = [], n
         while at:
             if not last[at]:
@@ -176,6 +192,17 @@ class Transducer:
             at -= len(last[at])
         return out[::-1]
 
+    def cut(self, text: str) -> list[str]:
+        """The text cut wherever no piece has the two characters next to each other, so that no arc spans the place."""
+        neighbours, start, out = self.neighbours, 0, []
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in neighbours:
+                out.append(text[start:k])
+                start = k
+        if text:
+            out.append(text[start:])
+        return out
+
     def ids_of(self, word: str) -> bytes:
         found: list[int] = []
         for p in self.path(word):
@@ -190,7 +217,7 @@ class Transducer:
     def word_ids(self, word: str) -> bytes:
         """The ids of a normalised text, word by word of the lattice, from the cache where it has them."""
         out, paths = [], self.paths
-        for part in self.words.findall(word):
+        for part in self.cut(word):
             found = paths.get(part)
             if found is None:
                 if len(paths) >= CACHE:
