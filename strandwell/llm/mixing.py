@@ -23,6 +23,8 @@ from strandwell.llm.common import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 SEED = 20_240_607
+#: Sources, one small row each, up to which their list is broadcast; beyond, the join shuffles.
+BROADCAST_SOURCES = 50_000
 
 
 def words(text: Column) -> Column:
@@ -61,19 +63,22 @@ def water_fill(sources: DataFrame, budget_ratio: float, max_epochs: float, weigh
     return solved.select("key", "source_size", "weight", "cap", target.alias("target"))
 
 
-def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, whole, taken of every document.
+def _sizes(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, order, bucket, key of every row, written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"))
+    return materialise(_ordered(rows, seed), "mix-sizes")
 
-    `whole` counts full repetitions, `taken` words; the words over whole * size come from the boundary document of the source.
-    The taken words of a source add up to its target, rounded."""
-    size = words(F.col("text").cast("string"))
+
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """With the seeded place of each row within its source; the key tells the null source from the empty one."""
     digits = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
     rows = rows.withColumn("order", F.conv(F.substring(digits, 1, 15), 16, 10).cast("long"))
     rows = rows.withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)).cast("int"))
-    # Texts are read once; the key tells the null source from the empty one.
-    rows = materialise(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))), "mix-sizes")
+    return rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+
 
+def _taken(rows: DataFrame, budget_ratio: float, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
+    """The rows with source_size, target, epochs (whole repetitions of the source) and more (words beyond these)."""
     buckets = rows.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
     sources = buckets.groupBy("key").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     plan = water_fill(sources, budget_ratio, max_epochs, weights)
@@ -86,7 +91,34 @@ def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, wei
     placed = rows.join(spans, ["key", "bucket"])
     inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("extra") - F.col("bucket_start") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    taken = placed.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+    return placed.withColumn("more", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+
+
+def mix(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, whole, taken of every document.
+
+    `whole` counts full repetitions, `taken` words; the words over whole * size come from the boundary document of the source.
+    The taken words of a source add up to its target, rounded."""
+    taken = _taken(_sizes(docs, seed), budget_ratio, max_epochs, weights)
     whole_copies = F.col("epochs") + ((F.col("more") >= F.col("size")) & (F.col("size") > 0)).cast("long")
     words_taken = F.col("epochs") * F.col("size") + F.col("more")
     return taken.select("doc_id", "source", "size", "source_size", "target", whole_copies.alias("whole"), words_taken.alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, budget_ratio: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it whole; texts of no words stay once.
+
+    The boundary document of a source, of which the mix takes a part, is taken once more if that part is half of it or more.
+    Whether a row is taken once more follows from its place in the seeded order and the place where its source's extra words
+    end, so texts are not shuffled. Repeated rows share a place."""
+    taken = _taken(_sizes(docs, seed), budget_ratio, max_epochs, weights)
+    place = F.struct("bucket", "order", "doc_id", "size")
+    ends = taken.groupBy("key").agg(F.max("epochs").alias("epochs"), F.max(F.when((F.col("size") > 0) & (2 * F.col("more") >= F.col("size")), place)).alias("end"))
+    ends = materialise(ends, "mix-ends").withColumnRenamed("key", "k")
+    few = ends.count() <= BROADCAST_SOURCES
+    size, kept = words(F.col("text").cast("string")), docs.columns
+    rows = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    met = _ordered(rows, seed).join(F.broadcast(ends) if few else ends, F.col("key") == F.col("k"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs").cast("int") + F.coalesce((place <= F.col("end")).cast("int"), F.lit(0)))
+    repeated = met.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("_"))
+    return repeated.select("row.*")

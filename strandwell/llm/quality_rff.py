@@ -176,12 +176,17 @@ def fit(rows: DataFrame) -> Model | None:
     return Model(mean, scale, freq, blank.phase, weights, knots, values)
 
 
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", stats: DataFrame | None = None) -> Model | None:
+    """The model for the labelled rows of docs that `learn_from` (over doc_id) allows."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.avg(F.col(label).cast("double")).alias("y")).filter(learn_from)
+    return fit((stats if stats is not None else statistics_table(docs)).join(known, "doc_id"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold: float = 0.5, label: str = "quality") -> DataFrame:
     """doc_id, score, predicted of every row of docs; `learn_from` says which doc_ids may be learnt from."""
     stats = materialise(statistics_table(docs), "quality-stats")
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    known = known.agg(F.avg(F.col(label).cast("double")).alias("y")).filter(learn_from)
-    model = fit(stats.join(known, "doc_id"))
+    model = learn(docs, labels, learn_from, label, stats)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,3 +195,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "quality") -> DataFrame:
+    """The rows of docs, as they are, whose text scores `threshold` or more; without a model all of them."""
+    # The statistics are used several times while fitting and are small; the texts are read again to filter.
+    model = learn(docs, labels, F.lit(True), label, materialise(statistics_table(docs), "quality-stats"))
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(choose, docs.schema)

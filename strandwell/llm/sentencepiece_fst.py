@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from strandwell.llm.common import slices, whole_text
 
@@ -263,7 +264,7 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str] | None = Non
     """The kept columns (default doc_id) with n_tokens and ids of each text."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, whole_text().alias("_text"))
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compile_model(model_path)

@@ -208,3 +208,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "toxic", max_train_rows: int = 30_000, max_terms: int = 4096) -> DataFrame:
+    """The rows of docs, as they are, whose text scores below `threshold`; without a model all of them."""
+    model = fit(docs, labels, label, F.lit(True), max_train_rows, max_terms)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(model.index)
+        for batch in batches:
+            if batch.num_rows:
+                scores = model.score([lookup.terms(t or "") for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(choose, docs.schema)
