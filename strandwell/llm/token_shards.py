@@ -19,6 +19,7 @@ repeated rows have sequences of their own; no rows give no shards; columns beyon
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -38,7 +39,6 @@ SHARD_ROWS = 32_768
 ROUNDS = 6
 NO_ID = -(1 << 63)
 HEAD = np.dtype([("doc_id", "<i8"), ("number", "<i4"), ("used", "<i4")])
-CACHE = 300_000
 # Fixed value: the public pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -59,23 +59,8 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-class WordCache(dict):
-    """Ids of a word with the space before it, as bytes."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = np.array(self.encode(word), dtype="<u2").tobytes()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
 class Tokenizer:
-    """Byte-level BPE from a file of ranks, word by word where that is the same."""
+    """Byte-level BPE from a file of ranks."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -86,15 +71,10 @@ class Tokenizer:
             raise ValueError("ids beyond 16 bits")
         self.end = len(ranks)
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words = WordCache(self.encode)
 
     def packed(self, text: str) -> bytes:
         """The ids of the text as 16-bit numbers, without the end token."""
-        if "  " in text:  # a run of white space is cut as a whole
-            return np.array(self.encode(text), dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
-        words = self.words
-        return words[first] + b"".join([words[" " + w] for w in rest])
+        return np.array(self.encode(text), dtype="<u2").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -153,7 +133,7 @@ def count_runs(rows: DataFrame, ranks: str, length: int) -> DataFrame:
         tok, totals = tokenizer(ranks), {}
         for run, _, part in _runs(batches):
             texts = part.column(3).to_pylist()
-            totals[run] = totals.get(run, 0) + sum((len(tok.packed(t)) // 2) // length + 1 for t in texts)
+            totals[run] = totals.get(run, 0) + sum(len(tok.encode(t)) // length + 1 for t in texts)
         columns = [pa.array([r[0] for r in totals], pa.string()), pa.array([r[1] for r in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["file", "row", "sequences"])
 
@@ -190,7 +170,7 @@ def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None,
                 packed = tok.packed(text) + pad[:2]
                 for number, begin in enumerate(range(0, len(packed), 2 * length)):
                     piece = packed[begin : begin + 2 * length]
-                    head = np.array([(NO_ID if doc_id is None else doc_id, number, len(piece) // 2)], dtype=HEAD).tobytes()
+                    head = struct.pack("<qii", NO_ID if doc_id is None else doc_id, number, len(piece) // 2)
                     records.append(pack(head + piece + pad[len(piece) :]))
             slots = feistel(np.arange(at, at + len(records), dtype=np.int64), total, key)
             at += len(records)
