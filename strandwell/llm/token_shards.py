@@ -20,13 +20,16 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +62,13 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _little(ids: array) -> bytes:
+    """The bytes of 16-bit numbers, the low one first."""
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class Tokenizer:
     """Byte-level BPE from a file of ranks."""
 
@@ -74,7 +84,7 @@ class Tokenizer:
 
     def packed(self, text: str) -> bytes:
         """The ids of the text as 16-bit numbers, without the end token."""
-        return np.array(self.encode(text), dtype="<u2").tobytes()
+        return _little(array("H", self.encode(text)))
 
 
 @lru_cache(maxsize=2)
@@ -132,8 +142,10 @@ def count_runs(rows: DataFrame, ranks: str, length: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, totals = tokenizer(ranks), {}
         for run, _, part in _runs(batches):
-            texts = part.column(3).to_pylist()
-            totals[run] = totals.get(run, 0) + sum(len(tok.encode(t)) // length + 1 for t in texts)
+            # A token has a byte at least: a text of fewer bytes than a sequence has ids needs no tokenizer to be one sequence.
+            sizes = pa.compute.binary_length(part.column(3)).to_pylist()
+            counts = (len(tok.encode(t)) // length + 1 if n >= length else 1 for t, n in zip(part.column(3).to_pylist(), sizes, strict=True))
+            totals[run] = totals.get(run, 0) + sum(counts)
         columns = [pa.array([r[0] for r in totals], pa.string()), pa.array([r[1] for r in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["file", "row", "sequences"])
 
