@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lexical"]
+MODULES = ["lexical", "dense", "structured", "timeline", "fusion"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
