@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lexical", "dense", "structured", "timeline", "fusion"]
+MODULES = ["lexical", "dense", "structured", "timeline", "fusion", "evaluation"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
