@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, slices, whole_text
+from strandwell.llm.common import materialise, slices, tidied, whole_text
 from strandwell.llm.components import components
 from strandwell.llm.shingles import mix, set_keys, shingle_sets
 
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "bands", "values"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(compute, SKETCH)
+    return rows.mapInArrow(tidied(compute), SKETCH)
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                     done += len(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    return members.join(met.mapInArrow(compute, "node binary, shingles binary"), "node")
+    return members.join(met.mapInArrow(tidied(compute), "node binary, shingles binary"), "node")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

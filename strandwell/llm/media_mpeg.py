@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, slices
+from strandwell.llm.common import materialise, slices, tidied
 
 UNIT = 576
 PAD = b"\xff"
@@ -227,7 +227,7 @@ def store_column(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialise(rows.mapInArrow(pack, STORED), "mpeg-streams")
+    return materialise(rows.mapInArrow(tidied(pack), STORED), "mpeg-streams")
 
 
 READ = (
@@ -272,4 +272,4 @@ def read_streams(stored: DataFrame) -> DataFrame:
                 columns += [pa.array([f[k] for f in found], schema.field(k + 2).type) for k in range(13)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(unpack, READ)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(unpack), READ)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, whole_text
+from strandwell.llm.common import materialise, tidied, whole_text
 
 FEATURES = 256
 BINS = 4096
@@ -79,7 +79,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
             rows = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(count, STATS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidied(count), STATS)
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def fit(rows: DataFrame) -> Model | None:
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [int(group["i"].iloc[0])], "part": [np.sum(np.stack(list(group["part"])), axis=0)]})
 
-    parts = rows.filter(fold != 0).select("stats", "y").mapInArrow(equations, "i int, part array<double>")
+    parts = rows.filter(fold != 0).select("stats", "y").mapInArrow(tidied(equations), "i int, part array<double>")
     system = parts.groupBy("i").applyInPandas(add_up, "i int, part array<double>").collect()
     total = np.zeros((width, width + 1))
     for row in system:
@@ -167,7 +167,7 @@ def fit(rows: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch, "stats"))), batch.column("y")], ["raw", "y"])
 
     bins = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("raw") + 0.5) / 2)) * (BINS - 1)).cast("int")
-    held = rows.filter(fold == 0).select("stats", "y").mapInArrow(scored, "raw double, y double")
+    held = rows.filter(fold == 0).select("stats", "y").mapInArrow(tidied(scored), "raw double, y double")
     points = held.groupBy(bins.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()
     if not points:
         return Model(mean, scale, freq, blank.phase, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold:
             columns = [batch.column("doc_id"), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
-    return stats.mapInArrow(score, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(tidied(score), "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "quality") -> DataFrame:
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label:
                 stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(tidied(choose), docs.schema)

@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from strandwell.llm.common import slices, whole_text
+from strandwell.llm.common import slices, tidied, whole_text
 
 SPACE = "▁"
-CACHE = 400_000
+CACHE = 200_000
 #: Length up to which the steps of a word's beginning are remembered.
 SHARED = 9
 #: Weight of a byte path: more than that of any piece.
@@ -275,7 +275,7 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str] | None = Non
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(np.diff(offsets).astype(np.int64)), ids], [*keep, "n_tokens", "ids"])
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(tidied(encode), schema)
 
 
 def decode_column(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -287,7 +287,7 @@ def decode_column(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [None if ids is None else fst.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decode, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidied(decode), "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_bytes long, n_tokens long, n_byte_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"
@@ -312,4 +312,4 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in DIGESTS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(both, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidied(both), DIGESTS)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, whole_text
+from strandwell.llm.common import materialise, tidied, whole_text
 
 # Fixed value: the public pre-token pattern of byte-level BPE, with white space spelt out as Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -76,7 +76,7 @@ def distinct_pretokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(whole_text().alias("text")).mapInArrow(tidied(count), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -96,7 +96,7 @@ def piece_counts(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
                 found += [len(e.ids) for e in tokenizer.encode_batch(tokens[k : k + 2000], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["token", "n", "pieces"])
 
-    return distinct.mapInArrow(encode, "token string, n long, pieces int")
+    return distinct.mapInArrow(tidied(encode), "token string, n long, pieces int")
 
 
 ROWS = "doc_id long, stamp long, n_bytes long, known long, token string, times int"
@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, hot: in
                     yield send()
         yield send()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(frequencies, ROWS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidied(frequencies), ROWS)
     # A row for the document itself has no pre-token; its key is its own, so that such rows spread over the partitions.
     keyed = rows.withColumn("own", F.col("token").isNull()).withColumn("key", F.coalesce("token", F.concat_ws(":", "doc_id", "stamp")))
     others = pieces.filter(~is_hot).select(F.lit(False).alias("own"), F.col("token").alias("key"), "pieces")

@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import fresh_path, materialise, slices, whole_text
+from strandwell.llm.common import fresh_path, materialise, slices, tidied, whole_text
 from strandwell.llm.shingles import mix
 
 LENGTH = 512
@@ -149,7 +149,7 @@ def count_runs(rows: DataFrame, ranks: str, length: int) -> DataFrame:
         columns = [pa.array([r[0] for r in totals], pa.string()), pa.array([r[1] for r in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["file", "row", "sequences"])
 
-    return rows.mapInArrow(count, "file string, row long, sequences long")
+    return rows.mapInArrow(tidied(count), "file string, row long, sequences long")
 
 
 def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> Layout:
@@ -194,11 +194,11 @@ def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None,
             for part in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([open_(r) for r in part.column(0).to_pylist()], pa.binary())], ["record"])
 
-    sequences = rows.mapInArrow(cut, "slot long, shard int, record binary")
+    sequences = rows.mapInArrow(tidied(cut), "slot long, shard int, record binary")
     if total:
         dealt = sequences.repartitionById(-(-total // shard_rows), F.col("shard")).sortWithinPartitions("slot")
         # The bytes of a record go to the file as they are, with the writer's line end behind them.
-        dealt.select("record").mapInArrow(unpack, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/shards")
+        dealt.select("record").mapInArrow(tidied(unpack), "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/shards")
     spark.createDataFrame([asdict(layout)]).coalesce(1).write.json(f"{path}/layout")
     return layout
 
@@ -236,4 +236,4 @@ def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: b
     files = spark.read.format("binaryFile").load(f"{layout.path}/shards")
     shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
     wanted = files.select(shard.alias("shard"), "content").filter(F.col("shard") >= first_slot // per_shard)
-    return wanted.mapInArrow(read, schema)
+    return wanted.mapInArrow(tidied(read), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, whole_text
+from strandwell.llm.common import materialise, tidied, whole_text
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -35,7 +35,7 @@ ROUNDS = 6
 WORKERS = 4
 SEED = 11
 WORD = re.compile(r"\w+")
-CACHE = 400_000
+CACHE = 150_000
 #: Standard deviations between a bucket's labels and chance from which it can become a term.
 MIN_STRENGTH = 3.5
 
@@ -155,7 +155,7 @@ def choose_terms(sample: DataFrame, max_terms: int) -> tuple[dict[int, int], flo
             part = at[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part]), pa.array(hits[part])], ["bucket", "n", "y"])
 
-    counts = sample.select("text", "y").mapInArrow(count, "bucket long, n double, y double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    counts = sample.select("text", "y").mapInArrow(tidied(count), "bucket long, n double, y double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     share = positive / n
     spread = F.sqrt(F.col("n") * F.lit(share * (1 - share)) + 1.0)
     strength = F.abs(F.col("y") - F.col("n") * F.lit(share)) / spread
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
             rows = [lookup.terms(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
 
-    rows = texts.mapInArrow(compress, "doc_id long, y double, terms array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id"), F.lit(WORKERS)).cast("int"))
+    rows = texts.mapInArrow(tidied(compress), "doc_id long, y double, terms array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id"), F.lit(WORKERS)).cast("int"))
     rows = materialise(rows, "toxicity-rows")
     rng = np.random.default_rng(SEED)
     odds = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
@@ -207,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(score, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(tidied(score), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "toxic", max_train_rows: int = 30_000, max_terms: int = 4096) -> DataFrame:
@@ -224,4 +224,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label
                 scores = model.score([lookup.terms(t or "") for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(tidied(choose), docs.schema)
