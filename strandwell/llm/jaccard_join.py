@@ -292,9 +292,10 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each class the row of the least doc_id stays, once."""
     found = materialise(similarity_classes(docs, threshold).select("doc_id", "class_id", "node"), "class-rows")
-    extra = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("x")).distinct()
+    name = "_" * (1 + max(map(len, docs.columns))) + "x"  # no column of docs
+    extra = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
     few = extra.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(extra) if few else extra, docs["doc_id"].cast("long").eqNullSafe(F.col("x")), "left_anti")
+    kept = docs.join(F.broadcast(extra) if few else extra, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
     # Rows of one doc_id and one class, if any, are repeated rows.
     if found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])

@@ -23,6 +23,7 @@ import struct
 import sys
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
@@ -40,6 +41,8 @@ from strandwell.llm.shingles import mix
 LENGTH = 512
 SHARD_ROWS = 32_768
 ROUNDS = 6
+#: Words whose numbers of ids a task keeps while it counts.
+KNOWN = 50_000
 NO_ID = -(1 << 63)
 HEAD = np.dtype([("doc_id", "<i8"), ("number", "<i4"), ("used", "<i4")])
 # Fixed value: the public pre-token pattern of byte-level BPE.
@@ -80,8 +83,26 @@ class Tokenizer:
         if len(ranks) >= 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.end = len(ranks)
+        self.known: dict[str, int] = {}
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def learn_words(self, texts: list[str]) -> None:
+        """Remembers the numbers of ids of the words that are frequent in the texts."""
+        seen = Counter(w for t in texts for w in t.split(" ")[1:])
+        self.known = {w: len(self.encode(" " + w)) for w, n in seen.most_common(KNOWN) if n > 1}
+
+    def count(self, text: str) -> int:
+        """The number of ids of the text.
+
+        No pre-token spans a place before a single space, so words with their space count for themselves: known ones are looked up, the
+        others are encoded in a row."""
+        if "  " in text:
+            return len(self.encode(text))
+        first, *words = text.split(" ")
+        counts = [*map(self.known.get, words)]
+        rest = [w for w, n in zip(words, counts, strict=True) if n is None]
+        return sum(filter(None, counts)) + len(self.encode(" ".join([first, *rest])))
+
     def packed(self, text: str) -> bytes:
         """The ids of the text as 16-bit numbers, without the end token."""
         return _little(array("H", self.encode(text)))
@@ -110,12 +131,12 @@ class Layout:
 
 def located(docs: DataFrame) -> DataFrame:
     """file, row, doc_id, text: rows with their place in the files that they are read from."""
-    columns = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     values = [F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")]
     try:
-        return docs.select(*columns, *values)
+        place = docs.metadataColumn("_metadata")
+        return docs.select(place["file_path"].alias("file"), place["row_index"].alias("row"), *values)
     except AnalysisException:  # not the rows of parquet files as they are
-        return materialise(docs.select(*values), "shard-input").select(*columns, "doc_id", "text")
+        return located(materialise(docs.select(*values), "shard-input"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.RecordBatch]]:
@@ -143,8 +164,10 @@ def count_runs(rows: DataFrame, ranks: str, length: int) -> DataFrame:
         tok, totals = tokenizer(ranks), {}
         for run, _, part in _runs(batches):
             # A token has a byte at least: a text of fewer bytes than a sequence has ids needs no tokenizer to be one sequence.
-            sizes = pa.compute.binary_length(part.column(3)).to_pylist()
-            counts = (len(tok.encode(t)) // length + 1 if n >= length else 1 for t, n in zip(part.column(3).to_pylist(), sizes, strict=True))
+            texts, sizes = part.column(3).to_pylist(), pa.compute.binary_length(part.column(3)).to_pylist()
+            if not tok.known:
+                tok.learn_words(texts)
+            counts = (tok.count(t) // length + 1 if n >= length else 1 for t, n in zip(texts, sizes, strict=True))
             totals[run] = totals.get(run, 0) + sum(counts)
         columns = [pa.array([r[0] for r in totals], pa.string()), pa.array([r[1] for r in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["file", "row", "sequences"])

@@ -31,8 +31,8 @@ from strandwell.llm.common import materialise, tidied, whole_text
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 FACTORS = 8
-ROUNDS = 6
-WORKERS = 4
+ROUNDS = 8
+WORKERS = 16
 SEED = 11
 WORD = re.compile(r"\w+")
 CACHE = 150_000
@@ -92,7 +92,7 @@ def dense(rows: list[list[int]], width: int) -> np.ndarray:
     return x
 
 
-def train(model: Model, rows: list[list[int]], y: np.ndarray, seed: int, epochs: int = 2, rate: float = 0.15, decay: float = 1e-4) -> Model:
+def train(model: Model, rows: list[list[int]], y: np.ndarray, seed: int, epochs: int = 3, rate: float = 0.3, decay: float = 1e-4) -> Model:
     """Adagrad steps over the rows on logistic loss, from the given parameters."""
     rng = np.random.default_rng(seed)
     bias, weight, factor = model.bias, model.weight.copy(), model.factor.copy()
