@@ -32,7 +32,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str, key: str) -> Data
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), value of text files. A file's lines are numbered in one task, as files are what is numbered."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     parts = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
     return parts.select("file", (F.col("line") + 1).alias("line"), "value")
 
@@ -147,4 +147,4 @@ def merged_settings(base: dict, override: dict) -> dict:
 
 def read_settings(spark: SparkSession, path: str) -> dict:
     """One JSON object in a small file."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
