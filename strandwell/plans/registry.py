@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog"]
+MODULES = ["lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog", "search"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
