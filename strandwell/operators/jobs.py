@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +58,38 @@ def terminal_check(items: DataFrame, ok: DataFrame, failed: DataFrame, key: str)
     return sums
 
 
+def finished(spark: SparkSession, path: str, runs: list[int]) -> DataFrame | None:
+    """item_id, state, value, error of all whole runs below `path`; None before the first."""
+    return spark.read.parquet(*[f"{path}/run={k}" for k in runs]) if runs else None
+
+
+def run_items(items: DataFrame, handler: Callable[[str], str], path: str, runs: list[int], retries: int = 2) -> int:
+    """Handles the items (item_id, payload) that no earlier run has, and writes them as the next run, whose number is returned.
+
+    An item that fails after its retries becomes a row with its error, so every item ends in one row. A run is whole or absent: what a lost
+    run left behind is written again."""
+
+    def handle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for item, payload in zip(frame["item_id"], frame["payload"], strict=True):
+                value, error = None, None
+                for _ in range(retries + 1):
+                    try:
+                        value, error = handler(payload), None
+                        break
+                    except Exception as failure:  # kept as the item's result
+                        error = f"{type(failure).__name__}: {failure}"
+                rows.append((item, "OK" if error is None else "ERROR", value, error))
+            yield pd.DataFrame(rows, columns=["item_id", "state", "value", "error"])
+
+    spark, number = items.sparkSession, max(runs, default=-1) + 1
+    done = finished(spark, path, runs)
+    left = items if done is None else pending(items, done, "item_id")
+    left.select("item_id", "payload").mapInPandas(handle, "item_id string, state string, value string, error string").write.mode("overwrite").parquet(f"{path}/run={number}")
+    return number
+
+
 def repair(segments: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Segments of items that a run has finished; the others are left over from one that was cut off."""
     return segments.join(done.select(key).distinct(), key, "left_semi")

@@ -153,3 +153,18 @@ def trigram_counts(table: DataFrame, uid: str, text: Column, queries: DataFrame)
     met = rows.join(F.broadcast(wanted), F.contains("t", F.col("needle")))
     f = ((F.length("t") - F.length(F.replace("t", F.col("needle"), F.lit("")))) / F.length("needle")).cast("int")
     return met.select("query_id", "uid", f.alias("f"), "len")
+
+
+def substring_terms(table: DataFrame, uid: str, text: Column, queries: DataFrame) -> DataFrame:
+    """query_id, uid, f, len: texts with a query's whole `needle`, or else with all of its words of three characters or more.
+
+    f is the number of occurrences of the needle, or that of all its words where the needle as a whole isn't there."""
+    whole = trigram_counts(table, uid, text, queries).select("query_id", "uid", "f", "len", F.lit(0).alias("stage"))
+    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(accentless(F.col("needle")), r"\s+"), lambda w: F.length(w) >= 3))).alias("w"))
+    numbered = words.withColumn("n", F.count("*").over(Window.partitionBy("query_id"))).withColumn("part", F.row_number().over(Window.partitionBy("query_id").orderBy("w")))
+    parts = trigram_counts(table, uid, text, numbered.select(F.struct("query_id", "n", "part").alias("query_id"), F.col("w").alias("needle")))
+    flat = parts.select("query_id.query_id", "query_id.n", "uid", "f", "len")
+    every = flat.groupBy("query_id", "uid").agg(F.sum("f").cast("int").alias("f"), F.first("len").alias("len"), F.count("*").alias("c"), F.first("n").alias("n")).filter("c = n")
+    both = whole.unionByName(every.select("query_id", "uid", "f", "len", F.lit(1).alias("stage")))
+    first = F.row_number().over(Window.partitionBy("query_id", "uid").orderBy("stage"))
+    return both.withColumn("_n", first).filter("_n = 1").select("query_id", "uid", "f", "len")

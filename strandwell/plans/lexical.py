@@ -149,6 +149,30 @@ a AS (SELECT query_id, uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.
 {_TOP.format("a")}"""
 
 
+SUBSTRINGS = [(1, "eration the"), (2, "chtung der"), (3, "The on"), (4, "ation reti")]
+
+
+def substring_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = L.substring_terms(docs, "doc_id", F.col("text"), spark.createDataFrame(SUBSTRINGS, "query_id int, needle string"))
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
+    return _shape(L.top(L.rate(counts, corpus), K))
+
+
+def _substring_sql() -> str:
+    whole = ", ".join(f"({i}, lower('{n}'))" for i, n in SUBSTRINGS)
+    words = ", ".join(f"({i}, '{w}', {len([x for x in n.split() if len(x) > 2])})" for i, n in SUBSTRINGS for w in n.lower().split() if len(w) > 2)
+    return f"""
+WITH d AS (SELECT doc_id AS uid, replace(strip_accents(lower(text)), 'đ', 'd') AS t, greatest(length(text) - 2, 0) AS len FROM documents),
+c AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM d), p AS (SELECT * FROM (VALUES {whole}) p(query_id, needle)), w AS (SELECT * FROM (VALUES {words}) w(query_id, needle, n)),
+a1 AS (SELECT query_id, uid, len, (length(t) - length(replace(t, needle, ''))) // length(needle) AS f, 0 AS stage FROM d JOIN p ON contains(t, needle)),
+a2 AS (SELECT query_id, uid, any_value(len) AS len, sum((length(t) - length(replace(t, needle, ''))) // length(needle)) AS f, 1 AS stage FROM d JOIN w ON contains(t, needle) GROUP BY query_id, uid HAVING count(*) = any_value(n)),
+f AS (SELECT * FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) QUALIFY row_number() OVER (PARTITION BY query_id, uid ORDER BY stage) = 1),
+i AS (SELECT query_id, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT query_id, count(*) AS n FROM f GROUP BY 1), c),
+a AS (SELECT query_id, uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)), 4) AS score FROM f JOIN i USING (query_id))
+{_TOP.format("a")}"""
+
+
 FIELDS = {"title": 10.0, "body": 6.0, "url": 0.0}
 PAGE_REQUESTS = [L.TextQuery(1, ("the", "oner", "anti")), L.TextQuery(2, ("que", "pour")), L.TextQuery(3, ("das",))]
 TITLE, BODY = r"(?s)<title>(.*?)</title>", r"(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>"
@@ -181,7 +205,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "bm25_or_topk": bm25_or, "bm25_and_topk": bm25_and, "bm25_accentless": bm25_accentless, "bm25_cascade": bm25_cascade, "lexical_fill": lexical_fill,
-    "stopword_relaxed": stopword_relaxed, "scope_filter": scope_filter, "phrase_match": phrase_match, "trigram_topk": trigram_topk,
+    "stopword_relaxed": stopword_relaxed, "scope_filter": scope_filter, "phrase_match": phrase_match, "trigram_topk": trigram_topk, "substring_topk": substring_topk,
     "bm25_weighted_fields": bm25_weighted_fields, "snippets": snippets,
 }
 
@@ -202,6 +226,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, score, source FROM v QUALIFY rank <= {K}""",
     "phrase_match": _phrase_sql(),
     "trigram_topk": _trigram_sql(),
+    "substring_topk": _substring_sql(),
     "bm25_weighted_fields": _fields_sql(),
     "snippets": rf"""
 WITH d AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations), h AS (SELECT *, list_position(w, 'reat') AS p, greatest(1, list_position(w, 'reat') - 4) AS s FROM d WHERE list_contains(w, 'reat'))

@@ -87,3 +87,32 @@ def test_streamed_windows(spark, tmp_path):
         query = counted.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination()
         assert 0 < spark.table(name).agg(F.sum("n")).first()[0] <= rows.count()
+
+
+def test_items_are_handled_once(spark, tmp_path):
+    items = spark.createDataFrame([(f"i{k}", str(k)) for k in range(6)], "item_id string, payload string")
+
+    def handler(payload):
+        if payload == "3":
+            raise ValueError("no three")
+        return payload * 2
+
+    path = str(tmp_path / "runs")
+    first = jobs.run_items(items.limit(4), handler, path, [])
+    second = jobs.run_items(items, handler, path, [first])
+    rows = jobs.finished(spark, path, [first, second]).orderBy("item_id").collect()
+    assert [r["item_id"] for r in rows] == [f"i{k}" for k in range(6)]
+    assert [r["value"] for r in rows if r["state"] == "OK"] == ["00", "11", "22", "44", "55"]
+    assert [r["error"] for r in rows if r["state"] == "ERROR"] == ["ValueError: no three"]
+
+
+def test_unicode_forms(spark):
+    from pyspark.sql import functions as F
+
+    from strandwell.functions.unicode import document_text, normalise, stored_forms
+
+    row = spark.createDataFrame([("Cafe\u0301  Đà", None)], "a string, b string")
+    got = row.select(normalise("NFC")(F.col("a")).alias("n"), normalise("NFD")(F.col("b")).alias("z"), stored_forms(F.col("a")).alias("f"), document_text({"caption": F.col("a"), "none": F.col("b"), "empty": F.lit(" ")}).alias("d")).first()
+    assert got["n"] == "Caf\u00e9  Đà" and got["z"] is None
+    assert tuple(got["f"]) == ("Caf\u00e9  Đà", "Caf\u00e9 Đà", "Cafe Da")
+    assert got["d"] == "caption: Cafe\u0301  Đà"
