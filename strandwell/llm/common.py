@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import mmap
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,9 +55,15 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Ite
     if start < len(lengths):
         yield batch.slice(start)
 
+#: Resident bytes of a Python worker from which it releases memory after a task.
+HELD = 256 << 20
+
 
 def _released() -> None:
-    """Gives freed memory back to the system: Python workers wait for their next task beside a full executor."""
+    """Gives freed memory back to the system if the worker holds much: workers wait for their next task beside a full executor."""
+    with contextlib.suppress(OSError), open("/proc/self/statm") as file:
+        if int(file.read().split()[1]) * mmap.PAGESIZE < HELD:
+            return
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

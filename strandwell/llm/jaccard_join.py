@@ -83,11 +83,11 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, i
     return out
 
 
-SKETCH = "doc_id long, node binary, n_shingles int, bands array<long>, values binary"
+SKETCH = "doc_id long, stamp long, node binary, n_shingles int, bands array<long>, values binary"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Class key, band hashes and 8-bit MinHash values of every row."""
+    """Class key, band hashes and 8-bit MinHash values of every row; `stamp`, a hash of the text, tells rows of one doc_id apart."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,10 +101,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     packed += [v.tobytes() for v in value]
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands).ravel()))
-                columns = [part.column(0), pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts).astype(np.int32)), lists, pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "bands", "values"])
+                columns = [part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(np.concatenate(counts).astype(np.int32)), lists, pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "stamp", "node", "n_shingles", "bands", "values"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("stamp"))
     return rows.mapInArrow(tidied(compute), SKETCH)
 
 
@@ -248,7 +248,7 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, node, class_id, copies, text_links, n_links of every row.
+    """doc_id, stamp, class_node, class_id, copies, text_links, n_links of every row.
 
     class_id is the least doc_id of the class; n_links counts the other rows that reach the threshold with this one, copies included;
     text_links counts linked classes of copies, that is different texts."""
@@ -285,18 +285,23 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     known = nodes.select("node", "representative", "copies").join(joined, "node", "left").join(totals, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     names = known.groupBy("root").agg(F.min("representative").alias("class_id"))
-    named = known.join(names, "root").select("node", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "copies", "text_links", "n_links")
+    named = known.join(names, "root").select("node", F.col("root").alias("class_node"), "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sketched.select("doc_id", "stamp", "node").join(named, "node").select("doc_id", "stamp", "class_node", "class_id", "copies", "text_links", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs without near copies: of each class the row of the least doc_id stays, once."""
-    found = materialise(similarity_classes(docs, threshold).select("doc_id", "class_id", "node"), "class-rows")
-    name = "_" * (1 + max(map(len, docs.columns))) + "x"  # no column of docs
-    extra = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    """The rows of docs without near copies: of each class the row of the least doc_id stays, once; of several texts of that id one."""
+    found = materialise(similarity_classes(docs, threshold).select("doc_id", "stamp", "class_id", "class_node"), "class-rows")
+    is_first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    first = found.filter(is_first)  # one row for each class, but for repeated doc_ids
+    kept_stamp = first.groupBy("class_node").agg(F.min("stamp").alias("kept"))
+    chosen = materialise(first.join(kept_stamp, "class_node"), "class-first")
+    rest = found.filter(~is_first).select("doc_id", "stamp").unionByName(chosen.filter("stamp <> kept").select("doc_id", "stamp"))
+    mark = "_" * (1 + max(map(len, docs.columns)))  # begins no column of docs
+    extra = rest.distinct().select(F.col("doc_id").alias(f"{mark}d"), F.col("stamp").alias(f"{mark}s"))
     few = extra.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(extra) if few else extra, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
-    # Rows of one doc_id and one class, if any, are repeated rows.
-    if found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}d")) & (F.xxhash64(whole_text()) == F.col(f"{mark}s"))
+    kept = docs.join(F.broadcast(extra) if few else extra, same, "left_anti")
+    if chosen.filter("stamp = kept").groupBy("class_node").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])  # repeated rows
     return kept

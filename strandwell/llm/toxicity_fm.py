@@ -188,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
     for number in range(ROUNDS):
         # WORKERS rows of a fixed size.
         parts = rows.groupBy("worker").applyInArrow(local_steps(model, SEED + number), "n long, packed array<double>").collect()
+        parts.sort(key=lambda p: (p["n"], p["packed"][:2]))  # sums in one order each time
         share_of = np.array([p["n"] for p in parts], dtype=float)
         packed = (np.array([p["packed"] for p in parts]) * share_of[:, None]).sum(axis=0) / share_of.sum()
         m = len(index)

@@ -66,12 +66,14 @@ def test_equals_all_pairs(spark, monkeypatch):
     assert kept == sorted({c for _, c, _ in got})
 
 
-def test_odd_rows(odd_docs, odd_rows, no_docs):
+def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = J.similarity_classes(odd_docs).collect()
     assert ordered((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute([(i, t) for i, t, *_ in odd_rows])
     kept = J.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id < 9").collect()) == [1, 3, 5, 6]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t) for i, t in {(i, t) for i, t, *_ in odd_rows if i in (1, 3, 5, 6, 9, 11, 12) or t == "one two three four five six"})
+    repeated = spark.createDataFrame([(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "p q r s t u v"), (1, "p q r s t u v!")], "doc_id long, text string")
+    assert len({t.strip("!") for t in (r["text"] for r in J.one_of_each(repeated).collect())}) == 2 == J.one_of_each(repeated).count()
     assert J.similarity_classes(no_docs).count() == 0 and J.one_of_each(no_docs).count() == 0
 
 
