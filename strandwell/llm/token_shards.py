@@ -1,16 +1,17 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride binary shards.
 
-1. A first pass counts the sequences of each run of rows (rows of one file that a task reads in a row); running sums over the runs, in
-   order of file and row, give every run the index of its first sequence.
-2. A second pass cuts each document's tokens (with an end token) into sequences of `length` ids, numbers them from its run's index on, and
-   permutes the index: a keyed Feistel network over the next even power of two, walked until it falls below the number of
-   sequences. That is a bijection, so the slots are exactly 0 to n - 1.
-3. Slots are dealt by range, `shard_rows` to a partition, ordered there and written as one file of records of a fixed size. Slot s stands in
-   file s div shard_rows at byte (s mod shard_rows) * stride, so a reader starts anywhere without an index, and a shard that is
-   missing can be made again alone.
+1. A document of b bytes has b tokens at most (each has a byte), so it gets room for b div length + 1 sequences. A first pass adds up
+   the room of each run of rows (rows of one file that a task reads in a row) from text lengths alone; running sums over the runs, in
+   order of file and row, give every run, and so every possible sequence, an index that depends on files and rows only.
+2. The second pass cuts each document's tokens (with an end token) into sequences of `length` ids and permutes their indices: a keyed Feistel
+   network over the next even power of two, walked until it falls below the number of indices, hence a bijection on them.
+3. Permuted indices are dealt by range, `span` of them to a partition, ordered there and written as one file of records of a fixed size.
+   The place in this order is the sequence's slot: slots are 0 to n - 1 without gaps, and a file's size says how many it holds.
+   A reader finds a slot by the sizes of the files and the stride, starts anywhere without an index, and reads on in training order; a shard
+   that is missing can be made again alone.
 
 A record: doc_id (int64), number within the document (int32), ids in use (int32), then `length` ids (uint16), all little-endian, and a
-line end. Sequences travel compressed; text, not ids, is read twice, so nothing but the shuffle and the shards takes disk.
+line end. Texts are tokenized once; sequences travel compressed, and nothing but the shuffle and the shards takes disk.
 
 Defined results: a null text is an empty one, with one sequence that holds the end token; a null doc_id is stored as the least int64;
 repeated rows have sequences of their own; no rows give no shards; columns beyond doc_id and text are ignored.
@@ -23,7 +24,6 @@ import struct
 import sys
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
@@ -32,17 +32,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwell.llm.common import fresh_path, materialise, slices, tidied, whole_text
 from strandwell.llm.shingles import mix
 
 LENGTH = 512
-SHARD_ROWS = 32_768
+SPAN = 65_536
 ROUNDS = 6
-#: Words whose numbers of ids a task keeps while it counts.
-KNOWN = 50_000
 NO_ID = -(1 << 63)
 HEAD = np.dtype([("doc_id", "<i8"), ("number", "<i4"), ("used", "<i4")])
 # Fixed value: the public pre-token pattern of byte-level BPE.
@@ -83,26 +81,8 @@ class Tokenizer:
         if len(ranks) >= 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.end = len(ranks)
-        self.known: dict[str, int] = {}
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def learn_words(self, texts: list[str]) -> None:
-        """Remembers the numbers of ids of the words that are frequent in the texts."""
-        seen = Counter(w for t in texts for w in t.split(" ")[1:])
-        self.known = {w: len(self.encode(" " + w)) for w, n in seen.most_common(KNOWN) if n > 1}
-
-    def count(self, text: str) -> int:
-        """The number of ids of the text.
-
-        No pre-token spans a place before a single space, so words with their space count for themselves: known ones are looked up, the
-        others are encoded in a row."""
-        if "  " in text:
-            return len(self.encode(text))
-        first, *words = text.split(" ")
-        counts = [*map(self.known.get, words)]
-        rest = [w for w, n in zip(words, counts, strict=True) if n is None]
-        return sum(filter(None, counts)) + len(self.encode(" ".join([first, *rest])))
-
     def packed(self, text: str) -> bytes:
         """The ids of the text as 16-bit numbers, without the end token."""
         return _little(array("H", self.encode(text)))
@@ -116,25 +96,39 @@ def tokenizer(path: str) -> Tokenizer:
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the shards are and how to find a slot."""
+    """Where the shards are, and what a record and a shard hold."""
 
     path: str
-    sequences: int
+    room: int
     length: int
-    shard_rows: int
+    span: int
     stride: int
 
-    def place(self, slot: int) -> tuple[int, int]:
-        """Shard and byte of a slot."""
-        return slot // self.shard_rows, slot % self.shard_rows * self.stride
+    def starts(self, spark: SparkSession) -> list[tuple[int, int, int]]:
+        """shard, first slot, rows of every file, from the folder's listing."""
+        if not self.room:
+            return []
+        files = spark.read.format("binaryFile").load(f"{self.path}/shards").select(shard_of(F.col("path")).alias("shard"), "length")
+        out, slot = [], 0
+        for file in files.orderBy("shard").collect():
+            rows = file["length"] // self.stride
+            out.append((file["shard"], slot, rows))
+            slot += rows
+        return out
+
+
+def shard_of(path: Column) -> Column:
+    """The number of the partition that wrote a file."""
+    return F.regexp_extract(path, r"part-(\d+)", 1).cast("int")
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """file, row, doc_id, text: rows with their place in the files that they are read from."""
+    """file, row, n_bytes, doc_id, text: rows with their place in the files that they are read from."""
     values = [F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")]
+    n_bytes = F.octet_length(whole_text()).cast("long").alias("n_bytes")
     try:
         place = docs.metadataColumn("_metadata")
-        return docs.select(place["file_path"].alias("file"), place["row_index"].alias("row"), *values)
+        return docs.select(place["file_path"].alias("file"), place["row_index"].alias("row"), n_bytes, *values)
     except AnalysisException:  # not the rows of parquet files as they are
         return located(materialise(docs.select(*values), "shard-input"))
 
@@ -142,8 +136,7 @@ def located(docs: DataFrame) -> DataFrame:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, pa.RecordBatch]]:
     """Parts of the batches that lie in one run, the run's first place, and whether it begins."""
     run, expected = None, None
-    for batch in batches:
-        for part in slices(batch, 3, 2 << 20):
+    for part in batches:
             files, rows = part.column(0).to_pylist(), part.column(1).to_pylist()
             start = 0
             for k in range(len(rows) + 1):
@@ -157,25 +150,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
                     expected = (files[k], rows[k] + 1)
 
 
-def count_runs(rows: DataFrame, ranks: str, length: int) -> DataFrame:
-    """file, row, sequences of each run."""
+def room_of(n_bytes: int, length: int) -> int:
+    """Sequences that a text of so many bytes can have at most."""
+    return n_bytes // length + 1
+
+
+def count_runs(rows: DataFrame, length: int) -> DataFrame:
+    """file, row, room of each run."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, totals = tokenizer(ranks), {}
+        totals: dict[tuple[str, int], int] = {}
         for run, _, part in _runs(batches):
-            # A token has a byte at least: a text of fewer bytes than a sequence has ids needs no tokenizer to be one sequence.
-            texts, sizes = part.column(3).to_pylist(), pa.compute.binary_length(part.column(3)).to_pylist()
-            if not tok.known:
-                tok.learn_words(texts)
-            counts = (tok.count(t) // length + 1 if n >= length else 1 for t, n in zip(texts, sizes, strict=True))
-            totals[run] = totals.get(run, 0) + sum(counts)
+            totals[run] = totals.get(run, 0) + sum(room_of(n, length) for n in part.column(2).to_pylist())
         columns = [pa.array([r[0] for r in totals], pa.string()), pa.array([r[1] for r in totals], pa.int64()), pa.array(list(totals.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["file", "row", "sequences"])
+        yield pa.RecordBatch.from_arrays(columns, ["file", "row", "room"])
 
-    return rows.mapInArrow(tidied(count), "file string, row long, sequences long")
+    return rows.select("file", "row", "n_bytes").mapInArrow(tidied(count), "file string, row long, room long")
 
 
-def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> Layout:
+def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None, length: int = LENGTH, span: int = SPAN) -> Layout:
     """Writes the sequences of all documents to `path` (default: below the shared folder) and says how they lie."""
     import zstandard
 
@@ -185,10 +178,10 @@ def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None,
     # One number for each run: as many as the input has splits, which the driver lists anyway.
     bases: dict[tuple[str, int], int] = {}
     total = 0
-    for run in sorted(count_runs(rows, ranks, length).collect(), key=lambda r: (r["file"], r["row"])):
+    for run in sorted(count_runs(rows, length).collect(), key=lambda r: (r["file"], r["row"])):
         bases[run["file"], run["row"]] = total
-        total += run["sequences"]
-    layout = Layout(path, total, length, shard_rows, HEAD.itemsize + 2 * length + 1)
+        total += run["room"]
+    layout = Layout(path, total, length, span, HEAD.itemsize + 2 * length + 1)
     known = spark.sparkContext.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,17 +192,18 @@ def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None,
             if begins:
                 at = known.value[run]  # a run that the first pass didn't have is an error
                 continue
-            ids, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
-            records = []
-            for doc_id, text in zip(ids, texts, strict=True):
+            sizes, ids, texts = (part.column(k).to_pylist() for k in (2, 3, 4))
+            records, indices = [], []
+            for n_bytes, doc_id, text in zip(sizes, ids, texts, strict=True):
                 packed = tok.packed(text) + pad[:2]
                 for number, begin in enumerate(range(0, len(packed), 2 * length)):
                     piece = packed[begin : begin + 2 * length]
                     head = struct.pack("<qii", NO_ID if doc_id is None else doc_id, number, len(piece) // 2)
                     records.append(pack(head + piece + pad[len(piece) :]))
-            slots = feistel(np.arange(at, at + len(records), dtype=np.int64), total, key)
-            at += len(records)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows, pa.int32()), pa.array(records, pa.binary())], ["slot", "shard", "record"])
+                    indices.append(at + number)
+                at += room_of(n_bytes, length)
+            slots = feistel(np.array(indices, dtype=np.int64), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // span, pa.int32()), pa.array(records, pa.binary())], ["place", "shard", "record"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -217,9 +211,9 @@ def write_shards(docs: DataFrame, ranks: str, key: int, path: str | None = None,
             for part in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([open_(r) for r in part.column(0).to_pylist()], pa.binary())], ["record"])
 
-    sequences = rows.mapInArrow(tidied(cut), "slot long, shard int, record binary")
+    sequences = rows.mapInArrow(tidied(cut), "place long, shard int, record binary")
     if total:
-        dealt = sequences.repartitionById(-(-total // shard_rows), F.col("shard")).sortWithinPartitions("slot")
+        dealt = sequences.repartitionById(-(-total // span), F.col("shard")).sortWithinPartitions("place")
         # The bytes of a record go to the file as they are, with the writer's line end behind them.
         dealt.select("record").mapInArrow(tidied(unpack), "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/shards")
     spark.createDataFrame([asdict(layout)]).coalesce(1).write.json(f"{path}/layout")
@@ -232,15 +226,19 @@ SEQUENCES = "slot long, shard int, offset long, doc_id long, number int, used in
 def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: bool = False) -> DataFrame:
     """The stored sequences from `first_slot` on: slot, place, document and checksum of the ids in use, with `ids` the ids too."""
     schema = SEQUENCES + (", ids array<int>" if ids else "")
-    if not layout.sequences:
+    # One row for each file.
+    starts = {shard: slot for shard, slot, rows in layout.starts(spark) if slot + rows > first_slot}
+    if not starts:
         return spark.createDataFrame([], schema)
-    stride, length, per_shard = layout.stride, layout.length, layout.shard_rows
+    stride, length = layout.stride, layout.length
+    known = spark.sparkContext.broadcast(starts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, stride)
-                skip = max(0, first_slot - shard * per_shard)
+                start = known.value[shard]
+                skip = max(0, first_slot - start)
                 for at in range(skip, len(raw), 4096):
                     rows = raw[at : at + 4096]
                     head = np.ascontiguousarray(rows[:, : HEAD.itemsize]).view(HEAD).ravel()
@@ -249,7 +247,7 @@ def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: b
                     place = np.arange(at, at + len(rows), dtype=np.int64)
                     no_id = head["doc_id"] == NO_ID
                     columns = [
-                        pa.array(place + shard * per_shard), pa.array(np.full(len(rows), shard, dtype=np.int32)), pa.array(place * stride),
+                        pa.array(place + start), pa.array(np.full(len(rows), shard, dtype=np.int32)), pa.array(place * stride),
                         pa.array(head["doc_id"].astype(np.int64), mask=no_id), pa.array(head["number"].astype(np.int32)), pa.array(head["used"].astype(np.int32)), pa.array(crc, pa.int64()),
                     ]
                     if ids:
@@ -257,6 +255,5 @@ def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: b
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     files = spark.read.format("binaryFile").load(f"{layout.path}/shards")
-    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    wanted = files.select(shard.alias("shard"), "content").filter(F.col("shard") >= first_slot // per_shard)
+    wanted = files.select(shard_of(F.col("path")).alias("shard"), "content").filter(F.col("shard") >= min(starts))
     return wanted.mapInArrow(tidied(read), schema)
