@@ -56,7 +56,7 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Ite
         yield batch.slice(start)
 
 #: Resident bytes of a Python worker from which it releases memory after a task.
-HELD = 256 << 20
+HELD = 160 << 20
 
 
 def _released() -> None:
