@@ -45,7 +45,7 @@ def accentless(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), F.array().cast("array<string>"))
 
 
 def snippet(words: Column, terms: list[str], width: int = 24) -> Column:

@@ -60,12 +60,6 @@ def _weighted(field: str, weight: float) -> Column:
     return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
 
-def _runs_of(words: str, n: int) -> Column:
-    """Every n words in a row, joined by spaces."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<string>"))
-
-
 def term_scores(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
     """query_id, uid, term, n_terms, score: the score of each query term in each document that has it in a field of positive weight.
 
@@ -123,15 +117,14 @@ def fill(stages: list[DataFrame], k: int) -> DataFrame:
 
 
 def phrase_counts(table: DataFrame, uid: str, text: Column, phrases: DataFrame) -> DataFrame:
-    """query_id, uid, f, len: how often each phrase (array column `words`, all of one length `n_words`) occurs in a row of words.
-
-    Word runs of the phrases' lengths meet the phrases by hash join."""
-    words = table.select(F.col(uid).alias("uid"), tokens(text).alias("w"))
-    # As many lengths as the request has.
-    runs = [r["n_words"] for r in phrases.select("n_words").distinct().collect()]
-    hits = words.select("uid", F.size("w").alias("len"), F.explode(F.concat(*[_runs_of("w", n) for n in sorted(runs)])).alias("phrase"))
-    wanted = phrases.select("query_id", F.concat_ws(" ", "words").alias("phrase"))
-    return hits.join(F.broadcast(wanted), "phrase").groupBy("query_id", "uid").agg(F.count("*").alias("f"), F.first("len").alias("len"))
+    """query_id, uid, f, len: how often each phrase (array column `words`) occurs in a row of words.
+
+    A request's phrases are few: each is looked for in every text as a string between spaces, and counted by place where it is found."""
+    rows = table.select(F.col(uid).alias("uid"), tokens(text).alias("w")).select("uid", "w", F.concat(F.lit(" "), F.concat_ws(" ", "w"), F.lit(" ")).alias("t"))
+    wanted = phrases.select("query_id", "words", F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).alias("needle"), F.size("words").alias("n"))
+    met = rows.join(F.broadcast(wanted), F.contains("t", F.col("needle")))
+    places = F.filter(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: (F.get("w", i - 1) == F.get("words", F.lit(0))) & (F.slice("w", i, F.col("n")) == F.col("words")))
+    return met.select("query_id", "uid", F.size(places).alias("f"), F.size("w").alias("len"))
 
 
 def rate(counts: DataFrame, corpus: DataFrame) -> DataFrame:

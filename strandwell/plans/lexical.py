@@ -109,7 +109,7 @@ PHRASES = [(1, ["of", "the"]), (2, ["the", "erst"]), (3, ["de", "la"]), (4, ["an
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame([(i, p, len(p)) for i, p in PHRASES], "query_id int, words array<string>, n_words int")
+    wanted = spark.createDataFrame(PHRASES, "query_id int, words array<string>")
     docs = table(spark, sf_dir, "documents")
     counts = L.phrase_counts(docs, "doc_id", F.col("text"), wanted)
     return _shape(L.top(L.rate(counts, L.lengths(_index(spark, sf_dir), ["text"])), K))
