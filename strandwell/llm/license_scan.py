@@ -210,7 +210,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     for word in cover_words(templates, threshold):
         here = F.contains(text, F.lit(word))
         may = here if may is None else may | here
-    rows = docs.filter(may).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(f"({WORD})"), 1).alias("words"))
+    rows = docs.filter(may).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"))
     # One column after the other, and no filter on a computed one: pushed down, it would compute the column anew for each use.
     rows = rows.select("doc_id", shingles_of(F.col("words")).alias("shingles"))
     found = F.concat(*[matches_of(windows_of(F.col("shingles"), g), e) for g, e in zip(groups, entries, strict=True)])
