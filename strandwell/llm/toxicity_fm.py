@@ -7,7 +7,7 @@ their factor vectors, so that two terms can say together what neither says alone
 Training: at most `max_train_rows` labelled documents, chosen by a hash of doc_id (so the list of chosen ids has a fixed size and can be
 broadcast, and no text is shuffled). Partitions count the documents of each bucket by label; the `max_terms` buckets of
 the strongest association become the model's terms. Each round, partitions run gradient steps from the same
-parameters and the driver averages the fixed-size results.
+parameters and the driver averages the fixed-size results, term by term over the workers that met it.
 
 Defined results: a null text is an empty one, whose score is that of the bias; rows without doc_id are scored and never learnt from; a
 document with several labels counts with their mean; without any usable label every score is 0.5; repeated rows stay; no rows give
@@ -32,8 +32,10 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 FACTORS = 8
 ROUNDS = 8
-WORKERS = 16
+WORKERS = 8
 SEED = 11
+#: How much a toxic row counts against a clean one: they are few, and one insult must suffice.
+POSITIVE_WEIGHT = 1.5
 WORD = re.compile(r"\w+")
 CACHE = 150_000
 #: Standard deviations between a bucket's labels and chance from which it can become a term.
@@ -92,7 +94,7 @@ def dense(rows: list[list[int]], width: int) -> np.ndarray:
     return x
 
 
-def train(model: Model, rows: list[list[int]], y: np.ndarray, seed: int, epochs: int = 3, rate: float = 0.3, decay: float = 1e-4) -> Model:
+def train(model: Model, rows: list[list[int]], y: np.ndarray, seed: int, epochs: int = 4, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Adagrad steps over the rows on logistic loss, from the given parameters."""
     rng = np.random.default_rng(seed)
     bias, weight, factor = model.bias, model.weight.copy(), model.factor.copy()
@@ -104,6 +106,7 @@ def train(model: Model, rows: list[list[int]], y: np.ndarray, seed: int, epochs:
             x = dense([rows[i] for i in take], len(weight))
             now = Model(model.index, bias, weight, factor)
             gap = (1 / (1 + np.exp(-np.clip(now.logits(x), -40, 40))) - y[take]) / len(take)
+            gap *= np.where(y[take] > 0.5, POSITIVE_WEIGHT, 1.0)
             touched = x.any(axis=0)
             steps = [gap.sum(), x.T @ gap + decay * weight * touched, x.T @ (gap[:, None] * (x @ factor)) - factor * (x.T @ gap)[:, None] + decay * factor * touched[:, None]]
             for total, step in zip(seen, steps, strict=True):
@@ -121,8 +124,10 @@ def local_steps(start: Model, seed: int):
 
     def step(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-        found = train(start, group.column("terms").to_pylist(), group.column("y").to_numpy(), seed)
-        packed = np.concatenate([[found.bias], found.weight, found.factor.ravel()])
+        rows = group.column("terms").to_pylist()
+        found = train(start, rows, group.column("y").to_numpy(), seed)
+        met = np.bincount([t for r in rows for t in r], minlength=len(start.weight)) if rows else np.zeros(len(start.weight))
+        packed = np.concatenate([[found.bias], found.weight, found.factor.ravel(), met])
         return pa.table({"n": [group.num_rows], "packed": pa.array([packed], pa.list_(pa.float64()))})
 
     return step
@@ -158,7 +163,7 @@ def choose_terms(sample: DataFrame, max_terms: int) -> tuple[dict[int, int], flo
     counts = sample.select("text", "y").mapInArrow(tidied(count), "bucket long, n double, y double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     share = positive / n
     spread = F.sqrt(F.col("n") * F.lit(share * (1 - share)) + 1.0)
-    strength = F.abs(F.col("y") - F.col("n") * F.lit(share)) / spread
+    strength = (F.col("y") - F.col("n") * F.lit(share)) / spread
     best = counts.filter((F.col("n") >= 3) & (strength >= MIN_STRENGTH)).orderBy(strength.desc(), "bucket").limit(max_terms).collect()
     return {row["bucket"]: k for k, row in enumerate(best)}, share, n
 
@@ -189,10 +194,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
         # WORKERS rows of a fixed size.
         parts = rows.groupBy("worker").applyInArrow(local_steps(model, SEED + number), "n long, packed array<double>").collect()
         parts.sort(key=lambda p: (p["n"], p["packed"][:2]))  # sums in one order each time
-        share_of = np.array([p["n"] for p in parts], dtype=float)
-        packed = (np.array([p["packed"] for p in parts]) * share_of[:, None]).sum(axis=0) / share_of.sum()
         m = len(index)
-        model = Model(index, float(packed[0]), packed[1 : m + 1], packed[m + 1 :].reshape(m, FACTORS))
+        packed, rows_of = np.array([p["packed"] for p in parts]), np.array([p["n"] for p in parts], dtype=float)
+        # A term's parameters are averaged over the workers that met it, by how often they did; others know nothing of it.
+        met = packed[:, 1 + m + m * FACTORS :]
+        part = met / np.maximum(met.sum(axis=0), 1)
+        weight = (packed[:, 1 : m + 1] * part).sum(axis=0)
+        factor = (packed[:, m + 1 : 1 + m + m * FACTORS].reshape(len(parts), m, FACTORS) * part[:, :, None]).sum(axis=0)
+        model = Model(index, float(packed[:, 0] @ rows_of / rows_of.sum()), weight, factor)
     return model
 
 
