@@ -12,8 +12,10 @@ shingles left than it needs, so a text with none of these words can't match, and
 Everything happens in the row of its document, so nothing is shuffled and hot documents are no hot keys; templates are a parameter of
 the query, bounded by whoever writes it.
 
-Defined results: null texts and texts of fewer than five words have no matches; repeated rows are scanned each; a null doc_id is
-kept; no rows give no rows; columns beyond doc_id and text are ignored. Templates need five words at least.
+A template of fewer than five words is one shingle of all its words, looked up word by word in the text; its `first_word` is exact.
+
+Defined results: null texts have no matches, and texts of fewer than five words only those with templates of fewer than five; repeated rows are
+scanned each; a null doc_id is kept; no rows give no rows; columns beyond doc_id and text are ignored. Templates need a word at least.
 """
 
 from __future__ import annotations
@@ -67,14 +69,104 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    (
+        "MIT",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        'MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR '
+        'ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE '
+        'SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    (
+        "BSD",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    (
+        "BSD",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        'LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT '
+        'HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT '
+        'LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON '
+        'ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE '
+        'USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "ISC",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        'MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY '
+        'DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, '
+        'ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely",
+    ),
 )
 
+#: Statements of fewer words than a shingle; their numbers follow those of TEMPLATES.
+STATEMENTS: tuple[tuple[str, str], ...] = (("All-rights-reserved", "All rights reserved."),)
+
 
 def template_words(text: str) -> list[str]:
     """The words of a template, as WORD finds them in lower case."""
     return re.findall(r"\w+", text.lower())
 
 
+def template_shingles(words: list[str]) -> set[tuple[str, ...]]:
+    """The distinct shingles of a template; one of all its words if they are fewer than `SIZE`."""
+    return {tuple(words[k : k + SIZE]) for k in range(max(1, len(words) - SIZE + 1))}
+
+
 def needed(shingles: int, threshold: float) -> int:
     """How many distinct shingles of a template a window must hold."""
     return max(1, math.ceil(threshold * shingles - 1e-9))
@@ -86,8 +178,7 @@ def cover_words(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: f
     Chosen greedily; long words count for more, as they keep more texts out."""
     open_ = {}
     for number, (_, text) in enumerate(templates):
-        w = template_words(text)
-        shingles = {tuple(w[k : k + SIZE]) for k in range(len(w) - SIZE + 1)}
+        shingles = template_shingles(template_words(text))
         open_[number] = (shingles, len(shingles) - needed(len(shingles), threshold) + 1)
     chosen: list[str] = []
     while open_:
@@ -119,13 +210,14 @@ class Group:
 
 
 def plan(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> list[Group]:
-    """Groups of templates by doubling length, with their windows and bands."""
+    """Groups of templates by doubling length, with their windows and bands; templates shorter than a shingle need none."""
     lengths = [len(template_words(t)) - SIZE + 1 for _, t in templates]
-    if min(lengths) < 1:
-        raise ValueError("templates need five words at least")
+    if min(lengths) <= 1 - SIZE:
+        raise ValueError("templates need a word at least")
     groups: dict[int, list[int]] = {}
     for number, n in enumerate(lengths):
-        groups.setdefault((n + 3).bit_length(), []).append(number)
+        if n >= 1:
+            groups.setdefault((n + 3).bit_length(), []).append(number)
     out = []
     for members in groups.values():
         longest = max(lengths[k] for k in members)
@@ -192,6 +284,22 @@ def matches_of(windows: Column, entries: list[dict]) -> Column:
     return F.flatten(F.transform(windows, in_window))
 
 
+def statement_matches(words: Column, templates: tuple[tuple[str, str], ...]) -> Column:
+    """Matches, as in matches_of, of the templates of fewer words than a shingle: each at the first place where its words stand in a row."""
+    short = [(number, license, w) for number, (license, w) in enumerate((g, template_words(t)) for g, t in templates) if len(w) < SIZE]
+
+    def match(line: Column, number: int, license: str, w: list[str]) -> Column:
+        at = F.instr(line, f" {' '.join(w)} ")
+        before = F.substring(line, F.lit(1), at - 1)
+        return F.struct(
+            F.lit(license).alias("license"), F.lit(number).alias("template"), (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("word"),
+            F.when(at > 0, 1).otherwise(0).alias("held"), F.lit(1).alias("size"), F.lit(1).alias("need"),
+        )
+
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.flatten(F.transform(F.array(line), lambda x: F.filter(F.array(*[match(x, *t) for t in short]), lambda m: m["held"] >= m["need"])))
+
+
 def best_matches(found: Column) -> Column:
     """One match for each template: the first of those with the most shingles."""
     better = lambda a, b: F.when(a["held"] != b["held"], b["held"] - a["held"]).otherwise(a["word"] - b["word"])
@@ -199,7 +307,7 @@ def best_matches(found: Column) -> Column:
     return F.transform(F.array_distinct(F.transform(found, lambda m: m["template"])), first)
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + STATEMENTS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, template, license, first_word, held, template_shingles: a row for each template that a document matches.
 
     `first_word` is the first word of the first of the template's best windows, `held` the template's shingles in it."""
@@ -212,8 +320,9 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         may = here if may is None else may | here
     rows = docs.filter(may).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"))
     # One column after the other, and no filter on a computed one: pushed down, it would compute the column anew for each use.
-    rows = rows.select("doc_id", shingles_of(F.col("words")).alias("shingles"))
-    found = F.concat(*[matches_of(windows_of(F.col("shingles"), g), e) for g, e in zip(groups, entries, strict=True)])
+    short = any(len(template_words(t)) < SIZE for _, t in templates)
+    rows = rows.select("doc_id", shingles_of(F.col("words")).alias("shingles"), *([statement_matches(F.col("words"), templates).alias("short")] if short else []))
+    found = F.concat(*[matches_of(windows_of(F.col("shingles"), g), e) for g, e in zip(groups, entries, strict=True)], *([F.col("short")] if short else []))
     rows = rows.select("doc_id", found.alias("found"))
     matches = rows.select("doc_id", F.explode_outer(best_matches(F.col("found"))).alias("m")).filter(F.col("m").isNotNull())
     return matches.select(

@@ -56,3 +56,18 @@ def test_odd_rows(odd_docs, no_docs):
     rows = L.scan(odd_docs).collect()
     assert [(r["doc_id"], r["license"], r["held"]) for r in rows] == [(12, "MIT", 1)]
     assert L.scan(no_docs).count() == 0
+
+
+def test_statements_shorter_than_a_shingle(spark):
+    rows = [(1, "All rights reserved."), (2, "Some words before. ALL RIGHTS\nRESERVED, all rights reserved"), (3, "overall rights reserved"), (4, "all rights are reserved"), (5, "all rights reservedly"), (None, "(c) all rights reserved"), (6, None)]
+    got = {(r["doc_id"], r["license"], r["first_word"], r["held"], r["template_shingles"]) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, "All-rights-reserved", at, 1, 1) for i, at in ((1, 0), (2, 3), (None, 1))}
+    only = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.STATEMENTS)
+    assert only.count() == 3
+
+
+def test_every_licence_is_found(spark):
+    known = L.TEMPLATES + L.STATEMENTS
+    assert {"ISC", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "Unlicense", "BSD-3-Clause"} <= {g for g, _ in known}
+    got = {(r["doc_id"], r["template"]) for r in L.scan(spark.createDataFrame([(k, f"x {t} y") for k, (_, t) in enumerate(known)], "doc_id long, text string")).collect()}
+    assert {(k, k) for k in range(len(known))} <= got
