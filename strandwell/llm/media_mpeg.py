@@ -166,13 +166,8 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
     return None
 
 
-def parse(data: bytes) -> dict:
-    """Tags, tables, frame offsets, exact duration and checksum results of a stream."""
-    start, tags = _id3v2(data)
-    end = len(data)
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\x00 "))
+def _frames(data: bytes, start: int, end: int) -> tuple[list[int], list[Header], int]:
+    """Offsets and headers of the frames from start to end, and the bytes skipped between them."""
     offsets, shapes, pos, skipped = [], [], start, 0
     locked = False
     while 0 <= pos and pos + 4 <= end:
@@ -187,6 +182,19 @@ def parse(data: bytes) -> dict:
         found = data.find(b"\xff", pos + 1, end)
         skipped += (found if found >= 0 else end) - pos
         pos, locked = found, False
+    return offsets, shapes, skipped
+
+
+def parse(data: bytes) -> dict:
+    """Tags, tables, frame offsets, exact duration and checksum results of a stream."""
+    start, tags = _id3v2(data)
+    end = len(data)
+    offsets, shapes, skipped = _frames(data, start, end)
+    at = end - 128
+    # 'TAG' inside a frame is its content; only behind the frames it is an ID3v1 tag.
+    if at >= start and data[at : at + 3] == b"TAG" and not any(o < at < o + h.size for o, h in zip(offsets, shapes, strict=True)):
+        tags.setdefault("TIT2", data[at + 3 : at + 33].decode("latin-1").rstrip("\x00 "))
+        offsets, shapes, skipped = _frames(data, start, at)
     vbr = _vbr(data, offsets[0], shapes[0]) if offsets else None
     if vbr:
         offsets, shapes = offsets[1:], shapes[1:]

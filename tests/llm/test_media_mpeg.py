@@ -65,3 +65,15 @@ def test_columns(odd_docs, odd_rows, no_docs):
     assert sorted((r["n_bytes"], r["tail_crc32"]) for r in rows) == wanted
     assert all(r["crc_bad"] == 0 and r["payload_bytes"] % 576 == 0 and r["payload_bytes"] > 0 and len(r["seek_offsets"]) == r["n_frames"] for r in rows)
     assert M.read_streams(M.store_column(no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("units", [1, 3])
+def test_tag_letters_inside_the_last_frame_are_content(units):
+    text = b"x" * (576 * (units - 1)) + b"y" * 506 + b"TAG" + b"z" * 67
+    media = M.store_payload(M.payload_of(text), len(text))
+    assert media[-128:-125] == b"TAG"
+    found = M.parse(media)
+    assert M.carried(media, found) == text and found["skipped"] == 0 and "TIT2" not in found["tags"]
+    tagged = media + b"TAG" + b"A title".ljust(125, b"\x00")
+    again = M.parse(tagged)
+    assert M.carried(tagged, again) == text and again["skipped"] == 0 and again["tags"]["TIT2"] == "A title"
