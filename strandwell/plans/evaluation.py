@@ -86,15 +86,15 @@ def sequence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query for each user below 60."""
-    users = events(spark, sf_dir).filter("video < 60").select(F.col("video").alias("query_id")).distinct()
+    """One query for each user."""
+    users = events(spark, sf_dir).filter("video IS NOT NULL").select(F.col("video").alias("query_id")).distinct()
     q = F.col("query_id")
     span = lambda lo, width: F.struct(lo.cast("int").alias("lo"), (lo + width).cast("int").alias("hi"))
     return users.select("query_id", (q % 7).alias("gt_video"), F.array(span(q * 5, 150), span(q * 0 + 700, 50), span(q * 11, 200)).alias("ranges"))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).filter("video < 60")
+    rows = events(spark, sf_dir).filter("video IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.col("value").desc(), "uid")
     u = F.col("uid")
     rows = rows.select(F.col("video").alias("query_id"), "uid", "value").withColumn("rank", F.row_number().over(order)).filter("rank <= 100")

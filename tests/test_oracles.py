@@ -56,3 +56,13 @@ def test_rest_stands_without_the_corpus_operators(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else find(name, *a))
     assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", ["kis_recall", "video_recall", "trake_score", "eval_aggregate", "eval_breakdown", "prediction_violations"])
+def test_every_user_is_evaluated(spark, name):
+    """The oracle without its cut at 60 users, on tables that have more."""
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    assert con.execute("SELECT max(user_id) FROM events").fetchone()[0] > 60
+    whole = ORACLES[name].replace("WHERE e.video < 60", "").replace("WHERE video < 60", "")
+    assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(whole).df())
