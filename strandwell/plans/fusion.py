@@ -14,16 +14,36 @@ FOLD = 300
 PER_LANE = 5000
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of one query: rank by value within the lane; asr hits are intervals of up to half a minute."""
+def lane_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of the lanes as hits of one query, without ranks; asr hits are intervals of up to half a minute."""
     rows = events(spark, sf_dir).filter(F.col("space").isin(list(LANES)))
     provider = F.element_at(F.create_map(*[F.lit(x) for kv in LANES.items() for x in kv]), F.col("space"))
     anchor = (F.col("ms") % (FOLD * 1000)) / 1000
-    rows = rows.select(F.lit(1).alias("query_id"), provider.alias("provider"), F.col("uid").alias("evidence_id"), "video", anchor.alias("anchor"), F.col("value").alias("raw_score"), "uid")
-    order = Window.partitionBy("provider").orderBy(F.col("raw_score").desc(), "uid")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANE)
-    half = F.when(F.col("provider") == "asr", (F.col("uid") % 16) * 1.0).otherwise(0.0)
-    return ranked.withColumn("start", F.greatest(F.lit(0.0), F.col("anchor") - half)).withColumn("end", F.col("anchor") + half).drop("uid")
+    rows = rows.select(F.lit(1).alias("query_id"), provider.alias("provider"), F.col("uid").alias("evidence_id"), "video", anchor.alias("anchor"), F.col("value").alias("raw_score"))
+    half = F.when(F.col("provider") == "asr", (F.col("evidence_id") % 16) * 1.0).otherwise(0.0)
+    return rows.withColumn("start", F.greatest(F.lit(0.0), F.col("anchor") - half)).withColumn("end", F.col("anchor") + half)
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits of each lane: rank by value within the lane."""
+    order = Window.partitionBy("provider").orderBy(F.col("raw_score").desc(), "evidence_id")
+    return lane_events(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANE)
+
+
+def ranked(rows: DataFrame, parts: int = 64) -> DataFrame:
+    """All rows with their rank by value within the lane, without one task for a whole lane.
+
+    Quantiles cut the values into ranges; rows are ranked within lane and range, behind the rows of the ranges above."""
+    cuts = sorted(set(rows.approxQuantile("raw_score", [k / parts for k in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("raw_score") > c)) if cuts else F.lit(0)
+    ranged = rows.withColumn("_part", part)
+    counts = ranged.groupBy("provider", "_part").agg(F.count("*").alias("_n"))
+    # A row for each lane and range.
+    above = Window.partitionBy("provider").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("provider", "_part", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_start"))
+    order = Window.partitionBy("provider", "_part").orderBy(F.col("raw_score").desc(), "evidence_id")
+    within = ranged.withColumn("_row", F.row_number().over(order)).join(F.broadcast(starts), ["provider", "_part"])
+    return within.withColumn("rank", (F.col("_start") + F.col("_row")).cast("int")).drop("_part", "_row", "_start")
 
 
 def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +68,11 @@ def time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.clamped(hits(spark, sf_dir)).filter("provider = 'asr'").select("evidence_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
+    return X.clamped(lane_events(spark, sf_dir)).filter("provider = 'asr'").select("evidence_id", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
 def session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = hits(spark, sf_dir).select("provider", "video", "evidence_id", F.round(F.col("anchor") * 1000).cast("long").alias("start_ms"), F.col("rank").alias("native_rank"))
+    rows = ranked(lane_events(spark, sf_dir)).select("provider", "video", "evidence_id", F.round(F.col("anchor") * 1000).cast("long").alias("start_ms"), F.col("rank").alias("native_rank"))
     return X.session_dedup(rows, ["provider", "video"], 2000)
 
 
