@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one set here if there is none."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a folder of this machine serves if the executors are this machine too; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandwell-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -34,7 +38,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read again: cuts the lineage, and a lost executor costs nothing but a read."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def forget(stored: DataFrame) -> None:
+    """Removes a table of `materialise` that nothing will read again: of a loop's rounds only the last takes room."""
+    jvm, conf = stored.sparkSession.sparkContext._jvm, stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(conf).delete(path, True)
+
+
+#: Keys with more rows than HEAVY and than one in MOST_HEAVY of all rows are heavy: there are MOST_HEAVY of them at most.
+HEAVY, MOST_HEAVY = 1000, 10_000
+
+
+def join_by_count(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """`rows` joined with one row for each key, `keyed`, which has the number of `rows` of its key in `count`.
+
+    Heavy keys (at most MOST_HEAVY, as their counts add up to `total`) are broadcast, so their rows stay where they are; the others are shuffled."""
+    heavy = F.col(count) > max(HEAVY, total // MOST_HEAVY)
+    hot = F.broadcast(keyed.filter(heavy))
+    light = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(~heavy), key)
+    return rows.join(hot, key).unionByName(light)
 
 
 def whole_text(name: str = "text") -> Column:

@@ -2,14 +2,17 @@
 
 1. A text is the set of its five-word shingles. Texts of equal sets are copies; they form a class that goes on as one node.
 2. `BANDS` bands of `ROWS` MinHash values: nodes that agree in a band are candidates. At the threshold 0.8 a pair misses every band
-   with a probability of 8e-5; chains from each node to the least one of its bucket make groups of candidates.
-3. In a group, MinHash values (8 bits each) are compared `STEP` by `STEP`: a pair is dropped as soon as the posterior probability of
-   reaching the threshold, from a uniform prior and the matches so far, is below `TOLERANCE`. What is left is verified on the whole sets.
-4. Links that hold give the classes (connected components) and each document's number of links.
-
-Scale: copies meet in a pre-aggregated shuffle; candidates are linear in the bands. Groups beyond `BLOCK` nodes are cut into blocks and
-every pair of blocks is a task; a task returns counts for each node and a spanning forest, never pairs, so what is
-shuffled stays linear in nodes (times blocks for a group beyond one).
+   with a probability of 8e-5.
+3. In each bucket, MinHash values (8 bits each) of its nodes are compared `STEP` by `STEP`: a pair is dropped as soon as the posterior
+   probability of reaching the threshold, from a uniform prior and the matches so far, is below `TOLERANCE`. What is left makes groups,
+   so that nodes that meet by chance don't chain groups together however large the corpus is.
+4. Within a group, pairs are pruned alike and the rest is verified on the whole sets. Links that hold give the classes (connected
+   components) and each document's number of links.
+
+Scale: copies meet in a pre-aggregated shuffle; candidates are linear in the bands; a bucket returns a spanning forest, never pairs. A bucket
+beyond `BLOCK` nodes is a star around its least node instead. Groups beyond `BLOCK` nodes are cut into blocks and every pair of blocks is a
+task; a task returns counts for each node and a spanning forest, so what is shuffled stays linear in nodes (times blocks for a group
+beyond one). Keys of very many rows (hubs of a star, a text with very many copies) are met by a broadcast of bounded size.
 
 Defined results: null texts are empty ones; texts without words are copies of each other; repeated rows stay and count as
 copies; a null doc_id takes part, and is never a class id unless its class has no other; no rows give no rows; columns beyond
@@ -24,10 +27,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwell.llm.common import materialise, slices, tidied, whole_text
+from strandwell.llm.common import join_by_count, materialise, slices, tidied, whole_text
 from strandwell.llm.components import components
 from strandwell.llm.shingles import mix, set_keys, shingle_sets
 
@@ -36,6 +39,10 @@ VALUES = BANDS * ROWS
 STEP = 40
 TOLERANCE = 1e-6
 BLOCK = 1500
+#: Rows of buckets (about 300 bytes) that one task compares, or a little more.
+TASK_ROWS = 20_000
+#: Pairs that are compared in one go, at a byte for each of STEP values.
+PAIRS_AT_ONCE = 250_000
 #: Rows of 24 bytes up to which a list of documents is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Pairs from which intersections are counted as matrix products.
@@ -108,28 +115,78 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(compute), SKETCH)
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """a, b: each node with the least node of every bucket that it shares."""
-    dealt = nodes.filter("n_shingles > 0").select("node", F.explode("bands").alias("bucket"))
-    hub = F.min("node").over(Window.partitionBy("bucket"))
-    return dealt.select("node", hub.alias("hub")).filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """bucket, node: every node in its bucket of each band."""
+    return nodes.filter("n_shingles > 0").select(F.explode("bands").alias("bucket"), "node")
+
+
+def candidate_edges(nodes: DataFrame, least: dict[int, int]) -> DataFrame:
+    """a, b: links between nodes of a bucket that pruning leaves, as a forest; in a bucket beyond BLOCK nodes, each with the least node."""
+    shared_buckets = _dealt(nodes).groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    shared_buckets = materialise(shared_buckets, "buckets")
+    few = shared_buckets.count() <= BROADCAST_ROWS
+    hubs = shared_buckets.filter(F.col("size") > BLOCK).select("bucket", "hub")  # at most 1 / BLOCK of the nodes' bands
+    met = _dealt(nodes).join(F.broadcast(shared_buckets) if few else shared_buckets, "bucket").select("bucket", "size", "hub", "node")
+    star = met.filter((F.col("size") > BLOCK) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    small = shared_buckets.filter(F.col("size") <= BLOCK).drop("hub")
+    rows = _dealt(nodes).join(F.broadcast(small) if few else small, "bucket").select("bucket", "node")
+    tasks = max(1, -(-(shared_buckets.filter(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 0) // TASK_ROWS))
+    sketched = rows.join(nodes.select("node", "values"), "node").withColumn("task", F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+
+    def prune(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("bucket", "ascending"), ("node", "ascending")])
+        bucket, nodes_of = group.column("bucket").to_numpy(), group.column("node").to_pylist()
+        values = np.frombuffer(b"".join(group.column("values").to_pylist()), dtype=np.uint8).reshape(len(bucket), -1)
+        i, j = surviving_in_buckets(values, bucket, least)
+        names = sorted(set(nodes_of))
+        place = {name: k for k, name in enumerate(names)}
+        at = np.array([place[name] for name in nodes_of])
+        roots = forest(len(names), at[i], at[j])  # over all buckets of the task
+        found = [(names[k], names[roots[k]]) for k in np.flatnonzero(roots != np.arange(len(names)))]
+        return pa.table({"a": pa.array([e[0] for e in found], pa.binary()), "b": pa.array([e[1] for e in found], pa.binary())})
+
+    pruned = sketched.select("task", "bucket", "node", "values").groupBy("task").applyInArrow(prune, "a binary, b binary")
+    return pruned.unionByName(star) if hubs.limit(1).count() else pruned
+
+
+def compared(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows i of left and j of right that comparing values step by step doesn't drop."""
+    matches = np.zeros(len(i), dtype=np.int32)
+    for n in range(0, VALUES, STEP):
+        part = slice(n, n + STEP)
+        matches += (left[i, part] == right[j, part]).sum(axis=1, dtype=np.int32)
+        on = matches >= least[n + STEP]
+        i, j, matches = i[on], j[on], matches[on]
+    return i, j
 
 
 def surviving(left: np.ndarray, right: np.ndarray, least: dict[int, int], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that comparing values step by step doesn't drop; with `same`, pairs i < j of one block."""
+    """All pairs of rows that pruning leaves; with `same`, pairs i < j of one block."""
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(left), 128):
         i, j = np.meshgrid(np.arange(at, min(at + 128, len(left))), np.arange(len(right)), indexing="ij")
         i, j = i.ravel(), j.ravel()
         if same:
             i, j = i[i < j], j[i < j]
-        matches = np.zeros(len(i), dtype=np.int32)
-        for n in range(0, VALUES, STEP):
-            part = slice(n, n + STEP)
-            matches += (left[i, part] == right[j, part]).sum(axis=1, dtype=np.int32)
-            on = matches >= least[n + STEP]
-            i, j, matches = i[on], j[on], matches[on]
-        kept.append((i, j))
+        kept.append(compared(left, right, i, j, least))
+    return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+
+
+def surviving_in_buckets(values: np.ndarray, bucket: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of one bucket (rows of a bucket stand together) that pruning leaves."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.repeat(np.r_[starts[1:], len(bucket)], np.diff(np.r_[starts, len(bucket)]))
+    later = ends - 1 - np.arange(len(bucket))  # rows of the same bucket behind each row
+    total = np.cumsum(later)
+    kept = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    at = 0
+    while at < len(bucket):  # about PAIRS_AT_ONCE pairs at a time
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        count = later[at:to]
+        i = np.repeat(np.arange(at, to), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        kept.append(compared(values, values, i, j, least))
+        at = to
     return np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
 
 
@@ -225,10 +282,11 @@ def link_counts(group: pa.Table, threshold: Fraction, least: dict[int, int]) ->
 
 def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The members with the shingle sets of their representatives' texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("stamp"))
     few = members.count() <= BROADCAST_ROWS
-    wanted = members.select(F.col("representative").alias("r"), F.col("node").alias("wanted"))
-    met = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("r"))).select("wanted", "text")
+    wanted = members.select(F.col("representative").alias("r"), F.col("stamp").alias("s"), F.col("node").alias("wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("stamp") == F.col("s"))
+    met = texts.join(F.broadcast(wanted) if few else wanted, same).select("wanted", "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +302,9 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                     done += len(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    return members.join(met.mapInArrow(tidied(compute), "node binary, shingles binary"), "node")
+    # Repeated rows of a representative have equal sets: one is kept, before anything is shuffled.
+    sets = met.mapInArrow(tidied(compute), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return members.join(sets, "node")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -253,16 +313,16 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     class_id is the least doc_id of the class; n_links counts the other rows that reach the threshold with this one, copies included;
     text_links counts linked classes of copies, that is different texts."""
     sketched = materialise(sketches(docs), "sketches")
-    nodes = sketched.groupBy("node").agg(
-        F.min("doc_id").alias("representative"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("values").alias("values")
-    )
-    nodes = materialise(nodes, "nodes")
-    grouped = components(candidate_edges(nodes), "candidates")
+    least, exact = least_matches(threshold), Fraction(threshold).limit_denominator(1000)
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "stamp"))
+    nodes = sketched.groupBy("node").agg(chosen.alias("r"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("values").alias("values"))
+    nodes = materialise(nodes.select("node", F.col("r.doc_id").alias("representative"), F.col("r.stamp").alias("stamp"), "copies", "n_shingles", "bands", "values"), "nodes")
+    grouped = components(candidate_edges(nodes, least), "candidates")
     roots = grouped.select(F.col("root").alias("node"), "root").distinct()
     placed = grouped.unionByName(roots).withColumnRenamed("root", "component")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    members = placed.join(sizes, "component").join(nodes.select("node", "representative", "copies", "values"), "node")
-    members = materialise(members, "members")
+    placed = join_by_count(placed, sizes, "component", "size", nodes.count())
+    members = materialise(placed.join(nodes.select("node", "representative", "stamp", "copies", "values"), "node"), "members")
 
     tasks = max(1, -(-members.count() // BLOCK))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -272,7 +332,6 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # Groups of one block share tasks; every pair of blocks of a larger group is a task of its own.
     alone = F.concat_ws(":", F.hex("component"), "first", "second")
     dealt = dealt.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")).otherwise(alone))
-    least, exact = least_matches(threshold), Fraction(threshold).limit_denominator(1000)
 
     def count(group: pa.Table) -> pa.Table:
         return link_counts(group, exact, least)
@@ -284,13 +343,16 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     known = nodes.select("node", "representative", "copies").join(joined, "node", "left").join(totals, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
-    names = known.groupBy("root").agg(F.min("representative").alias("class_id"))
-    named = known.join(names, "root").select("node", F.col("root").alias("class_node"), "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return sketched.select("doc_id", "stamp", "node").join(named, "node").select("doc_id", "stamp", "class_node", "class_id", "copies", "text_links", "n_links")
+    names = known.groupBy("root").agg(F.min("representative").alias("class_id"), F.count("*").alias("texts_in_class"))
+    named = join_by_count(known, names, "root", "texts_in_class", nodes.count()).select("node", F.col("root").alias("class_node"), "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = join_by_count(sketched.select("doc_id", "stamp", "node"), named, "node", "copies", sketched.count())
+    return rows.select("doc_id", "stamp", "class_node", "class_id", "copies", "text_links", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs without near copies: of each class the row of the least doc_id stays, once; of several texts of that id one."""
+    """The rows of docs without near copies: of each class the row of the least doc_id stays, once; of several texts of that id one.
+
+    Of rows with the same doc_id and text, the first in order of their columns (as JSON) stays."""
     found = materialise(similarity_classes(docs, threshold).select("doc_id", "stamp", "class_id", "class_node"), "class-rows")
     is_first = F.col("doc_id").eqNullSafe(F.col("class_id"))
     first = found.filter(is_first)  # one row for each class, but for repeated doc_ids
@@ -298,10 +360,20 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     chosen = materialise(first.join(kept_stamp, "class_node"), "class-first")
     rest = found.filter(~is_first).select("doc_id", "stamp").unionByName(chosen.filter("stamp <> kept").select("doc_id", "stamp"))
     mark = "_" * (1 + max(map(len, docs.columns)))  # begins no column of docs
-    extra = rest.distinct().select(F.col("doc_id").alias(f"{mark}d"), F.col("stamp").alias(f"{mark}s"))
-    few = extra.count() <= BROADCAST_ROWS
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}d")) & (F.xxhash64(whole_text()) == F.col(f"{mark}s"))
-    kept = docs.join(F.broadcast(extra) if few else extra, same, "left_anti")
-    if chosen.filter("stamp = kept").groupBy("class_node").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])  # repeated rows
-    return kept
+    stamp, doc_id = F.xxhash64(whole_text()), F.col("doc_id").cast("long")
+
+    def rows_of(keys: DataFrame) -> tuple[DataFrame, Column]:
+        """The keys (doc_id, stamp) for a join with docs, broadcast if they are few, and the condition."""
+        named = keys.select(F.col("doc_id").alias(f"{mark}d"), F.col("stamp").alias(f"{mark}s"))
+        return F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, doc_id.eqNullSafe(F.col(f"{mark}d")) & (stamp == F.col(f"{mark}s"))
+
+    kept = docs.join(*rows_of(rest.distinct()), "left_anti")
+    # Rows that repeat doc_id and text: of these the first by their other columns stays.
+    repeated = materialise(chosen.filter("stamp = kept").groupBy("class_node").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("stamp").alias("stamp")).filter("n > 1").select("doc_id", "stamp"), "class-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    keys, same = rows_of(repeated)
+    order = Window.partitionBy(f"{mark}i", f"{mark}t").orderBy(F.to_json(F.struct(*docs.columns)))
+    several = kept.join(keys, same, "left_semi").withColumns({f"{mark}i": doc_id, f"{mark}t": stamp})
+    first = several.withColumn(f"{mark}n", F.row_number().over(order)).filter(F.col(f"{mark}n") == 1).select(*docs.columns)
+    return kept.join(keys, same, "left_anti").unionByName(first)

@@ -92,6 +92,56 @@ def test_pruning_bounds():
     assert all(0 < least[n] < 0.8 * n for n in least) and least[J.VALUES] > least[J.STEP]
 
 
+def test_pairs_in_buckets_equal_pairs_by_bucket(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 255, (12, J.VALUES), dtype=np.uint8)
+    values = base[rng.integers(0, 12, 300)]
+    values = np.where(rng.random(values.shape) < 0.1, rng.integers(0, 255, values.shape, dtype=np.uint8), values)
+    bucket = np.sort(rng.integers(0, 60, 300))
+    least = J.least_matches(0.8)
+    wanted = set()
+    for k in np.unique(bucket):
+        at = np.flatnonzero(bucket == k)
+        i, j = J.surviving(values[at], values[at], least, True)
+        wanted |= set(zip(at[i].tolist(), at[j].tolist(), strict=True))
+    for most in (J.PAIRS_AT_ONCE, 7):
+        monkeypatch.setattr(J, "PAIRS_AT_ONCE", most)
+        i, j = J.surviving_in_buckets(values, bucket, least)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == wanted and len(i) == len(wanted) > 50
+
+
+def test_chance_meetings_make_no_groups(spark):
+    """Texts that share two fifths of their shingles meet in buckets, but don't become candidates."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(60)]
+    texts = [" ".join([*common, *(word() for _ in range(45))]) for _ in range(300)]
+    sketched = J.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    nodes = sketched.select("node", "n_shingles", "bands", "values").cache()
+    met = J._dealt(nodes).groupBy("bucket").count().filter("count > 1").count()
+    assert met > 5 and J.candidate_edges(nodes, J.least_matches(0.8)).count() == 0
+
+
+def test_hubs_and_one_hot_doc_id(spark, monkeypatch):
+    """Heavy keys take another way through the joins, with the same rows; one doc_id may hold many different texts."""
+    import strandwell.llm.common as common
+
+    rng = random.Random(9)
+    base = " ".join(f"w{rng.randrange(4000)}" for _ in range(150))
+    rows = [(7 if k % 3 else None, near(rng, base, k % 5)) for k in range(40)] + [(20 + k, base) for k in range(30)]
+    monkeypatch.setattr(common, "HEAVY", 3)
+    monkeypatch.setattr(common, "MOST_HEAVY", 10**6)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ordered((r["doc_id"], r["class_id"], r["n_links"]) for r in J.similarity_classes(docs).collect()) == brute(rows)
+
+
+def test_of_equal_rows_the_first_stays(spark):
+    text = "p q r s t u v"
+    docs = spark.createDataFrame([(1, text, "z"), (1, text, "a"), (1, text, "m"), (2, text, "a"), (3, "other words that stand here now", None)], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["source"]) for r in J.one_of_each(docs).collect()) == [(1, "a"), (3, None)]
+
+
 def test_shingle_sets_follow_words():
     texts = ["a b c d e f", "A, b; c d E f!", "a b", "", "a b c d e f a b c d e f"]
     values, sizes = zip(*shingle_sets(texts), strict=True)
