@@ -5,9 +5,15 @@ is a logistic function of a bias, one weight for each present bucket and, for ea
 their factor vectors, so that two terms can say together what neither says alone.
 
 Training: at most `max_train_rows` labelled documents, chosen by a hash of doc_id (so the list of chosen ids has a fixed size and can be
-broadcast, and no text is shuffled). Partitions count the documents of each bucket by label; the `max_terms` buckets of
-the strongest association become the model's terms. Each round, partitions run gradient steps from the same
-parameters and the driver averages the fixed-size results, term by term over the workers that met it.
+broadcast, and no text is shuffled); their buckets are stored once. Up to `max_terms` buckets become the model's terms:
+
+* those that go with the label or against it alone, by `MIN_STRENGTH` standard deviations or more, the strongest first;
+* those of pairs that do so together and not alone: the `PAIR_TERMS` buckets of the strongest association and the greatest frequency are
+  counted two by two (matrix products of a fixed size in `WORKERS` tasks), and a pair counts where its share of the label is
+  `MIN_PAIR` deviations away from the sum of what its two buckets say.
+
+Each round, workers run gradient steps from the same parameters and the driver averages the fixed-size results, term by term over the
+workers that met it.
 
 Defined results: a null text is an empty one, whose score is that of the bias; rows without doc_id are scored and never learnt from; a
 document with several labels counts with their mean; without any usable label every score is 0.5; repeated rows stay; no rows give
@@ -34,12 +40,16 @@ FACTORS = 8
 ROUNDS = 8
 WORKERS = 8
 SEED = 11
+#: Spread of the factors before the first step.
+SPREAD = 0.02
 #: How much a toxic row counts against a clean one: they are few, and one insult must suffice.
 POSITIVE_WEIGHT = 1.5
 WORD = re.compile(r"\w+")
 CACHE = 150_000
-#: Standard deviations between a bucket's labels and chance from which it can become a term.
-MIN_STRENGTH = 3.5
+#: Standard deviations between a bucket's labels and chance from which it can become a term, and the same for pairs of buckets.
+MIN_STRENGTH, MIN_PAIR = 3.5, 6.0
+#: Buckets that are counted two by two, and the least number of documents of a pair.
+PAIR_TERMS, PAIR_DOCS = 1024, 10
 
 
 def buckets_of(word: str) -> list[int]:
@@ -80,10 +90,17 @@ class Model:
         return self.bias + x @ self.weight + pairs
 
     def score(self, rows: list[list[int]]) -> np.ndarray:
-        out = np.empty(len(rows))
-        for k in range(0, len(rows), 512):
-            out[k : k + 512] = 1 / (1 + np.exp(-np.clip(self.logits(dense(rows[k : k + 512], len(self.weight))), -40, 40)))
-        return out
+        """Scores of texts by their terms; the work is that of their terms, not of the model's."""
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        out = np.full(len(rows), self.bias)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            flat = np.concatenate([np.asarray(rows[k], dtype=np.int64) for k in full])
+            starts = (np.cumsum(sizes) - sizes)[full]
+            mixed = np.add.reduceat(self.factor[flat], starts)
+            own = self.weight - 0.5 * (self.factor**2).sum(axis=1)
+            out[full] += np.add.reduceat(own[flat], starts) + 0.5 * (mixed**2).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
 def dense(rows: list[list[int]], width: int) -> np.ndarray:
@@ -133,26 +150,14 @@ def local_steps(start: Model, seed: int):
     return step
 
 
-def choose_terms(sample: DataFrame, max_terms: int) -> tuple[dict[int, int], float, int]:
-    """Buckets of the strongest association with the label, the mean label, and the number of rows."""
-    size = sample.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
-    n, positive = size["n"], float(size["y"] or 0)
-    if not n:
-        return {}, 0.5, 0
+def _counts(rows: DataFrame) -> DataFrame:
+    """bucket, n, y: documents with each bucket and the sum of their labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        known: dict[str, list[int]] = {}
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                here: set[int] = set()
-                for w in set(WORD.findall(text.lower())):
-                    if w not in known:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[w] = buckets_of(w)
-                    here.update(known[w])
-                at = np.fromiter(here, dtype=np.int64, count=len(here))
+            for found, y in zip(batch.column("buckets"), batch.column("y").to_pylist(), strict=True):
+                at = found.values.to_numpy()
                 total[at] += 1
                 hits[at] += y
         at = np.flatnonzero(total)
@@ -160,12 +165,59 @@ def choose_terms(sample: DataFrame, max_terms: int) -> tuple[dict[int, int], flo
             part = at[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part]), pa.array(hits[part])], ["bucket", "n", "y"])
 
-    counts = sample.select("text", "y").mapInArrow(tidied(count), "bucket long, n double, y double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    return rows.select("buckets", "y").mapInArrow(tidied(count), "bucket long, n double, y double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+
+
+def telling_pairs(rows: DataFrame, wanted: list[int], share: float) -> list[tuple[int, int, float]]:
+    """Pairs of the wanted buckets whose label share differs from the sum of what both say alone, the clearest first: (bucket, bucket, deviations)."""
+    place, m = {b: k for k, b in enumerate(wanted)}, len(wanted)
+
+    def products(group: pa.Table) -> pa.Table:
+        both, hits = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
+        kept = [[place[b] for b in found if b in place] for found in group.column("buckets").to_pylist()]
+        y = group.column("y").to_numpy().astype(np.float32)
+        for k in range(0, len(kept), 1024):
+            x = dense(kept[k : k + 1024], m)
+            both += x.T @ x
+            hits += x.T @ (x * y[k : k + 1024, None])
+        return pa.table({"i": pa.array(range(m), pa.int32()), "n": pa.array(list(both), pa.list_(pa.float32())), "y": pa.array(list(hits), pa.list_(pa.float32()))})
+
+    parts = rows.groupBy("worker").applyInArrow(products, "i int, n array<float>, y array<float>")
+    # WORKERS rows of a fixed size for each i; labels are sums of halves and whole numbers or close to them, added in one order.
+    alone = {r["i"]: (r["n"], r["y"]) for r in parts.select("i", F.get("n", F.col("i")).alias("n"), F.get("y", F.col("i")).alias("y")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()}
+    said = np.array([alone[k][1] / max(1.0, alone[k][0]) for k in range(m)])
+
+    def test(group: pa.Table) -> pa.Table:
+        i = group.column("i")[0].as_py()
+        n, y = (np.sum(sorted(group.column(c).to_pylist()), axis=0, dtype=np.float64) for c in ("n", "y"))
+        told = np.clip(said[i] + said - share, 1e-3, 1 - 1e-3)
+        z = (y - n * told) / np.sqrt(n * told * (1 - told) + 1)
+        on = np.flatnonzero((np.arange(m) > i) & (n >= PAIR_DOCS) & (np.abs(z) >= MIN_PAIR))
+        return pa.table({"i": pa.array(np.full(len(on), i), pa.int32()), "j": pa.array(on, pa.int32()), "z": pa.array(np.round(z[on], 6))})
+
+    found = parts.groupBy("i").applyInArrow(test, "i int, j int, z double").orderBy(F.abs("z").desc(), "i", "j").limit(4 * PAIR_TERMS).collect()
+    return [(wanted[r["i"]], wanted[r["j"]], r["z"]) for r in found]
+
+
+def choose_terms(rows: DataFrame, max_terms: int) -> tuple[dict[int, int], float, int]:
+    """The buckets that become terms, the mean label, and the number of rows."""
+    size = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
+    n, positive = size["n"], float(size["y"] or 0)
+    if not n:
+        return {}, 0.5, 0
     share = positive / n
     spread = F.sqrt(F.col("n") * F.lit(share * (1 - share)) + 1.0)
-    strength = (F.col("y") - F.col("n") * F.lit(share)) / spread
-    best = counts.filter((F.col("n") >= 3) & (strength >= MIN_STRENGTH)).orderBy(strength.desc(), "bucket").limit(max_terms).collect()
-    return {row["bucket"]: k for k, row in enumerate(best)}, share, n
+    strength = F.abs((F.col("y") - F.col("n") * F.lit(share)) / spread)
+    counts = materialise(_counts(rows).filter("n >= 3"), "toxicity-counts")
+    strong = [r["bucket"] for r in counts.filter(strength >= MIN_STRENGTH).orderBy(strength.desc(), "bucket").limit(max_terms).collect()]
+    often = [r["bucket"] for r in counts.filter(F.col("n") >= PAIR_DOCS).orderBy(F.col("n").desc(), "bucket").limit(PAIR_TERMS).collect()]
+    screened = list(dict.fromkeys([*strong[: PAIR_TERMS // 2], *often]))[:PAIR_TERMS]
+    chosen = dict.fromkeys(strong)
+    if 0 < share < 1 and len(screened) > 1:
+        for a, b, _ in telling_pairs(rows, screened, share):
+            if len(chosen) + 2 <= max_terms:
+                chosen |= dict.fromkeys((a, b))
+    return {bucket: k for k, bucket in enumerate(chosen)}, share, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_train_rows: int, max_terms: int) -> Model | None:
@@ -175,36 +227,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_train_rows)
     # At most max_train_rows pairs of numbers: 16 bytes each.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    index, share, n = choose_terms(texts, max_terms)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                here: set[int] = set()
+                for w in set(WORD.findall(text.lower())):
+                    found = seen.get(w)
+                    if found is None:
+                        if len(seen) >= CACHE:
+                            seen.clear()
+                        found = seen[w] = buckets_of(w)
+                    here.update(found)
+                rows.append(sorted(here))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "y", "buckets"])
+
+    # The corpus is read once to learn; all that follows works on these rows.
+    rows = texts.mapInArrow(tidied(hashed), "doc_id long, y double, buckets array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id"), F.lit(WORKERS)).cast("int"))
+    rows = materialise(rows, "toxicity-rows")
+    index, share, n = choose_terms(rows, max_terms)
     if not n:
         return None
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(index)
         for batch in batches:
-            rows = [lookup.terms(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "y", "terms"])
+            terms = [sorted(index[b] for b in found if b in index) for found in batch.column("buckets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("worker"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "y", "worker", "terms"])
 
-    rows = texts.mapInArrow(tidied(compress), "doc_id long, y double, terms array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id"), F.lit(WORKERS)).cast("int"))
-    rows = materialise(rows, "toxicity-rows")
+    trained = materialise(rows.select("doc_id", "y", "worker", "buckets").mapInArrow(tidied(compress), "doc_id long, y double, worker int, terms array<int>"), "toxicity-terms")
     rng = np.random.default_rng(SEED)
     odds = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-    model = Model(index, odds, np.zeros(len(index)), rng.normal(0, 0.02, (len(index), FACTORS)))
+    model = Model(index, odds, np.zeros(len(index)), rng.normal(0, SPREAD, (len(index), FACTORS)))
     for number in range(ROUNDS):
         # WORKERS rows of a fixed size.
-        parts = rows.groupBy("worker").applyInArrow(local_steps(model, SEED + number), "n long, packed array<double>").collect()
+        parts = trained.groupBy("worker").applyInArrow(local_steps(model, SEED + number), "n long, packed array<double>").collect()
         parts.sort(key=lambda p: (p["n"], p["packed"][:2]))  # sums in one order each time
-        m = len(index)
-        packed, rows_of = np.array([p["packed"] for p in parts]), np.array([p["n"] for p in parts], dtype=float)
-        # A term's parameters are averaged over the workers that met it, by how often they did; others know nothing of it.
-        met = packed[:, 1 + m + m * FACTORS :]
-        part = met / np.maximum(met.sum(axis=0), 1)
-        weight = (packed[:, 1 : m + 1] * part).sum(axis=0)
-        factor = (packed[:, m + 1 : 1 + m + m * FACTORS].reshape(len(parts), m, FACTORS) * part[:, :, None]).sum(axis=0)
-        model = Model(index, float(packed[:, 0] @ rows_of / rows_of.sum()), weight, factor)
+        model = averaged(model, parts)
     return model
 
 
+def averaged(model: Model, parts: list) -> Model:
+    """The mean of the workers' parameters: a term's over the workers that met it, by how often they did; others know nothing of it."""
+    m = len(model.index)
+    packed, rows_of = np.array([p["packed"] for p in parts]), np.array([p["n"] for p in parts], dtype=float)
+    met = packed[:, 1 + m + m * FACTORS :]
+    part = met / np.maximum(met.sum(axis=0), 1)
+    weight = (packed[:, 1 : m + 1] * part).sum(axis=0)
+    factor = (packed[:, m + 1 : 1 + m + m * FACTORS].reshape(len(parts), m, FACTORS) * part[:, :, None]).sum(axis=0)
+    return Model(model.index, float(packed[:, 0] @ rows_of / rows_of.sum()), weight, factor)
+
+
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold: float = 0.3, label: str = "toxic", max_train_rows: int = 30_000, max_terms: int = 4096) -> DataFrame:
     """doc_id, score, predicted of every row of docs; `learn_from` says which doc_ids may be learnt from."""
     model = fit(docs, labels, label, learn_from, max_train_rows, max_terms)
