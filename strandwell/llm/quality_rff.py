@@ -33,6 +33,10 @@ BINS = 4096
 RIDGE = 1e-4
 SEED = 7
 CALIBRATION_FOLDS = 5
+#: Parts in which partitions' equations are added up before these are added up in turn.
+SLOTS = 512
+#: Rows of the system that are added up together.
+STRIPE = 16
 
 # Byte classes: 0 upper case, 1 lower case, 2 digit, 3 space, 4 line end, 5 sentence mark, 6 other mark, 7 control, 8 beyond ASCII.
 CLASSES = np.full(256, 8, dtype=np.int64)
@@ -148,17 +152,22 @@ def fit(rows: DataFrame) -> Model | None:
             z = blank.features(_matrix(batch, "stats"))
             y = batch.column("y").to_numpy(zero_copy_only=False)
             total += z.T @ np.hstack([z, y[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "part"])
+        cut = [total[k : k + STRIPE].ravel() for k in range(0, width, STRIPE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.list_(pa.float64()))], ["i", "part"])
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(group["part"], key=lambda part: tuple(part[:3]))  # sums in one order each time
         return pd.DataFrame({"i": [int(group["i"].iloc[0])], "part": [np.sum(np.stack(parts), axis=0)]})
 
     parts = rows.filter(fold != 0).select("stats", "y").mapInArrow(tidied(equations), "i int, part array<double>")
-    system = parts.groupBy("i").applyInPandas(add_up, "i int, part array<double>").collect()
+    # Two levels: a group of the first holds one in SLOTS of the partitions' stripes (33 kB each), one of the second SLOTS of them.
+    slotted = parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(SLOTS)))
+    halves = slotted.groupBy("i", "slot").applyInPandas(add_up, "i int, part array<double>")
+    system = halves.groupBy("i").applyInPandas(add_up, "i int, part array<double>").collect()
     total = np.zeros((width, width + 1))
     for row in system:
-        total[row["i"]] = row["part"]
+        stripe = np.array(row["part"]).reshape(-1, width + 1)
+        total[row["i"] * STRIPE : row["i"] * STRIPE + len(stripe)] = stripe
     n = max(1.0, total[width - 1, width - 1])
     weights = np.linalg.solve(total[:, :width] + RIDGE * n * np.eye(width), total[:, width])
     model = Model(mean, scale, freq, blank.phase, weights, blank.knots, blank.values)
@@ -181,7 +190,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     """The model for the labelled rows of docs that `learn_from` (over doc_id) allows."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.avg(F.col(label).cast("double")).alias("y")).filter(learn_from)
-    return fit((stats if stats is not None else statistics_table(docs)).join(known, "doc_id"))
+    # Moments, equations and calibration read these rows, so they are joined once.
+    return fit(materialise((stats if stats is not None else statistics_table(docs)).join(known, "doc_id").select("doc_id", "stats", "y"), "quality-rows"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold: float = 0.5, label: str = "quality") -> DataFrame:

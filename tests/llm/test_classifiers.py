@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,12 +65,80 @@ def test_machine_learns_pairs():
     assert ((model.score(rows) > 0.5) == (y > 0.5)).mean() > 0.97
 
 
+def test_a_pair_that_says_what_its_words_do_not_reaches_the_machine(spark):
+    """Toxic is exactly one of two words: neither is associated with the label alone."""
+    rng = random.Random(0)
+    rows = []
+    for k in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(20)] + ["alphaword"] * a + ["betaword"] * b
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = T.classify(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("doc_id") < 3000)
+    held = found.filter("doc_id >= 3000").join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in held) / len(held) > 0.95
+
+
+def test_telling_pairs_equal_plain_counts(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(900):
+        here = sorted(b for b in (3, 8, 20, 31) if rng.random() < 0.5)
+        rows.append((k, float((3 in here) == (20 in here)), here, k % 5))
+    table = spark.createDataFrame(rows, "doc_id long, y double, buckets array<int>, worker int")
+    share = sum(r[1] for r in rows) / len(rows)
+    got = {(a, b): z for a, b, z in T.telling_pairs(table, [3, 8, 20, 31], share)}
+    wanted = {}
+    mean = lambda rest: sum(y for *_, y in rest) / len(rest)
+    for a, b in combinations((3, 8, 20, 31), 2):
+        one, two, both = ([(h, y) for _, y, h, _ in rows if set(x) <= set(h)] for x in ((a,), (b,), (a, b)))
+        told = min(0.999, max(0.001, mean(one) + mean(two) - share))
+        z = (sum(y for _, y in both) - len(both) * told) / (len(both) * told * (1 - told) + 1) ** 0.5
+        if abs(z) >= T.MIN_PAIR:
+            wanted[a, b] = z
+    assert set(got) == set(wanted) == {(3, 20)} and all(abs(got[k] - wanted[k]) < 1e-3 for k in wanted)
+
+
+def test_a_round_equals_plain_training_and_averaging(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(rng.random() < 0.3), sorted({int(t) for t in rng.integers(0, 5, 3)}), k % 3) for k in range(300)]
+    start = T.Model({k: k for k in range(6)}, 0.1, rng.normal(size=6), rng.normal(0, 0.1, (6, T.FACTORS)))
+    table = spark.createDataFrame(rows, "doc_id long, y double, terms array<int>, worker int")
+    got = T.averaged(start, table.groupBy("worker").applyInArrow(T.local_steps(start, 4), "n long, packed array<double>").collect())
+    parts = []
+    for w in range(3):
+        mine = sorted((i, y, t) for i, y, t, v in rows if v == w)
+        parts.append((T.train(start, [t for *_, t in mine], np.array([y for _, y, _ in mine]), 4), mine))
+    for t in range(6):
+        met = [sum(t in terms for *_, terms in mine) for _, mine in parts]
+        weight = sum(n * m.weight[t] for n, (m, _) in zip(met, parts, strict=True)) / max(1, sum(met))
+        assert abs(got.weight[t] - weight) < 1e-9
+    assert abs(got.bias - sum(m.bias * len(mine) for m, mine in parts) / 300) < 1e-9
+
+
+def test_ridge_equals_a_direct_solve(spark, monkeypatch):
+    """The equations added up over partitions give the weights of one solve over all rows."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=R.N_STATS).tolist(), float(rng.random() < 0.5)) for k in range(700)]
+    table = spark.createDataFrame(rows, "doc_id long, stats array<double>, y double")
+    used = {r["doc_id"] for r in table.filter(F.pmod(F.xxhash64(F.lit(R.SEED), "doc_id"), F.lit(R.CALIBRATION_FOLDS)) != 0).collect()}
+    for parts in (1, 13):
+        monkeypatch.setattr(R, "SLOTS", 3)
+        model = R.fit(table.repartition(parts))
+        mine = [r for r in rows if r[0] in used]
+        z, y = model.features(np.array([r[1] for r in mine])), np.array([r[2] for r in mine])
+        direct = np.linalg.solve(z.T @ z + R.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+        assert np.allclose(model.weights, direct, atol=1e-6)
+
+
 def test_fast_pairs_equal_the_sum_over_pairs():
     rng = np.random.default_rng(4)
     model = T.Model({}, 0.3, rng.normal(size=5), rng.normal(size=(5, 3)))
     x = T.dense([[0, 2, 4], [], [1]], 5)
     slow = [0.3 + sum(model.weight[i] for i in r) + sum(model.factor[i] @ model.factor[j] for i in r for j in r if i < j) for r in ([0, 2, 4], [], [1])]
     assert np.allclose(model.logits(x), slow)
+    assert np.allclose(model.score([[0, 2, 4], [], [1]]), 1 / (1 + np.exp(-np.array(slow))))
 
 
 def test_odd_rows(odd_docs, odd_rows, odd_labels, no_docs, spark):
