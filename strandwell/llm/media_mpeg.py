@@ -3,11 +3,13 @@
 `store_payload` packs bytes into an MPEG-1 Layer III stream: an ID3v2 tag, a Xing frame with the frame count and a seek
 table, then one checksummed frame for each 576-byte unit, kept in the frame's ancillary data, where a decoder plays
 silence and nothing is quantised. `read_streams` reads any stream of MPEG-1, 2 or 2.5: it finds frame headers again after
-foreign bytes, parses ID3v1/ID3v2 tags and Xing/Info/VBRI tables, verifies the CRC-16 of Layer III frames, and gives the exact
-duration (samples and rate) and the byte offset of every frame.
+foreign bytes, parses ID3v1/ID3v2 tags and Xing/Info/VBRI tables with their seek tables, verifies the CRC-16 of Layer I and III frames
+(that of Layer II covers fields of a length that only its allocation tables tell; such frames count as unchecked), and gives the exact
+duration (each frame by its own rate) and the byte offset of every frame.
 
 Defined results: a null payload is an empty one, and an empty one is padded to one unit; a null stream gives null
-columns; bytes without any frame give zero frames, a null sample rate and an empty offset list. Repeated rows stay.
+columns; bytes without any frame give zero frames, a null sample rate and an empty offset list; of mixed rates, sample_rate is the first
+frame's; a table that its frame is too short for is read as far as it goes. Repeated rows stay.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -43,15 +47,17 @@ HZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 25: (11025, 12000, 800
 class Header:
     """What the four bytes of a frame header say."""
 
-    __slots__ = ("version", "layer", "protected", "kbps", "hz", "mono", "samples", "size", "side")
+    __slots__ = ("version", "layer", "protected", "kbps", "hz", "mono", "samples", "size", "side", "allocation")
 
-    def __init__(self, version: int, layer: int, protected: bool, kbps: int, hz: int, padding: int, mono: bool):
+    def __init__(self, version: int, layer: int, protected: bool, kbps: int, hz: int, padding: int, mono: bool, bound: int = 32):
         self.version, self.layer, self.protected, self.kbps, self.hz, self.mono = version, layer, protected, kbps, hz, mono
         low = version != 1
         self.samples = 384 if layer == 1 else 576 if layer == 3 and low else 1152
         slot = 4 if layer == 1 else 1
         self.size = (self.samples * kbps * 125 // hz // slot + padding) * slot
         self.side = 0 if layer != 3 else (9 if mono else 17) if low else (17 if mono else 32)
+        # Bytes of bit allocation of Layer I, which its checksum covers: 4 bits for each band and channel, shared ones from `bound` on.
+        self.allocation = 16 if mono else (bound + 32) // 2
 
 
 @lru_cache(maxsize=4096)
@@ -65,7 +71,8 @@ def header(raw: bytes) -> Header | None:
     if version is None or layer == 4 or rate in (0, 15) or hz == 3 or raw[3] & 3 == 2:
         return None
     kbps = KBPS[1 if version == 1 else 2, layer][rate - 1]
-    return Header(version, layer, not raw[1] & 1, kbps, HZ[version][hz], raw[2] >> 1 & 1, raw[3] >> 6 == 3)
+    joint = raw[3] >> 6 == 1
+    return Header(version, layer, not raw[1] & 1, kbps, HZ[version][hz], raw[2] >> 1 & 1, raw[3] >> 6 == 3, 4 * (raw[3] >> 4 & 3) + 4 if joint else 32)
 
 
 def _crc_table() -> np.ndarray:
@@ -124,45 +131,79 @@ def store_payload(payload: bytes, length: int) -> bytes:
     return b"ID3\x03\x00\x00" + _syncsafe(len(tags)) + tags + info.ljust(shape.size, b"\x00") + frames.tobytes()
 
 
+def _sizes(raw: bytes) -> int:
+    """A size of seven bits to a byte."""
+    total = 0
+    for byte in raw:
+        total = total << 7 | byte & 127
+    return total
+
+
 def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
-    """Where the audio begins, and the text frames of an ID3v2.3 or 2.4 tag."""
+    """Where the audio begins, and the text frames of an ID3v2.2, 2.3 or 2.4 tag, unsynchronisation taken back."""
     if data[:3] != b"ID3" or len(data) < 10 or any(x > 127 for x in data[6:10]):
         return 0, {}
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    end, pos, tags = min(len(data), 10 + size), 10, {}
-    if data[5] & 0x40 and pos + 4 <= end:
-        extra = data[pos : pos + 4]
-        pos += struct.unpack(">I", extra)[0] + 4 if data[3] == 3 else extra[0] << 21 | extra[1] << 14 | extra[2] << 7 | extra[3]
-    while pos + 10 <= end and data[pos] and data[3] in (3, 4):
-        name, raw = data[pos : pos + 4], data[pos + 4 : pos + 8]
-        n = struct.unpack(">I", raw)[0] if data[3] == 3 else raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
-        body = data[pos + 10 : min(end, pos + 10 + n)]
-        pos += 10 + n
-        if name[:1] == b"T" and body:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            value = body[1:].decode(code, "replace").rstrip("\x00")
-            key, _, rest = value.partition("\x00")
-            tags[f"TXXX:{key}" if name == b"TXXX" else name.decode("latin-1")] = rest if name == b"TXXX" else value
-    return 10 + size + (10 if data[5] & 0x10 else 0), tags
+    version, flags, size, tags = data[3], data[5], _sizes(data[6:10]), {}
+    body = data[10 : 10 + size]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    pos, wide = 0, 3 if version == 2 else 4
+    if flags & 0x40 and version > 2 and len(body) >= 4:
+        pos = int.from_bytes(body[:4], "big") + 4 if version == 3 else _sizes(body[:4])
+    head = 2 * wide if version == 2 else 2 * wide + 2
+    while pos + head <= len(body) and body[pos] and version in (2, 3, 4):
+        name, raw = body[pos : pos + wide], body[pos + wide : pos + 2 * wide]
+        n = _sizes(raw) if version == 4 else int.from_bytes(raw, "big")
+        value = body[pos + head : pos + head + n]
+        if version == 4 and body[pos + 9] & 2:
+            value = value.replace(b"\xff\x00", b"\xff")
+        pos += head + n
+        if name[:1] == b"T" and value:
+            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1")
+            text = value[1:].decode(code, "replace").rstrip("\x00")
+            key, _, rest = text.partition("\x00")
+            free = name in (b"TXXX", b"TXX")
+            tags[f"TXXX:{key}" if free else name.decode("latin-1")] = rest.lstrip("\ufeff") if free else text
+    return 10 + size + (10 if flags & 0x10 else 0), tags
+
+
+def _id3v1(tag: bytes) -> dict[str, str]:
+    """The fields of the 128 bytes of an ID3v1 tag, by the names of ID3v2.3; a track number if the comment ends in one."""
+    text = lambda raw: raw.partition(b"\x00")[0].decode("latin-1").rstrip()
+    found = {"TIT2": text(tag[3:33]), "TPE1": text(tag[33:63]), "TALB": text(tag[63:93]), "TYER": text(tag[93:97]), "COMM": text(tag[97:127])}
+    if not tag[125] and tag[126]:
+        found["TRCK"] = str(tag[126])
+    return {k: v for k, v in found.items() if v}
 
 
 def _vbr(data: bytes, at: int, h: Header) -> dict | None:
-    """The Xing, Info or VBRI table of the frame at `at`, or None."""
+    """The Xing, Info or VBRI table of the frame at `at`, or None; fields that the frame is too short for are None.
+
+    `toc` has the share of the bytes (of 256) at each hundredth of the time (Xing) or the bytes of each stretch of frames (VBRI); `delay` and
+    `padding` are the samples that the encoder put before and behind the sound."""
+    frame = data[at : at + h.size]
     for skip in (h.side, h.side + 2 * h.protected):
-        pos = at + 4 + skip
-        if data[pos : pos + 4] in (b"Xing", b"Info"):
-            flags, found = struct.unpack(">I", data[pos + 4 : pos + 8])[0], {"kind": data[pos : pos + 4].decode(), "frames": None, "bytes": None, "toc": None}
-            pos += 8
+        pos = 4 + skip
+        if frame[pos : pos + 4] in (b"Xing", b"Info"):
+            found = {"kind": frame[pos : pos + 4].decode(), "frames": None, "bytes": None, "toc": None, "delay": None, "padding": None}
+            flags, pos = int.from_bytes(frame[pos + 4 : pos + 8], "big") if len(frame) >= pos + 8 else 0, pos + 8
             for bit, key in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    found[key], pos = struct.unpack(">I", data[pos : pos + 4])[0], pos + 4
-            if flags & 4:
-                found["toc"] = data[pos : pos + 100]
+                if flags & bit and len(frame) >= pos + 4:
+                    found[key], pos = int.from_bytes(frame[pos : pos + 4], "big"), pos + 4
+            if flags & 4 and len(frame) >= pos + 100:
+                found["toc"], pos = tuple(frame[pos : pos + 100]), pos + 100
+            pos += 4 if flags & 8 else 0
+            if frame[pos : pos + 4] in (b"LAME", b"Lavc", b"Lavf") and len(frame) >= pos + 24:
+                both = int.from_bytes(frame[pos + 21 : pos + 24], "big")
+                found["delay"], found["padding"] = both >> 12, both & 0xFFF
             return found
-    pos = at + 36
-    if data[pos : pos + 4] == b"VBRI" and len(data) >= pos + 26:
-        size, frames = struct.unpack(">II", data[pos + 10 : pos + 18])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames = struct.unpack(">II", frame[46:54])
+        entries, scale, width, _ = struct.unpack(">HHHH", frame[54:62])
+        table = frame[62 : 62 + entries * width]
+        whole = width in (1, 2, 3, 4) and len(table) == entries * width
+        toc = tuple(int.from_bytes(table[k : k + width], "big") * scale for k in range(0, len(table), width)) if whole else None
+        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": toc, "delay": int.from_bytes(frame[42:44], "big"), "padding": None}
     return None
 
 
@@ -193,13 +234,18 @@ def parse(data: bytes) -> dict:
     at = end - 128
     # 'TAG' inside a frame is its content; only behind the frames it is an ID3v1 tag.
     if at >= start and data[at : at + 3] == b"TAG" and not any(o < at < o + h.size for o, h in zip(offsets, shapes, strict=True)):
-        tags.setdefault("TIT2", data[at + 3 : at + 33].decode("latin-1").rstrip("\x00 "))
+        for name, value in _id3v1(data[at:end]).items():
+            tags.setdefault(name, value)
         offsets, shapes, skipped = _frames(data, start, at)
     vbr = _vbr(data, offsets[0], shapes[0]) if offsets else None
     if vbr:
         offsets, shapes = offsets[1:], shapes[1:]
     raw = np.frombuffer(data, dtype=np.uint8)
     bad = checked = 0
+    for o, h in zip(offsets, shapes, strict=True):
+        if h.protected and h.layer == 1 and h.size >= 6 + h.allocation:
+            span = np.r_[raw[o + 2 : o + 4], raw[o + 6 : o + 6 + h.allocation]]
+            bad, checked = bad + (int(crc16(span[None, :])[0]) != int(raw[o + 4]) << 8 | int(raw[o + 5])), checked + 1
     for side in {h.side for h in shapes if h.protected and h.layer == 3}:
         at = np.array([o for o, h in zip(offsets, shapes, strict=True) if h.protected and h.layer == 3 and h.side == side and h.size >= 6 + side])
         if len(at):
@@ -208,13 +254,23 @@ def parse(data: bytes) -> dict:
             bad, checked = bad + int((crc16(span) != want).sum()), checked + len(at)
     return {
         "tags": tags, "vbr": vbr, "offsets": offsets, "shapes": shapes, "skipped": skipped, "crc_checked": checked, "crc_bad": bad,
-        "samples": sum(h.samples for h in shapes), "hz": shapes[0].hz if shapes else None,
+        "samples": sum(h.samples for h in shapes), "hz": shapes[0].hz if shapes else None, "micros": _micros(shapes),
     }
 
 
+def _micros(shapes: list[Header]) -> int | None:
+    """The microseconds of the frames, each by its own rate, rounded down once; None without frames."""
+    if not shapes:
+        return None
+    by_rate = Counter()
+    for h in shapes:
+        by_rate[h.hz] += h.samples
+    return int(sum(Fraction(n * 1_000_000, hz) for hz, n in by_rate.items()))
+
+
 def carried(data: bytes, found: dict) -> bytes:
-    """The units in the ancillary data of a stream made by `store_payload`."""
-    at = np.array(found["offsets"], dtype=np.int64)
+    """The units in the ancillary data of a stream made by `store_payload`; frames of any other kind carry none."""
+    at = np.array([o for o in found["offsets"] if data[o : o + 4] == CARRIER], dtype=np.int64)
     if not len(at):
         return b""
     return np.frombuffer(data, dtype=np.uint8)[at[:, None] + np.arange(LEAD, LEAD + UNIT)].tobytes()
@@ -257,7 +313,7 @@ def features(data: bytes) -> tuple:
         f"samples={found['samples']};crc_bad={found['crc_bad']}/{found['crc_checked']};vbr={table};skipped={found['skipped']};"
         f"tag_bytes={found['tags'].get('TXXX:bytes', '')};seek_crc={seek:08x}"
     )
-    micros = found["samples"] * 1_000_000 // hz if hz else 0
+    micros = found["micros"] or 0
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), said,
         len(offsets), found["samples"], hz, micros, found["crc_checked"], found["crc_bad"], offsets,

@@ -1,6 +1,9 @@
+import hashlib
 import os
+import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from strandwell.llm import media_mpeg as M
@@ -77,3 +80,72 @@ def test_tag_letters_inside_the_last_frame_are_content(units):
     tagged = media + b"TAG" + b"A title".ljust(125, b"\x00")
     again = M.parse(tagged)
     assert M.carried(tagged, again) == text and again["skipped"] == 0 and again["tags"]["TIT2"] == "A title"
+
+
+def _frame(head: bytes, body: bytes = b"") -> bytes:
+    return (head + body).ljust(M.header(head).size, b"\x00")
+
+
+def test_short_frame_with_a_mark_does_not_fail():
+    head = b"\xff\xf3\x14\xc0"  # MPEG-2 Layer III, mono, 8 kbit/s, 24 kHz: 24 bytes
+    data = _frame(head, bytes(9) + b"Xing") * 3
+    assert M.header(head).size == 24
+    found = M.parse(data)
+    assert found["vbr"] == {"kind": "Xing", "frames": None, "bytes": None, "toc": None, "delay": None, "padding": None} and len(found["offsets"]) == 2
+    assert M.features(data[:24])[6] == 0 and M.features(data + b"\xff\xf3\x14\xc0" + bytes(9) + b"Xing\x00")[6] == 2
+
+
+def test_mixed_rates_add_up_exactly():
+    one, two = b"\xff\xfb\x90\x00", b"\xff\xfb\x98\x00"  # 44.1 and 32 kHz
+    found = M.parse(_frame(one) * 10 + _frame(two) * 10)
+    assert len(found["offsets"]) == 20 and found["micros"] == 621_224 == (11520 * 1_000_000 * 32000 + 11520 * 1_000_000 * 44100) // (44100 * 32000)
+
+
+def test_vbri_seek_table_and_encoder_delay():
+    head = b"\xff\xfb\x90\x00"
+    table = struct.pack(">4sHHHIIHHHH", b"VBRI", 1, 1105, 75, 4000, 7, 3, 2, 2, 100) + struct.pack(">HHH", 10, 20, 300)
+    found = M.parse(_frame(head, bytes(32) + table) + _frame(head) * 7)
+    assert found["vbr"] == {"kind": "VBRI", "frames": 7, "bytes": 4000, "toc": (20, 40, 600), "delay": 1105, "padding": None} and len(found["offsets"]) == 7
+    info = b"Info" + struct.pack(">III", 15, 7, 4000) + bytes(range(100)) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    vbr = M.parse(_frame(head, bytes(32) + info) + _frame(head) * 7)["vbr"]
+    assert (vbr["kind"], vbr["toc"], vbr["delay"], vbr["padding"]) == ("Info", tuple(range(100)), 576, 1000)
+
+
+def test_tags_of_all_versions():
+    audio = _frame(b"\xff\xfb\x90\x00") * 3
+
+    def tag(version, body, flags=0):
+        return b"ID3" + bytes([version, 0, flags]) + M._syncsafe(len(body)) + body
+
+    two = b"TT2" + (6).to_bytes(3, "big") + b"\x00Title"
+    three = b"TIT2" + struct.pack(">IH", 6, 0) + b"\x00A\xff\x00\xe0B"
+    four = b"TXXX" + M._syncsafe(9) + b"\x00\x00" + b"\x01" + "k\x00v".encode("utf-16")
+    for data, wanted in ((tag(2, two), ("TT2", "Title")), (tag(3, three.replace(b"\x00\x06", b"\x00\x05"), 0x80), ("TIT2", "A\xff\xe0B")), (tag(4, four), ("TXXX:k", "v"))):
+        found = M.parse(data + audio)
+        assert found["tags"][wanted[0]] == wanted[1] and len(found["offsets"]) == 3 and found["skipped"] == 0
+    last = b"TAG" + b"Song".ljust(30, b"\x00") + b"Who".ljust(30, b" ") + b"Album".ljust(30, b"\x00") + b"1999" + b"note".ljust(29, b"\x00") + b"\x07" + b"\x01"
+    assert M.parse(audio + last)["tags"] == {"TIT2": "Song", "TPE1": "Who", "TALB": "Album", "TYER": "1999", "COMM": "note", "TRCK": "7"}
+
+
+def test_checksums_of_layer_one():
+    head = b"\xff\xfe\x70\x00"  # MPEG-1 Layer I with checksum, stereo
+    h = M.header(head)
+    assert (h.layer, h.protected, h.allocation) == (1, True, 32) and M.header(b"\xff\xfe\x70\x50").allocation == 20
+    allocation = os.urandom(32)
+    crc = int(M.crc16(np.frombuffer(head[2:] + allocation, dtype=np.uint8)[None, :])[0])
+    good, bad = (_frame(head, c.to_bytes(2, "big") + allocation) for c in (crc, crc ^ 1))
+    found = M.parse(good * 3 + bad)
+    assert (found["crc_checked"], found["crc_bad"]) == (4, 1)
+
+
+def test_digests_of_the_columns_are_those_of_the_bytes(spark):
+    texts = ["", "a", "é" * 900, "x" * 576]
+    stored = M.store_column(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    media = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    for r in M.read_streams(stored).collect():
+        payload = M.payload_of(texts[r["doc_id"]].encode())
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(texts[r["doc_id"]].encode()), len(payload), len(media[r["doc_id"]]))
+        units = len(payload) // 576
+        assert r["duration_us"] == units * 1152 * 1_000_000 // 48000 and r["n_frames"] == units
+        assert all(media[r["doc_id"]][o : o + 4] == M.CARRIER for o in r["seek_offsets"])
