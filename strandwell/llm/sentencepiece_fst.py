@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted finite-state transducer.
 
-`compile_model` reads a model file and builds the transducer: the normaliser (dummy prefix, white space to U+2581), one path
-for each piece with the negated score as its weight, and byte paths for characters without a piece. Composing it with an
-input gives a lattice over the input's positions; the encoding is its shortest path in the tropical semiring (min, +).
+`compile_model` reads a model file and builds three machines, which `encode` composes with an input:
 
-* Unigram models: every path counts, with the sum of weights (Viterbi).
-* BPE models: a segmentation is the one that merging makes exactly if each pair of neighbouring pieces, merged alone, stays this
-  pair. The compiled filter gives all other pairs an infinite weight, which leaves one finite path, the BPE encoding.
+* The normaliser: the model's character map (the longest rule at a place wins, as its trie says), extra white space, dummy prefix, and
+  spaces to U+2581. User-defined pieces pass it unchanged.
+* The pieces: one path for each, spelt out from its last character to its first, with the negated score as its weight, and a dearer path
+  for a character without a piece, which becomes bytes or the unknown piece.
+* The filter of neighbours. In a unigram model it gives every pair the weight 0. In a BPE model a segmentation is the one that merging
+  makes exactly if each pair of neighbouring pieces, merged alone, stays this pair; it gives all other pairs an infinite weight.
+
+The composition is a lattice over the input's positions; the encoding is its shortest path in the tropical semiring: along an arc, weights of
+state, piece and filter are added, and at a position the least sum wins. Every arc into a position is weighed.
 
 The lattice falls apart wherever no piece has the two neighbouring characters side by side, which is so before each word unless a
-piece has U+2581 behind another character (checked when compiling); the paths of such parts are remembered in bounded caches.
+piece has U+2581 behind another character (checked when compiling); the paths of such parts are remembered in caches of two generations:
+when the young one is full it takes the place of the old one, and what is asked for again moves back.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal U+2581 decodes to a space; repeated
-rows stay; no rows give no rows; columns beyond those named are passed on or ignored as each function says.
+rows stay; no rows give no rows; columns beyond those named are passed on or ignored as each function says. BPE models with user-defined
+pieces are refused.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +42,10 @@ SPACE = "▁"
 CACHE = 200_000
 #: Length up to which the steps of a word's beginning are remembered.
 SHARED = 9
-#: Weight of a byte path: more than that of any piece.
-BYTE_WEIGHT = 1e12
+#: Pairs of neighbours that the filter remembers before it starts anew.
+PAIRS = 500_000
+# Fixed value: by how much an unknown character is dearer than the dearest piece.
+UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -78,23 +86,98 @@ def read_model(path: str) -> dict:
             kind = dict(_fields(value)).get(3, UNIGRAM)
         elif number == 3:
             rules = dict(_fields(value))
-    if rules.get(2):
-        raise ValueError("models with a precompiled character map are not supported")
-    return {"pieces": pieces, "kind": kind, "prefix": bool(rules.get(3, 1)), "trim": bool(rules.get(4, 1)), "escape": bool(rules.get(5, 1))}
+    return {"pieces": pieces, "kind": kind, "prefix": bool(rules.get(3, 1)), "trim": bool(rules.get(4, 1)), "escape": bool(rules.get(5, 1)), "rules": character_map(rules.get(2, b""))}
+
+
+def character_map(packed: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: what is replaced, and by what.
+
+    The map is the size of a double-array trie, its 32-bit units, and the replacements, each ended by a zero byte. A unit has its label in the
+    low 8 bits, a mark for a leaf below it in bit 8, and the offset to its children above; a leaf's unit holds the place of its replacement."""
+    if not packed:
+        return {}
+    size = struct.unpack("<I", packed[:4])[0]
+    units, texts = np.frombuffer(packed[4 : 4 + size], dtype="<u4"), packed[4 + size :]
+    step = (units >> np.uint32(10)) << ((units & np.uint32(512)) >> np.uint32(6))
+    labels = np.arange(1, 256, dtype=np.uint32)
+    found: dict[str, str] = {}
+    todo = [(0, b"")]
+    while todo:
+        at, prefix = todo.pop()
+        base = at ^ int(step[at])
+        if units[at] >> 8 & 1 and prefix:
+            place = int(units[base] & 0x7FFFFFFF)
+            found[prefix.decode("utf-8")] = texts[place : texts.index(b"\0", place)].decode("utf-8")
+        children = base ^ labels
+        inside = children[children < len(units)]
+        for child in inside[(units[inside] & np.uint32(0x800000FF)) == (inside ^ np.uint32(base))].tolist():
+            todo.append((child, prefix + bytes([child ^ base])))
+    return found
+
+
+def single(x: float) -> float:
+    """The number in single precision, as path sums are kept: which of two equal paths is taken depends on it."""
+    return _SINGLE.unpack(_SINGLE.pack(x))[0]
+
+
+_SINGLE = struct.Struct("<f")
+
+
+class Recent:
+    """A cache of at most twice `most` entries that forgets what wasn't asked for lately."""
+
+    __slots__ = ("most", "young", "old")
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def find(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def _rule_finder(rules: dict[str, str], users: list[str]) -> Callable | None:
+    """The substitution over a text's user-defined pieces and rules, the longest at each place; None without any."""
+    if not rules and not users:
+        return None
+    single = {k for k in rules if len(k) == 1}
+    parts = ["(?P<user>" + "|".join(map(re.escape, sorted(users, key=lambda u: -len(u)))) + ")"] if users else []
+    by_first: dict[str, list[str]] = {}
+    for key in rules:
+        if len(key) > 1:
+            by_first.setdefault(key[1], []).append(key)
+    if by_first:  # longer rules are few places: their second characters are combining marks and the like
+        seconds = "".join(map(re.escape, sorted(by_first)))
+        longer = "|".join(map(re.escape, sorted((k for k in rules if len(k) > 1), key=lambda k: (-len(k), k))))
+        parts.append(f"(?=.[{seconds}])(?:{longer})")
+    if single:
+        parts.append("[" + "".join(map(re.escape, sorted(single))) + "]")
+    return re.compile("|".join(parts), re.DOTALL).sub
 
 
 class Transducer:
     """The compiled transducer; `encode` composes it with a text and takes the shortest path."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int = UNIGRAM, prefix: bool = True, trim: bool = False, escape: bool = True):
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int = UNIGRAM, prefix: bool = True, trim: bool = False, escape: bool = True, rules: dict[str, str] | None = None):
         self.kind, self.prefix, self.trim, self.escape = kind, prefix, trim, escape
         self.pieces = pieces
         self.id = {p: k for k, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
-        self.weight = {p: -s for p, s, t in pieces if t in (NORMAL, USER)}
+        scores = [s for _, s, t in pieces if t == NORMAL] or [0.0]
+        # A user-defined piece is dearer than nothing but cheaper than any way around it, an unknown character dearer than any piece.
+        self.weight = {p: -s if t == NORMAL else 0.1 - len(p.encode()) * max(scores) for p, s, t in pieces if t in (NORMAL, USER)}
+        self.unknown_weight = single(UNKNOWN_PENALTY - min(scores))
         self.byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown = next((k for k, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.neighbours = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        if kind == BPE and any(t == USER for _, _, t in pieces):
+        users = [p for p, _, t in pieces if t == USER]
+        if kind == BPE and users:
             raise ValueError("BPE models with user-defined pieces are not supported")
         self.arcs: dict = {}  # pieces by their characters from the last to the first; "" holds the piece that ends there
         for p in self.id:
@@ -107,18 +190,27 @@ class Transducer:
         ]
         splits = all(SPACE not in p.lstrip(SPACE) for p in self.id)
         self.by_space = splits and prefix and escape
-        self.known: dict[str, str] = {}
-        self.paths: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.pairs: dict[str, dict[str, bool]] = {}  # by the vocabulary's size, not by the corpus
+        self.rules, self.find_rule = rules or {}, _rule_finder(rules or {}, users)
+        self.known, self.paths, self.spaced = Recent(CACHE), Recent(CACHE), Recent(CACHE)
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
-    def normalise(self, text: str) -> str:
+    def mapped(self, text: str) -> str:
+        """The text after the character map."""
+        return self.find_rule(lambda m: m.group() if m.lastgroup == "user" else self.rules[m.group()], text) if self.find_rule else text
+
+    def spelt(self, text: str) -> str:
+        """A mapped text with its white space as the model wants it."""
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return ""
         text = " " + text if self.prefix else text
-        return text.replace(" ", SPACE) if self.escape else text
+        text = text.replace(" ", SPACE) if self.escape else text
+        return text.rstrip(SPACE if self.escape else " ") if self.trim else text
+
+    def normalise(self, text: str) -> str:
+        return self.spelt(self.mapped(text))
 
     def merged(self, text: str) -> list[str]:
         """The symbols left when neighbours of the best-scored joint piece are merged, leftmost first, until none is a piece."""
@@ -152,39 +244,42 @@ class Transducer:
             arcs.insert(0, (end - 1, word[end - 1]))
         return arcs
 
+    def finite(self, before: str, piece: str) -> bool:
+        """The compiled filter: whether a piece may follow another. A pair is worked out when it first comes up."""
+        row = self.pairs.get(before)
+        if row is None:
+            row = self.pairs[before] = {}
+        fit = row.get(piece)
+        if fit is None:
+            if self.n_pairs >= PAIRS:
+                self.pairs, self.n_pairs = {before: {}}, 0
+                row = self.pairs[before]
+            fit = row[piece] = self.fits(before, piece)
+            self.n_pairs += 1
+        return fit
+
     def path(self, word: str) -> list[str]:
         """The shortest path through the lattice of a word: its pieces, and single characters where bytes stand in.
 
-        The last piece of a shortest path depends on what lies before its end only, so words with a common beginning share these steps."""
-        n, unique, known = len(word), self.kind == BPE, self.known
+        A position's state is the last piece of its shortest path. In a BPE model this is all that the filter asks for, as only one path to a
+        position has a finite weight; it depends on what lies before, so words with a common beginning share these steps."""
+        n, known, weight, unknown = len(word), self.known, self.weight, self.unknown_weight
+        filtered = self.kind == BPE
         cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
         for end in range(1, n + 1):
-            if unique and end <= SHARED:
-                prefix = word[:end]
-                taken = known.get(prefix)
-                if taken is not None:
-                    last[end], cost[end] = taken, 0.0
-                    continue
-            best, taken = math.inf, ""
-            for start, piece in reversed(self.arcs_into(word, end)):
-                before = last[start]
-                row = self.pairs.get(before)
-                if row is None:
-                    row = self.pairs[before] = {}
-                fit = row.get(piece)
-                if fit is None:
-                    fit = row[piece] = self.fits(before, piece)
-                if fit:
-                    total = cost[start] + self.weight.get(piece, BYTE_WEIGHT)
-                    if total < best:
+            state = known.find(word[:end]) if end <= SHARED else None
+            if state is None:
+                best, taken = math.inf, ""
+                for start, piece in reversed(self.arcs_into(word, end)):
+                    total = cost[start] + weight.get(piece, unknown)
+                    if not filtered:
+                        total = single(total)
+                    if total < best and (not filtered or self.finite(last[start], piece)):
                         best, taken = total, piece
-                    if unique:  # no other arc can have a finite weight
-                        break
-            cost[end], last[end] = best, taken
-            if unique and end <= SHARED:
-                if len(known) >= 2 * CACHE:
-                    known.clear()
-                known[prefix] = taken
+                state = best, taken
+                if end <= SHARED:
+                    known.put(word[:end], state)
+            cost[end], last[end] = state
         out, at = [], n
         while at:
             if not last[at]:
@@ -206,43 +301,51 @@ class Transducer:
 
     def ids_of(self, word: str) -> bytes:
         found: list[int] = []
+        lost = False  # the piece before was unknown: neighbouring unknown characters are one piece
         for p in self.path(word):
             if p in self.id:
                 found.append(self.id[p])
             elif self.byte:
                 found += [self.byte[b] for b in p.encode("utf-8")]
-            else:
+            elif not lost:
                 found.append(self.unknown)
+            lost = p not in self.id
         return struct.pack(f"<{len(found)}i", *found)
 
     def word_ids(self, word: str) -> bytes:
-        """The ids of a normalised text, word by word of the lattice, from the cache where it has them."""
+        """The ids of a normalised text, part by part of the lattice, from the cache where it has them."""
+        if not self.byte and self.unknown_in(word):
+            return self.ids_of(word)  # unknown characters of two parts may be one piece
         out, paths = [], self.paths
         for part in self.cut(word):
-            found = paths.get(part)
+            found = paths.find(part)
             if found is None:
-                if len(paths) >= CACHE:
-                    paths.clear()
                 found = self.ids_of(part)
                 if len(part) <= 64:
-                    paths[part] = found
+                    paths.put(part, found)
             out.append(found)
         return b"".join(out)
 
+    def unknown_in(self, word: str) -> bool:
+        return any(c not in self.id for c in word)
+
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
+        text = self.mapped(text)
         if not (self.by_space and text) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            return self.word_ids(self.normalise(text))
+            return self.word_ids(self.spelt(text))
         # Words between single spaces: each begins with one U+2581, as the dummy prefix gives one to the first.
         spaced, out = self.spaced, []
+        get = spaced.young.get
         for word in text.split(" "):
-            found = spaced.get(word)
+            found = get(word)
             if found is None:
-                if len(spaced) >= CACHE:
-                    spaced.clear()
-                found = self.word_ids(SPACE + word)
-                if len(word) <= 64:
-                    spaced[word] = found
+                found = spaced.find(word)
+                if found is None:
+                    found = self.word_ids(SPACE + word)
+                    if len(word) <= 64:
+                        spaced.put(word, found)
+                get = spaced.young.get
             out.append(found)
         return b"".join(out)
 
@@ -261,10 +364,11 @@ def compile_model(path: str) -> Transducer:
 
 
 def encode_column(docs: DataFrame, model_path: str, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (default doc_id) with n_tokens and ids of each text."""
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, whole_text().alias("_text"))
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
+    """The kept columns (default doc_id) with n_tokens and ids of each text; kept columns of these two names give way."""
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_tokens", "ids")]
+    mark = "_" * (1 + max(map(len, keep), default=0))  # no kept column's name
+    rows = docs.select(*keep, whole_text().alias(mark))
+    schema = rows.drop(mark).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compile_model(model_path)

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -64,6 +65,70 @@ def test_unigram_paths_are_shortest():
         assert abs(sum(score[p] for p in path) - best("▁" + text)) < 1e-9
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+def _model(pieces, kind, rules, fallback, trim=True):
+    """A model file made by hand (nothing is trained), with a public character map."""
+    packed = sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto() if rules else b""
+    spec = dict(S._fields(dict(S._fields(packed)).get(3, b"")))
+    normaliser = _field(1, b"x") + (_field(2, spec[2]) if 2 in spec else b"") + b"\x18\x01" + (b"\x20" + bytes([trim])) + b"\x28\x01"
+    out = b"".join(_field(1, _field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([t])) for p, s, t in pieces)
+    trainer = b"\x18" + bytes([kind]) + _varint(35 << 3) + bytes([fallback])
+    return out + _field(2, trainer) + _field(3, normaliser)
+
+
+@pytest.mark.parametrize("kind", [S.UNIGRAM, S.BPE])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize(("rules", "trim"), [("nmt_nfkc", True), ("nfkc_cf", False), (None, True)])
+def test_models_with_character_maps_equal_the_library(tmp_path, kind, fallback, rules, trim):
+    rng = random.Random(f"{kind}{fallback}{rules}")
+    letters = list("abcdeé▁,fi1") + ["漢"]
+    texts = {"".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(150)} | {"▁" + "".join(rng.choice(letters[:6]) for _ in range(3)) for _ in range(60)}
+    if kind == S.BPE:  # merges build on each other
+        texts = set()
+        for _ in range(200):
+            known = sorted(texts) + letters
+            texts.add(rng.choice(known) + rng.choice(known))
+        texts = {t for t in texts if len(t) <= 8}
+    body = [(p, -0.37 * k if kind == S.BPE else -rng.random() * 9 - 1, S.NORMAL) for k, p in enumerate(sorted(texts, key=lambda t: (len(t), rng.random())) + letters)]
+    pieces = [("<unk>", 0.0, S.UNKNOWN), ("<s>", 0.0, S.CONTROL), ("</s>", 0.0, S.CONTROL), *([(f"<0x{b:02X}>", 0.0, S.BYTE) for b in range(256)] if fallback else []), *body]
+    if kind == S.UNIGRAM:
+        pieces += [("▁ab<>", 0.0, S.USER), ("e,e", 0.0, S.USER)]
+    path = str(tmp_path / "hand.model")
+    with open(path, "wb") as file:
+        file.write(_model(pieces, kind, rules, fallback, trim))
+    library, fst = sentencepiece.SentencePieceProcessor(model_file=path), S.Transducer(**S.read_model(path))
+    alphabet = "abcde  é,fi1漢ﬁ①Ａe\u0301㍿\u3000\u00a0\t▁<>zÉß👍"
+    for text in [*strange(rng, 1500, alphabet), "e,eab<> e,e", "", " ", "zzz zzz", "  a  b  ", "x" * 300]:
+        assert fst.encode(text) == library.encode(text), (text, fst.normalise(text))
+
+
+def test_neighbours_are_remembered_up_to_a_bound(monkeypatch):
+    fst = S.Transducer(**S.read_model(tokenizer_path("piece_bpe_32k.model")))
+    whole = S.Transducer(**S.read_model(tokenizer_path("piece_bpe_32k.model")))
+    monkeypatch.setattr(S, "PAIRS", 50)
+    for cache in (fst.known, fst.paths, fst.spaced):
+        cache.most = 20
+    for text in strange(random.Random(12), 400, "  abcdeéilnorst.,'漢0129"):
+        assert fst.encode(text) == whole.encode(text)
+        assert fst.n_pairs <= 50 >= sum(map(len, fst.pairs.values())) and len(fst.spaced.young) + len(fst.spaced.old) <= 40
+
+
+def test_kept_columns_of_the_operators_names_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, 8, 7)], "doc_id long, text string, ids int, n_tokens int, _text int")
+    found = S.encode_column(docs, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "ids", "n_tokens", "_text"])
+    assert found.columns == ["doc_id", "_text", "n_tokens", "ids"] and found.first()["_text"] == 7 and len(found.first()["ids"]) == found.first()["n_tokens"] > 0
+
+
 def test_piece_columns(odd_docs, odd_rows, no_docs):
     path = tokenizer_path("piece_bpe_32k.model")
     encoded = S.encode_column(odd_docs, path)
