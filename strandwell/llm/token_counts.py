@@ -7,7 +7,8 @@
    joined by the pre-token, which no longer has frequent keys, and added up by document.
 
 The cut is that of byte-level BPE: `PATTERN`, after the text is split at the special strings that the tokenizer file
-declares; as in the library, such a string inside a text is one token. Counts are those of encode(add_special_tokens=False).
+declares; as in the library, such a string inside a text is one token. Counts are those of encode(add_special_tokens=False). Files that
+cut otherwise (another pre-tokenizer, a normaliser, a prefix space, added tokens that take spaces) are refused.
 
 Defined results: a null text is an empty one with 0 tokens; repeated rows stay; a null doc_id is kept; no rows give no rows;
 columns beyond doc_id and text are ignored.
@@ -34,15 +35,27 @@ HOT = 600_000
 HOT_BYTES = 48
 #: Distinct pre-tokens that a task holds before it passes their counts on.
 HELD = 300_000
+#: Keys that equal rows are spread over.
+SALTS = 1024
 #: Steps for each doubling of a frequency in the histogram that finds the hot pre-tokens.
 STEPS = 8
 
 
+def _byte_level(step: dict | None) -> bool:
+    """Whether a pre-tokenizer cuts by PATTERN and nothing else."""
+    return bool(step) and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True)
+
+
 @lru_cache(maxsize=4)
 def special_strings(tokenizer_path: str) -> tuple[str, ...]:
-    """The strings that the tokenizer file takes out of a text before its pattern."""
+    """The strings that the tokenizer file takes out of a text before its pattern; a file whose cut is another one is an error."""
     with open(tokenizer_path, encoding="utf-8") as file:
-        return tuple(x["content"] for x in json.load(file).get("added_tokens", []))
+        said = json.load(file)
+    added = said.get("added_tokens") or []
+    plain = all(not (x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")) for x in added)
+    if said.get("normalizer") or not _byte_level(said.get("pre_tokenizer")) or not plain:
+        raise ValueError(f"{tokenizer_path}: only byte-level cuts without normaliser and prefix space, and plain added tokens")
+    return tuple(x["content"] for x in added)
 
 
 def cutter(tokenizer_path: str) -> Callable[[str], list[str]]:
@@ -99,7 +112,7 @@ def piece_counts(distinct: DataFrame, tokenizer_path: str) -> DataFrame:
     return distinct.mapInArrow(tidied(encode), "token string, n long, pieces int")
 
 
-ROWS = "doc_id long, stamp long, n_bytes long, known long, token string, times int"
+ROWS = "doc_id long, stamp long, n_bytes long, known long, token string, times int, salt int"
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, hot: int = HOT) -> DataFrame:
@@ -122,13 +135,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, hot: in
         cut, get = cutter(tokenizer_path), known.value.get
 
         def send() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "stamp", "n_bytes", "known", "token", "times"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in ROWS.split(", ")])
             for c in columns:
                 c.clear()
             return out
 
-        columns: tuple[list, ...] = ([], [], [], [], [], [])
+        columns: tuple[list, ...] = ([], [], [], [], [], [], [])
+        number = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8")
@@ -146,13 +160,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, hot: in
                 columns[3].extend([total] + [None] * len(rare))
                 columns[4].extend([None] + [t for t, _ in rare])
                 columns[5].extend([None] + [c for _, c in rare])
+                number += 1
+                columns[6].extend([number % SALTS] + [None] * len(rare))
                 if len(columns[0]) > 20_000:
                     yield send()
         yield send()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidied(frequencies), ROWS)
-    # A row for the document itself has no pre-token; its key is its own, so that such rows spread over the partitions.
-    keyed = rows.withColumn("own", F.col("token").isNull()).withColumn("key", F.coalesce("token", F.concat_ws(":", "doc_id", "stamp")))
+    # A row for the document itself has no pre-token and meets nothing; its key spreads such rows over the partitions, repeated ones too.
+    keyed = rows.withColumn("own", F.col("token").isNull()).withColumn("key", F.coalesce("token", F.concat_ws(":", "doc_id", "stamp", "salt")))
     others = pieces.filter(~is_hot).select(F.lit(False).alias("own"), F.col("token").alias("key"), "pieces")
     met = keyed.join(others, ["own", "key"], "left")
     summed = met.groupBy("doc_id", "stamp").agg(
