@@ -104,18 +104,22 @@ class Layout:
     span: int
     stride: int
 
-    def starts(self, spark: SparkSession) -> list[tuple[int, int, int]]:
-        """shard, first slot, rows of every file, from the folder's listing."""
+    def files(self, spark: SparkSession) -> list[tuple[int, int, int, str]]:
+        """shard, first slot, rows and path of every file, from the folder's listing."""
         if not self.room:
             return []
-        files = spark.read.format("binaryFile").load(f"{self.path}/shards").select(shard_of(F.col("path")).alias("shard"), "length")
+        listed = spark.read.format("binaryFile").load(f"{self.path}/shards").select(shard_of(F.col("path")).alias("shard"), "length", "path")
         out, slot = [], 0
-        for file in files.orderBy("shard").collect():
+        for file in listed.orderBy("shard").collect():
             rows = file["length"] // self.stride
-            out.append((file["shard"], slot, rows))
+            out.append((file["shard"], slot, rows, file["path"]))
             slot += rows
         return out
 
+    def starts(self, spark: SparkSession) -> list[tuple[int, int, int]]:
+        """shard, first slot, rows of every file."""
+        return [(shard, slot, rows) for shard, slot, rows, _ in self.files(spark)]
+
 
 def shard_of(path: Column) -> Column:
     """The number of the partition that wrote a file."""
@@ -226,10 +230,11 @@ SEQUENCES = "slot long, shard int, offset long, doc_id long, number int, used in
 def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: bool = False) -> DataFrame:
     """The stored sequences from `first_slot` on: slot, place, document and checksum of the ids in use, with `ids` the ids too."""
     schema = SEQUENCES + (", ids array<int>" if ids else "")
-    # One row for each file.
-    starts = {shard: slot for shard, slot, rows in layout.starts(spark) if slot + rows > first_slot}
-    if not starts:
+    # One row for each file; files before the slot are not opened.
+    wanted = [file for file in layout.files(spark) if file[1] + file[2] > first_slot]
+    if not wanted:
         return spark.createDataFrame([], schema)
+    starts = {shard: slot for shard, slot, *_ in wanted}
     stride, length = layout.stride, layout.length
     known = spark.sparkContext.broadcast(starts)
 
@@ -254,6 +259,6 @@ def read_shards(spark: SparkSession, layout: Layout, first_slot: int = 0, ids: b
                         columns.append(pa.array([v[:n].tolist() for v, n in zip(values, head["used"], strict=True)], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    files = spark.read.format("binaryFile").load(f"{layout.path}/shards")
-    wanted = files.select(shard_of(F.col("path")).alias("shard"), "content").filter(F.col("shard") >= min(starts))
-    return wanted.mapInArrow(tidied(read), schema)
+    places = [path for *_, path in wanted] if first_slot else f"{layout.path}/shards"
+    files = spark.read.format("binaryFile").load(places)
+    return files.select(shard_of(F.col("path")).alias("shard"), "content").mapInArrow(tidied(read), schema)

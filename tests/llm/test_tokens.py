@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 
@@ -28,6 +29,23 @@ def test_counts_equal_the_library(spark, odd_docs, odd_rows, no_docs):
     assert C.count_tokens(no_docs, path).count() == 0
 
 
+def test_files_that_cut_otherwise_are_refused(tmp_path):
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        said = json.load(file)
+    said["model"] = {}
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**said["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**said["added_tokens"][0], "lstrip": True}]}]
+    for k, change in enumerate([{}, *changes]):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(said | change), encoding="utf-8")
+        if change:
+            with pytest.raises(ValueError, match="only byte-level"):
+                C.special_strings(str(path))
+        else:
+            assert C.special_strings(str(path)) == ("<|endoftext|>",)
+    with pytest.raises(ValueError, match="only byte-level"):
+        C.special_strings(tokenizer_path("word_bpe_49k.json"))
+
+
 def test_pretokens_equal_the_library():
     path = tokenizer_path("byte_bpe_50k.json")
     library, cut = Tokenizer.from_file(path), C.cutter(path)
@@ -168,7 +186,9 @@ def test_shards_hold_every_token(spark, odd_docs, odd_rows, no_docs):
     single = {d: tuple(x for ids in n for x in ids[0]) for d, n in whole.items() if d not in (1, None)}
     assert single == {i: ids for none, i, ids in wanted if not none and i != 1}
     for begin in (n // 2, n - 1, n):
-        assert sorted(r["slot"] for r in T.read_shards(spark, layout, first_slot=begin).collect()) == list(range(begin, n))
+        later = T.read_shards(spark, layout, first_slot=begin)
+        assert sorted(r["slot"] for r in later.collect()) == list(range(begin, n))
+        assert len(later.inputFiles()) == sum(slot + rows > begin for _, slot, rows in starts)
     assert T.read_shards(spark, T.write_shards(no_docs, path, 9)).count() == 0
 
 
