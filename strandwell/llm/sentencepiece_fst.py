@@ -3,7 +3,7 @@
 `compile_model` reads a model file and builds three machines, which `encode` composes with an input:
 
 * The normaliser: the model's character map (the longest rule at a place wins, as its trie says), extra white space, dummy prefix, and
-  spaces to U+2581. User-defined pieces pass it unchanged.
+  spaces to U+2581.
 * The pieces: one path for each, spelt out from its last character to its first, with the negated score as its weight, and a dearer path
   for a character without a piece, which becomes bytes or the unknown piece.
 * The filter of neighbours. In a unigram model it gives every pair the weight 0. In a BPE model a segmentation is the one that merging
@@ -16,19 +16,25 @@ The lattice falls apart wherever no piece has the two neighbouring characters si
 piece has U+2581 behind another character (checked when compiling); the paths of such parts are remembered in caches of two generations:
 when the young one is full it takes the place of the old one, and what is asked for again moves back.
 
+Sums are kept in double precision. The library keeps those of unigram models in single precision over the whole text, so of paths whose
+weights are equal to its precision it may take another one.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal U+2581 decodes to a space; repeated
-rows stay; no rows give no rows; columns beyond those named are passed on or ignored as each function says. BPE models with user-defined
-pieces are refused.
+rows stay; no rows give no rows; columns beyond those named are passed on or ignored as each function says. Models with user-defined pieces
+are refused.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
 import struct
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -115,40 +121,33 @@ def character_map(packed: bytes) -> dict[str, str]:
     return found
 
 
-def single(x: float) -> float:
-    """The number in single precision, as path sums are kept: which of two equal paths is taken depends on it."""
-    return _SINGLE.unpack(_SINGLE.pack(x))[0]
-
-
-_SINGLE = struct.Struct("<f")
-
-
-class Recent:
-    """A cache of at most twice `most` entries that forgets what wasn't asked for lately."""
+class Recent(dict):
+    """A cache of what `make` gives, of at most twice `most` entries, that forgets what wasn't asked for lately; longer keys aren't kept."""
 
-    __slots__ = ("most", "young", "old")
+    def __init__(self, most: int, make: Callable | None = None):
+        self.most, self.make, self.old = most, make, {}
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def find(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        if found is None and self.make:
+            found = self.make(key)
+        if found is not None and len(key) <= 64:
             self.put(key, found)
         return found
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
 
 
-def _rule_finder(rules: dict[str, str], users: list[str]) -> Callable | None:
-    """The substitution over a text's user-defined pieces and rules, the longest at each place; None without any."""
-    if not rules and not users:
+def _rule_finder(rules: dict[str, str]) -> Callable | None:
+    """The substitution over a text's rules, the longest at each place; None without any."""
+    if not rules:
         return None
     single = {k for k in rules if len(k) == 1}
-    parts = ["(?P<user>" + "|".join(map(re.escape, sorted(users, key=lambda u: -len(u)))) + ")"] if users else []
+    parts = []
     by_first: dict[str, list[str]] = {}
     for key in rules:
         if len(key) > 1:
@@ -168,17 +167,16 @@ class Transducer:
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int = UNIGRAM, prefix: bool = True, trim: bool = False, escape: bool = True, rules: dict[str, str] | None = None):
         self.kind, self.prefix, self.trim, self.escape = kind, prefix, trim, escape
         self.pieces = pieces
-        self.id = {p: k for k, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
+        self.id = {p: k for k, (p, _, t) in enumerate(pieces) if t == NORMAL}
         scores = [s for _, s, t in pieces if t == NORMAL] or [0.0]
-        # A user-defined piece is dearer than nothing but cheaper than any way around it, an unknown character dearer than any piece.
-        self.weight = {p: -s if t == NORMAL else 0.1 - len(p.encode()) * max(scores) for p, s, t in pieces if t in (NORMAL, USER)}
-        self.unknown_weight = single(UNKNOWN_PENALTY - min(scores))
+        self.weight = {p: -s for p, s, t in pieces if t == NORMAL}
+        # An unknown character is dearer than any piece.
+        self.unknown_weight = UNKNOWN_PENALTY - min(scores)
         self.byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown = next((k for k, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.neighbours = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        users = [p for p, _, t in pieces if t == USER]
-        if kind == BPE and users:
-            raise ValueError("BPE models with user-defined pieces are not supported")
+        if any(t == USER for _, _, t in pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         self.arcs: dict = {}  # pieces by their characters from the last to the first; "" holds the piece that ends there
         for p in self.id:
             node = self.arcs
@@ -190,14 +188,16 @@ class Transducer:
         ]
         splits = all(SPACE not in p.lstrip(SPACE) for p in self.id)
         self.by_space = splits and prefix and escape
-        self.rules, self.find_rule = rules or {}, _rule_finder(rules or {}, users)
-        self.known, self.paths, self.spaced = Recent(CACHE), Recent(CACHE), Recent(CACHE)
+        self.rules, self.find_rule = rules or {}, _rule_finder(rules or {})
+        self.known = Recent(CACHE)
+        self.paths = Recent(CACHE, self.ids_of)
+        self.spaced = Recent(CACHE, lambda word: self.word_ids(SPACE + word))
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
     def mapped(self, text: str) -> str:
         """The text after the character map."""
-        return self.find_rule(lambda m: m.group() if m.lastgroup == "user" else self.rules[m.group()], text) if self.find_rule else text
+        return self.find_rule(lambda m: self.rules[m.group()], text) if self.find_rule else text
 
     def spelt(self, text: str) -> str:
         """A mapped text with its white space as the model wants it."""
@@ -225,25 +225,6 @@ class Transducer:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether the filter gives the pair a finite weight."""
-        if self.kind != BPE:
-            return True
-        if a and a[-1] + b[0] not in self.neighbours:
-            return self.merged(b) == [b]  # nothing spans the border
-        return self.merged(a + b) == ([a, b] if a else [b])
-
-    def arcs_into(self, word: str, end: int) -> list[tuple[int, str]]:
-        """Start and piece of the lattice's arcs into position `end`, shortest first."""
-        node, start, arcs = self.arcs, end, []
-        while start and (node := node.get(word[start - 1])) is not None:
-            start -= 1
-            if "" in node:
-                arcs.append((start, node[""]))
-        if word[end - 1] not in self.id:
-            arcs.insert(0, (end - 1, word[end - 1]))
-        return arcs
-
     def finite(self, before: str, piece: str) -> bool:
         """The compiled filter: whether a piece may follow another. A pair is worked out when it first comes up."""
         row = self.pairs.get(before)
@@ -254,7 +235,11 @@ class Transducer:
             if self.n_pairs >= PAIRS:
                 self.pairs, self.n_pairs = {before: {}}, 0
                 row = self.pairs[before]
-            fit = row[piece] = self.fits(before, piece)
+            if not before or before[-1] + piece[0] not in self.neighbours:  # nothing spans the border
+                fit = self.merged(piece) == [piece]
+            else:
+                fit = self.merged(before + piece) == [before, piece]
+            row[piece] = fit
             self.n_pairs += 1
         return fit
 
@@ -263,22 +248,43 @@ class Transducer:
 
         A position's state is the last piece of its shortest path. In a BPE model this is all that the filter asks for, as only one path to a
         position has a finite weight; it depends on what lies before, so words with a common beginning share these steps."""
-        n, known, weight, unknown = len(word), self.known, self.weight, self.unknown_weight
-        filtered = self.kind == BPE
+        n, known, weight, ids, arcs = len(word), self.known, self.weight, self.id, self.arcs
+        filtered, finite, pairs, old = self.kind == BPE, self.finite, self.pairs, known.old
         cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
         for end in range(1, n + 1):
-            state = known.find(word[:end]) if end <= SHARED else None
+            state = None
+            if end <= SHARED:
+                prefix = word[:end]
+                state = known.get(prefix)
+                if state is None and (state := old.get(prefix)) is not None:
+                    known[prefix] = state
             if state is None:
                 best, taken = math.inf, ""
-                for start, piece in reversed(self.arcs_into(word, end)):
-                    total = cost[start] + weight.get(piece, unknown)
-                    if not filtered:
-                        total = single(total)
-                    if total < best and (not filtered or self.finite(last[start], piece)):
-                        best, taken = total, piece
+                if word[end - 1] not in ids:
+                    best, taken = cost[end - 1] + self.unknown_weight, word[end - 1]
+                    if filtered and not finite(last[end - 1], taken):
+                        best, taken = math.inf, ""
+                # The arcs of pieces that end here, from the shortest on; of equal sums the longest piece's is taken.
+                node, start = arcs, end
+                while start:
+                    start -= 1
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is not None:
+                        total = cost[start] + weight[piece]
+                        if total <= best:
+                            if filtered:
+                                before = last[start]
+                                row = pairs.get(before)
+                                fit = None if row is None else row.get(piece)
+                                if not (finite(before, piece) if fit is None else fit):
+                                    continue
+                            best, taken = total, piece
                 state = best, taken
                 if end <= SHARED:
-                    known.put(word[:end], state)
+                    known.put(prefix, state)
             cost[end], last[end] = state
         out, at = [], n
         while at:
@@ -291,13 +297,12 @@ class Transducer:
     def cut(self, text: str) -> list[str]:
         """The text cut wherever no piece has the two characters next to each other, so that no arc spans the place."""
         neighbours, start, out = self.neighbours, 0, []
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in neighbours:
+        for k, pair in enumerate(map(add, text, text[1:]), 1):
+            if pair not in neighbours:
                 out.append(text[start:k])
                 start = k
-        if text:
-            out.append(text[start:])
-        return out
+        out.append(text[start:])
+        return out if text else []
 
     def ids_of(self, word: str) -> bytes:
         found: list[int] = []
@@ -316,15 +321,10 @@ class Transducer:
         """The ids of a normalised text, part by part of the lattice, from the cache where it has them."""
         if not self.byte and self.unknown_in(word):
             return self.ids_of(word)  # unknown characters of two parts may be one piece
-        out, paths = [], self.paths
-        for part in self.cut(word):
-            found = paths.find(part)
-            if found is None:
-                found = self.ids_of(part)
-                if len(part) <= 64:
-                    paths.put(part, found)
-            out.append(found)
-        return b"".join(out)
+        parts = self.cut(word)
+        if len(parts) == 1 and len(word) <= 64:
+            return self.ids_of(word)  # whoever asks remembers it
+        return b"".join(map(self.paths.__getitem__, parts))
 
     def unknown_in(self, word: str) -> bool:
         return any(c not in self.id for c in word)
@@ -335,19 +335,7 @@ class Transducer:
         if not (self.by_space and text) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             return self.word_ids(self.spelt(text))
         # Words between single spaces: each begins with one U+2581, as the dummy prefix gives one to the first.
-        spaced, out = self.spaced, []
-        get = spaced.young.get
-        for word in text.split(" "):
-            found = get(word)
-            if found is None:
-                found = spaced.find(word)
-                if found is None:
-                    found = self.word_ids(SPACE + word)
-                    if len(word) <= 64:
-                        spaced.put(word, found)
-                get = spaced.young.get
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.spaced.__getitem__, text.split(" ")))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<i4").tolist()
@@ -357,6 +345,18 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@contextmanager
+def calm() -> Iterator[None]:
+    """Without the collector of cycles, which would go through the caches again and again; the encoder makes no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def compile_model(path: str) -> Transducer:
     """The transducer of a model file, compiled once in each Python process."""
@@ -374,7 +374,8 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str] | None = Non
         fst = compile_model(model_path)
         for batch in batches:
             for part in slices(batch, len(keep), 2 << 20):
-                packed = [fst.encode_packed(t) for t in part.column(len(keep)).to_pylist()]
+                with calm():
+                    packed = [fst.encode_packed(t) for t in part.column(len(keep)).to_pylist()]
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(np.diff(offsets).astype(np.int64)), ids], [*keep, "n_tokens", "ids"])
@@ -405,8 +406,9 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
         low, high = (min(fst.byte.values()), max(fst.byte.values())) if fst.byte else (1, 0)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                packed = fst.encode_packed(text)
+            with calm():
+                encoded = [(text, fst.encode_packed(text)) for text in batch.column(1).to_pylist()]
+            for text, packed in encoded:
                 ids = np.frombuffer(packed, dtype="<i4")
                 back = fst.decode(ids.tolist())
                 in_bytes = int(((ids >= low) & (ids <= high)).sum())
