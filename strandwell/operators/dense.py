@@ -1,7 +1,7 @@
 """Exact dense search: cosine similarity of query vectors with every row, many queries at a time.
 
-Query vectors are few and broadcast after a check of their number (`MOST_QUERIES`); the rows are scanned once, and each task keeps what can still be among
-the best. Vectors are compared in double precision; vectors that are null, of another length, zero or not finite are left out.
+Query vectors are broadcast after a check of their number (`MOST_QUERIES`); beyond it, blocks of queries meet blocks of rows. The rows are scanned once, and
+each task keeps what can still be among the best. Scores are ranked as they are and rounded where they are shown. Vectors are compared in double precision; vectors that are null, of another length, zero or not finite are left out.
 """
 
 from __future__ import annotations
@@ -33,12 +33,20 @@ def normalised(table: DataFrame, uid: str, vector: str, *keep: str) -> DataFrame
     return rows.select("uid", F.transform("v", lambda x: x / F.col("n")).alias("unit"), *keep)
 
 
-def scored(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, uid, score: cosine of each query (query_id, target) with each row of the same length."""
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors; use a block join")
-    near = F.size("unit") == F.size("target")
-    return rows.join(F.broadcast(queries), near).withColumn("score", F.round(dot(F.col("unit"), F.col("target")), 6))
+def scored(rows: DataFrame, queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """query_id, uid, score: cosine of each query (query_id, target) with each row of the same length.
+
+    Beyond `most` queries, every pair of a block of `most` queries and a block of rows is a key of the join."""
+    n, near = queries.count(), F.size("unit") == F.size("target")
+    if n <= most:
+        met = rows.join(F.broadcast(queries), near)
+    else:
+        q, r = -(-n // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = rows.withColumn("_r", F.pmod(F.xxhash64("uid"), F.lit(r)).cast("int")).withColumn("_q", each(q))
+        right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int")).withColumn("_r", each(r))
+        met = left.join(right, ["_q", "_r"]).filter(near).drop("_q", "_r")
+    return met.withColumn("score", dot(F.col("unit"), F.col("target")))
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -51,7 +59,7 @@ def self_check(found: DataFrame) -> DataFrame:
     """query_id, ok: whether the best row of each query is the query itself or scores as high as it."""
     best = top(found, 1).select("query_id", F.col("uid").alias("best"), F.col("score").alias("best_score"))
     own = found.filter("uid = query_id").select("query_id", F.col("score").alias("own_score"))
-    return best.join(own, "query_id", "left").select("query_id", "best", "best_score", (F.coalesce(F.col("own_score") >= F.col("best_score"), F.lit(False)) | (F.col("best") == F.col("query_id"))).alias("ok"))
+    return best.join(own, "query_id", "left").select("query_id", "best", F.round("best_score", 6).alias("best_score"), (F.coalesce(F.col("own_score") >= F.col("best_score"), F.lit(False)) | (F.col("best") == F.col("query_id"))).alias("ok"))
 
 
 def sanity(table: DataFrame, vector: str) -> DataFrame:

@@ -4,12 +4,20 @@ Scores are BM25 with k1 = 1.2 and b = 0.75: for each matching term or phrase idf
 f is the weighted frequency over the fields, D the number of tokens in all fields and idf is floored at 1e-6. Higher is better.
 A column filter holds for the whole group of terms behind it. Ties go to the smaller uid.
 
-Corpora are scanned once for all queries: tokens meet the query terms, a small table that is broadcast (its size is that of
-the request), so only matching tokens are shuffled.
+Two ways lead to the scores of terms. `term_scores` scans the texts once for all queries: tokens meet the query terms, a small table that is
+broadcast (its size is that of the request), so only matching tokens are shuffled. `write_postings` stores an inverted index once, in
+partitions by a hash of the term and sorted by it, and `indexed_scores` reads of it only the partitions and row groups of a request's terms.
+
+Scores are ranked as they are and rounded where they are shown; a document's sum is taken in order of its terms, so equal documents tie.
+
+Defined results: a null text has no words; a null uid is ranked like any other, before all others among equals; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +40,29 @@ class TextQuery:
     scope: tuple[str, ...] | None = None
 
 
-def relaxed(query: TextQuery, most: int = 12) -> TextQuery:
+MOST_TERMS = 12
+_QUOTED = re.compile(r'"([^"]*)"')
+_WORD = re.compile(r"\w+")
+
+
+def compile_text(query_id: int, text: str, strict: bool = False, scope: tuple[str, ...] | None = None) -> TextQuery:
+    """The request that a line of text asks for: phrases in quotes first, then the other words, each once.
+
+    An odd number of quotes is an error. Strict requests hold every word. Relaxed ones leave out stop words (unless nothing else is left) and
+    hold `MOST_TERMS` terms at most. A phrase is a term of several words with spaces between them."""
+    if text.count('"') % 2:
+        raise ValueError("a quote is not closed")
+    phrases = [" ".join(_WORD.findall(part.lower())) for part in _QUOTED.findall(text)]
+    words = _WORD.findall(_QUOTED.sub(" ", text).lower())
+    if not strict:
+        words = [w for w in words if w not in STOPWORDS] or ([] if any(phrases) else words)
+    terms = tuple(dict.fromkeys(t for t in (*phrases, *words) if t))
+    if not terms:
+        raise ValueError("no words")
+    return TextQuery(query_id, terms if strict else terms[:MOST_TERMS], scope)
+
+
+def relaxed(query: TextQuery, most: int = MOST_TERMS) -> TextQuery:
     """Without stop words (unless nothing else is left) and with `most` terms at most."""
     kept = tuple(t for t in query.terms if t not in STOPWORDS) or query.terms
     return TextQuery(query.query_id, tuple(dict.fromkeys(kept))[:most], query.scope)
@@ -79,15 +109,64 @@ def term_scores(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -
     return counts.join(F.broadcast(rated), "term").join(F.broadcast(terms), "term").select("query_id", "uid", "term", "n_terms", score.alias("score"))
 
 
+BUCKETS = 64
+
+
+def _marked(field: str, number: int) -> Column:
+    """The field's tokens with its number."""
+    return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(number).alias("field")))
+
+
+def write_postings(index: DataFrame, fields: list[str], path: str, buckets: int = BUCKETS) -> None:
+    """Stores the postings (term, uid, len, one count for each field) of an index of token arrays, by bucket and term, and its totals."""
+    size = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
+    marked = F.concat(*[_marked(f, k) for k, f in enumerate(fields)])
+    words = index.select("uid", size.alias("len"), F.explode(marked).alias("t")).select("uid", "len", "t.term", "t.field")
+    counts = words.groupBy("term", "uid", "len").agg(*[F.count_if(F.col("field") == k).cast("int").alias(f"n_{f}") for k, f in enumerate(fields)])
+    dealt = counts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
+    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    totals = lengths(index, fields).withColumn("buckets", F.lit(buckets)).withColumn("fields", F.array(*[F.lit(f) for f in fields]))
+    totals.coalesce(1).write.json(f"{path}/totals")
+
+
+def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], weights: dict[str, float]) -> DataFrame:
+    """As term_scores, from stored postings: only the buckets and row groups of the request's terms are read."""
+    totals = json.loads(spark.read.text(f"{path}/totals").first()[0])
+    wanted = sorted({t for q in queries for t in q.terms})
+    if not totals["n_docs"] or not wanted:
+        return spark.createDataFrame([], "query_id int, uid long, term string, n_terms int, score double")
+    here = sorted({zlib.crc32(t.encode()) % totals["buckets"] for t in wanted})
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(here) & F.col("term").isin(wanted))
+    f = sum((F.col(f"n_{name}") * float(w) for name, w in weights.items()), F.lit(0.0))
+    counts = rows.select("term", "uid", "len", f.alias("f")).filter("f > 0")
+    df = counts.groupBy("term").agg(F.count("*").alias("n"))
+    ratio = F.log((F.lit(totals["n_docs"]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    rated = df.select("term", F.greatest(ratio, F.lit(FLOOR)).alias("idf"))
+    score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.lit(float(totals["avgdl"] or 0))))
+    terms = query_table(spark, queries)  # a row for each term of the request, as `rated` has
+    return counts.join(F.broadcast(rated), "term").join(F.broadcast(terms), "term").select("query_id", "uid", "term", "n_terms", score.alias("score"))
+
+
+def scoped(scores: DataFrame, queries: list[TextQuery], places: DataFrame, place: str) -> DataFrame:
+    """The rows of each query within its scope: `places` has uid and the column `place` that scopes name. Scores don't change by a scope."""
+    allowed = F.lit(False)
+    for q in queries:
+        here = F.lit(True) if q.scope is None else F.col(place).isin(list(q.scope)) if q.scope else F.lit(False)
+        allowed = allowed | ((F.col("query_id") == q.query_id) & here)
+    return scores.join(places.select("uid", place), "uid").filter(allowed)
+
+
 def top(scored: DataFrame, k: int, key: str = "query_id") -> DataFrame:
-    """The k best rows of each query by score, then uid, with their rank."""
+    """The k best rows of each query by score, then uid, with their rank; the window keeps k rows of each task before it shuffles."""
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), "uid")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def any_terms(scores: DataFrame) -> DataFrame:
-    """query_id, uid, score, matched: documents with at least one term."""
-    return scores.groupBy("query_id", "uid").agg(F.round(F.sum("score"), 4).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
+    """query_id, uid, score, matched: documents with at least one term. Terms are a request's, so a document has few."""
+    terms = scores.groupBy("query_id", "uid").agg(F.sort_array(F.collect_list(F.struct("term", "score"))).alias("t"), F.first("n_terms").alias("n_terms"))
+    total = F.aggregate("t", F.lit(0.0), lambda s, t: s + t["score"])
+    return terms.select("query_id", "uid", total.alias("score"), F.size("t").alias("matched"), "n_terms")
 
 
 def all_terms(scores: DataFrame) -> DataFrame:
@@ -95,22 +174,27 @@ def all_terms(scores: DataFrame) -> DataFrame:
     return any_terms(scores).filter(F.col("matched") == F.col("n_terms"))
 
 
-def cascade(stages: list[DataFrame], k: int) -> DataFrame:
-    """For each query the results of the first stage that has any: query_id, stage, rank, uid, score."""
+def _staged(stages: list[DataFrame], k: int) -> DataFrame:
+    """query_id, uid, score, stage: the k best of each stage and query, which is all that later steps can show."""
     every = None
     for number, stage in enumerate(stages):
-        part = stage.select("query_id", "uid", "score", F.lit(number).alias("stage"))
+        part = top(stage, k).select("query_id", "uid", "score", F.lit(number).alias("stage"))
         every = part if every is None else every.unionByName(part)
+    return every
+
+
+def cascade(stages: list[DataFrame], k: int) -> DataFrame:
+    """For each query the results of the first stage that has any: query_id, stage, rank, uid, score."""
+    every = _staged(stages, k)  # k rows of each stage at most
     first = F.min("stage").over(Window.partitionBy("query_id"))
     return top(every.withColumn("_first", first).filter(F.col("stage") == F.col("_first")).drop("_first"), k)
 
 
 def fill(stages: list[DataFrame], k: int) -> DataFrame:
-    """For each query the results of one stage after the other, without repeats, until there are k."""
-    every = None
-    for number, stage in enumerate(stages):
-        part = stage.select("query_id", "uid", "score", F.lit(number).alias("stage"))
-        every = part if every is None else every.unionByName(part)
+    """For each query the results of one stage after the other, without repeats, until there are k.
+
+    A document that an earlier stage has is dropped from a later one; as the earlier have at most k, the k + k * stages best suffice."""
+    every = _staged(stages, k * (1 + len(stages)))
     seen = every.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "uid").orderBy("stage"))).filter("_n = 1").drop("_n")
     order = Window.partitionBy("query_id").orderBy("stage", F.col("score").desc(), "uid")
     return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -132,13 +216,13 @@ def rate(counts: DataFrame, corpus: DataFrame) -> DataFrame:
     n = counts.groupBy("query_id").agg(F.count("*").alias("n"))
     rated = n.crossJoin(F.broadcast(corpus)).select("query_id", "avgdl", F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"))
     score = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return counts.join(F.broadcast(rated), "query_id").select("query_id", "uid", F.round(score, 4).alias("score"))
+    return counts.join(F.broadcast(rated), "query_id").select("query_id", "uid", score.alias("score"))
 
 
 def trigram_counts(table: DataFrame, uid: str, text: Column, queries: DataFrame) -> DataFrame:
     """query_id, uid, f, len: occurrences of each query's `needle` (three characters or more, case and marks ignored) in a text.
 
-    The text's distinct trigrams must hold all of the needle's before the needle itself is counted; len counts the text's trigrams."""
+    A request's needles are few: each is looked for in every text as a string; len counts the text's trigrams."""
     folded = table.select(F.col(uid).alias("uid"), accentless(text).alias("t"))
     rows = folded.select("uid", "t", F.greatest(F.length("t") - 2, F.lit(0)).alias("len"))
     wanted = queries.select("query_id", accentless(F.col("needle")).alias("needle")).filter(F.length("needle") >= 3)

@@ -26,7 +26,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shape(ranked: DataFrame) -> DataFrame:
-    return ranked.select("query_id", "rank", F.col("uid").alias("vec_id"), "score")
+    return ranked.select("query_id", "rank", F.col("uid").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def per_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best rows of every label for each query: one index for each label."""
     found = _found(spark, sf_dir).withColumn("query_id", F.struct("query_id", "label"))
     ranked = D.top(found, 3)
-    return ranked.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.label").alias("label"), "rank", F.col("uid").alias("vec_id"), "score")
+    return ranked.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.label").alias("label"), "rank", F.col("uid").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,17 +67,17 @@ _BASE = f"""
 WITH n AS (SELECT vec_id AS uid, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
 u AS (SELECT uid, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS unit FROM n WHERE list_inner_product(v, v) > 0),
 q AS (SELECT uid AS query_id, unit AS target, label AS query_label FROM u WHERE uid IN ({", ".join(map(str, QUERY_IDS))})),
-f AS (SELECT query_id, query_label, u.uid AS vec_id, u.label, round(list_inner_product(unit, target), 6) AS score FROM u, q)
+f AS (SELECT query_id, query_label, u.uid AS vec_id, u.label, list_inner_product(unit, target) AS score FROM u, q)
 """
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank"
 
 ORACLES = {
-    "dense_cosine_topk": f"{_BASE} SELECT query_id, {_RANK}, vec_id, score FROM f QUALIFY rank <= {K}",
-    "dense_scoped_prefilter": f"{_BASE} SELECT query_id, {_RANK}, vec_id, score FROM f WHERE label = query_label QUALIFY rank <= {K}",
-    "dense_scoped_postfilter": f"{_BASE}, r AS (SELECT query_id, {_RANK}, vec_id, score, label, query_label FROM f QUALIFY rank <= {K}) SELECT query_id, rank, vec_id, score FROM r WHERE label = query_label",
-    "dense_per_index": f"{_BASE} SELECT query_id, label, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM f QUALIFY rank <= 3",
+    "dense_cosine_topk": f"{_BASE} SELECT query_id, {_RANK}, vec_id, round(score, 6) AS score FROM f QUALIFY rank <= {K}",
+    "dense_scoped_prefilter": f"{_BASE} SELECT query_id, {_RANK}, vec_id, round(score, 6) AS score FROM f WHERE label = query_label QUALIFY rank <= {K}",
+    "dense_scoped_postfilter": f"{_BASE}, r AS (SELECT query_id, {_RANK}, vec_id, score, label, query_label FROM f QUALIFY rank <= {K}) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE label = query_label",
+    "dense_per_index": f"{_BASE} SELECT query_id, label, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, round(score, 6) AS score FROM f QUALIFY rank <= 3",
     "dense_selfcheck": f"""{_BASE}, b AS (SELECT query_id, vec_id AS best, score AS best_score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1),
-o AS (SELECT query_id, score AS own FROM f WHERE vec_id = query_id) SELECT query_id, best, best_score, coalesce(own >= best_score, FALSE) OR best = query_id AS ok FROM b LEFT JOIN o USING (query_id)""",
+o AS (SELECT query_id, score AS own FROM f WHERE vec_id = query_id) SELECT query_id, best, round(best_score, 6) AS best_score, coalesce(own >= best_score, FALSE) OR best = query_id AS ok FROM b LEFT JOIN o USING (query_id)""",
     "vector_sanity": """WITH n AS (SELECT embedding::DOUBLE[] AS v FROM embeddings)
 SELECT count(*) AS n_vectors, count(*) FILTER (v IS NULL OR len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS n_bad, count(DISTINCT len(v)) AS n_dims,
 round(min(sqrt(list_inner_product(v, v))), 5) AS min_norm, round(avg(sqrt(list_inner_product(v, v))), 5) AS mean_norm, round(max(sqrt(list_inner_product(v, v))), 5) AS max_norm FROM n""",

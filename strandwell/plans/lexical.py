@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwell.functions.text import accentless, snippet, tokens
 from strandwell.operators import lexical as L
+from strandwell.sources.store import built
 from strandwell.sources.tables import table
 
 K = 20
@@ -29,8 +30,14 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.indexed(table(spark, sf_dir, "documents"), "doc_id", {"text": F.col("text")})
 
 
+def _postings(spark: SparkSession, sf_dir: str, name: str, text: Column) -> str:
+    """Where the postings of the documents lie; built by the first query that asks for them."""
+    index = L.indexed(table(spark, sf_dir, "documents"), "doc_id", {"text": text})
+    return built(spark, (sf_dir, name), lambda path: L.write_postings(index, ["text"], path))
+
+
 def _scores(spark: SparkSession, sf_dir: str, queries: list[L.TextQuery]) -> DataFrame:
-    return L.term_scores(_index(spark, sf_dir), L.query_table(spark, queries), {"text": 1.0})
+    return L.indexed_scores(spark, _postings(spark, sf_dir, "documents", F.col("text")), queries, {"text": 1.0})
 
 
 def _score_sql(queries: list[L.TextQuery], words: str = WORDS, name: str = "") -> str:
@@ -42,15 +49,15 @@ q{name} AS (SELECT * FROM {_values(queries)}),
 t{name} AS (SELECT uid, len(w) AS len, unnest(w) AS term FROM d{name}),
 f{name} AS (SELECT term, uid, count(*) AS f, any_value(len) AS len FROM t{name} WHERE term IN (SELECT term FROM q{name}) GROUP BY term, uid),
 i{name} AS (SELECT term, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT term, count(*) AS n FROM f{name} GROUP BY term), c{name}),
-s{name} AS (SELECT query_id, uid, n_terms, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS score FROM f{name} JOIN i{name} USING (term) JOIN q{name} USING (term)),
-a{name} AS (SELECT query_id, uid, round(sum(score), 4) AS score, count(*) AS matched, any_value(n_terms) AS n_terms FROM s{name} GROUP BY query_id, uid)"""
+s{name} AS (SELECT query_id, uid, term, n_terms, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS score FROM f{name} JOIN i{name} USING (term) JOIN q{name} USING (term)),
+a{name} AS (SELECT query_id, uid, list_sum(list(score ORDER BY term)) AS score, count(*) AS matched, any_value(n_terms) AS n_terms FROM s{name} GROUP BY query_id, uid)"""
 
 
-_TOP = f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, score FROM {{}} QUALIFY rank <= {K}"
+_TOP = f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, round(score, 4) AS score FROM {{}} QUALIFY rank <= {K}"
 
 
 def _shape(ranked: DataFrame, *more: str) -> DataFrame:
-    return ranked.select("query_id", "rank", F.col("uid").alias("doc_id"), "score", *more)
+    return ranked.select("query_id", "rank", F.col("uid").alias("doc_id"), F.round("score", 4).alias("score"), *more)
 
 
 def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +72,7 @@ PLAIN = [L.TextQuery(1, ("erti", "onti", "reat")), L.TextQuery(5, ("eque", "etio
 
 
 def _accentless_scores(spark: SparkSession, sf_dir: str, queries: list[L.TextQuery]) -> DataFrame:
-    index = L.indexed(table(spark, sf_dir, "documents"), "doc_id", {"text": accentless(F.col("text"))})
-    return L.term_scores(index, L.query_table(spark, queries), {"text": 1.0})
+    return L.indexed_scores(spark, _postings(spark, sf_dir, "documents_plain", accentless(F.col("text"))), queries, {"text": 1.0})
 
 
 FOLDED = r"regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[\p{L}\p{N}_]+')"
@@ -97,12 +103,7 @@ SCOPES = [L.TextQuery(1, REQUESTS[0].terms, ("src1", "src2", "src3")), L.TextQue
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores come from the whole corpus; a scope only says which sources may be returned."""
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "source")
-    scored = L.any_terms(_scores(spark, sf_dir, SCOPES)).join(sources, "uid")
-    allowed = F.lit(False)
-    for q in SCOPES:
-        here = F.lit(True) if q.scope is None else F.col("source").isin(list(q.scope)) if q.scope else F.lit(False)
-        allowed = allowed | ((F.col("query_id") == q.query_id) & here)
-    return _shape(L.top(scored.filter(allowed), K), "source")
+    return _shape(L.top(L.scoped(L.any_terms(_scores(spark, sf_dir, SCOPES)), SCOPES, sources, "source"), K), "source")
 
 
 PHRASES = [(1, ["of", "the"]), (2, ["the", "erst"]), (3, ["de", "la"]), (4, ["and", "of", "the"])]
@@ -123,7 +124,7 @@ p AS (SELECT * FROM (VALUES {rows}) p(query_id, phrase, n)),
 h AS (SELECT uid, len(w) AS len, n, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM (SELECT uid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p))),
 f AS (SELECT query_id, uid, count(*) AS f, any_value(len) AS len FROM h JOIN p USING (phrase, n) GROUP BY query_id, uid),
 i AS (SELECT query_id, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT query_id, count(*) AS n FROM f GROUP BY 1), c),
-a AS (SELECT query_id, uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)), 4) AS score FROM f JOIN i USING (query_id))
+a AS (SELECT query_id, uid, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS score FROM f JOIN i USING (query_id))
 {_TOP.format("a")}"""
 
 
@@ -145,7 +146,7 @@ WITH d AS (SELECT doc_id AS uid, replace(strip_accents(lower(text)), 'đ', 'd')
 c AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM d), p AS (SELECT * FROM (VALUES {rows}) p(query_id, needle)),
 f AS (SELECT query_id, uid, len, (length(t) - length(replace(t, needle, ''))) // length(needle) AS f FROM d JOIN p ON contains(t, needle)),
 i AS (SELECT query_id, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT query_id, count(*) AS n FROM f GROUP BY 1), c),
-a AS (SELECT query_id, uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)), 4) AS score FROM f JOIN i USING (query_id))
+a AS (SELECT query_id, uid, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS score FROM f JOIN i USING (query_id))
 {_TOP.format("a")}"""
 
 
@@ -169,7 +170,7 @@ a1 AS (SELECT query_id, uid, len, (length(t) - length(replace(t, needle, ''))) /
 a2 AS (SELECT query_id, uid, any_value(len) AS len, sum((length(t) - length(replace(t, needle, ''))) // length(needle)) AS f, 1 AS stage FROM d JOIN w ON contains(t, needle) GROUP BY query_id, uid HAVING count(*) = any_value(n)),
 f AS (SELECT * FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) QUALIFY row_number() OVER (PARTITION BY query_id, uid ORDER BY stage) = 1),
 i AS (SELECT query_id, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT query_id, count(*) AS n FROM f GROUP BY 1), c),
-a AS (SELECT query_id, uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)), 4) AS score FROM f JOIN i USING (query_id))
+a AS (SELECT query_id, uid, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) AS score FROM f JOIN i USING (query_id))
 {_TOP.format("a")}"""
 
 
@@ -178,11 +179,15 @@ PAGE_REQUESTS = [L.TextQuery(1, ("the", "oner", "anti")), L.TextQuery(2, ("que",
 TITLE, BODY = r"(?s)<title>(.*?)</title>", r"(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>"
 
 
-def bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_postings(spark: SparkSession, sf_dir: str) -> str:
     fields = {"title": F.regexp_extract("html", TITLE, 1), "body": F.regexp_replace("html", BODY, " "), "url": F.col("url")}
     index = L.indexed(table(spark, sf_dir, "pages"), "page_id", fields)
-    scores = L.term_scores(index, L.query_table(spark, PAGE_REQUESTS), FIELDS)
-    return L.top(L.any_terms(scores), K).select("query_id", "rank", F.col("uid").alias("page_id"), "score")
+    return built(spark, (sf_dir, "pages"), lambda path: L.write_postings(index, list(fields), path))
+
+
+def bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = L.indexed_scores(spark, _page_postings(spark, sf_dir), PAGE_REQUESTS, FIELDS)
+    return L.top(L.any_terms(scores), K).select("query_id", "rank", F.col("uid").alias("page_id"), F.round("score", 4).alias("score"))
 
 
 def _fields_sql() -> str:
@@ -193,8 +198,8 @@ c AS (SELECT count(*) AS n_docs, avg(len(t) + len(b) + len(u)) AS avgdl FROM d),
 h AS (SELECT uid, len(t) + len(b) + len(u) AS len, unnest(t) AS term, 10::DOUBLE AS w FROM d UNION ALL SELECT uid, len(t) + len(b) + len(u), unnest(b), 6::DOUBLE FROM d),
 f AS (SELECT term, uid, sum(w) AS f, any_value(len) AS len FROM h WHERE term IN (SELECT term FROM q) GROUP BY term, uid),
 i AS (SELECT term, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT term, count(*) AS n FROM f GROUP BY term), c),
-a AS (SELECT query_id, uid, round(sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 4) AS score FROM f JOIN i USING (term) JOIN q USING (term) GROUP BY query_id, uid)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS page_id, score FROM a QUALIFY rank <= {K}"""
+a AS (SELECT query_id, uid, list_sum(list(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) ORDER BY term)) AS score FROM f JOIN i USING (term) JOIN q USING (term) GROUP BY query_id, uid)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS page_id, round(score, 4) AS score FROM a QUALIFY rank <= {K}"""
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,14 +221,14 @@ ORACLES = {
     "bm25_cascade": f"""WITH {_score_sql(PLAIN)}, {_score_sql(PLAIN, FOLDED, "_x")},
 u AS (SELECT query_id, uid, score, 0 AS stage FROM a WHERE matched = n_terms UNION ALL SELECT query_id, uid, score, 1 FROM a UNION ALL SELECT query_id, uid, score, 2 FROM a_x),
 v AS (SELECT * FROM u QUALIFY stage = min(stage) OVER (PARTITION BY query_id))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, score, stage FROM v QUALIFY rank <= {K}""",
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, round(score, 4) AS score, stage FROM v QUALIFY rank <= {K}""",
     "lexical_fill": f"""WITH {_score_sql(PLAIN)}, {_score_sql(PLAIN, FOLDED, "_x")},
 u AS (SELECT query_id, uid, score, 0 AS stage FROM a WHERE matched = n_terms UNION ALL SELECT query_id, uid, score, 1 FROM a_x WHERE matched = n_terms),
 v AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, uid ORDER BY stage) = 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, uid)::INTEGER AS rank, uid AS doc_id, score, stage FROM v QUALIFY rank <= {K}""",
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, score DESC, uid)::INTEGER AS rank, uid AS doc_id, round(score, 4) AS score, stage FROM v QUALIFY rank <= {K}""",
     "stopword_relaxed": f"WITH {_score_sql([L.relaxed(q) for q in REQUESTS])} {_TOP.format('a')}",
     "scope_filter": f"""WITH {_score_sql(SCOPES)}, v AS (SELECT a.*, source FROM a JOIN documents ON uid = doc_id WHERE query_id = 2 OR query_id = 1 AND source IN ('src1', 'src2', 'src3'))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, score, source FROM v QUALIFY rank <= {K}""",
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS doc_id, round(score, 4) AS score, source FROM v QUALIFY rank <= {K}""",
     "phrase_match": _phrase_sql(),
     "trigram_topk": _trigram_sql(),
     "substring_topk": _substring_sql(),
