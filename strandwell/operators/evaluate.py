@@ -68,10 +68,12 @@ def invalid_predictions(predictions: DataFrame, most: int = 100) -> DataFrame:
     return per_query.select("query_id", F.explode(codes).alias("c")).select("query_id", "c.code", "c.n").filter("n > 0")
 
 
-def votes(hits: DataFrame) -> DataFrame:
-    """query_id, video, votes: 51 - rank for the first 50 hits, 30 more for the best rank of a second lane."""
-    by_lane = hits.filter("rank <= 50").groupBy("query_id", "video", "lane").agg(F.sum(51 - F.col("rank")).alias("v"))
-    return by_lane.groupBy("query_id", "video").agg((F.sum("v") + 30 * (F.count("*") - 1)).alias("votes"), F.count("*").alias("lanes"))
+def votes(hits: DataFrame, whole: str, phrase: str, speech: str) -> DataFrame:
+    """query_id, video, votes, lanes: 50 - rank for a hit of the whole query, 20 for the first of a phrase's 20 best hits, 19 for the second and so on,
+    and 30 for a hit of speech."""
+    vote = F.when(F.col("lane") == whole, 50 - F.col("rank")).when((F.col("lane") == phrase) & (F.col("rank") <= 20), 21 - F.col("rank")).when(F.col("lane") == speech, F.lit(30))
+    cast = hits.withColumn("v", vote).filter("v IS NOT NULL")
+    return cast.groupBy("query_id", "video").agg(F.sum("v").cast("long").alias("votes"), F.countDistinct("lane").alias("lanes"))
 
 
 def review_candidates(hits: DataFrame, lanes: list[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Evidence windows from ranked hits of several lanes, and their ranking by reciprocal ranks.
 
-Hits are rows of (query_id, provider, evidence_id, video, rank, start, end, anchor), times in seconds. A lane returns a bounded number of hits for a query, so
-the hits of one query and video are few. Windows are a left fold over the hits in order of anchors; wherever two neighbours are more than `merge` apart a
+Hits are rows of (query_id, provider, evidence_id, video, rank, start, end, anchor), times in seconds. Windows are a left fold over the hits in order of anchors; wherever two neighbours are more than `merge` apart a
 window ends in any case, so the fold runs within stretches without such a gap and never over a whole video.
 """
 
@@ -82,10 +81,31 @@ def windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN_SEC, k
     )
 
 
-def window_id(policy: str = "1") -> Column:
-    """An id from what makes a window: policy, video, bounds and evidence."""
-    parts = F.concat_ws("|", F.lit(policy), F.col("video").cast("string"), F.format_number("start", 6), F.format_number("end", 6), "evidence")
-    return F.concat(F.lit("ew_"), F.substring(F.sha2(parts, 256), 1, 24))
+def _number(seconds: Column) -> Column:
+    """A time of six digits at most as JSON has it: no exponent, no trailing zeros, one digit behind the point at least."""
+    return F.regexp_replace(F.round(seconds, 6).cast("decimal(20,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+def window_id(policy: str = "window_policy_v1") -> Column:
+    """An id from what makes a window: the digest of its evidence (in order of names), bounds, policy and video as JSON without spaces."""
+    quoted = F.concat_ws(",", F.transform(F.array_sort(F.split("evidence", ",")), lambda e: F.concat(F.lit('"'), e, F.lit('"'))))
+    said = F.concat(
+        F.lit('{"end_sec":'), _number(F.col("end")), F.lit(',"evidence_ids":['), quoted, F.lit(f'],"policy_version":"{policy}","start_sec":'), _number(F.col("start")),
+        F.lit(',"video_id":"'), F.coalesce(F.col("video").cast("string"), F.lit("")), F.lit('"}'),
+    )
+    return F.concat(F.lit("ew_"), F.substring(F.sha2(said, 256), 1, 24))
+
+
+def contract_violations(found: DataFrame, span: float = SPAN_SEC, k: int = RRF_K) -> DataFrame:
+    """video, start, code of windows that break the answer's contract: SPAN, NO_EVIDENCE, REPEATED_EVIDENCE, RANK, RRF (recomputed to 1e-9)."""
+    names = F.split("evidence", ",")
+    ranks = F.transform(F.split("lanes", ","), lambda x: F.element_at(F.split(x, "="), 2).cast("int"))
+    again = F.aggregate(ranks, F.lit(0.0), lambda s, r: s + 1.0 / (k + r))
+    codes = F.array(
+        F.when(~((F.col("end") - F.col("start")).between(0, span)), "SPAN"), F.when(F.coalesce(F.col("evidence"), F.lit("")) == "", "NO_EVIDENCE"),
+        F.when(F.size(F.array_distinct(names)) < F.size(names), "REPEATED_EVIDENCE"), F.when(F.exists(ranks, lambda r: r.isNull() | (r < 1)), "RANK"), F.when(F.abs(F.col("rrf") - again) > 1e-9, "RRF"),
+    )
+    return found.select("video", "start", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
 
 
 def rank_windows(found: DataFrame, limit: int) -> DataFrame:

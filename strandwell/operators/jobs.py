@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 def dense_index(table: DataFrame, key: str, parts: int = 64, name: str = "idx") -> DataFrame:
     """The rows numbered from 0 in order of `key` (numbers, distinct), without one task that sorts all.
 
-    Quantiles cut the keys into `parts` ranges; ranges are counted, and rows are numbered within their range from its start on."""
+    Quantiles cut the keys into `parts` ranges; ranges are counted, and rows are numbered within their range from its start on. Rows without a
+    key come first, in order of a hash of their columns, which also deals them to ranges of their own."""
     cuts = sorted(set(table.approxQuantile(key, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
     part = sum(((F.col(key) > c).cast("int") for c in cuts), F.lit(0)) if len(cuts) < 16 else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(key) > c))
-    ranged = table.withColumn("_part", part)
+    none = F.xxhash64(*[c for c, kind in table.dtypes if not kind.startswith("map")])
+    ranged = table.withColumn("_h", none).withColumn("_part", F.when(F.col(key).isNull(), -1 - F.pmod("_h", F.lit(parts))).otherwise(part))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # A row for each range.
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return ranged.withColumn("_row", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(key, "_h")) - 1
+    return ranged.withColumn("_row", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start", "_h")
 
 
 def fixed_shards(indexed: DataFrame, size: int) -> DataFrame:

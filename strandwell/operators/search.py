@@ -1,7 +1,7 @@
 """Unified search: a checked request, the lanes that answer it, and one fused, ranked list of evidence windows.
 
-A lane is anything with a name, a check whether it is available, and `hits`, a DataFrame of the fusion module's hits. Lanes are planned into one
-query; a lane that can't be planned is left out and reported, as long as another one answers.
+A lane is anything with a name, a check whether it is available, and `hits`, a DataFrame of the fusion module's hits. Each lane runs by itself and
+hands over its `PER_LANE` best hits; a lane that can't be planned or fails when it runs is left out and reported, as long as another one answers.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from strandwell.operators.fusion import checked, rank_windows, windows
 
 LANES = ("visual", "asr", "ocr", "object")
 PER_LANE = 100
-# Limits of a request.
-MOST_VIDEOS, MOST_RESULTS = 873, 100
+# Fixed value: the limit of a request.
+MOST_RESULTS = 100
 REQUEST_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._:-]{0,127}")
 # Words that suggest a lane; they explain a plan and never take a lane away.
 HINTS = {"ocr": ("sign", "text", "caption", "written"), "asr": ("says", "said", "speech", "talks"), "object": ("holding", "wearing", "car", "person"), "visual": ("scene", "color", "background")}
@@ -26,7 +26,7 @@ HINTS = {"ocr": ("sign", "text", "caption", "written"), "asr": ("says", "said",
 
 @dataclass(frozen=True)
 class Request:
-    """A request; empty `video_ids` means no restriction."""
+    """A request; empty `video_ids` means no restriction, and `most_videos` is the number of videos of the corpus."""
 
     request_id: str
     query: str
@@ -35,6 +35,7 @@ class Request:
     start_sec: float | None = None
     end_sec: float | None = None
     limit: int = 20
+    most_videos: int | None = None
 
     def __post_init__(self) -> None:
         if not REQUEST_ID.fullmatch(self.request_id):
@@ -43,7 +44,7 @@ class Request:
             raise ValueError("query")
         if not self.lanes or len(set(self.lanes)) != len(self.lanes) or not set(self.lanes) <= set(LANES):
             raise ValueError("lanes")
-        if len(self.video_ids) > MOST_VIDEOS or len(set(self.video_ids)) != len(self.video_ids):
+        if (self.most_videos is not None and len(self.video_ids) > self.most_videos) or len(set(self.video_ids)) != len(self.video_ids):
             raise ValueError("video_ids")
         if not 0 <= (self.start_sec or 0.0) <= (float("inf") if self.end_sec is None else self.end_sec):
             raise ValueError("start_sec, end_sec")
@@ -77,12 +78,29 @@ def reasons(query: str) -> list[str]:
     return [f"{lane}:{w}" for lane, hints in HINTS.items() for w in hints if w in words]
 
 
+class InvalidConfig(ValueError):
+    """What a lane raises that isn't set up for a request."""
+
+
+def outcome(spark: SparkSession, lane: Lane | None, request: Request) -> tuple[str, DataFrame | None]:
+    """A lane's status (OK, EMPTY, UNAVAILABLE, SKIPPED_INVALID_CONFIG or ERROR) and its `PER_LANE` best hits, which are all that is kept of it."""
+    try:
+        if lane is None or not lane.available():
+            return "UNAVAILABLE", None
+        hits = lane.hits(spark, request)
+        rows = hits.filter(F.col("rank") <= PER_LANE).orderBy("rank", "evidence_id").limit(PER_LANE).collect()
+        return "OK" if rows else "EMPTY", spark.createDataFrame(rows, hits.schema)
+    except InvalidConfig:
+        return "SKIPPED_INVALID_CONFIG", None
+    except Exception as error:  # a lane's fault is reported, not spread
+        return f"ERROR: {type(error).__name__}", None
+
+
 def fused_hits(parts: list[DataFrame], request: Request) -> DataFrame:
     """The lanes' best hits within the request's videos and times. The time range comes after each lane's cut, as a lane doesn't know it."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    every = every.filter(F.col("rank") <= PER_LANE)
     if request.start_sec is not None:
         every = every.filter(F.col("anchor") >= request.start_sec)
     if request.end_sec is not None:
@@ -92,19 +110,26 @@ def fused_hits(parts: list[DataFrame], request: Request) -> DataFrame:
 
 def search(spark: SparkSession, request: Request, lanes: list[Lane]) -> Answer:
     """Windows of the request's lanes: OK if all answer, PARTIAL if some do, ERROR if none does."""
-    status: dict[str, str] = {}
-    parts: list[DataFrame] = []
     by_name = {lane.name: lane for lane in lanes}
-    for name in request.lanes:
-        lane = by_name.get(name)
-        try:
-            if lane is None or not lane.available():
-                status[name] = "UNAVAILABLE"
-                continue
-            parts.append(lane.hits(spark, request))
-            status[name] = "OK"
-        except Exception as error:  # a lane's fault is reported, not spread
-            status[name] = f"ERROR: {type(error).__name__}"
+    found = {name: outcome(spark, by_name.get(name), request) for name in request.lanes}
+    parts = [hits for _, hits in found.values() if hits is not None]
     overall = "OK" if len(parts) == len(request.lanes) else "PARTIAL" if parts else "ERROR"
-    found = rank_windows(windows(checked(fused_hits(parts, request))), request.limit) if parts else None
-    return Answer(found, overall, status, reasons(request.query))
+    ranked = rank_windows(windows(checked(fused_hits(parts, request))), request.limit) if parts else None
+    return Answer(ranked, overall, {name: status for name, (status, _) in found.items()}, reasons(request.query))
+
+
+def distinct_lanes(names: list[str], aliases: dict[str, str]) -> list[str]:
+    """The lanes asked for by their own names, each once, in the order in which they first come."""
+    return list(dict.fromkeys(aliases.get(name, name) for name in names))
+
+
+def side_by_side(spark: SparkSession, request: Request, lanes: list[Lane], names: list[str], aliases: dict[str, str]) -> DataFrame:
+    """lane, status, n_hits, n_videos, overall of lanes that run one after the other without fusion: OK if all are OK or EMPTY, PARTIAL if some, else ERROR."""
+    by_name, rows = {lane.name: lane for lane in lanes}, []
+    for name in distinct_lanes(names, aliases):
+        status, hits = outcome(spark, by_name.get(name), request)
+        counts = hits.agg(F.count("*").alias("n"), F.countDistinct("video").alias("k")).first() if hits is not None else {"n": 0, "k": 0}
+        rows.append((name, status.partition(":")[0], counts["n"], counts["k"]))
+    fine = sum(r[1] in ("OK", "EMPTY") for r in rows)
+    overall = "OK" if fine == len(rows) else "PARTIAL" if fine else "ERROR"
+    return spark.createDataFrame([(*r, overall) for r in rows], "lane string, status string, n_hits long, n_videos long, overall string")

@@ -1,15 +1,21 @@
 """Temporal sequences: chains of hits of 2 to 5 steps within a video.
 
-For every choice of steps, longest first, hits of the chosen steps are joined step by step within their video under the rules of order, gap
-and span. Of each video the first chains in the order of enumeration are kept (by choice of steps, then by the hits' places),
-before anything is ranked; a hit alone counts only where its video has no longer chain. A step has a bounded number of hits (its top k), which bounds the joins.
+For every choice of steps, longest first, chains of hits of the chosen steps are built within their video under the rules of order, gap and span.
+Of each video the first chains in the order of enumeration are kept (by choice of steps, then by the hits' places), before anything is ranked;
+a hit alone counts only where its video has no longer chain. A video's hits meet in one task, which builds chains in this order and stops when it has
+enough, so that nothing is joined that isn't kept; ends that lead nowhere are remembered, so the search stays small where no chain is found.
+
+Defined results: hits with a null video are one video; hits with null times make no chain; repeated hits are one run of hits; no hits give no rows.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import combinations, islice
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwell.operators.fusion import session_dedup
@@ -26,27 +32,70 @@ def group_of(indices: tuple[int, ...], total: int) -> str:
     return "PARTIAL"
 
 
-def _chains(steps: DataFrame, indices: tuple[int, ...], total: int, strict: bool, min_gap: int, max_gap: int, max_span: int | None, order: int) -> DataFrame:
-    """The chains over one choice of steps."""
-    chain: DataFrame | None = None
-    for index in indices:
-        here = steps.filter(F.col("step_index") == index).select(
-            "case_id", "video", F.col("pos").alias("p"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.col("native_rank").alias("r"), F.col("evidence_id").alias("v")
-        )
-        if chain is None:
-            chain = here.select("case_id", "video", F.col("s").alias("first"), F.col("e").alias("last"), F.col("e").alias("top"), F.col("r").alias("ranks"), F.col("r").alias("worst"), F.lit(0).cast("long").alias("gaps"), F.array("p").alias("places"), F.array("v").alias("evidence"))
-        else:
-            met = chain.join(here, ["case_id", "video"])
-            gap = F.col("s") - F.col("last")
-            if strict:
-                met = met.filter((gap >= 0) & (gap >= min_gap) & (gap <= max_gap))
-            chain = met.select(
-                "case_id", "video", F.least("first", "s").alias("first"), F.col("e").alias("last"), F.greatest("top", "e").alias("top"), (F.col("ranks") + F.col("r")).alias("ranks"),
-                F.greatest("worst", "r").alias("worst"), (F.col("gaps") + gap).alias("gaps"), F.concat("places", F.array("p")).alias("places"), F.concat("evidence", F.array("v")).alias("evidence"),
-            )
-        if max_span is not None:
-            chain = chain.filter(F.col("top") - F.col("first") <= max_span)
-    return chain.select("*", F.lit(len(indices)).alias("matched"), F.lit(",".join(map(str, indices))).alias("steps"), F.lit(group_of(indices, total)).alias("match_group"), F.lit(order).alias("choice"))
+Hit = tuple[int, int, int, int]  # start, end, rank, evidence
+
+
+def chains(steps: list[list[Hit]], strict: bool, min_gap: int, max_gap: int, max_span: int | None) -> Iterator[tuple[int, ...]]:
+    """The chains over the steps' hits (each in order), as places, in the order of the places."""
+    total, dead = len(steps), set()
+
+    def go(depth: int, last: int, first: int, top: int) -> Iterator[tuple[int, ...]]:
+        if depth == total:
+            yield ()
+            return
+        state = (depth, last if strict else 0, first, top)
+        if state in dead:
+            return
+        found = False
+        hits = steps[depth]
+        begin = bisect_left(hits, last + max(0, min_gap), key=lambda h: h[0]) if strict and depth else 0
+        for k in range(begin, len(hits)):
+            start, end, *_ = hits[k]
+            if strict and depth and start - last > max_gap:
+                break
+            low, high = (min(first, start), max(top, end)) if depth else (start, end)
+            if max_span is not None and high - low > max_span:
+                continue
+            for rest in go(depth + 1, end, low, high):
+                found = True
+                yield (k, *rest)
+        if not found:
+            dead.add(state)
+
+    return go(0, 0, 0, 0)
+
+
+CHAINS = "case_id {case}, video {video}, first long, top long, ranks int, worst int, gaps long, evidence string, matched int, steps string, match_group string, number int"
+
+
+def _enumerated(steps: DataFrame, total: int, strict: bool, min_gap: int, max_gap: int, max_span: int | None, per_video: int) -> DataFrame:
+    """The first `per_video` chains of every case and video."""
+    choices = [c for n in range(total, 0, -1) for c in combinations(range(total), n)]
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.dropna(subset=["start_ms", "end_ms"]).sort_values(["step_index", "pos"])
+        by_step: list[list[Hit]] = [[] for _ in range(total)]
+        for step, *hit in zip(frame["step_index"], frame["start_ms"], frame["end_ms"], frame["native_rank"], frame["evidence_id"], strict=True):
+            if 0 <= step < total:
+                by_step[step].append(tuple(int(x) for x in hit[:3]) + (hit[3],))
+        rows = []
+        for choice in choices:
+            if len(rows) == per_video or (len(choice) == 1 and rows and rows[0][-4] > 1):
+                break
+            mine = [by_step[k] for k in choice]
+            for places in islice(chains(mine, strict, min_gap, max_gap, max_span), per_video - len(rows)):
+                hits = [h[k] for h, k in zip(mine, places, strict=True)]
+                gaps = sum(b[0] - a[1] for a, b in zip(hits, hits[1:], strict=False))
+                ranks, worst = sum(h[2] for h in hits), max(h[2] for h in hits)
+                named = ",".join(str(h[3]) for h in hits)
+                rows.append((min(h[0] for h in hits), max(h[1] for h in hits), ranks, worst, gaps, named, len(choice), ",".join(map(str, choice)), group_of(choice, total), len(rows) + 1))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHAINS.split(", ")[2:]])
+        out.insert(0, "video", frame["video"].iloc[0] if len(frame) else None)
+        out.insert(0, "case_id", frame["case_id"].iloc[0] if len(frame) else None)
+        return out
+
+    kinds = dict(steps.dtypes)
+    return steps.groupBy("case_id", "video").applyInPandas(build, CHAINS.format(case=kinds["case_id"], video=kinds["video"]))
 
 
 def match(
@@ -60,16 +109,8 @@ def match(
     keys = ["case_id", "step_index", "video"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("start_ms", "native_rank", "evidence_id"))
     steps = session_dedup(hits, keys, dedup_ms).withColumn("pos", place)
-    choices = [c for n in range(total, 0, -1) for c in combinations(range(total), n)]
-    every: DataFrame | None = None
-    for order, choice in enumerate(choices):
-        part = _chains(steps, choice, total, strict, min_gap, max_gap, max_span, order)
-        every = part if every is None else every.unionByName(part)
-    video = Window.partitionBy("case_id", "video")
-    longest = every.withColumn("_most", F.max("matched").over(video)).filter((F.col("matched") > 1) | (F.col("_most") == 1))
-    numbered = longest.withColumn("number", F.row_number().over(video.orderBy("choice", "places"))).filter(F.col("number") <= per_video)
+    numbered = _enumerated(steps, total, strict, min_gap, max_gap, max_span, per_video)
     span = (F.col("top") - F.col("first")).alias("span")
     rank = Window.partitionBy("case_id", "match_group").orderBy(F.col("matched").desc(), "ranks", "worst", F.col("top") - F.col("first"), "gaps", "video", "first", F.col("number").cast("string"))
     ranked = numbered.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= per_group)
-    text: Column = F.concat_ws(",", F.transform("evidence", lambda e: e.cast("string")))
-    return ranked.select("case_id", "match_group", "place", "video", "steps", "matched", text.alias("evidence"), "ranks", "worst", span, "gaps")
+    return ranked.select("case_id", "match_group", "place", "video", "steps", "matched", "evidence", "ranks", "worst", span, "gaps")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwell.functions.scalars import idf
+from strandwell.functions.text import accentless, facet_phrase
 
 
 def postings(detections: DataFrame, best: int = 5) -> DataFrame:
@@ -83,9 +84,47 @@ def discover(dictionary: DataFrame, text: str, limit: int = 25) -> DataFrame:
 
 
 def vocabulary_audit(facets: DataFrame) -> DataFrame:
-    """namespace, n, n_distinct, p50, p90, p99 of value lengths: the value at position int(n * p) of the sorted lengths."""
-    rank = F.row_number().over(Window.partitionBy("namespace").orderBy("len", "value")) - 1
-    size = F.count("*").over(Window.partitionBy("namespace"))
-    rows = facets.select("namespace", "value", F.length("value").alias("len")).withColumn("r", rank).withColumn("n", size)
-    at = lambda p: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p).cast("int"), (F.col("n") - 1).cast("int")), F.col("len")))
-    return rows.groupBy("namespace").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_distinct"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    """namespace, n, n_distinct, p50, p90, p99 of value lengths: the value at position int(n * p) of the sorted lengths.
+
+    Lengths are counted first; positions are running sums over the counts, a row for each namespace and length."""
+    values = facets.select("namespace", F.col("value"), F.length("value").alias("len"))
+    counts = values.groupBy("namespace", "len").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("namespace").orderBy("len"))
+    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy("namespace")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("len")))
+    found = placed.groupBy("namespace").agg(F.first("n").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    distinct = values.groupBy("namespace").agg(F.countDistinct("value").alias("n_distinct")).withColumnRenamed("namespace", "_namespace")
+    return found.join(distinct, F.col("namespace").eqNullSafe(F.col("_namespace"))).select("namespace", "n", "n_distinct", "p50", "p90", "p99")
+
+
+def vocabulary_top(facets: DataFrame, most: int = 50) -> DataFrame:
+    """namespace, place, value, n: the most frequent values of each namespace, the smaller first among equals."""
+    counts = facets.groupBy("namespace", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("namespace").orderBy(F.col("n").desc(), "value")
+    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("namespace", "place", "value", "n")
+
+
+def vocabulary_collisions(facets: DataFrame, key: Column) -> DataFrame:
+    """namespace, key, values, n_values: values of a namespace that fall together under a normal form."""
+    kinds = facets.select("namespace", "value", key.alias("key")).distinct().groupBy("namespace", "key")
+    found = kinds.agg(F.concat_ws("|", F.sort_array(F.collect_list("value"))).alias("values"), F.count("*").alias("n_values"))
+    return found.filter("n_values > 1")
+
+
+NAMESPACES = ("scene", "action", "object", "attribute", "relation", "text")
+
+
+def resolve_facets(wanted: DataFrame, dictionary: DataFrame, aliases: DataFrame, namespaces: tuple[str, ...] = NAMESPACES) -> DataFrame:
+    """query_id, namespace, raw, facet_id, how of each asked value: its own facet ('exact'), or the first facet that has the value as it
+    stands or without accents as an alias ('alias'); values of other namespaces and values that nothing answers to are left out.
+
+    `wanted` has query_id, namespace, raw and is a request's; `dictionary` has facet_id, namespace, ordinal; `aliases` has ordinal, alias."""
+    norm = facet_phrase(F.col("raw"))
+    asked = wanted.filter(F.col("namespace").isin(list(namespaces)) & (F.length(norm) > 0)).select("query_id", "namespace", "raw", norm.alias("norm")).distinct()
+    own = dictionary.select(F.col("facet_id").alias("own"))
+    exact = asked.withColumn("id", F.concat_ws("/", "namespace", "norm")).join(own, F.col("id") == F.col("own"), "left")
+    known = dictionary.select("ordinal", "namespace", F.col("facet_id").alias("other")).join(aliases, "ordinal")
+    forms = exact.filter("own IS NULL").select("query_id", "namespace", "raw", F.explode(F.array_distinct(F.array("raw", accentless(F.col("norm"))))).alias("alias"))
+    other = known.join(F.broadcast(forms), ["namespace", "alias"]).groupBy("query_id", "namespace", "raw").agg(F.min_by("other", "ordinal").alias("facet_id"))
+    found = exact.filter("own IS NOT NULL").select("query_id", "namespace", "raw", F.col("own").alias("facet_id"), F.lit("exact").alias("how"))
+    return found.unionByName(other.withColumn("how", F.lit("alias")))

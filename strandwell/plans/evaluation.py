@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandwell.operators import compare as P
 from strandwell.operators import evaluate as E
 from strandwell.operators import sequence as Q
+from strandwell.plans.fusion import ranked
 from strandwell.plans.timeline import EVENTS, events
 
 LANES = ["click", "error", "purchase", "view"]
@@ -52,16 +53,14 @@ def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEPS = ["click", "view", "purchase"]
-TOP = 600
 
 
 def _steps(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     rows = events(spark, sf_dir).filter(F.col("space").isin(STEPS[:n]))
-    index = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("space")).cast("int") - 1
-    order = Window.partitionBy("space").orderBy(F.col("value").desc(), "uid")
-    ranked = rows.withColumn("native_rank", F.row_number().over(order)).filter(F.col("native_rank") <= TOP)
-    end = F.col("ms") + F.when(F.col("space") == "view", 1000 * (F.col("uid") % 60)).otherwise(0)
-    return ranked.select(F.lit(1).alias("case_id"), index.alias("step_index"), "video", F.col("ms").alias("start_ms"), end.alias("end_ms"), "native_rank", F.col("uid").alias("evidence_id"))
+    hits = ranked(rows.select(F.col("space").alias("provider"), F.col("uid").alias("evidence_id"), F.col("value").alias("raw_score"), "video", "ms")).withColumnRenamed("rank", "native_rank")
+    index = F.array_position(F.array(*[F.lit(s) for s in STEPS]), F.col("provider")).cast("int") - 1
+    end = F.col("ms") + F.when(F.col("provider") == "view", 1000 * (F.col("evidence_id") % 60)).otherwise(0)
+    return hits.select(F.lit(1).alias("case_id"), index.alias("step_index"), "video", F.col("ms").alias("start_ms"), end.alias("end_ms"), "native_rank", "evidence_id")
 
 
 DAY = 86_400_000
@@ -133,7 +132,7 @@ def prediction_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.votes(_hits(spark, sf_dir))
+    return E.votes(_hits(spark, sf_dir), "click", "view", "purchase")
 
 
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +147,8 @@ QUERIES = {
 }
 
 _HITS = f"""{EVENTS}, h AS (SELECT uid % 5 AS query_id, space AS lane, video, uid % 97 AS item, uid, row_number() OVER (PARTITION BY uid % 5, space ORDER BY value DESC, uid) AS rank FROM e WHERE space IN ('click', 'error', 'purchase', 'view') QUALIFY rank <= 60)"""
-_TRUTH = f"""{EVENTS}, g AS (SELECT DISTINCT video AS query_id, video % 7 AS gt_video, [video * 5, 700, video * 11] AS lo, [video * 5 + 150, 750, video * 11 + 200] AS hi FROM e WHERE video < 60),
-p AS (SELECT video AS query_id, row_number() OVER (PARTITION BY video ORDER BY value DESC, uid) AS rank, uid % 7 AS video, uid % 1000 AS frame, [uid % 1000, uid * 7 % 1000, uid * 13 % 1000] AS frames FROM e WHERE e.video < 60 QUALIFY rank <= 100)"""
+_TRUTH = f"""{EVENTS}, g AS (SELECT DISTINCT video AS query_id, video % 7 AS gt_video, [video * 5, 700, video * 11] AS lo, [video * 5 + 150, 750, video * 11 + 200] AS hi FROM e WHERE video IS NOT NULL),
+p AS (SELECT video AS query_id, row_number() OVER (PARTITION BY video ORDER BY value DESC, uid) AS rank, uid % 7 AS video, uid % 1000 AS frame, [uid % 1000, uid * 7 % 1000, uid * 13 % 1000] AS frames FROM e WHERE e.video IS NOT NULL QUALIFY rank <= 100)"""
 _AT = ", ".join(f"CASE WHEN first_rank <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r_at_{k}" for k in E.CUTOFFS)
 _KIS = f"""{_TRUTH}, f AS (SELECT g.query_id, min(rank)::INTEGER AS first_rank FROM g JOIN p USING (query_id) WHERE video = gt_video AND (frame BETWEEN lo[1] AND hi[1] OR frame BETWEEN lo[2] AND hi[2] OR frame BETWEEN lo[3] AND hi[3]) GROUP BY 1),
 k AS (SELECT g.query_id, first_rank, {_AT} FROM g LEFT JOIN f USING (query_id))"""
@@ -174,7 +173,7 @@ def _sequence_sql(total: int, strict: bool, min_gap: int, max_gap: int, max_span
             f"concat_ws(',', {', '.join(f'{n}.evidence_id' for n in names)}) AS evidence FROM {', '.join(f'd {n}' for n in names)} WHERE {' AND '.join(where)}"
         )
     return f"""WITH {EVENTS}, h0 AS (SELECT list_position(['click', 'view', 'purchase'], space) - 1 AS step_index, video, ms AS start_ms, ms + CASE WHEN space = 'view' THEN 1000 * (uid % 60) ELSE 0 END AS end_ms,
-  row_number() OVER (PARTITION BY space ORDER BY value DESC, uid) AS native_rank, uid AS evidence_id FROM e WHERE space IN ({", ".join(repr(s) for s in STEPS[:total])}) QUALIFY native_rank <= {TOP}),
+  row_number() OVER (PARTITION BY space ORDER BY value DESC, uid) AS native_rank, uid AS evidence_id FROM e WHERE space IN ({", ".join(repr(s) for s in STEPS[:total])}) ),
 h1 AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY step_index, video ORDER BY start_ms, native_rank) > 1000 THEN 1 ELSE 0 END AS b FROM h0),
 h2 AS (SELECT *, sum(b) OVER (PARTITION BY step_index, video ORDER BY start_ms, native_rank ROWS UNBOUNDED PRECEDING) AS run FROM h1),
 h3 AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY step_index, video, run ORDER BY native_rank, start_ms, evidence_id) = 1),
@@ -206,6 +205,6 @@ SELECT g.query_id, first_rank, {", ".join(f"round(coalesce(a{k}, 0), 6) AS r_at_
     "eval_breakdown": f"WITH {_KIS} SELECT 't' || query_id % 3 AS trap, {_MEANS} FROM k GROUP BY 1",
     "prediction_violations": f"""WITH {_TRUTH}, n AS (SELECT query_id, count(*) AS n, count(DISTINCT rank) AS ranks, count(DISTINCT (video, frame % 40)) AS places FROM p GROUP BY 1)
 SELECT query_id, 'TOO_MANY' AS code, n - 60 AS n FROM n WHERE n > 60 UNION ALL SELECT query_id, 'REPEATED_RANK', n - ranks FROM n WHERE n > ranks UNION ALL SELECT query_id, 'REPEATED_PLACE', n - places FROM n WHERE n > places""",
-    "candidate_votes": f"WITH {_HITS}, l AS (SELECT query_id, video, lane, sum(51 - rank) AS v FROM h WHERE rank <= 50 GROUP BY ALL) SELECT query_id, video, (sum(v) + 30 * (count(*) - 1))::BIGINT AS votes, count(*) AS lanes FROM l GROUP BY ALL",
+    "candidate_votes": f"WITH {_HITS}, v AS (SELECT query_id, video, lane, CASE WHEN lane = 'click' THEN 50 - rank WHEN lane = 'view' AND rank <= 20 THEN 21 - rank WHEN lane = 'purchase' THEN 30 END AS v FROM h) SELECT query_id, video, sum(v)::BIGINT AS votes, count(DISTINCT lane) AS lanes FROM v WHERE v IS NOT NULL GROUP BY ALL",
     "review_candidates": f"WITH {_HITS} SELECT query_id, video, count(DISTINCT lane)::INTEGER AS n_lanes, {', '.join(f'min(rank) FILTER (lane = {x!r})::INTEGER AS rank_{x}' for x in LANES)} FROM h GROUP BY query_id, video",
 }

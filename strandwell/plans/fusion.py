@@ -1,4 +1,4 @@
-"""Fusion queries: the best events of each type as hits of four lanes on a folded time axis."""
+"""Fusion queries: all events of four types as hits of four lanes on a folded time axis, ranked by value."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from strandwell.plans.timeline import EVENTS, events
 LANES = {"click": "visual", "view": "asr", "purchase": "ocr", "error": "object"}
 #: Events of a user are laid on this many seconds, so that hits lie close together.
 FOLD = 300
-PER_LANE = 5000
+#: A lane's hits that a time range is applied to.
+PER_LANE = 100
 
 
 def lane_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +25,6 @@ def lane_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("start", F.greatest(F.lit(0.0), F.col("anchor") - half)).withColumn("end", F.col("anchor") + half)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hits of each lane: rank by value within the lane."""
-    order = Window.partitionBy("provider").orderBy(F.col("raw_score").desc(), "evidence_id")
-    return lane_events(spark, sf_dir).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PER_LANE)
-
-
 def ranked(rows: DataFrame, parts: int = 64) -> DataFrame:
     """All rows with their rank by value within the lane, without one task for a whole lane.
 
@@ -46,10 +41,26 @@ def ranked(rows: DataFrame, parts: int = 64) -> DataFrame:
     return within.withColumn("rank", (F.col("_start") + F.col("_row")).cast("int")).drop("_part", "_row", "_start")
 
 
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of each lane: rank by value within the lane."""
+    return ranked(lane_events(spark, sf_dir))
+
+
 def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.windows(X.checked(hits(spark, sf_dir))).drop("query_id")
 
 
+def window_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose evidence or ranks were spoilt on purpose, and whatever else breaks the contract."""
+    found = X.windows(hits(spark, sf_dir))
+    spoilt = found.withColumn("end", F.when(F.col("video") % 7 == 1, F.col("start") + 13).otherwise(F.col("end"))).withColumn("rrf", F.when(F.col("video") % 5 == 2, F.col("rrf") * 2).otherwise(F.col("rrf")))
+    return X.contract_violations(spoilt.withColumn("evidence", F.when(F.col("video") % 11 == 3, F.concat_ws(",", "evidence", "evidence")).otherwise(F.col("evidence"))))
+
+
+def window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.windows(hits(spark, sf_dir)).select("video", "start", X.window_id().alias("window_id"))
+
+
 def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.rank_windows(X.windows(hits(spark, sf_dir)), 100)
     return found.select("place", "video", "start", "end", "rrf", "best_rank", "n_evidence")
@@ -64,7 +75,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time range is applied to each lane's 100 best hits, not before they are chosen."""
-    return hits(spark, sf_dir).filter("rank <= 100").filter(F.col("anchor").between(60, 120)).select("provider", "rank", "evidence_id", "anchor")
+    return hits(spark, sf_dir).filter(F.col("rank") <= PER_LANE).filter(F.col("anchor").between(60, 120)).select("provider", "rank", "evidence_id", "anchor")
 
 
 def interval_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +89,12 @@ def session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "evidence_windows": evidence_windows, "window_rank": window_rank, "rrf_fusion": rrf_fusion, "time_filter_after_topk": time_filter, "interval_clamp": interval_clamp, "session_dedup": session_dedup,
+    "window_violations": window_violations, "window_ids": window_ids,
 }
 
 _HITS = f"""{EVENTS},
 r AS (SELECT CASE space WHEN 'click' THEN 'visual' WHEN 'view' THEN 'asr' WHEN 'purchase' THEN 'ocr' ELSE 'object' END AS provider, uid AS evidence_id, video, (ms % {FOLD * 1000}) / 1000 AS anchor, value FROM e WHERE space <> 'signup'),
-k AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY value DESC, evidence_id) AS rank FROM r QUALIFY rank <= {PER_LANE}),
+k AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY value DESC, evidence_id) AS rank FROM r),
 h AS (SELECT *, greatest(0, anchor - CASE WHEN provider = 'asr' THEN evidence_id % 16 ELSE 0 END)::DOUBLE AS s, (anchor + CASE WHEN provider = 'asr' THEN evidence_id % 16 ELSE 0 END)::DOUBLE AS t FROM k),
 c AS (SELECT *, CASE WHEN t - s > 12 THEN greatest(0, anchor - 6) ELSE s END AS lo, CASE WHEN t - s > 12 THEN anchor + 6 ELSE t END AS hi FROM h)"""
 _WINDOWS = f"""WITH RECURSIVE {_HITS},
@@ -100,8 +112,12 @@ g AS (SELECT video, no, round(min(lo), 6) AS start, round(max(hi), 6) AS "end",
 ORACLES = {
     "evidence_windows": f'{_WINDOWS} SELECT g.video, start, "end", n_evidence, evidence, best_rank::INTEGER AS best_rank, representative, kind, lanes, rrf FROM g JOIN f USING (video, no)',
     "window_rank": f'{_WINDOWS} SELECT row_number() OVER (ORDER BY rrf DESC, best_rank, video, start)::INTEGER AS place, video, start, "end", rrf, best_rank::INTEGER AS best_rank, n_evidence FROM g JOIN f USING (video, no) QUALIFY place <= 100',
+    "window_violations": f"""{_WINDOWS}, s AS (SELECT g.video, start, CASE WHEN g.video % 7 = 1 THEN start + 13 ELSE "end" END AS e, CASE WHEN g.video % 11 = 3 THEN 1 ELSE 0 END AS twice, CASE WHEN g.video % 5 = 2 THEN 2 ELSE 1 END AS times FROM g)
+SELECT video, start, 'SPAN' AS code FROM s WHERE NOT (e - start BETWEEN 0 AND 12) UNION ALL SELECT video, start, 'REPEATED_EVIDENCE' FROM s WHERE twice = 1 UNION ALL SELECT video, start, 'RRF' FROM s WHERE times = 2""",
+    "window_ids": f"""{_WINDOWS}, i AS (SELECT m.video, m.no, string_agg('"' || provider || ':' || evidence_id || '"', ',' ORDER BY provider || ':' || evidence_id) AS ids FROM m GROUP BY ALL)
+SELECT g.video, start, 'ew_' || substr(sha256('{{"end_sec":' || regexp_replace("end"::DECIMAL(20,6)::VARCHAR, '([.][0-9]+?)0+$', '\\1') || ',"evidence_ids":[' || ids || '],"policy_version":"window_policy_v1","start_sec":' || regexp_replace(start::DECIMAL(20,6)::VARCHAR, '([.][0-9]+?)0+$', '\\1') || ',"video_id":"' || g.video || '"}}'), 1, 24) AS window_id FROM g JOIN i USING (video, no)""",
     "rrf_fusion": f"WITH {_HITS}, b AS (SELECT video, provider, min(rank) AS best FROM h GROUP BY ALL) SELECT video, count(*)::INTEGER AS lanes, round(list_sum(list(1.0::DOUBLE / (60 + best) ORDER BY best)), 9) AS rrf FROM b GROUP BY video",
-    "time_filter_after_topk": f"WITH {_HITS} SELECT provider, rank::INTEGER AS rank, evidence_id, anchor FROM h WHERE rank <= 100 AND anchor BETWEEN 60 AND 120",
+    "time_filter_after_topk": f"WITH {_HITS} SELECT provider, rank::INTEGER AS rank, evidence_id, anchor FROM h WHERE rank <= {PER_LANE} AND anchor BETWEEN 60 AND 120",
     "interval_clamp": f"WITH {_HITS} SELECT evidence_id, round(lo, 3) AS lo, round(hi, 3) AS hi FROM c WHERE provider = 'asr'",
     "session_dedup": f"""WITH {_HITS}, s AS (SELECT provider, video, evidence_id, round(anchor * 1000)::BIGINT AS start_ms, rank::INTEGER AS native_rank FROM h),
 q AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY provider, video ORDER BY start_ms, native_rank) > 2000 THEN 1 ELSE 0 END AS b FROM s),

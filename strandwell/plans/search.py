@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwell.operators import dense as D
 from strandwell.operators import lexical as L
-from strandwell.operators.search import Request, search
+from strandwell.operators.search import InvalidConfig, Request, search, side_by_side
 from strandwell.sources.tables import table
 
 VIDEOS, STEP = 60, 3.0
@@ -65,22 +65,52 @@ def orchestrated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.windows.select("place", "video", "start", "end", "evidence", "lanes", "rrf", "representative", F.lit(answer.status).alias("status"))
 
 
-QUERIES = {"orchestrated_search": orchestrated_search}
+class Broken(_Lane):
+    """A lane that is planned without fault and fails when it runs."""
+
+    def hits(self, spark: SparkSession, request: Request) -> DataFrame:
+        return Pictures(self.name, self.sf_dir).hits(spark, request).withColumn("anchor", F.raise_error(F.lit("no index")).cast("double"))
+
+
+class Away(_Lane):
+    def available(self) -> bool:
+        return False
+
+
+class Unset(_Lane):
+    def hits(self, spark: SparkSession, request: Request) -> DataFrame:
+        raise InvalidConfig("no encoder")
+
+
+def compare_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes side by side: two that answer, an alias of one of them, and four that don't, each for its own reason."""
+    lanes = [Pictures("visual", sf_dir), Speech("asr", sf_dir), Broken("ocr", sf_dir), Away("object", sf_dir), Unset("caption", sf_dir), Pictures("siglip_custom", sf_dir)]
+    return side_by_side(spark, REQUEST, lanes, ["visual", "asr", "ocr", "object", "caption", "siglip", "siglip_custom"], {"siglip": "siglip_custom"})
+
+
+QUERIES = {"orchestrated_search": orchestrated_search, "compare_lanes": compare_lanes}
 
-_BM25 = "round({f} * 2.2::DOUBLE / ({f} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) * idf, 4)"
 ORACLES = {
+    "compare_lanes": rf"""WITH p AS (SELECT count(*) AS n, count(DISTINCT v) AS k FROM (SELECT vec_id % {VIDEOS} AS v FROM (SELECT a.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE b.vec_id = {VECTOR} ORDER BY s DESC, a.vec_id LIMIT 100))),
+w AS (SELECT conv_id * 100 + turn AS uid, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations), c AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM w),
+tf AS (SELECT term, uid, count(*) AS f, any_value(len) AS len FROM (SELECT uid, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN {TERMS} GROUP BY ALL),
+ti AS (SELECT term, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT term, count(*) AS n FROM tf GROUP BY 1), c),
+sa AS (SELECT uid, list_sum(list(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) ORDER BY term)) AS score FROM tf JOIN ti USING (term) GROUP BY uid ORDER BY score DESC, uid LIMIT 100),
+a AS (SELECT count(*) AS n, count(DISTINCT uid // 100 % {VIDEOS}) AS k FROM sa)
+SELECT lane, status, n_hits, n_videos, 'PARTIAL' AS overall FROM (SELECT 'visual' AS lane, 'OK' AS status, n AS n_hits, k AS n_videos FROM p UNION ALL SELECT 'asr', 'OK', n, k FROM a UNION ALL SELECT 'ocr', 'ERROR', 0, 0 UNION ALL SELECT 'object', 'UNAVAILABLE', 0, 0
+UNION ALL SELECT 'caption', 'SKIPPED_INVALID_CONFIG', 0, 0 UNION ALL SELECT 'siglip_custom', 'OK', n, k FROM p)""",
     "orchestrated_search": rf"""
 WITH RECURSIVE d AS (SELECT conv_id * 100 + turn AS uid, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations),
 c AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl, avg(greatest(length(text) - 2, 0)) AS avgtl FROM d),
 tf AS (SELECT term, uid, count(*) AS f, any_value(len) AS len FROM (SELECT uid, len(w) AS len, unnest(w) AS term FROM d) WHERE term IN {TERMS} GROUP BY ALL),
 ti AS (SELECT term, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT term, count(*) AS n FROM tf GROUP BY 1), c),
-sa AS (SELECT uid, round(sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 4) AS score FROM tf JOIN ti USING (term) GROUP BY uid),
+sa AS (SELECT uid, list_sum(list(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) ORDER BY term)) AS score FROM tf JOIN ti USING (term) GROUP BY uid),
 gf AS (SELECT uid, greatest(length(text) - 2, 0) AS len, (length(t) - length(replace(t, '{NEEDLE}', ''))) // {len(NEEDLE)} AS f FROM (SELECT *, replace(strip_accents(lower(text)), 'đ', 'd') AS t FROM d) WHERE contains(t, '{NEEDLE}')),
 gi AS (SELECT greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgtl FROM (SELECT count(*) AS n FROM gf), c),
-so AS (SELECT uid, round(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgtl)), 4) AS score FROM gf, gi),
+so AS (SELECT uid, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgtl)) AS score FROM gf, gi),
 e AS (SELECT vec_id AS uid, embedding::DOUBLE[] AS v FROM embeddings),
 n AS (SELECT uid, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM e),
-sv AS (SELECT a.uid, round(list_inner_product(a.u, b.u), 6) AS score FROM n a, n b WHERE b.uid = {VECTOR}),
+sv AS (SELECT a.uid, list_inner_product(a.u, b.u) AS score FROM n a, n b WHERE b.uid = {VECTOR}),
 ra AS (SELECT *, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM sa QUALIFY rank <= 100), ro AS (SELECT *, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM so QUALIFY rank <= 100), rv AS (SELECT *, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM sv QUALIFY rank <= 100),
 h AS (SELECT 'asr' AS provider, 'a' || uid AS evidence_id, uid // 100 % {VIDEOS} AS video, rank, (uid % 100) * {STEP}::DOUBLE AS anchor, 1.0::DOUBLE AS half FROM ra UNION ALL SELECT 'ocr', 'o' || uid, uid // 100 % {VIDEOS}, rank, (uid % 100) * {STEP}::DOUBLE, 0 FROM ro
   UNION ALL SELECT 'visual', 'v' || uid, uid % {VIDEOS}, rank, (uid // {VIDEOS} % 10)::DOUBLE, 0 FROM rv),

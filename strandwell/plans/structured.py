@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwell.operators import structured as S
@@ -83,7 +83,8 @@ def facet_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame(WANTED, "query_id int, facet_id string")
     total = table(spark, sf_dir, "part").count()
     found = S.facet_scores(facets, wanted, F.lit(total), S.facet_frequency(facets)).withColumn("matched", F.concat_ws(",", "matched"))
-    return found.filter("query_id = 1").orderBy(F.col("score").desc(), "frame").limit(K).unionByName(found.filter("query_id = 2").orderBy(F.col("score").desc(), "frame").limit(K))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "frame")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K).drop("rank")
 
 
 def facet_discover(spark: SparkSession, sf_dir: str) -> DataFrame:

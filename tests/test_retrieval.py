@@ -1,11 +1,15 @@
 """Operators on small literal inputs with known results."""
 
+import random
+import time
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from strandwell.functions import scalars as C
 from strandwell.functions import text as X
-from strandwell.operators import compare, dense, evaluate, fusion, lexical, sequence, structured, timeline
+from strandwell.operators import compare, dense, evaluate, fusion, jobs, lexical, sequence, structured, timeline
 
 HITS = "query_id int, provider string, evidence_id string, video string, rank int, start double, end double, anchor double"
 
@@ -178,3 +182,84 @@ def test_vectors_that_cannot_be_compared_are_left_out(spark):
     found = dense.scored(table, table.filter("uid = 1").select(F.col("uid").alias("query_id"), F.col("unit").alias("target")))
     assert sorted((r["uid"], r["score"]) for r in found.collect()) == [(1, 1.0), (5, 1.0)]
     assert dense.self_check(found).first()["ok"]
+
+
+@pytest.mark.parametrize(("strict", "max_span"), [(True, None), (True, 900), (False, 700), (False, None)])
+def test_chains_equal_all_combinations(strict, max_span):
+    rng = random.Random(3)
+    for n in range(2, 5):
+        steps = [sorted((s := rng.randrange(1000), s + rng.randrange(60), k, k) for k in range(rng.randrange(0, 6))) for _ in range(n)]
+        wanted = []
+        for places in product(*(range(len(s)) for s in steps)):
+            hits = [s[k] for s, k in zip(steps, places, strict=True)]
+            gaps = [b[0] - a[1] for a, b in zip(hits, hits[1:], strict=False)]
+            if strict and not all(max(0, 20) <= g <= 400 for g in gaps):
+                continue
+            if max_span is None or max(h[1] for h in hits) - min(h[0] for h in hits) <= max_span:
+                wanted.append(places)
+        assert list(sequence.chains(steps, strict, 20, 400, max_span)) == wanted
+
+
+def test_many_hits_of_many_steps_take_no_time(spark):
+    """Fifty hits of each of five steps in one video: 50^5 chains without order, of which five are kept, or none where the last can't follow."""
+    rows = [(1, step, "V", 10_000 * k + step, 10_000 * k + step, k, f"{step}-{k}") for step in range(5) for k in range(50)]
+    began = time.perf_counter()
+    found = sequence.match(spark.createDataFrame(rows, STEPS), 5, strict=False).collect()
+    assert len(found) == 5 and {r["match_group"] for r in found} == {"FULL"}
+    far = [(c, s, v, a + (10**9 if s == 4 else 0), b + (10**9 if s == 4 else 0), r, e) for c, s, v, a, b, r, e in rows]
+    assert {r["match_group"] for r in sequence.match(spark.createDataFrame(far, STEPS), 5, strict=False, max_span=10**6).collect()} == {"PREFIX"}
+    assert time.perf_counter() - began < 60
+
+
+def test_rows_without_a_key_are_numbered_too(spark):
+    rows = spark.createDataFrame([(5, "a"), (None, "b"), (3, "c"), (None, "d")], "k int, v string")
+    found = {r["v"]: r["idx"] for r in jobs.dense_index(rows, "k", 4).collect()}
+    assert found["c"] == 2 and found["a"] == 3 and {found["b"], found["d"]} == {0, 1}
+
+
+def test_near_scores_are_ranked_as_they_are(spark):
+    rows = spark.createDataFrame([(k, [1.0, 1e-4 * (6 - k)]) for k in range(1, 7)], "uid int, v array<double>")
+    units = dense.normalised(rows, "uid", "v")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "query_id int, target array<double>")
+    found = dense.top(dense.scored(units, queries), 2).select("query_id", "rank", "uid")
+    assert sorted(map(tuple, found.filter("query_id = 1").collect())) == [(1, 1, 6), (1, 2, 5)]
+    assert sorted(map(tuple, dense.top(dense.scored(units, queries, most=2), 2).select("query_id", "rank", "uid").collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_compiled_requests():
+    assert lexical.compile_text(1, 'show the "Red Car" near a bridge').terms == ("red car", "near", "bridge")
+    assert lexical.compile_text(1, "the of").terms == ("the", "of") and lexical.compile_text(1, "the car", strict=True).terms == ("the", "car")
+    assert len(lexical.compile_text(1, " ".join(f"w{k}" for k in range(40))).terms) == lexical.MOST_TERMS
+    for wrong in ('one "two', "", '""'):
+        with pytest.raises(ValueError):
+            lexical.compile_text(1, wrong)
+
+
+def test_stored_postings_equal_a_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b b", "x"), (2, None, "b"), (3, "c", ""), (None, "b a", None)], "uid int, text string, title string")
+    index = lexical.indexed(docs, "uid", {"text": F.col("text"), "title": F.col("title")})
+    lexical.write_postings(index, ["text", "title"], str(tmp_path / "p"), 4)
+    queries, weights = [lexical.TextQuery(1, ("b", "a", "none")), lexical.TextQuery(2, ("x",))], {"text": 2.0, "title": 0.0}
+    one = sorted(map(str, lexical.indexed_scores(spark, str(tmp_path / "p"), queries, weights).collect()))
+    two = sorted(map(str, lexical.term_scores(index, lexical.query_table(spark, queries), weights).collect()))
+    assert one == two and len(one) == 4
+    plan = lexical.indexed_scores(spark, str(tmp_path / "p"), queries, weights)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan
+
+
+def test_a_lane_that_fails_when_it_runs_is_left_out(spark):
+    from strandwell.operators.search import Request, search
+
+    class Lane:
+        def __init__(self, name, bad):
+            self.name, self.bad = name, bad
+
+        def available(self):
+            return True
+
+        def hits(self, spark, request):
+            rows = spark.createDataFrame([(1, self.name, "e", "V", 1, 1.0, 2.0, 1.5)], "query_id int, provider string, evidence_id string, video string, rank int, start double, end double, anchor double")
+            return rows.withColumn("anchor", F.raise_error(F.lit("gone")).cast("double")) if self.bad else rows
+
+    answer = search(spark, Request("r", "q", ("visual", "asr")), [Lane("visual", False), Lane("asr", True)])
+    assert answer.status == "PARTIAL" and answer.lanes["asr"].startswith("ERROR") and answer.windows.count() == 1
