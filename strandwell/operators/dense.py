@@ -62,6 +62,20 @@ def self_check(found: DataFrame) -> DataFrame:
     return best.join(own, "query_id", "left").select("query_id", "best", F.round("best_score", 6).alias("best_score"), (F.coalesce(F.col("own_score") >= F.col("best_score"), F.lit(False)) | (F.col("best") == F.col("query_id"))).alias("ok"))
 
 
+def matrix_rows(wanted: DataFrame, vectors: DataFrame, videos: DataFrame) -> DataFrame:
+    """row, video, n, vector: the wanted frames (video, n from 1) with their vectors (video, n, vector), in order of the videos' ordinals and of n.
+
+    Rows are numbered from running sums over videos. A frame beyond its video's vectors fails the query."""
+    known = vectors.withColumn("_there", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("no vector for "), F.concat_ws(":", "video", "n"))).cast("boolean")
+    met = wanted.select("video", "n").join(known, ["video", "n"], "left").filter(F.when(F.col("_there").isNull(), lost).otherwise(True)).drop("_there")
+    sizes = wanted.groupBy("video").agg(F.count("*").alias("c")).join(videos.select("video", "ordinal"), "video")
+    # A row for each video.
+    starts = sizes.select("video", F.coalesce(F.sum("c").over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("video").orderBy("n")) - 1
+    return met.withColumn("_p", place).join(starts, "video").select((F.col("start") + F.col("_p")).alias("row"), "video", "n", "vector")
+
+
 def sanity(table: DataFrame, vector: str) -> DataFrame:
     """One row: vectors, unusable vectors, lengths, and the least, mean and greatest norm."""
     v = F.col(vector).cast("array<double>")

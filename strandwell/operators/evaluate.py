@@ -81,3 +81,27 @@ def review_candidates(hits: DataFrame, lanes: list[str]) -> DataFrame:
     best = hits.groupBy("query_id", "video").pivot("lane", lanes).agg(F.min("rank"))
     n = sum((F.col(x).isNotNull().cast("int") for x in lanes[1:]), F.col(lanes[0]).isNotNull().cast("int"))
     return best.select("query_id", "video", n.alias("n_lanes"), *[F.col(x).alias(f"rank_{x}") for x in lanes])
+
+
+BLOCKED, UNLABELLED = "BLOCKED_BY_SCORING_CONTRACT", "UNLABELED"
+#: Scorers by type of query; None stands for a type whose scoring is not agreed.
+SCORERS = {"KIS": frame_recall, "TRAKE": event_score, "QA": None}
+
+
+def score_by_type(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """query_id, query_type, status, first_rank, r_at_k of every query by its type's scorer; `truth` also has query_type and label_status.
+
+    A type without a scorer fails the query."""
+    unknown = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce("query_type", F.lit("null")))).cast("boolean")
+    known = truth.filter(F.when(F.col("query_type").isin(list(SCORERS)), True).otherwise(unknown))
+    open_ = known.filter(F.col("label_status") != "unlabeled_reference")
+    blank = [F.lit(None).cast("int").alias("first_rank"), *[F.lit(None).cast("double").alias(f"r_at_{k}") for k in CUTOFFS]]
+    out = known.filter(~(F.col("label_status") != "unlabeled_reference")).select("query_id", "query_type", F.lit(UNLABELLED).alias("status"), *blank)
+    for kind, scorer in SCORERS.items():
+        mine = open_.filter(F.col("query_type") == kind)
+        if scorer is None:
+            part = mine.select("query_id", "query_type", F.lit(BLOCKED).alias("status"), *blank)
+        else:
+            part = scorer(mine, predictions).select("query_id", F.lit(kind).alias("query_type"), F.lit("SCORED").alias("status"), "first_rank", *[f"r_at_{k}" for k in CUTOFFS])
+        out = out.unionByName(part)
+    return out

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,6 +202,57 @@ def fill(stages: list[DataFrame], k: int) -> DataFrame:
     return seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def fill_or_else(strict: list[DataFrame], loose: list[DataFrame], k: int) -> DataFrame:
+    """The strict stages filled up to k; queries that they have nothing for get the loose stages, whose numbers follow on."""
+    first = fill(strict, k)
+    answered = F.broadcast(first.select("query_id").distinct())  # a request's ids
+    second = fill(loose, k).join(answered, "query_id", "left_anti").withColumn("stage", F.col("stage") + len(strict))
+    return first.unionByName(second.select(first.columns))
+
+
+def either(plain: DataFrame, folded: DataFrame) -> DataFrame:
+    """query_id, uid, score: documents with every term of a query as it stands, or every one without accents; all that match count.
+
+    Both are scores of terms; of a document that one side alone makes a result, the other side's terms count too."""
+    side = lambda rows, name, p: rows.select("query_id", "uid", F.concat(F.lit(name), "term").alias("term"), "n_terms", "score", F.lit(p).alias("p"))
+    both = side(plain, "p:", 1).unionByName(side(folded, "x:", 0)).groupBy("query_id", "uid")
+    terms = both.agg(F.sort_array(F.collect_list(F.struct("term", "score"))).alias("t"), F.first("n_terms").alias("n"), F.sum("p").alias("n_plain"), F.count("*").alias("n_all"))
+    kept = terms.filter((F.col("n_plain") == F.col("n")) | (F.col("n_all") - F.col("n_plain") == F.col("n")))
+    return kept.select("query_id", "uid", F.aggregate("t", F.lit(0.0), lambda s, t: s + t["score"]).alias("score"))
+
+
+def author_has(author: Column, wanted: str) -> Column:
+    """Whether an author's name holds a text, whatever the case; the text has no wildcards."""
+    return F.contains(F.lower(author), F.lit(unicodedata.normalize("NFC", wanted).lower()))
+
+
+def dates_within(text: Column, first: str | None, last: str | None) -> Column:
+    """Whether a date dd/mm/yyyy lies between two such dates, ends included; a bound that is no date counts as none, a row without a date fails a bound."""
+    day, inside = F.try_to_date(text, "dd/MM/yyyy"), F.lit(True)
+    for bound, test in ((first, lambda d: day >= d), (last, lambda d: day <= d)):
+        try:
+            at = F.lit(datetime.strptime(bound or "", "%d/%m/%Y").date())
+        except ValueError:
+            continue
+        inside = inside & F.coalesce(test(at), F.lit(False))
+    return inside
+
+
+def substituted(text: Column, aliases: dict[str, str]) -> Column:
+    """A text in lower case with the words of a language of users replaced by a catalogue's, longer ones first."""
+    out = F.lower(text)
+    for old in sorted(aliases, key=lambda a: (-len(a), a)):
+        out = F.replace(out, F.lit(old), F.lit(aliases[old]))
+    return out
+
+
+def enriched(ranked: DataFrame, entities: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Ranked rows with the columns `defaults` names of their entities, joined after the cut; a missing entity or value gives the default."""
+    kept = entities.select(F.col(key).alias("_key"), *defaults)
+    met = ranked.join(kept, F.col("uid") == F.col("_key"), "left")
+    return met.drop("_key").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def phrase_counts(table: DataFrame, uid: str, text: Column, phrases: DataFrame) -> DataFrame:
     """query_id, uid, f, len: how often each phrase (array column `words`) occurs in a row of words.
 
