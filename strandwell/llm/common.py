@@ -51,7 +51,7 @@ def forget(stored: DataFrame) -> None:
 
 
 #: Keys with more rows than HEAVY and than one in MOST_HEAVY of all rows are heavy: there are MOST_HEAVY of them at most.
-HEAVY, MOST_HEAVY = 1000, 10_000
+HEAVY, MOST_HEAVY = 100, 10_000
 
 
 def join_by_count(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
