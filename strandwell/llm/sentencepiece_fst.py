@@ -45,11 +45,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 from strandwell.llm.common import slices, tidied, whole_text
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 150_000
 #: Length up to which the steps of a word's beginning are remembered.
 SHARED = 9
 #: Pairs of neighbours that the filter remembers before it starts anew.
-PAIRS = 500_000
+PAIRS = 300_000
 # Fixed value: by how much an unknown character is dearer than the dearest piece.
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6

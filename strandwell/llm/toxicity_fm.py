@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,16 +151,28 @@ def local_steps(start: Model, seed: int):
     return step
 
 
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists end to end, and the length of each list; no Python objects are made of them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _places(buckets: list[int]) -> np.ndarray:
+    """For each bucket its place in the list, or -1."""
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[buckets] = np.arange(len(buckets), dtype=np.int32)
+    return place
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """bucket, n, y: documents with each bucket and the sum of their labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in batches:
-            for found, y in zip(batch.column("buckets"), batch.column("y").to_pylist(), strict=True):
-                at = found.values.to_numpy()
-                total[at] += 1
-                hits[at] += y
+            at, sizes = _flat(batch.column("buckets"))
+            total += np.bincount(at, minlength=BUCKETS)
+            hits += np.bincount(at, weights=np.repeat(batch.column("y").to_numpy(zero_copy_only=False), sizes), minlength=BUCKETS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 50_000):
             part = at[k : k + 50_000]
@@ -170,16 +183,18 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 def telling_pairs(rows: DataFrame, wanted: list[int], share: float) -> list[tuple[int, int, float]]:
     """Pairs of the wanted buckets whose label share differs from the sum of what both say alone, the clearest first: (bucket, bucket, deviations)."""
-    place, m = {b: k for k, b in enumerate(wanted)}, len(wanted)
+    place, m = _places(wanted), len(wanted)
 
     def products(group: pa.Table) -> pa.Table:
         both, hits = np.zeros((m, m), dtype=np.float32), np.zeros((m, m), dtype=np.float32)
-        kept = [[place[b] for b in found if b in place] for found in group.column("buckets").to_pylist()]
-        y = group.column("y").to_numpy().astype(np.float32)
-        for k in range(0, len(kept), 1024):
-            x = dense(kept[k : k + 1024], m)
+        for k in range(0, group.num_rows, 512):
+            part = group.slice(k, 512)
+            flat, sizes = _flat(part.column("buckets"))
+            column, row = place[flat], np.repeat(np.arange(len(sizes)), sizes)
+            x = np.zeros((len(sizes), m), dtype=np.float32)
+            x[row[column >= 0], column[column >= 0]] = 1
             both += x.T @ x
-            hits += x.T @ (x * y[k : k + 1024, None])
+            hits += x.T @ (x * part.column("y").to_numpy().astype(np.float32)[:, None])
         return pa.table({"i": pa.array(range(m), pa.int32()), "n": pa.array(list(both), pa.list_(pa.float32())), "y": pa.array(list(hits), pa.list_(pa.float32()))})
 
     parts = rows.groupBy("worker").applyInArrow(products, "i int, n array<float>, y array<float>")
@@ -237,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
                 for w in set(WORD.findall(text.lower())):
                     found = seen.get(w)
                     if found is None:
-                        if len(seen) >= CACHE:
+                        if len(seen) >= CACHE // 4:  # with four numbers to a word
                             seen.clear()
                         found = seen[w] = buckets_of(w)
                     here.update(found)
@@ -252,9 +267,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
         return None
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _places(list(index))
         for batch in batches:
-            terms = [sorted(index[b] for b in found if b in index) for found in batch.column("buckets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("worker"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "y", "worker", "terms"])
+            flat, sizes = _flat(batch.column("buckets"))
+            term = place[flat]
+            kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[term >= 0], minlength=len(sizes))
+            terms = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(term[term >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("worker"), terms], ["doc_id", "y", "worker", "terms"])
 
     trained = materialise(rows.select("doc_id", "y", "worker", "buckets").mapInArrow(tidied(compress), "doc_id long, y double, worker int, terms array<int>"), "toxicity-terms")
     rng = np.random.default_rng(SEED)
