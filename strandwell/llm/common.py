@@ -57,8 +57,11 @@ HEAVY, MOST_HEAVY = 100, 10_000
 def join_by_count(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """`rows` joined with one row for each key, `keyed`, which has the number of `rows` of its key in `count`.
 
-    Heavy keys (at most MOST_HEAVY, as their counts add up to `total`) are broadcast, so their rows stay where they are; the others are shuffled."""
+    Heavy keys (at most MOST_HEAVY, as their counts add up to `total`) are broadcast, so their rows stay where they are; the others are shuffled.
+    Both tables are read more than once: give stored ones."""
     heavy = F.col(count) > max(HEAVY, total // MOST_HEAVY)
+    if not keyed.filter(heavy).limit(1).count():
+        return rows.join(keyed, key)
     hot = F.broadcast(keyed.filter(heavy))
     light = rows.join(hot.select(key), key, "left_anti").join(keyed.filter(~heavy), key)
     return rows.join(hot, key).unionByName(light)

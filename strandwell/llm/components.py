@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from strandwell.llm.common import forget, join_by_count, materialise
 
 
-def _stars(edges: DataFrame, n: int) -> DataFrame:
-    """One large-star and one small-star step over n edges (a, b). Hubs, nodes of very many edges, don't travel to one task."""
+def _stars(edges: DataFrame, n: int, label: str) -> DataFrame:
+    """One large-star and one small-star step over n stored edges (a, b), stored. Hubs, nodes of very many edges, don't travel to one task.
+
+    What is read more than once is written first, so that plans stay short; it goes when the step is done."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("d"))
-    large = join_by_count(both, least, "a", "d", 2 * n).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-    small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d"))
+    least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("d")), f"{label}-least")
+    pulled = join_by_count(both, least, "a", "d", 2 * n).filter(F.col("b") > F.col("a"))
+    large = materialise(pulled.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), f"{label}-large")
+    small = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")), f"{label}-small")
     met = join_by_count(large, small, "a", "d", 2 * n)
     centre = met.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return centre.unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
+    after = materialise(centre.unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), label)
+    for table in (least, large, small):
+        forget(table)
+    return after
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -34,5 +40,5 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if state == seen or not state["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, before = state, now
-        now = materialise(_stars(now, state["n"]), label)
+        now = _stars(now, state["n"], label)
         forget(before)

@@ -320,7 +320,8 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     grouped = components(candidate_edges(nodes, least), "candidates")
     roots = grouped.select(F.col("root").alias("node"), "root").distinct()
     placed = grouped.unionByName(roots).withColumnRenamed("root", "component")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    placed = materialise(placed, "placed")
+    sizes = materialise(placed.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     placed = join_by_count(placed, sizes, "component", "size", nodes.count())
     members = materialise(placed.join(nodes.select("node", "representative", "stamp", "copies", "values"), "node"), "members")
 
@@ -342,9 +343,10 @@ def similarity_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
 
     known = nodes.select("node", "representative", "copies").join(joined, "node", "left").join(totals, "node", "left")
-    known = known.withColumn("root", F.coalesce("root", "node"))
-    names = known.groupBy("root").agg(F.min("representative").alias("class_id"), F.count("*").alias("texts_in_class"))
+    known = materialise(known.withColumn("root", F.coalesce("root", "node")), "known")
+    names = materialise(known.groupBy("root").agg(F.min("representative").alias("class_id"), F.count("*").alias("texts_in_class")), "names")
     named = join_by_count(known, names, "root", "texts_in_class", nodes.count()).select("node", F.col("root").alias("class_node"), "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("text_links"), (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = materialise(named, "named")
     rows = join_by_count(sketched.select("doc_id", "stamp", "node"), named, "node", "copies", sketched.count())
     return rows.select("doc_id", "stamp", "class_node", "class_id", "copies", "text_links", "n_links")
 
