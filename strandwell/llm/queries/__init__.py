@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["op01_media", "op02_mixing", "op03_jaccard", "op04_shards", "op05_tokens", "op06_toxicity", "op07_quality", "op08_licenses", "op09_sentencepiece", "op10_nearest", "op12_divergence"]
+MODULES = ["op01_media", "op02_mixing", "op03_jaccard", "op04_shards", "op05_tokens", "op06_toxicity", "op07_quality", "op08_licenses", "op09_sentencepiece", "op10_nearest", "op11_whitening", "op12_divergence", "op13_language"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
