@@ -4,9 +4,9 @@ Scores are BM25 with k1 = 1.2 and b = 0.75: for each matching term or phrase idf
 f is the weighted frequency over the fields, D the number of tokens in all fields and idf is floored at 1e-6. Higher is better.
 A column filter holds for the whole group of terms behind it. Ties go to the smaller uid.
 
-Two ways lead to the scores of terms. `term_scores` scans the texts once for all queries: tokens meet the query terms, a small table that is
-broadcast (its size is that of the request), so only matching tokens are shuffled. `write_postings` stores an inverted index once, in
-partitions by a hash of the term and sorted by it, and `indexed_scores` reads of it only the partitions and row groups of a request's terms.
+Two ways lead to scores. `term_scores`, `phrase_counts`, `trigram_counts` and `substring_terms` scan the texts once for all queries: tokens meet the
+query terms, a small table that is broadcast (its size is that of the request), so only matching tokens are shuffled. `write_postings` stores an
+inverted index with positions once (`postings`), and `indexed_scores` and `indexed_phrases` read of it only what a request's terms need.
 
 Scores are ranked as they are and rounded where they are shown; a document's sum is taken in order of its terms, so equal documents tie.
 
@@ -15,10 +15,8 @@ Defined results: a null text has no words; a null uid is ranked like any other,
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-import zlib
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -26,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwell.functions.text import accentless, tokens
+from strandwell.operators import postings as P
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -111,36 +110,17 @@ def term_scores(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -
     return counts.join(F.broadcast(rated), "term").join(F.broadcast(terms), "term").select("query_id", "uid", "term", "n_terms", score.alias("score"))
 
 
-BUCKETS = 64
-
-
-def _marked(field: str, number: int) -> Column:
-    """The field's tokens with its number."""
-    return F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(number).alias("field")))
-
-
-def write_postings(index: DataFrame, fields: list[str], path: str, buckets: int = BUCKETS) -> None:
-    """Stores the postings (term, uid, len, one count for each field) of an index of token arrays, by bucket and term, and its totals."""
-    size = sum((F.size(f) for f in fields[1:]), F.size(fields[0]))
-    marked = F.concat(*[_marked(f, k) for k, f in enumerate(fields)])
-    words = index.select("uid", size.alias("len"), F.explode(marked).alias("t")).select("uid", "len", "t.term", "t.field")
-    counts = words.groupBy("term", "uid", "len").agg(*[F.count_if(F.col("field") == k).cast("int").alias(f"n_{f}") for k, f in enumerate(fields)])
-    dealt = counts.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
-    dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    totals = lengths(index, fields).withColumn("buckets", F.lit(buckets)).withColumn("fields", F.array(*[F.lit(f) for f in fields]))
-    totals.coalesce(1).write.json(f"{path}/totals")
+def write_postings(index: DataFrame, fields: list[str], path: str, size: int = 0) -> None:
+    """Stores the postings (term, uid, len, counts and positions by field) of an index of token arrays made from `size` bytes, and its totals."""
+    P.write(P.word_postings(index, fields), lengths(index, fields), fields, path, size)
 
 
 def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], weights: dict[str, float]) -> DataFrame:
-    """As term_scores, from stored postings: only the buckets and row groups of the request's terms are read."""
-    totals = json.loads(spark.read.text(f"{path}/totals").first()[0])
+    """As term_scores, from stored postings: only the partitions and pages of the request's terms are read, without their positions."""
+    totals = P.totals_of(spark, path)
     wanted = sorted({t for q in queries for t in q.terms})
-    if not totals["n_docs"] or not wanted:
-        return spark.createDataFrame([], "query_id int, uid long, term string, n_terms int, score double")
-    here = sorted({zlib.crc32(t.encode()) % totals["buckets"] for t in wanted})
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(here) & F.col("term").isin(wanted))
     f = sum((F.col(f"n_{name}") * float(w) for name, w in weights.items()), F.lit(0.0))
-    counts = rows.select("term", "uid", "len", f.alias("f")).filter("f > 0")
+    counts = P.read(spark, path, wanted).select("term", "uid", "len", f.alias("f")).filter("f > 0")
     df = counts.groupBy("term").agg(F.count("*").alias("n"))
     ratio = F.log((F.lit(totals["n_docs"]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rated = df.select("term", F.greatest(ratio, F.lit(FLOOR)).alias("idf"))
@@ -149,6 +129,11 @@ def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], wei
     return counts.join(F.broadcast(rated), "term").join(F.broadcast(terms), "term").select("query_id", "uid", "term", "n_terms", score.alias("score"))
 
 
+def indexed_phrases(spark: SparkSession, path: str, phrases: list[tuple], field: str = "text") -> DataFrame:
+    """query_id, uid, score of phrases (query_id, words) by stored positions; each phrase is rated like a term."""
+    return rate(P.phrase_counts(spark, path, phrases, field), spark.read.parquet(f"{path}/totals"))
+
+
 def scoped(scores: DataFrame, queries: list[TextQuery], places: DataFrame, place: str) -> DataFrame:
     """The rows of each query within its scope: `places` has uid and the column `place` that scopes name. Scores don't change by a scope."""
     allowed = F.lit(False)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandwell.functions.text import accentless
 from strandwell.operators import lexical as L
+from strandwell.operators import postings as P
 from strandwell.operators import structured as S
-from strandwell.plans.lexical import FOLDED, K, PLAIN, _TOP, WORDS, _accentless_scores, _score_sql, _scores, _shape
+from strandwell.plans.lexical import FOLDED, K, PLAIN, _TOP, WORDS, _accentless_scores, _score_sql, _scores, _shape, word_index
 from strandwell.plans.structured import _FACETS, _facets
 from strandwell.plans.timeline import EVENTS, events
 from strandwell.sources.tables import table
@@ -43,18 +44,20 @@ def compiled_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = [L.TextQuery(q.query_id, tuple(t for t in q.terms if " " not in t)) for q in COMPILED]
     scores = _scores(spark, sf_dir, [q for q in words if q.terms]).select("query_id", "uid", "term", "score")
     # A phrase of a query gets an id of its own, as each is rated like a term.
-    named = [(q.query_id * 100 + k, t.split(), t) for q in COMPILED for k, t in enumerate(q.terms) if " " in t]
-    docs = table(spark, sf_dir, "documents")
-    counts = L.phrase_counts(docs, "doc_id", F.col("text"), spark.createDataFrame([n[:2] for n in named], "query_id int, words array<string>"))
-    corpus = L.lengths(L.indexed(docs, "doc_id", {"text": F.col("text")}), ["text"])
-    text = F.element_at(F.create_map(*[F.lit(x) for n in named for x in (n[0], n[2])]), F.col("query_id"))
-    phrases = L.rate(counts, corpus).select(F.floor(F.col("query_id") / 100).cast("int").alias("query_id"), "uid", text.alias("term"), "score")
+    named = [(q.query_id * 100 + k, t) for q in COMPILED for k, t in enumerate(q.terms) if " " in t]
+    rated = L.indexed_phrases(spark, word_index(spark, sf_dir), [(n, t.split()) for n, t in named])
+    text = F.element_at(F.create_map(*[F.lit(x) for n in named for x in n]), F.col("query_id"))
+    phrases = rated.select(F.floor(F.col("query_id") / 100).cast("int").alias("query_id"), "uid", text.alias("term"), "score")
     return _shape(L.top(L.any_terms(scores.unionByName(phrases).withColumn("n_terms", F.lit(0))), K))
 
 
 def request_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the lines of text were compiled to."""
-    return spark.createDataFrame([(q.query_id, k, t) for q in COMPILED for k, t in enumerate(q.terms)], "query_id int, place int, term string")
+    """What the lines of text were compiled to, and in how many documents each word and phrase stands."""
+    path = word_index(spark, sf_dir)
+    rows = [(q.query_id, k, t) for q in COMPILED for k, t in enumerate(q.terms)]
+    found = P.phrase_counts(spark, path, [(t, t.split()) for t in sorted({t for *_, t in rows})], kind="string").groupBy(F.col("query_id").alias("term")).agg(F.count("*").alias("df"))
+    asked = spark.createDataFrame(rows, "query_id int, place int, term string")
+    return asked.join(found, "term", "left").select("query_id", "place", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +173,9 @@ pf AS (SELECT query_id, phrase, uid, count(*) AS f, any_value(len) AS len FROM h
 pi AS (SELECT query_id, phrase, greatest(ln((n_docs - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)), 1e-6::DOUBLE) AS idf, avgdl FROM (SELECT query_id, phrase, count(*) AS n FROM pf GROUP BY ALL), c),
 b AS (SELECT query_id, uid, term, score FROM s UNION ALL SELECT query_id, uid, phrase, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl)) FROM pf JOIN pi USING (query_id, phrase)),
 e AS (SELECT query_id, uid, list_sum(list(score ORDER BY term)) AS score FROM b GROUP BY ALL) {_TOP.format("e")}""",
-    "request_terms": """SELECT query_id, place, term FROM (VALUES (1, 0, 'of the'), (1, 1, 'reat'), (1, 2, 'anti'), (2, 0, 'de la'), (2, 1, 'dans'), (3, 0, 'show'), (3, 1, 'the'), (3, 2, 'image')) v(query_id, place, term)""",
+    "request_terms": f"""WITH d AS (SELECT ' ' || array_to_string({WORDS}, ' ') || ' ' AS t FROM documents),
+r AS (SELECT * FROM (VALUES (1, 0, 'of the'), (1, 1, 'reat'), (1, 2, 'anti'), (2, 0, 'de la'), (2, 1, 'dans'), (3, 0, 'show'), (3, 1, 'the'), (3, 2, 'image')) v(query_id, place, term))
+SELECT query_id, place, term, (SELECT count(*) FROM d WHERE contains(d.t, ' ' || r.term || ' ')) AS df FROM r""",
     "enriched_hits": f"""WITH {_score_sql(PLAIN)}, r AS ({_TOP.format("a")}) SELECT query_id, rank, r.doc_id, score, coalesce(quality, -1)::INTEGER AS quality, coalesce(toxic, -1)::INTEGER AS toxic FROM r LEFT JOIN labels USING (doc_id)""",
     "alias_search": f"WITH {_score_sql([L.TextQuery(1, ('onti', 'the')), L.TextQuery(2, ('reat',))])} {_TOP.format('a')}",
     "facet_resolve": f"""{_FACETS} SELECT r.* FROM (VALUES {", ".join(str(r) for r in _RESOLVED)}) r(query_id, namespace, raw, facet_id, how) WHERE facet_id IN (SELECT facet_id FROM g)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandwell.functions.text import accentless, snippet, tokens
 from strandwell.operators import lexical as L
-from strandwell.sources.store import built
+from strandwell.operators import postings as P
+from strandwell.sources.store import stored
 from strandwell.sources.tables import table
 
 K = 20
@@ -31,13 +32,24 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, sf_dir: str, name: str, text: Column) -> str:
-    """Where the postings of the documents lie; built by the first query that asks for them."""
+    """Where the postings of the documents lie; built by the first query that asks for them, in whichever session."""
     index = L.indexed(table(spark, sf_dir, "documents"), "doc_id", {"text": text})
-    return built(spark, (sf_dir, name), lambda path: L.write_postings(index, ["text"], path))
+    return stored(spark, name, [f"{sf_dir}/documents.parquet"], {"fields": ["text"], "form": name}, lambda path, source: L.write_postings(index, ["text"], path, source.size))
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> str:
+    return _postings(spark, sf_dir, "documents", F.col("text"))
+
+
+def trigram_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the trigrams of the documents' folded texts lie."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), accentless(F.col("text")).alias("text"))
+    totals = texts.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
+    return stored(spark, "trigrams", [f"{sf_dir}/documents.parquet"], {"form": "accentless"}, lambda path, source: P.write(P.trigram_postings(texts), totals, ["text"], path, source.size))
 
 
 def _scores(spark: SparkSession, sf_dir: str, queries: list[L.TextQuery]) -> DataFrame:
-    return L.indexed_scores(spark, _postings(spark, sf_dir, "documents", F.col("text")), queries, {"text": 1.0})
+    return L.indexed_scores(spark, word_index(spark, sf_dir), queries, {"text": 1.0})
 
 
 def _score_sql(queries: list[L.TextQuery], words: str = WORDS, name: str = "") -> str:
@@ -110,10 +122,7 @@ PHRASES = [(1, ["of", "the"]), (2, ["the", "erst"]), (3, ["de", "la"]), (4, ["an
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame(PHRASES, "query_id int, words array<string>")
-    docs = table(spark, sf_dir, "documents")
-    counts = L.phrase_counts(docs, "doc_id", F.col("text"), wanted)
-    return _shape(L.top(L.rate(counts, L.lengths(_index(spark, sf_dir), ["text"])), K))
+    return _shape(L.top(L.indexed_phrases(spark, word_index(spark, sf_dir), PHRASES), K))
 
 
 def _phrase_sql() -> str:
@@ -131,12 +140,14 @@ a AS (SELECT query_id, uid, idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DO
 NEEDLES = [(1, "eration"), (2, "chtung"), (3, "étion"), (4, "xq"), (5, "The on")]
 
 
+def _folded(spark: SparkSession, needles: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """A request's needles in the form that texts are stored in."""
+    return [(r["query_id"], r["needle"]) for r in spark.createDataFrame(needles, "query_id int, needle string").select("query_id", accentless(F.col("needle")).alias("needle")).collect()]
+
+
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    wanted = spark.createDataFrame(NEEDLES, "query_id int, needle string")
-    counts = L.trigram_counts(docs, "doc_id", F.col("text"), wanted)
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
-    return _shape(L.top(L.rate(counts, corpus), K))
+    path = trigram_index(spark, sf_dir)
+    return _shape(L.top(L.rate(P.substring_counts(spark, path, _folded(spark, NEEDLES)), spark.read.parquet(f"{path}/totals")), K))
 
 
 def _trigram_sql() -> str:
@@ -154,10 +165,8 @@ SUBSTRINGS = [(1, "eration the"), (2, "chtung der"), (3, "The on"), (4, "ation r
 
 
 def substring_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = L.substring_terms(docs, "doc_id", F.col("text"), spark.createDataFrame(SUBSTRINGS, "query_id int, needle string"))
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
-    return _shape(L.top(L.rate(counts, corpus), K))
+    path = trigram_index(spark, sf_dir)
+    return _shape(L.top(L.rate(P.substring_terms(spark, path, _folded(spark, SUBSTRINGS)), spark.read.parquet(f"{path}/totals")), K))
 
 
 def _substring_sql() -> str:
@@ -182,7 +191,7 @@ TITLE, BODY = r"(?s)<title>(.*?)</title>", r"(?s)<script>.*?</script>|<style>.*?
 def _page_postings(spark: SparkSession, sf_dir: str) -> str:
     fields = {"title": F.regexp_extract("html", TITLE, 1), "body": F.regexp_replace("html", BODY, " "), "url": F.col("url")}
     index = L.indexed(table(spark, sf_dir, "pages"), "page_id", fields)
-    return built(spark, (sf_dir, "pages"), lambda path: L.write_postings(index, list(fields), path))
+    return stored(spark, "pages", [f"{sf_dir}/pages.parquet"], {"fields": list(fields)}, lambda path, source: L.write_postings(index, list(fields), path, source.size))
 
 
 def bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog", "search", "lanes", "artifacts"]
+MODULES = ["indexes", "lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog", "search", "lanes", "artifacts"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
