@@ -55,11 +55,12 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def self_check(found: DataFrame) -> DataFrame:
-    """query_id, ok: whether the best row of each query is the query itself or scores as high as it."""
-    best = top(found, 1).select("query_id", F.col("uid").alias("best"), F.col("score").alias("best_score"))
-    own = found.filter("uid = query_id").select("query_id", F.col("score").alias("own_score"))
-    return best.join(own, "query_id", "left").select("query_id", "best", F.round("best_score", 6).alias("best_score"), (F.coalesce(F.col("own_score") >= F.col("best_score"), F.lit(False)) | (F.col("best") == F.col("query_id"))).alias("ok"))
+def self_check(best: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, best, best_score, ok: whether the best row found for each query is the query itself or scores as high as it does with itself."""
+    own = queries.select("query_id", dot(F.col("target"), F.col("target")).alias("own_score"))
+    met = own.join(best.filter("rank = 1").select("query_id", F.col("uid").alias("best"), F.col("score").alias("best_score")), "query_id", "left")
+    ok = F.coalesce((F.col("best") == F.col("query_id")) | (F.col("own_score") <= F.col("best_score")), F.lit(False))
+    return met.select("query_id", "best", F.round("best_score", 6).alias("best_score"), ok.alias("ok"))
 
 
 def matrix_rows(wanted: DataFrame, vectors: DataFrame, videos: DataFrame) -> DataFrame:

@@ -181,7 +181,9 @@ def test_vectors_that_cannot_be_compared_are_left_out(spark):
     table = dense.normalised(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
     found = dense.scored(table, table.filter("uid = 1").select(F.col("uid").alias("query_id"), F.col("unit").alias("target")))
     assert sorted((r["uid"], r["score"]) for r in found.collect()) == [(1, 1.0), (5, 1.0)]
-    assert dense.self_check(found).first()["ok"]
+    asked = table.filter("uid = 1").select(F.col("uid").alias("query_id"), F.col("unit").alias("target"))
+    assert dense.self_check(dense.top(found, 1), asked).first()["ok"]
+    assert not dense.self_check(dense.top(found, 1).limit(0), asked).first()["ok"]
 
 
 @pytest.mark.parametrize(("strict", "max_span"), [(True, None), (True, 900), (False, 700), (False, None)])
