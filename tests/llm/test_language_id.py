@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwell.llm import language_id
-from strandwell.llm.language_id import END, LONGEST, Lexicon, grams_of, identify, learn, words_of
+from strandwell.llm.language_id import END, LONGEST, Grams, Lexicon, counted_grams, grams_of, identify, learn, words_of
 from strandwell.llm.queries import op13_language
 from tests.llm.conftest import SCHEMA
 
@@ -70,11 +70,30 @@ def test_words_first_then_shorter_grams():
     scores = [[-1.0, -5.0], [-6.0, -2.0], [-4.0, -3.0]]
     import numpy as np
 
-    model = Lexicon(["a", "b"], {"dog": 0}, {"dog": 1, "g": 2}, np.array(scores))
-    assert model.predict("dog dog")[0] == "a"
-    assert model.unknown("dogg").tolist() == pytest.approx([(-6.0 - 4.0 - 4.0) / 3, (-2.0 - 3.0 - 3.0) / 3])
-    assert model.predict("dogs")[0] == "b"
-    assert model.predict("xyz") == ("a", 0.5)
+    model = Lexicon(["a", "b"], {"dog": 0}, Grams.of({"dog": 1, "g": 2}), np.array(scores))
+    assert model.predict(["dog dog"])[0][0] == "a"
+    assert model.unknown(["dogg", "xy"])[0].tolist() == pytest.approx([(-6.0 - 4.0 - 4.0) / 3, (-2.0 - 3.0 - 3.0) / 3]) and not model.unknown(["xy"]).any()
+    assert model.predict(["dogs"])[0][0] == "b"
+    assert model.predict(["xyz"]) == [("a", 0.5)]
+
+
+def test_counted_grams():
+    import numpy as np
+
+    words, counts = ["ab", "a", "漢字", "abba", "ab😀c"], [2, 3, 1, 5, 1]
+    want = Counter()
+    for w, n in zip(words, counts, strict=True):
+        for g in grams_of(w):
+            want[g] += n
+    assert dict(counted_grams(words, np.array(counts))) == want and counted_grams([], np.zeros(0, dtype=int)) == []
+
+
+def test_texts_together_and_alone():
+    import numpy as np
+
+    texts = [" ".join(random.Random(k).choices(["dog", "g", "gdog", "ggg", "dodo", "xgx", "ogdog"], k=6)) for k in range(40)] + [None, "", "..."]
+    model = Lexicon(["a", "b"], {"dog": 0}, Grams.of({"dog": 1, "g": 2}), np.random.default_rng(3).random((3, 2)))
+    assert model.predict(texts) == [model.predict([t])[0] for t in texts] and model.predict([]) == []
 
 
 def test_without_letters_or_learning(spark, odd_docs, no_docs, odd_rows):
@@ -102,7 +121,7 @@ def test_held_out_labels_are_not_learnt(spark):
 def test_tables_of_many_languages_stay_small(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_CELLS", 240)
     model = learn(spark.createDataFrame(corpus(), SCHEMA))
-    assert model.scores.size <= 240 and model.predict("der hund")[0] == "de"
+    assert model.scores.size <= 240 and model.predict(["der hund"])[0][0] == "de"
 
 
 def test_accuracy_on_held_out_rows(spark):
