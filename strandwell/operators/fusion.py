@@ -1,13 +1,23 @@
 """Evidence windows from ranked hits of several lanes, and their ranking by reciprocal ranks.
 
-Hits are rows of (query_id, provider, evidence_id, video, rank, start, end, anchor), times in seconds. Windows are a left fold over the hits in order of anchors; wherever two neighbours are more than `merge` apart a
-window ends in any case, so the fold runs within stretches without such a gap and never over a whole video.
+Hits are rows of (query_id, provider, evidence_id, video, rank, start, end, anchor), times in seconds. Windows are a left fold over the hits in order of
+anchors. Wherever two neighbours are more than `merge` apart a window ends in any case, so a video is first cut into stretches at such gaps (found from the
+first and last hit of each minute, not from the hits), which are dealt to tasks, sorted, and folded as a stream: one pass, a state of four numbers.
+
+Defined results: hits without an anchor are windows of their own; a null video or query is one like others; repeated hits of one (query, provider, evidence) count
+once; hits of equal anchors are taken by provider, rank and evidence; no hits give no windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MERGE_SEC, SPAN_SEC, RRF_K = 4.0, 12.0, 60
 BAD_HIT = "rank < 1 OR start < 0 OR end < start OR anchor < start OR anchor > end"
@@ -30,32 +40,61 @@ def clamped(hits: DataFrame, span: float = SPAN_SEC) -> DataFrame:
     return hits.withColumn("lo", F.when(long, F.greatest(F.lit(0.0), F.col("anchor") - span / 2)).otherwise(F.col("start"))).withColumn("hi", F.when(long, F.col("anchor") + span / 2).otherwise(F.col("end")))
 
 
-def _step(merge: float, span: float):
-    """One step of the fold: the state with the next hit."""
+def stretches(rows: DataFrame, keys: list[str], time: str, gap: float, width: float, name: str = "stretch") -> DataFrame:
+    """The rows with the number of their stretch: within the keys, a stretch begins where a slice of `width` follows more than `gap` after the last row of the one before.
 
-    def step(state: Column, hit: Column) -> Column:
-        lo, hi = F.least(state["lo"], hit["lo"]), F.greatest(state["hi"], hit["hi"])
-        joins = (state["n"] > 0) & (hit["anchor"] - state["last"] <= merge) & (hi - lo <= span)
-        n = F.when(joins, state["n"]).otherwise(state["n"] + 1)
-        return F.struct(
-            n.alias("n"), F.when(joins, lo).otherwise(hit["lo"]).alias("lo"), F.when(joins, hi).otherwise(hit["hi"]).alias("hi"), hit["anchor"].alias("last"),
-            F.concat(state["out"], F.array(n)).alias("out"),
-        )
+    A run of rows that follow each other within `gap` is never divided. The numbers come from two times of each slice, so a key of very many rows is
+    not brought together to find them."""
+    cut = rows.withColumn("_slice", F.floor(F.col(time) / width))
+    slices = cut.groupBy(*keys, "_slice").agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    apart = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > gap, F.lit(False))
+    numbered = slices.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_number"), F.sum(apart.cast("int")).over(order).alias(name))
+    same = F.col("_slice").eqNullSafe(F.col("_number"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return cut.join(numbered, same).drop("_slice", "_number", *[f"_{k}" for k in keys])
 
-    return step
+
+def _new_keys(columns: list[pa.Array], last: list | None) -> np.ndarray:
+    """Which rows of a sorted batch begin a key; the first does if it differs from `last`."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    for c in columns:
+        here, before = c[1:], c[:-1]
+        differ = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before)))
+        new[1:] |= differ.to_numpy(zero_copy_only=False)
+    new[:1] = last is None or [c[0].as_py() for c in columns] != last
+    return new
 
 
 def assign_windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN_SEC) -> DataFrame:
     """The distinct hits with lo, hi, stretch and window (numbers within query and video, and within the stretch)."""
-    rows = clamped(distinct_hits(hits), span)
-    order = Window.partitionBy("query_id", "video").orderBy("anchor", "provider", "rank", "evidence_id")
-    apart = F.coalesce(F.col("anchor") - F.lag("anchor").over(order) > merge, F.lit(False))
-    cut = rows.withColumn("stretch", F.sum(apart.cast("int")).over(order))
-    hit = F.struct("anchor", "provider", "rank", "evidence_id", "start", "end", "lo", "hi")
-    grouped = cut.groupBy("query_id", "video", "stretch").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("last"), F.array().cast("array<int>").alias("out"))
-    numbered = grouped.withColumn("numbers", F.aggregate("hits", start, _step(merge, span), lambda s: s["out"]))
-    return numbered.select("query_id", "video", "stretch", F.explode(F.arrays_zip("hits", "numbers")).alias("z")).select("query_id", "video", "stretch", F.col("z.numbers").alias("window"), "z.hits.*")
+    rows = stretches(clamped(distinct_hits(hits), span), ["query_id", "video"], "anchor", merge, 60.0)
+    keys = ["query_id", "video", "stretch"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "anchor", "provider", "rank", "evidence_id")
+    at = [dealt.columns.index(c) for c in (*keys, "anchor", "lo", "hi")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, first, top, last = None, 0, 0.0, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _new_keys([batch.column(i) for i in at[:3]], key)
+            key = [batch.column(i)[-1].as_py() for i in at[:3]]
+            numbers = []
+            for begins, anchor, lo, hi in zip(new.tolist(), *(batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in at[3:]), strict=True):
+                if begins:
+                    number = 0
+                # A missing anchor is not a number, which is near nothing.
+                if not begins and anchor - last <= merge and max(top, hi) - min(first, lo) <= span:
+                    first, top = min(first, lo), max(top, hi)
+                else:
+                    number, first, top = number + 1, lo, hi
+                last = anchor
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, "window"])
+
+    return dealt.mapInArrow(fold, T.StructType([*dealt.schema.fields, T.StructField("window", T.IntegerType())]))
 
 
 def windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN_SEC, k: int = RRF_K) -> DataFrame:
@@ -117,9 +156,12 @@ def rank_windows(found: DataFrame, limit: int) -> DataFrame:
 
 
 def session_dedup(hits: DataFrame, keys: list[str], gap_ms: int = 1000) -> DataFrame:
-    """One hit for each run of hits whose starts follow each other within `gap_ms`: the best rank, the earliest among equals."""
-    order = Window.partitionBy(*keys).orderBy("start_ms", "native_rank")
+    """One hit for each run of hits whose starts follow each other within `gap_ms`: the best rank, the earliest among equals.
+
+    Runs are found within stretches, so a key of very many hits is divided where it pauses."""
+    cut = stretches(hits, keys, "start_ms", gap_ms, 60 * max(1000, gap_ms), "_stretch")
+    order = Window.partitionBy(*keys, "_stretch").orderBy("start_ms", "native_rank")
     new = F.coalesce(F.col("start_ms") - F.lag("start_ms").over(order) > gap_ms, F.lit(False))
-    marked = hits.withColumn("_run", F.sum(new.cast("int")).over(order))
-    best = Window.partitionBy(*keys, "_run").orderBy("native_rank", "start_ms", "evidence_id")
-    return marked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_run")
+    marked = cut.withColumn("_run", F.sum(new.cast("int")).over(order))
+    best = Window.partitionBy(*keys, "_stretch", "_run").orderBy("native_rank", "start_ms", "evidence_id")
+    return marked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_run", "_stretch")

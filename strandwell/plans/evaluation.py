@@ -84,6 +84,22 @@ def sequence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.match(_steps(spark, sf_dir, 3), **CASES["sequence_3step"]).groupBy("match_group").agg(F.count("*").alias("n"), F.min("ranks").alias("least_ranks"))
 
 
+DIAGNOSED = dict(total=3, min_gap=3_600_000, max_gap=2 * DAY, max_span=2 * DAY)
+
+
+def sequence_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why there are few chains: all users' events as three cases by user. Of one no first step is found and its other steps lie far apart, of one a step's search failed."""
+    hits = _steps(spark, sf_dir, 3).withColumn("case_id", (F.col("video") % 3).cast("int"))
+    late = (F.col("case_id") == 1) & (F.col("step_index") > 0)
+    hits = hits.withColumn("start_ms", F.col("start_ms") + F.when(late, F.col("step_index").cast("long") * (900 * DAY)).otherwise(0)).withColumn("end_ms", F.col("end_ms") + F.when(late, F.col("step_index").cast("long") * (900 * DAY)).otherwise(0))
+    hits = hits.filter("video IS NOT NULL AND NOT (case_id = 1 AND step_index = 0)")
+    statuses = hits.select("case_id").distinct().select("case_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step_index"))
+    statuses = statuses.withColumn("status", F.when((F.col("case_id") == 2) & (F.col("step_index") == 1), "UNAVAILABLE").when((F.col("case_id") == 1) & (F.col("step_index") == 0), "NO_RESULTS").otherwise("OK"))
+    # Single hits are no chains here.
+    found = Q.match(hits, **DIAGNOSED).filter("matched > 1")
+    return Q.diagnose(hits, found, statuses, **DIAGNOSED)
+
+
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query for each user."""
     users = events(spark, sf_dir).filter("video IS NOT NULL").select(F.col("video").alias("query_id")).distinct()
@@ -141,7 +157,7 @@ def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "compare_set_algebra": compare_set_algebra, "compare_unique": compare_unique, "compare_pairwise": compare_pairwise, "lane_jaccard": lane_jaccard, "lane_rollup": lane_rollup, "compare_status": compare_status,
-    **{name: _sequence(name) for name in CASES}, "sequence_groups": sequence_groups,
+    **{name: _sequence(name) for name in CASES}, "sequence_groups": sequence_groups, "sequence_diagnostics": sequence_diagnostics,
     "kis_recall": kis_recall, "video_recall": video_recall, "trake_score": trake_score, "eval_aggregate": eval_aggregate, "eval_breakdown": eval_breakdown,
     "prediction_violations": prediction_violations, "candidate_votes": candidate_votes, "review_candidates": review_candidates,
 }
@@ -155,25 +171,26 @@ k AS (SELECT g.query_id, first_rank, {_AT} FROM g LEFT JOIN f USING (query_id))"
 _MEANS = "count(*) AS n, count(*) FILTER (query_id % 6 <> 5) AS n_scored, count(*) FILTER (query_id % 6 = 5) AS n_blocked, round(avg(first_rank) FILTER (query_id % 6 <> 5), 4) AS mean_first_rank, " + ", ".join(f"round(avg(r_at_{k}) FILTER (query_id % 6 <> 5), 4) AS mean_r_at_{k}" for k in E.CUTOFFS)
 
 
-def _sequence_sql(total: int, strict: bool, min_gap: int, max_gap: int, max_span: int | None) -> str:
+def _sequence_sql(total: int, strict: bool, min_gap: int, max_gap: int, max_span: int | None, start: str = "ms", where: str = "TRUE", case: str = "1") -> str:
     """Common table expressions up to z: the chains kept, from one join for every choice of steps."""
     parts = []
     for order, choice in enumerate(c for n in range(total, 0, -1) for c in combinations(range(total), n)):
         names = [f"s{k}" for k in choice]
         first, top = "least(" + ", ".join(f"{n}.start_ms" for n in names) + ")", "greatest(" + ", ".join(f"{n}.end_ms" for n in names) + ")"
-        where = [f"{n}.step_index = {k}" for n, k in zip(names, choice, strict=True)] + [f"{n}.video = {names[0]}.video" for n in names[1:]]
+        rules = [f"{n}.step_index = {k}" for n, k in zip(names, choice, strict=True)] + [f"{n}.video = {names[0]}.video" for n in names[1:]]
         gaps = [f"({b}.start_ms - {a}.end_ms)" for a, b in zip(names, names[1:], strict=False)]
         if strict:
-            where += [f"{g} BETWEEN {max(0, min_gap)} AND {max_gap}" for g in gaps]
+            rules += [f"{g} BETWEEN {max(0, min_gap)} AND {max_gap}" for g in gaps]
         if max_span is not None:
-            where.append(f"{top} - {first} <= {max_span}")
+            rules.append(f"{top} - {first} <= {max_span}")
         parts.append(
             f"SELECT {names[0]}.video, {order} AS choice, {len(choice)} AS matched, '{','.join(map(str, choice))}' AS steps, '{Q.group_of(choice, total)}' AS match_group, {first} AS first, {top} AS top, "
             f"{' + '.join(f'{n}.native_rank' for n in names)} AS ranks, greatest({', '.join(f'{n}.native_rank' for n in names)}) AS worst, {' + '.join(gaps) or '0'} AS gaps, [{', '.join(f'{n}.pos' for n in names)}] AS places, "
-            f"concat_ws(',', {', '.join(f'{n}.evidence_id' for n in names)}) AS evidence FROM {', '.join(f'd {n}' for n in names)} WHERE {' AND '.join(where)}"
+            f"concat_ws(',', {', '.join(f'{n}.evidence_id' for n in names)}) AS evidence FROM {', '.join(f'd {n}' for n in names)} WHERE {' AND '.join(rules)}"
         )
-    return f"""WITH {EVENTS}, h0 AS (SELECT list_position(['click', 'view', 'purchase'], space) - 1 AS step_index, video, ms AS start_ms, ms + CASE WHEN space = 'view' THEN 1000 * (uid % 60) ELSE 0 END AS end_ms,
-  row_number() OVER (PARTITION BY space ORDER BY value DESC, uid) AS native_rank, uid AS evidence_id FROM e WHERE space IN ({", ".join(repr(s) for s in STEPS[:total])}) ),
+    return f"""WITH {EVENTS}, hm AS (SELECT list_position(['click', 'view', 'purchase'], space) - 1 AS step_index, video, ms, uid, space, value,
+  row_number() OVER (PARTITION BY space ORDER BY value DESC, uid) AS native_rank FROM e WHERE space IN ({", ".join(repr(s) for s in STEPS[:total])}) ),
+h0 AS (SELECT step_index, video, {start} AS start_ms, {start} + CASE WHEN space = 'view' THEN 1000 * (uid % 60) ELSE 0 END AS end_ms, native_rank, uid AS evidence_id FROM hm WHERE {where}),
 h1 AS (SELECT *, CASE WHEN start_ms - lag(start_ms) OVER (PARTITION BY step_index, video ORDER BY start_ms, native_rank) > 1000 THEN 1 ELSE 0 END AS b FROM h0),
 h2 AS (SELECT *, sum(b) OVER (PARTITION BY step_index, video ORDER BY start_ms, native_rank ROWS UNBOUNDED PRECEDING) AS run FROM h1),
 h3 AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY step_index, video, run ORDER BY native_rank, start_ms, evidence_id) = 1),
@@ -181,7 +198,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY step_index, video ORDER BY start
 u AS ({" UNION ALL ".join(parts)}),
 v AS (SELECT * FROM u QUALIFY matched > 1 OR max(matched) OVER (PARTITION BY video) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY choice, places) AS number FROM v QUALIFY number <= 5),
-z AS (SELECT match_group, row_number() OVER (PARTITION BY match_group ORDER BY matched DESC, ranks, worst, top - first, gaps, video, first, number::VARCHAR)::INTEGER AS place, video, steps, matched, evidence, ranks::INTEGER AS ranks, worst::INTEGER AS worst, top - first AS span, gaps::BIGINT AS gaps FROM n QUALIFY place <= 50)"""
+z AS (SELECT match_group, row_number() OVER (PARTITION BY {case}, match_group ORDER BY matched DESC, ranks, worst, top - first, gaps, video, first, number::VARCHAR)::INTEGER AS place, video, steps, matched, evidence, ranks::INTEGER AS ranks, worst::INTEGER AS worst, top - first AS span, gaps::BIGINT AS gaps FROM n QUALIFY place <= 50)"""
 
 
 ORACLES = {
@@ -196,6 +213,14 @@ SELECT lane, count(*) FILTER (hits > 0) AS n_ok, count(*) FILTER (hits = 0) AS n
     "compare_status": f"""WITH {EVENTS}, m AS (SELECT video, space, max(value) AS m FROM e GROUP BY ALL) SELECT video, CASE WHEN count(*) FILTER (m > 12) = count(*) THEN 'OK' WHEN count(*) FILTER (m > 12) > 0 THEN 'PARTIAL' ELSE 'ERROR' END AS status FROM m GROUP BY video""",
     **{name: f"{_sequence_sql(**case)} SELECT * FROM z" for name, case in CASES.items()},
     "sequence_groups": f"{_sequence_sql(**CASES['sequence_3step'])} SELECT match_group, count(*) AS n, min(ranks) AS least_ranks FROM z GROUP BY match_group",
+    "sequence_diagnostics": f"""{_sequence_sql(strict=True, start=f"ms + CASE WHEN video % 3 = 1 AND step_index > 0 THEN step_index * {900 * DAY} ELSE 0 END", where="video IS NOT NULL AND NOT (video % 3 = 1 AND step_index = 0)", case="video % 3", **DIAGNOSED)},
+y AS (SELECT (video % 3)::INTEGER AS case_id, count(*) AS chains FROM z WHERE matched > 1 GROUP BY 1), m AS (SELECT video, count(DISTINCT step_index) AS s FROM d GROUP BY 1),
+x AS (SELECT (video % 3)::INTEGER AS case_id, count(*) AS videos, count(*) FILTER (s > 1) AS multi_step_videos FROM m GROUP BY 1),
+p AS (SELECT (a.video % 3)::INTEGER AS case_id, b.start_ms - a.end_ms AS gap, greatest(a.end_ms, b.end_ms) - least(a.start_ms, b.start_ms) AS span FROM d a JOIN d b ON a.video = b.video AND b.step_index = a.step_index + 1),
+c AS (SELECT case_id, count(*) FILTER (gap < 0) AS order_violations, count(*) FILTER (gap >= 0 AND gap < {DIAGNOSED["min_gap"]}) AS gap_too_small, count(*) FILTER (gap > {DIAGNOSED["max_gap"]}) AS gap_too_large,
+  count(*) FILTER (gap BETWEEN {DIAGNOSED["min_gap"]} AND {DIAGNOSED["max_gap"]} AND span > {DIAGNOSED["max_span"]}) AS span_violations FROM p GROUP BY 1)
+SELECT case_id, videos, multi_step_videos, coalesce(order_violations, 0) AS order_violations, coalesce(gap_too_small, 0) AS gap_too_small, coalesce(gap_too_large, 0) AS gap_too_large, coalesce(span_violations, 0) AS span_violations, coalesce(chains, 0) AS chains,
+  CASE WHEN case_id = 2 OR coalesce(chains, 0) = 0 THEN 'PARTIAL' ELSE 'OK' END AS status FROM x LEFT JOIN c USING (case_id) LEFT JOIN y USING (case_id)""",
     "kis_recall": f"WITH {_KIS} SELECT * FROM k",
     "video_recall": f"WITH {_TRUTH}, f AS (SELECT g.query_id, min(rank)::INTEGER AS first_rank FROM g JOIN p USING (query_id) WHERE video = gt_video GROUP BY 1) SELECT g.query_id, first_rank, {_AT} FROM g LEFT JOIN f USING (query_id)",
     "trake_score": f"""WITH {_TRUTH}, r AS (SELECT g.query_id, rank, CASE WHEN video <> gt_video THEN 0 ELSE ((frames[1] BETWEEN lo[1] AND hi[1])::INT + (frames[2] BETWEEN lo[2] AND hi[2])::INT + (frames[3] BETWEEN lo[3] AND hi[3])::INT) / 3 END AS share FROM g JOIN p USING (query_id)),
