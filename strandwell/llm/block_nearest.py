@@ -6,7 +6,8 @@ a tile. In a tile the int8 codes are multiplied as matrices. With q = q' + e and
 k-th largest lower bound of its query; survivors are computed again in double precision, component by component, and heaps
 keep the k best, first by tile and then over the tiles of a query.
 
-A tile holds a bounded number of rows, whatever the data: `QUERY_BLOCK` and `BLOCK` on average. Queries travel once to each candidate block,
+A tile holds a bounded number of rows, whatever the data: `QUERY_BLOCK` and `BLOCK` on average, as repeated ids are reduced to one row
+before they are dealt. Surviving pairs are computed GATHERED components at a time, so ties take no more memory. Queries travel once to each candidate block,
 candidates once to each query block; nothing else is repeated, and no pair leaves its tile unless it is among the k best there.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without id; rows of
@@ -29,6 +30,8 @@ BLOCK = 8192
 MERGED = 100_000
 #: Rows of a tile's matrix that are worked on at once.
 ROWS_AT_ONCE = 128
+#: Components of surviving pairs that are gathered at once.
+GATHERED = 2 << 20
 # Products of int8 codes add up exactly in single precision up to this many components.
 EXACT_SINGLE = (1 << 24) // (127 * 127)
 
@@ -78,7 +81,10 @@ def search_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vec
         else:
             floor = np.full(len(low), -np.inf)
         row, col = np.nonzero((high >= floor[:, None]) & ~own)
-        exact = inner(queries[part][row], vectors[col])
+        exact, some = np.empty(len(row)), max(1, GATHERED // vectors.shape[1])
+        for k_at in range(0, len(row), some):  # where many rows tie, all pairs survive
+            at_once = slice(k_at, k_at + some)
+            exact[at_once] = inner(queries[part][row[at_once]], vectors[col[at_once]])
         edges = np.searchsorted(row, np.arange(len(low) + 1))
         for i in range(len(low)):
             these = slice(edges[i], edges[i + 1])
@@ -110,7 +116,10 @@ def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def nearest(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of the largest inner product for each row that `is_query` (over vec_id) holds for."""
     rows = usable(table, vec_id, vector)
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0)).alias("q")).first()
+    size = rows.agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.coalesce(F.sum(is_query.cast("long")), F.lit(0)).alias("q")).first()
+    if size["ids"] < size["n"]:
+        # Rows of one id would all lie in one block: of each length the least vector stands for them.
+        rows = rows.groupBy("vec_id", F.size("vector").alias("d")).agg(F.min("vector").alias("vector")).drop("d")
     n_blocks, n_query_blocks = max(1, -(-size["n"] // block)), max(1, -(-size["q"] // query_block))
     dealt = rows.withColumn("dim", F.size("vector"))
     block_of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")

@@ -6,8 +6,8 @@ as many MinHash bands of one value as it takes for a window that holds a templat
 `CERTAINTY` at least. A template that shares a band with a window is verified: the window must hold at least `threshold`
 of the template's distinct shingles.
 
-Before that, texts that can't match are set aside: `cover_words` gives a few words without which every template has fewer
-shingles left than it needs, so a text with none of these words can't match, and nothing is lost.
+Before that, texts that can't match are set aside: `cover_words` gives a few words without which every template of a group has fewer
+shingles left than it needs, so in a text with none of these words the group isn't looked for, and nothing is lost.
 
 Everything happens in the row of its document, so nothing is shuffled and hot documents are no hot keys; templates are a parameter of
 the query, bounded by whoever writes it.
@@ -20,7 +20,9 @@ scanned each; a null doc_id is kept; no rows give no rows; columns beyond doc_id
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from dataclasses import dataclass
 
@@ -314,16 +316,17 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES + S
     groups = plan(templates, threshold)
     entries = compiled(docs.sparkSession, templates, groups, threshold)
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    may = None
-    for word in cover_words(templates, threshold):
-        here = F.contains(text, F.lit(word))
-        may = here if may is None else may | here
-    rows = docs.filter(may).select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"))
+    short = tuple(t for t in templates if len(template_words(t[1])) < SIZE)
+    members = [tuple(templates[k] for k in g.numbers) for g in groups] + ([short] if short else [])
+    # A group of templates is looked for only in texts that hold one of its own cover words.
+    may = [functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in cover_words(m, threshold)]) for m in members]
+    words = F.regexp_extract_all(text, F.lit(WORD), 0).alias("words")
+    rows = docs.filter(functools.reduce(operator.or_, may)).select(F.col("doc_id").cast("long").alias("doc_id"), words, *[m.alias(f"g{k}") for k, m in enumerate(may)])
     # One column after the other, and no filter on a computed one: pushed down, it would compute the column anew for each use.
-    short = any(len(template_words(t)) < SIZE for _, t in templates)
-    rows = rows.select("doc_id", shingles_of(F.col("words")).alias("shingles"), *([statement_matches(F.col("words"), templates).alias("short")] if short else []))
-    found = F.concat(*[matches_of(windows_of(F.col("shingles"), g), e) for g, e in zip(groups, entries, strict=True)], *([F.col("short")] if short else []))
-    rows = rows.select("doc_id", found.alias("found"))
+    looked = [c for c in rows.columns if c.startswith("g")]
+    rows = rows.select("doc_id", *looked, shingles_of(F.col("words")).alias("shingles"), *([F.when(F.col(looked[-1]), statement_matches(F.col("words"), templates)).alias("short")] if short else []))
+    found = [F.when(F.col(f"g{k}"), matches_of(windows_of(F.col("shingles"), g), e)) for k, (g, e) in enumerate(zip(groups, entries, strict=True))] + ([F.col("short")] if short else [])
+    rows = rows.select("doc_id", F.flatten(F.array_compact(F.array(*found))).alias("found"))
     matches = rows.select("doc_id", F.explode_outer(best_matches(F.col("found"))).alias("m")).filter(F.col("m").isNotNull())
     return matches.select(
         "doc_id", F.col("m.template").alias("template"), F.col("m.license").alias("license"), F.col("m.word").alias("first_word"), F.col("m.held").alias("held"), F.col("m.size").alias("template_shingles")

@@ -43,3 +43,27 @@ def test_bounds_hold():
 
 def test_empty(spark):
     assert N.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_take_bounded_memory():
+    """128 queries against 8,192 equal vectors of 256 dimensions: every pair survives."""
+    import tracemalloc
+
+    x = np.ones((8192, 256))
+    tracemalloc.start()
+    found = N.search_tile(np.arange(10_000, 10_128), x[:128], np.arange(8192), x, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 30
+    assert found[0] == [q for q in range(10_000, 10_128) for _ in range(5)] and found[1] == [0, 1, 2, 3, 4] * 128 and set(found[2]) == {256.0}
+
+
+def test_one_id_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=4).tolist()) for i in range(200)] + [(40, rng.normal(size=4).tolist()) for _ in range(100)] + [(40, rng.normal(size=3).tolist()) for _ in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = N.nearest(table, F.col("vec_id") % 20 == 0, 5)
+    got = sorted(tuple(r) for r in found.collect() if r["query_id"] != 40)
+    good = [(i, v) for i, v in rows if len(v) == 4]
+    assert got == [r for r in brute(good, 5) if r[0] != 40]
+    assert "min(vector" in found._jdf.queryExecution().toString()
