@@ -4,8 +4,8 @@ A text is the set of its lower-case words and of their prefixes of 4, 5 and 6 le
 is a logistic function of a bias, one weight for each present bucket and, for each pair of present buckets, the product of
 their factor vectors, so that two terms can say together what neither says alone.
 
-Training: at most `max_train_rows` labelled documents, chosen by a hash of doc_id (so the list of chosen ids has a fixed size and can be
-broadcast, and no text is shuffled); their buckets are stored once. Up to `max_terms` buckets become the model's terms:
+Training: at most `max_train_rows` labelled rows of different id or text, chosen by a hash of both (so the list of those chosen has a fixed size
+and can be broadcast, and an id in a third of all rows is no hot key); their buckets are stored once. Up to `max_terms` buckets become the model's terms:
 
 * those that go with the label or against it alone, by `MIN_STRENGTH` standard deviations or more, the strongest first;
 * those of pairs that do so together and not alone: the `PAIR_TERMS` buckets of the strongest association and the greatest frequency are
@@ -16,7 +16,8 @@ Each round, workers run gradient steps from the same parameters and the driver a
 workers that met it.
 
 Defined results: a null text is an empty one, whose score is that of the bias; rows without doc_id are scored and never learnt from; a
-document with several labels counts with their mean; without any usable label every score is 0.5; repeated rows stay; no rows give
+document with several labels counts with their mean; labels of absent documents count for nothing; rows that repeat id and text are learnt from
+once and scored each; without any usable label every score is 0.5; no rows give
 no rows. Columns beyond doc_id and text (doc_id and the label) are ignored.
 """
 
@@ -235,13 +236,20 @@ def choose_terms(rows: DataFrame, max_terms: int) -> tuple[dict[int, int], float
     return {bucket: k for k, bucket in enumerate(chosen)}, share, n
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_train_rows: int, max_terms: int) -> Model | None:
-    """The model learnt from at most `max_train_rows` labelled documents; None without any."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_train_rows: int) -> DataFrame:
+    """doc_id, stamp, text, y: the labelled rows to learn from, each different one once."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.avg(F.col(label).cast("double")).alias("y")).filter(learn_from)
-    chosen = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_train_rows)
-    # At most max_train_rows pairs of numbers: 16 bytes each.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("stamp"), whole_text().alias("text"))
+    learnable = keyed.select("doc_id", "stamp").distinct().join(known, "doc_id")
+    chosen = learnable.orderBy(F.xxhash64(F.lit(SEED), "doc_id", "stamp"), "doc_id", "stamp").limit(max_train_rows)
+    # At most max_train_rows rows of 24 bytes. Rows that repeat id and text become one before they are shuffled.
+    return keyed.join(F.broadcast(chosen), ["doc_id", "stamp"]).groupBy("doc_id", "stamp").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_train_rows: int, max_terms: int) -> Model | None:
+    """The model learnt from at most `max_train_rows` labelled rows; None without any."""
+    texts = training_rows(docs, labels, label, learn_from, max_train_rows)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -257,10 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, max_
                         found = seen[w] = buckets_of(w)
                     here.update(found)
                 rows.append(sorted(here))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "y", "buckets"])
+            columns = [batch.column("doc_id"), batch.column("stamp"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "stamp", "y", "buckets"])
 
     # The corpus is read once to learn; all that follows works on these rows.
-    rows = texts.mapInArrow(tidied(hashed), "doc_id long, y double, buckets array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id"), F.lit(WORKERS)).cast("int"))
+    rows = texts.mapInArrow(tidied(hashed), "doc_id long, stamp long, y double, buckets array<int>").withColumn("worker", F.pmod(F.xxhash64("doc_id", "stamp"), F.lit(WORKERS)).cast("int"))
     rows = materialise(rows, "toxicity-rows")
     index, share, n = choose_terms(rows, max_terms)
     if not n:

@@ -153,3 +153,13 @@ def test_odd_rows(odd_docs, odd_rows, odd_labels, no_docs, spark):
         kept = choose(odd_docs, odd_labels)
         assert kept.columns == odd_docs.columns and kept.exceptAll(odd_docs).count() == 0
         assert choose(odd_docs, nothing).count() == len(odd_rows) and choose(no_docs, odd_labels).count() == 0
+
+
+def test_one_id_in_most_rows_is_no_hot_worker(spark):
+    rows = [(7, f"text number {i}", "en", "a", 1) for i in range(4000)] + [(100 + i, f"other {i}", "en", "a", 1) for i in range(1000)] + [(7, "text number 1", "en", "a", 1)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(7, 1)] + [(100 + i, i % 2) for i in range(1000)] + [(10**6 + i, 0) for i in range(5000)], "doc_id long, toxic int")
+    for most, least in ((400, 400), (10**5, 5000)):
+        found = T.training_rows(docs, labels, "toxic", F.lit(True), most)
+        workers = found.groupBy(F.pmod(F.xxhash64("doc_id", "stamp"), F.lit(T.WORKERS)).alias("w")).count().collect()
+        assert sum(w["count"] for w in workers) == least and max(w["count"] for w in workers) < 2 * least / T.WORKERS
