@@ -39,19 +39,31 @@ def pairwise(hits: DataFrame) -> DataFrame:
     return pairs.select("query_id", "lane_a", "lane_b", overlap.alias("overlap"), F.round(overlap / (F.col("n_a") + F.col("n_b") - overlap), 4).alias("jaccard"))
 
 
-def agreement(hits: DataFrame, lane_a: str, lane_b: str, item: str) -> DataFrame:
-    """One row: queries, mean Jaccard of items, and items of a only, of b only and of both, over all queries."""
-    sides = hits.filter(F.col("lane").isin(lane_a, lane_b)).groupBy("query_id", item).agg(F.max((F.col("lane") == lane_a).cast("int")).alias("a"), F.max((F.col("lane") == lane_b).cast("int")).alias("b"))
-    by_query = sides.groupBy("query_id").agg(F.sum(F.col("a") * F.col("b")).alias("both"), F.sum(F.col("a") * (1 - F.col("b"))).alias("only_a"), F.sum(F.col("b") * (1 - F.col("a"))).alias("only_b"))
-    jaccard = F.col("both") / (F.col("both") + F.col("only_a") + F.col("only_b"))
-    return by_query.agg(F.count("*").alias("queries"), F.round(F.avg(jaccard), 4).alias("mean_jaccard"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.sum("both").alias("shared"))
+def agreement(hits: DataFrame, pairs: list[tuple[str, str]], kinds: list[str]) -> DataFrame:
+    """lane_a, lane_b, kind, queries, mean_jaccard, only_a, only_b, shared: for each pair of lanes and each kind of thing that they find (a column).
+
+    The mean is over the queries where either lane finds anything; counts are of things within queries, added up over them."""
+    found = None
+    for lane_a, lane_b in pairs:
+        mine = hits.filter(F.col("lane").isin(lane_a, lane_b))
+        for kind in kinds:
+            sides = mine.groupBy("query_id", kind).agg(F.max((F.col("lane") == lane_a).cast("int")).alias("a"), F.max((F.col("lane") == lane_b).cast("int")).alias("b"))
+            by_query = sides.groupBy("query_id").agg(F.sum(F.col("a") * F.col("b")).alias("both"), F.sum(F.col("a") * (1 - F.col("b"))).alias("only_a"), F.sum(F.col("b") * (1 - F.col("a"))).alias("only_b"))
+            jaccard = F.col("both") / (F.col("both") + F.col("only_a") + F.col("only_b"))
+            one = by_query.agg(F.count("*").alias("queries"), F.round(F.avg(jaccard), 4).alias("mean_jaccard"), F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.sum("both").alias("shared"))
+            named = one.select(F.lit(lane_a).alias("lane_a"), F.lit(lane_b).alias("lane_b"), F.lit(kind).alias("kind"), "*")
+            found = named if found is None else found.unionByName(named)
+    return found
+
+
+STATUSES = ("OK", "EMPTY", "UNAVAILABLE", "ERROR")
 
 
 def rollup(runs: DataFrame) -> DataFrame:
-    """lane, n_ok, n_empty, p50, p95 (interpolated), mean_hits of runs (lane, status, latency_ms, hits)."""
+    """lane, executed, n_ok, n_empty, n_unavailable, n_error, p50, p95 (interpolated), mean_hits, mean_videos of runs (lane, status, latency_ms, hits, videos)."""
     return runs.groupBy("lane").agg(
-        F.count_if(F.col("status") == "OK").alias("n_ok"), F.count_if(F.col("status") == "EMPTY").alias("n_empty"), F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"),
-        F.round(F.percentile("latency_ms", 0.95), 4).alias("p95"), F.round(F.avg("hits"), 4).alias("mean_hits"),
+        F.count("*").alias("executed"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES], F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"),
+        F.round(F.percentile("latency_ms", 0.95), 4).alias("p95"), F.round(F.avg("hits"), 4).alias("mean_hits"), F.round(F.avg("videos"), 4).alias("mean_videos"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTOFFS = (1, 5, 20, 50, 100)
@@ -68,19 +68,34 @@ def invalid_predictions(predictions: DataFrame, most: int = 100) -> DataFrame:
     return per_query.select("query_id", F.explode(codes).alias("c")).select("query_id", "c.code", "c.n").filter("n > 0")
 
 
-def votes(hits: DataFrame, whole: str, phrase: str, speech: str) -> DataFrame:
-    """query_id, video, votes, lanes: 50 - rank for a hit of the whole query, 20 for the first of a phrase's 20 best hits, 19 for the second and so on,
-    and 30 for a hit of speech."""
-    vote = F.when(F.col("lane") == whole, 50 - F.col("rank")).when((F.col("lane") == phrase) & (F.col("rank") <= 20), 21 - F.col("rank")).when(F.col("lane") == speech, F.lit(30))
+#: Ranks of the whole query that vote, hits of a phrase and of speech that do, and candidates that are kept.
+WHOLE_RANKS, PHRASE_RANKS, KEPT = (9, 40), 20, 20
+
+
+def votes(hits: DataFrame, whole: str, phrase: str, speech: str, keep: int = KEPT) -> DataFrame:
+    """query_id, place, video, votes, lanes: the `keep` videos of the most votes of each query, ties to the smaller video.
+
+    A hit of the whole query has 50 - rank votes at ranks 9 to 40 (the first eight are looked at anyway), one of a phrase 21 - rank among its 20 best,
+    one of speech 30 among its 20 best."""
+    rank, lane = F.col("rank"), F.col("lane")
+    vote = F.when((lane == whole) & rank.between(*WHOLE_RANKS), 50 - rank).when((lane == phrase) & (rank <= PHRASE_RANKS), PHRASE_RANKS + 1 - rank).when((lane == speech) & (rank <= PHRASE_RANKS), F.lit(30))
     cast = hits.withColumn("v", vote).filter("v IS NOT NULL")
-    return cast.groupBy("query_id", "video").agg(F.sum("v").cast("long").alias("votes"), F.countDistinct("lane").alias("lanes"))
+    found = cast.groupBy("query_id", "video").agg(F.sum("v").cast("long").alias("votes"), F.countDistinct("lane").alias("lanes"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("votes"), "video")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("query_id", "place", "video", "votes", "lanes")
+
 
+def review_candidates(hits: DataFrame, lanes: list[str], keep: int = 8) -> DataFrame:
+    """query_id, place, video, start, end, n_lanes and the best rank in each lane: the `keep` windows of each query that are to be looked at.
 
-def review_candidates(hits: DataFrame, lanes: list[str]) -> DataFrame:
-    """query_id, video, n_lanes and the best rank in each lane, in order of lanes, ranks and video."""
-    best = hits.groupBy("query_id", "video").pivot("lane", lanes).agg(F.min("rank"))
+    `hits` are windows (query_id, lane, video, start, end, rank). Windows of several lanes are one by video, start and end; those of more lanes come first, then
+    the better rank in the first lane, the second and so on, where a missing rank counts as 999, then video and start."""
+    key = ["query_id", "video", "start", "end"]
+    best = hits.groupBy(*key).pivot("lane", lanes).agg(F.min("rank"))
     n = sum((F.col(x).isNotNull().cast("int") for x in lanes[1:]), F.col(lanes[0]).isNotNull().cast("int"))
-    return best.select("query_id", "video", n.alias("n_lanes"), *[F.col(x).alias(f"rank_{x}") for x in lanes])
+    order = Window.partitionBy("query_id").orderBy(F.desc("n_lanes"), *[F.coalesce(x, F.lit(999)) for x in lanes], "video", "start", "end")
+    placed = best.withColumn("n_lanes", n).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    return placed.select("query_id", "place", "video", "start", "end", "n_lanes", *[F.col(x).alias(f"rank_{x}") for x in lanes])
 
 
 BLOCKED, UNLABELLED = "BLOCKED_BY_SCORING_CONTRACT", "UNLABELED"

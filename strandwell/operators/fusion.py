@@ -98,7 +98,7 @@ def assign_windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN
 
 
 def windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN_SEC, k: int = RRF_K) -> DataFrame:
-    """query_id, video, start, end, n_evidence, evidence, best_rank, representative, lanes, rrf of every window.
+    """query_id, video, start, end, n_evidence, evidence, evidence_ids, best_rank, representative, kind, lanes, rrf of every window.
 
     The representative is the best-ranked visual hit, or else the best-ranked one; each lane counts once, with its best rank."""
     rows = assign_windows(hits, merge, span)
@@ -112,10 +112,10 @@ def windows(hits: DataFrame, merge: float = MERGE_SEC, span: float = SPAN_SEC, k
         F.round(F.min("lo"), 6).alias("start"), F.round(F.max("hi"), 6).alias("end"), F.sum("n").alias("n_evidence"), F.sort_array(F.flatten(F.collect_list("evidence"))).alias("evidence"),
         F.min("best").alias("best_rank"), F.min("any").alias("any"), F.min("visual").alias("visual"), F.sort_array(F.collect_list(F.struct("provider", "best"))).alias("lanes"),
     )
-    named = F.concat_ws(",", F.transform("evidence", lambda e: F.concat_ws(":", e["provider"], e["evidence_id"].cast("string"))))
+    names = F.transform("evidence", lambda e: F.concat_ws(":", e["provider"], e["evidence_id"].cast("string")))
     rrf = F.aggregate("lanes", F.lit(0.0), lambda s, lane: s + 1.0 / (k + lane["best"]))
     return merged.select(
-        "query_id", "video", "start", "end", "n_evidence", named.alias("evidence"), "best_rank", F.coalesce("visual.evidence_id", "any.evidence_id").alias("representative"),
+        "query_id", "video", "start", "end", "n_evidence", F.concat_ws(",", names).alias("evidence"), names.alias("evidence_ids"), "best_rank", F.coalesce("visual.evidence_id", "any.evidence_id").alias("representative"),
         F.when(F.col("visual").isNotNull(), "visual_keyframe").otherwise("temporal_anchor").alias("kind"), F.concat_ws(",", F.transform("lanes", lambda x: F.concat_ws("=", x["provider"], x["best"].cast("string")))).alias("lanes"), F.round(rrf, 9).alias("rrf"),
     )
 
@@ -125,23 +125,27 @@ def _number(seconds: Column) -> Column:
     return F.regexp_replace(F.round(seconds, 6).cast("decimal(20,6)").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON has it, quotes and escapes included: the one entry of a list, without the brackets."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
 def window_id(policy: str = "window_policy_v1") -> Column:
     """An id from what makes a window: the digest of its evidence (in order of names), bounds, policy and video as JSON without spaces."""
-    quoted = F.concat_ws(",", F.transform(F.array_sort(F.split("evidence", ",")), lambda e: F.concat(F.lit('"'), e, F.lit('"'))))
     said = F.concat(
-        F.lit('{"end_sec":'), _number(F.col("end")), F.lit(',"evidence_ids":['), quoted, F.lit(f'],"policy_version":"{policy}","start_sec":'), _number(F.col("start")),
-        F.lit(',"video_id":"'), F.coalesce(F.col("video").cast("string"), F.lit("")), F.lit('"}'),
+        F.lit('{"end_sec":'), _number(F.col("end")), F.lit(',"evidence_ids":'), F.to_json(F.array_sort("evidence_ids")), F.lit(f',"policy_version":"{policy}","start_sec":'), _number(F.col("start")),
+        F.lit(',"video_id":'), _quoted(F.coalesce(F.col("video").cast("string"), F.lit(""))), F.lit("}"),
     )
     return F.concat(F.lit("ew_"), F.substring(F.sha2(said, 256), 1, 24))
 
 
 def contract_violations(found: DataFrame, span: float = SPAN_SEC, k: int = RRF_K) -> DataFrame:
     """video, start, code of windows that break the answer's contract: SPAN, NO_EVIDENCE, REPEATED_EVIDENCE, RANK, RRF (recomputed to 1e-9)."""
-    names = F.split("evidence", ",")
+    names = F.col("evidence_ids")
     ranks = F.transform(F.split("lanes", ","), lambda x: F.element_at(F.split(x, "="), 2).cast("int"))
     again = F.aggregate(ranks, F.lit(0.0), lambda s, r: s + 1.0 / (k + r))
     codes = F.array(
-        F.when(~((F.col("end") - F.col("start")).between(0, span)), "SPAN"), F.when(F.coalesce(F.col("evidence"), F.lit("")) == "", "NO_EVIDENCE"),
+        F.when(~((F.col("end") - F.col("start")).between(0, span)), "SPAN"), F.when(F.coalesce(F.size(names), F.lit(0)) < 1, "NO_EVIDENCE"),
         F.when(F.size(F.array_distinct(names)) < F.size(names), "REPEATED_EVIDENCE"), F.when(F.exists(ranks, lambda r: r.isNull() | (r < 1)), "RANK"), F.when(F.abs(F.col("rrf") - again) > 1e-9, "RRF"),
     )
     return found.select("video", "start", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))

@@ -14,14 +14,21 @@ from strandwell.plans.fusion import ranked
 from strandwell.plans.timeline import EVENTS, events
 
 LANES = ["click", "error", "purchase", "view"]
+PAIRS = [("click", "view"), ("click", "purchase"), ("view", "purchase"), ("click", "error")]
 
 
-def _hits(spark: SparkSession, sf_dir: str, top: int = 60) -> DataFrame:
-    """query_id, lane, video, item, rank: each lane's best events for the queries 0 to 4."""
+#: Hits of a lane that a comparison looks at: it is about the best of each.
+COMPARED = 20
+
+
+def _hits(spark: SparkSession, sf_dir: str, top: int | None = COMPARED) -> DataFrame:
+    """query_id, lane, video, item, start, end, rank: each lane's events for the queries 0 to 4, all or the best `top`."""
     rows = events(spark, sf_dir).filter(F.col("space").isin(LANES))
-    rows = rows.select((F.col("uid") % 5).alias("query_id"), F.col("space").alias("lane"), "video", (F.col("uid") % 97).alias("item"), "uid", "value")
+    start = F.floor(F.col("ms") % 300_000 / 10_000) * 10
+    rows = rows.select((F.col("uid") % 5).alias("query_id"), F.col("space").alias("lane"), "video", (F.col("uid") % 97).alias("item"), start.alias("start"), (start + 10).alias("end"), "uid", "value")
     order = Window.partitionBy("query_id", "lane").orderBy(F.col("value").desc(), "uid")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked_rows = rows.withColumn("rank", F.row_number().over(order))
+    return ranked_rows if top is None else ranked_rows.filter(F.col("rank") <= top)
 
 
 def compare_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +44,16 @@ def compare_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lane_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.agreement(_hits(spark, sf_dir), "click", "view", "item")
+    """Four pairs of lanes by the items and by the videos of their best hits."""
+    return P.agreement(_hits(spark, sf_dir), PAIRS, ["item", "video"])
 
 
 def lane_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = events(spark, sf_dir).groupBy(F.col("space").alias("lane"), "video").agg(F.round(F.sum("value"), 2).alias("latency_ms"), F.count_if(F.col("value") > 20).alias("hits"))
-    return P.rollup(runs.withColumn("status", F.when(F.col("hits") > 0, "OK").otherwise("EMPTY")))
+    """Each user's events of a lane as one run of it; some lanes were not there for a user, some failed."""
+    runs = events(spark, sf_dir).groupBy(F.col("space").alias("lane"), "video").agg(F.round(F.sum("value"), 2).alias("latency_ms"), F.count_if(F.col("value") > 20).alias("n"), F.countDistinct(F.col("uid") % 7).alias("videos"))
+    status = F.when(F.col("video") % 11 == 3, "UNAVAILABLE").when(F.col("video") % 13 == 5, "ERROR").when(F.col("n") > 0, "OK").otherwise("EMPTY")
+    ran = status.isin("OK", "EMPTY")
+    return P.rollup(runs.withColumn("status", status).withColumn("hits", F.when(ran, F.col("n")).otherwise(0)).withColumn("videos", F.when(ran, F.col("videos")).otherwise(0)))
 
 
 def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +159,11 @@ def prediction_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.votes(_hits(spark, sf_dir), "click", "view", "purchase")
+    return E.votes(_hits(spark, sf_dir, None), "click", "view", "purchase")
 
 
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.review_candidates(_hits(spark, sf_dir), LANES)
+    return E.review_candidates(_hits(spark, sf_dir, None), LANES)
 
 
 QUERIES = {
@@ -162,7 +173,8 @@ QUERIES = {
     "prediction_violations": prediction_violations, "candidate_votes": candidate_votes, "review_candidates": review_candidates,
 }
 
-_HITS = f"""{EVENTS}, h AS (SELECT uid % 5 AS query_id, space AS lane, video, uid % 97 AS item, uid, row_number() OVER (PARTITION BY uid % 5, space ORDER BY value DESC, uid) AS rank FROM e WHERE space IN ('click', 'error', 'purchase', 'view') QUALIFY rank <= 60)"""
+_ALL = f"""{EVENTS}, h AS (SELECT uid % 5 AS query_id, space AS lane, video, uid % 97 AS item, (ms % 300000) // 10000 * 10 AS start, (ms % 300000) // 10000 * 10 + 10 AS "end", uid, row_number() OVER (PARTITION BY uid % 5, space ORDER BY value DESC, uid) AS rank FROM e WHERE space IN ('click', 'error', 'purchase', 'view'))"""
+_HITS = _ALL.replace("'view'))", f"'view') QUALIFY rank <= {COMPARED})")
 _TRUTH = f"""{EVENTS}, g AS (SELECT DISTINCT video AS query_id, video % 7 AS gt_video, [video * 5, 700, video * 11] AS lo, [video * 5 + 150, 750, video * 11 + 200] AS hi FROM e WHERE video IS NOT NULL),
 p AS (SELECT video AS query_id, row_number() OVER (PARTITION BY video ORDER BY value DESC, uid) AS rank, uid % 7 AS video, uid % 1000 AS frame, [uid % 1000, uid * 7 % 1000, uid * 13 % 1000] AS frames FROM e WHERE e.video IS NOT NULL QUALIFY rank <= 100)"""
 _AT = ", ".join(f"CASE WHEN first_rank <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r_at_{k}" for k in E.CUTOFFS)
@@ -206,10 +218,15 @@ ORACLES = {
     "compare_unique": f"WITH {_HITS}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n, min(lane) AS only FROM h GROUP BY ALL) SELECT l.query_id, l.lane, count(s.video) AS n_unique FROM (SELECT DISTINCT query_id, lane FROM h) l LEFT JOIN s ON s.query_id = l.query_id AND s.only = l.lane AND s.n = 1 GROUP BY ALL",
     "compare_pairwise": f"""WITH {_HITS}, d AS (SELECT DISTINCT query_id, lane, video FROM h), s AS (SELECT query_id, lane, list(video) AS v FROM d GROUP BY ALL)
 SELECT a.query_id, a.lane AS lane_a, b.lane AS lane_b, len(list_intersect(a.v, b.v))::BIGINT AS overlap, round(len(list_intersect(a.v, b.v)) / (len(a.v) + len(b.v) - len(list_intersect(a.v, b.v))), 4) AS jaccard FROM s a JOIN s b ON a.query_id = b.query_id AND a.lane < b.lane""",
-    "lane_jaccard": f"""WITH {_HITS}, s AS (SELECT query_id, item, max((lane = 'click')::INT) AS a, max((lane = 'view')::INT) AS b FROM h WHERE lane IN ('click', 'view') GROUP BY ALL),
-q AS (SELECT query_id, sum(a * b) AS both_, sum(a * (1 - b)) AS oa, sum(b * (1 - a)) AS ob FROM s GROUP BY 1) SELECT count(*) AS queries, round(avg(both_ / (both_ + oa + ob)), 4) AS mean_jaccard, sum(oa)::BIGINT AS only_a, sum(ob)::BIGINT AS only_b, sum(both_)::BIGINT AS shared FROM q""",
-    "lane_rollup": f"""WITH {EVENTS}, r AS (SELECT space AS lane, video, round(sum(value), 2) AS latency, count(*) FILTER (value > 20) AS hits FROM e GROUP BY ALL)
-SELECT lane, count(*) FILTER (hits > 0) AS n_ok, count(*) FILTER (hits = 0) AS n_empty, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, round(avg(hits), 4) AS mean_hits FROM r GROUP BY lane""",
+    "lane_jaccard": f"""WITH {_HITS}, """ + ", ".join(
+        f"""p{i}{kind} AS (SELECT '{a}' AS lane_a, '{b}' AS lane_b, '{kind}' AS kind, count(*) AS queries, round(avg(both_ / (both_ + oa + ob)), 4) AS mean_jaccard, sum(oa)::BIGINT AS only_a, sum(ob)::BIGINT AS only_b, sum(both_)::BIGINT AS shared FROM
+(SELECT query_id, sum(a * b) AS both_, sum(a * (1 - b)) AS oa, sum(b * (1 - a)) AS ob FROM (SELECT query_id, {kind}, max((lane = '{a}')::INT) AS a, max((lane = '{b}')::INT) AS b FROM h WHERE lane IN ('{a}', '{b}') GROUP BY ALL) GROUP BY 1))"""
+        for i, (a, b) in enumerate(PAIRS) for kind in ("item", "video")
+    ) + " " + " UNION ALL ".join(f"SELECT * FROM p{i}{kind}" for i in range(len(PAIRS)) for kind in ("item", "video")),
+    "lane_rollup": f"""WITH {EVENTS}, r0 AS (SELECT space AS lane, video, round(sum(value), 2) AS latency, count(*) FILTER (value > 20) AS n, count(DISTINCT uid % 7) AS videos FROM e GROUP BY ALL),
+r AS (SELECT *, CASE WHEN video % 11 = 3 THEN 'UNAVAILABLE' WHEN video % 13 = 5 THEN 'ERROR' WHEN n > 0 THEN 'OK' ELSE 'EMPTY' END AS status FROM r0)
+SELECT lane, count(*) AS executed, count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status = 'EMPTY') AS n_empty, count(*) FILTER (status = 'UNAVAILABLE') AS n_unavailable, count(*) FILTER (status = 'ERROR') AS n_error,
+round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, round(avg(CASE WHEN status IN ('OK', 'EMPTY') THEN n ELSE 0 END), 4) AS mean_hits, round(avg(CASE WHEN status IN ('OK', 'EMPTY') THEN videos ELSE 0 END), 4) AS mean_videos FROM r GROUP BY lane""",
     "compare_status": f"""WITH {EVENTS}, m AS (SELECT video, space, max(value) AS m FROM e GROUP BY ALL) SELECT video, CASE WHEN count(*) FILTER (m > 12) = count(*) THEN 'OK' WHEN count(*) FILTER (m > 12) > 0 THEN 'PARTIAL' ELSE 'ERROR' END AS status FROM m GROUP BY video""",
     **{name: f"{_sequence_sql(**case)} SELECT * FROM z" for name, case in CASES.items()},
     "sequence_groups": f"{_sequence_sql(**CASES['sequence_3step'])} SELECT match_group, count(*) AS n, min(ranks) AS least_ranks FROM z GROUP BY match_group",
@@ -230,6 +247,9 @@ SELECT g.query_id, first_rank, {", ".join(f"round(coalesce(a{k}, 0), 6) AS r_at_
     "eval_breakdown": f"WITH {_KIS} SELECT 't' || query_id % 3 AS trap, {_MEANS} FROM k GROUP BY 1",
     "prediction_violations": f"""WITH {_TRUTH}, n AS (SELECT query_id, count(*) AS n, count(DISTINCT rank) AS ranks, count(DISTINCT (video, frame % 40)) AS places FROM p GROUP BY 1)
 SELECT query_id, 'TOO_MANY' AS code, n - 60 AS n FROM n WHERE n > 60 UNION ALL SELECT query_id, 'REPEATED_RANK', n - ranks FROM n WHERE n > ranks UNION ALL SELECT query_id, 'REPEATED_PLACE', n - places FROM n WHERE n > places""",
-    "candidate_votes": f"WITH {_HITS}, v AS (SELECT query_id, video, lane, CASE WHEN lane = 'click' THEN 50 - rank WHEN lane = 'view' AND rank <= 20 THEN 21 - rank WHEN lane = 'purchase' THEN 30 END AS v FROM h) SELECT query_id, video, sum(v)::BIGINT AS votes, count(DISTINCT lane) AS lanes FROM v WHERE v IS NOT NULL GROUP BY ALL",
-    "review_candidates": f"WITH {_HITS} SELECT query_id, video, count(DISTINCT lane)::INTEGER AS n_lanes, {', '.join(f'min(rank) FILTER (lane = {x!r})::INTEGER AS rank_{x}' for x in LANES)} FROM h GROUP BY query_id, video",
+    "candidate_votes": f"""WITH {_ALL}, v AS (SELECT query_id, video, lane, CASE WHEN lane = 'click' AND rank BETWEEN 9 AND 40 THEN 50 - rank WHEN lane = 'view' AND rank <= 20 THEN 21 - rank WHEN lane = 'purchase' AND rank <= 20 THEN 30 END AS v FROM h),
+c AS (SELECT query_id, video, sum(v)::BIGINT AS votes, count(DISTINCT lane) AS lanes FROM v WHERE v IS NOT NULL GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, video NULLS FIRST)::INTEGER AS place, video, votes, lanes FROM c QUALIFY place <= 20""",
+    "review_candidates": f"""WITH {_ALL}, c AS (SELECT query_id, video, start, "end", count(DISTINCT lane)::INTEGER AS n_lanes, {', '.join(f'min(rank) FILTER (lane = {x!r})::INTEGER AS rank_{x}' for x in LANES)} FROM h GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n_lanes DESC, {', '.join(f'coalesce(rank_{x}, 999)' for x in LANES)}, video NULLS FIRST, start, "end")::INTEGER AS place, video, start, "end", n_lanes, {', '.join(f'rank_{x}' for x in LANES)} FROM c QUALIFY place <= 8""",
 }
