@@ -1,48 +1,14 @@
-"""Incremental maintenance with Structured Streaming: an upserted table, and counts in event-time windows.
+"""Counts in windows of event time and sessions with Structured Streaming; `delta_log` keeps an upserted table.
 
-Both are extensions: the batch operators give the same results from whole tables.
+These are extensions: the batch operators give the same results from whole tables.
+
+Defined results: rows later than the watermark allows are dropped; a null kind or key is one like others; rows without a time belong to no window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from strandwell.operators.jobs import upsert
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions of a table folder that are whole, ascending."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = [s.getPath() for s in fs.listStatus(hadoop)]
-    done = [p.getName() for p in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.removeprefix("v=")) for n in done if n.startswith("v="))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of the table, or None before the first."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
-
-
-def keep_upserted(stream: DataFrame, path: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
-    """Runs the stream's available input into the table: for each key the row of the greatest version stays.
-
-    Every micro-batch writes a version named by its number, from the version before; a batch that is run again after a failure
-    writes the same version again, so each input row counts once."""
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _versions(spark, path) if v < number]
-        new = batch.dropDuplicates([key, version])
-        old = spark.read.parquet(f"{path}/v={older[-1]}") if older else new.limit(0)
-        upsert(old, new, key, F.col(version)).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -64,18 +64,6 @@ def test_jobs(spark):
         jobs.merge([done, done], "item").collect()
 
 
-def test_streamed_upserts_equal_a_batch(spark, tmp_path):
-    schema = "key int, version int, value string"
-    batches = [[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c"), (3, 1, "d")], [(1, 1, "old"), (2, 5, "e")]]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        incremental.keep_upserted(stream, str(tmp_path / "table"), "key", "version", str(tmp_path / "checkpoint")).awaitTermination()
-    got = sorted(tuple(r) for r in incremental.current(spark, str(tmp_path / "table")).select("key", "version", "value").collect())
-    assert got == [(1, 2, "c"), (2, 5, "e"), (3, 1, "d")]
-    assert incremental.current(spark, str(tmp_path / "nothing")) is None
-
-
 def test_streamed_windows(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     rows.write.parquet(str(tmp_path / "events"))
