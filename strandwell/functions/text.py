@@ -49,11 +49,26 @@ def tokens(text: Column) -> Column:
 
 
 def snippet(words: Column, terms: list[str], width: int = 24) -> Column:
-    """`width` words around the first hit, hits in brackets, with dots where text was left out."""
+    """The `width` words that hold the most different terms, hits in brackets, with dots where text was left out; null without a hit.
+
+    Of equal windows the first counts. A window begins at a hit; what its last hit leaves free is shared between both sides."""
     wanted = F.array(*[F.lit(t) for t in terms])
-    first = F.array_position(F.transform(words, lambda w: F.array_contains(wanted, w)), True).cast("int")
-    start = F.greatest(F.lit(1), first - width // 2)
-    part = F.transform(F.slice(words, start, width), lambda w: F.when(F.array_contains(wanted, w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    before = F.when(start > 1, F.lit("… ")).otherwise(F.lit(""))
-    after = F.when(start + width <= F.size(words), F.lit(" …")).otherwise(F.lit(""))
-    return F.concat(before, F.concat_ws(" ", part), after)
+    marked = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w")))
+    hits = F.filter(marked, lambda h: F.array_contains(wanted, h["w"]))
+
+    def window(h: Column, j: Column, every: Column) -> Column:
+        inside = F.filter(F.slice(every, j + 1, width), lambda x: x["at"] < h["at"] + width)
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda x: x["w"]))).alias("n"), (-h["at"]).alias("first"), F.element_at(inside, -1)["at"].alias("last"))
+
+    # One list of hits is bound once and looked at from each of them.
+    best = F.array_max(F.flatten(F.transform(F.array(hits), lambda every: F.transform(every, lambda h, j: window(h, j, every)))))
+    free = width - (best["last"] + best["first"] + 1)
+    start = F.greatest(F.lit(0), F.least(-best["first"] - F.floor(free / 2), F.size(words) - width)).cast("int")
+    return _cut(words, wanted, F.when(best.isNotNull(), start), width)
+
+
+def _cut(words: Column, wanted: Column, start: Column, width: int) -> Column:
+    part = F.transform(F.slice(words, start + 1, width), lambda w: F.when(F.array_contains(wanted, w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    before = F.when(start > 0, F.lit("… ")).otherwise(F.lit(""))
+    after = F.when(start + width < F.size(words), F.lit(" …")).otherwise(F.lit(""))
+    return F.when(start.isNotNull(), F.concat(before, F.concat_ws(" ", part), after))

@@ -211,10 +211,14 @@ a AS (SELECT query_id, uid, list_sum(list(idf * f * 2.2::DOUBLE / (f + 1.2::DOUB
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uid)::INTEGER AS rank, uid AS page_id, round(score, 4) AS score FROM a QUALIFY rank <= {K}"""
 
 
+SNIPPET_TERMS, SNIPPET_WIDTH = ["reat", "the", "onti", "erst"], 8
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations that hold a term, with the words around its first place."""
+    """Turns of conversations that hold a term, with the words where most of them stand together."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", tokens(F.col("text")).alias("w"))
-    return turns.filter(F.array_contains("w", "reat")).select("conv_id", "turn", snippet(F.col("w"), ["reat"], 8).alias("snippet"))
+    found = turns.filter(F.arrays_overlap("w", F.array(*[F.lit(t) for t in SNIPPET_TERMS])))
+    return found.select("conv_id", "turn", snippet(F.col("w"), SNIPPET_TERMS, SNIPPET_WIDTH).alias("snippet"))
 
 
 QUERIES = {
@@ -243,6 +247,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, u
     "substring_topk": _substring_sql(),
     "bm25_weighted_fields": _fields_sql(),
     "snippets": rf"""
-WITH d AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM conversations), h AS (SELECT *, list_position(w, 'reat') AS p, greatest(1, list_position(w, 'reat') - 4) AS s FROM d WHERE list_contains(w, 'reat'))
-SELECT conv_id, turn, (CASE WHEN s > 1 THEN '… ' ELSE '' END) || array_to_string(list_transform(w[s:s + 7], lambda x: CASE WHEN x = 'reat' THEN '[reat]' ELSE x END), ' ') || (CASE WHEN s + 8 <= len(w) THEN ' …' ELSE '' END) AS snippet FROM h""",
+WITH d AS (SELECT row_number() OVER () AS r, conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w, {SNIPPET_TERMS} AS t FROM conversations),
+h AS (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda k: list_contains(t, w[k]))) AS p FROM d),
+c AS (SELECT *, len(list_distinct(list_filter(w[p:p + {SNIPPET_WIDTH - 1}], lambda x: list_contains(t, x)))) AS n, list_max(list_filter(range(p, least(p + {SNIPPET_WIDTH}, len(w) + 1)), lambda k: list_contains(t, w[k]))) AS last FROM h),
+b AS (SELECT *, greatest(1, least(p - ({SNIPPET_WIDTH} - (last - p + 1)) // 2, len(w) - {SNIPPET_WIDTH - 1})) AS s FROM c QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, p) = 1)
+SELECT conv_id, turn, (CASE WHEN s > 1 THEN '… ' ELSE '' END) || array_to_string(list_transform(w[s:s + {SNIPPET_WIDTH - 1}], lambda x: CASE WHEN list_contains(t, x) THEN '[' || x || ']' ELSE x END), ' ') || (CASE WHEN s + {SNIPPET_WIDTH} <= len(w) THEN ' …' ELSE '' END) AS snippet FROM b""",
 }
