@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwell.functions.scalars import idf
-from strandwell.functions.text import accentless, facet_phrase
+from strandwell.functions.text import accentless, facet_phrase, tokens
 
 
 def postings(detections: DataFrame, best: int = 5) -> DataFrame:
@@ -70,17 +70,24 @@ def facet_scores(facets: DataFrame, wanted: DataFrame, n_frames: Column, frequen
 
 
 def discover(dictionary: DataFrame, text: str, limit: int = 25) -> DataFrame:
-    """Facets whose value is the text, or, if none is, holds all its words of two letters or more, or else any: facet_id, stage; `limit` of them in order."""
-    words = [w for w in text.lower().split() if len(w) > 1]
-    value = F.lower("value")
-    has = [F.array_contains(F.split(value, " "), w) for w in words] or [F.lit(False)]
-    every, some = has[0], has[0]
-    for h in has[1:]:
-        every, some = every & h, some | h
-    stage = F.when(value == text.lower(), 0).when(every, 1).when(some, 2)
-    staged = dictionary.select("facet_id", stage.alias("stage")).filter("stage IS NOT NULL")
-    least = staged.agg(F.min("stage").alias("least"))  # one row
-    return staged.join(F.broadcast(least), F.col("stage") == F.col("least")).drop("least").orderBy("stage", "facet_id").limit(limit)
+    """facet_id, stage of the facets (facet_id, value) that a text may mean, in order of both.
+
+    Those whose value is the text, with or without accents (stage 0), and the first `limit` that hold it as a phrase (1); if there are none, the first `limit` that
+    hold any of its words of two letters or more (2)."""
+    spark = dictionary.sparkSession
+    asked = spark.createDataFrame([(text,)], "t string").select(facet_phrase(F.col("t")).alias("norm"), accentless(facet_phrase(F.col("t"))).alias("plain")).first()
+    words = [w for w in dict.fromkeys((asked["norm"] or "").split()) if len(w) > 1]
+    value, folded = facet_phrase(F.col("value")), accentless(facet_phrase(F.col("value")))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+    held = lambda c, t: F.contains(spaced(c), F.concat(F.lit(" "), F.array_join(tokens(F.lit(t)), " "), F.lit(" ")))
+    same = (value == asked["norm"]) | (folded == asked["plain"])
+    phrase = held(value, asked["norm"]) | held(folded, asked["plain"]) if words else F.lit(False)
+    some = F.arrays_overlap(tokens(value), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    staged = dictionary.select("facet_id", F.when(same, 0).when(phrase, 1).when(some, 2).alias("stage")).filter("stage IS NOT NULL")
+    best = staged.agg(F.min("stage").alias("least"))  # one row
+    kept = staged.join(F.broadcast(best), (F.col("stage") < 2) | (F.col("least") == 2)).drop("least")
+    placed = kept.withColumn("_n", F.row_number().over(Window.partitionBy("stage").orderBy("facet_id")))
+    return placed.filter((F.col("stage") == 0) | (F.col("_n") <= limit)).drop("_n").orderBy("stage", "facet_id")
 
 
 def vocabulary_audit(facets: DataFrame) -> DataFrame:

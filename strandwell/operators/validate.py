@@ -182,6 +182,68 @@ def merkle(table: DataFrame, order: Column, line: Column, fan: int = 1000) -> Da
             return level.select(F.col("d").alias("checksum"))
 
 
+def checksums(kinds: dict[str, tuple[DataFrame, Column, Column]], fan: int = 1000) -> DataFrame:
+    """kind, n, checksum: `merkle` for each kind of entity, from its table, order and line."""
+    found = None
+    for kind, (table, order, line) in kinds.items():
+        one = merkle(table, order, line, fan).select(F.lit(kind).alias("kind"), "checksum").join(table.agg(F.count("*").alias("n")), F.lit(True)).select("kind", "n", "checksum")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def completeness(entities: DataFrame, key: str, kinds: dict[str, DataFrame]) -> DataFrame:
+    """One row for each entity and one for each orphan: entity, known, has_<kind>, missing.
+
+    `kinds` are tables with a column `entity`. An orphan is an entity that some kind has and the registry doesn't (known is false)."""
+    found = entities.select(F.col(key).alias("entity")).distinct().withColumn("known", F.lit(True))
+    for kind, rows in kinds.items():
+        mine = rows.select(F.col("entity").alias("_e")).filter("_e IS NOT NULL").distinct().withColumn(f"has_{kind}", F.lit(True))
+        found = found.join(mine, F.col("entity") == F.col("_e"), "full").withColumn("entity", F.coalesce("entity", "_e")).drop("_e")
+    has = [F.coalesce(f"has_{k}", F.lit(False)) for k in kinds]
+    missing = F.filter(F.array(*[F.when(~h, F.lit(k)) for k, h in zip(kinds, has, strict=True)]), lambda x: x.isNotNull())
+    return found.select("entity", F.coalesce("known", F.lit(False)).alias("known"), *[h.alias(f"has_{k}") for k, h in zip(kinds, has, strict=True)], F.concat_ws(",", missing).alias("missing"))
+
+
+def storage(files: DataFrame, path: str, size: str, samples: int = 10) -> DataFrame:
+    """folder, extension, n, bytes, samples: for each folder and file extension the files, their bytes and the first `samples` paths in order.
+
+    Samples are cut within tasks first, so no folder's paths are brought together."""
+    name = F.regexp_replace(path, r"[?#].*$", "")
+    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    rows = files.select(F.regexp_extract(name, r"^(.*)/[^/]*$", 1).alias("folder"), extension.alias("extension"), F.col(path).alias("path"), F.col(size).cast("long").alias("size"))
+    totals = rows.groupBy("folder", "extension").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    order = Window.partitionBy("folder", "extension").orderBy("path")
+    first = rows.select("folder", "extension", "path").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= samples)
+    shown = first.groupBy("folder", "extension").agg(F.sort_array(F.collect_list("path")).alias("samples"))
+    return totals.join(shown, ["folder", "extension"])
+
+
+def artifact_violations(shards: DataFrame, segments: DataFrame, videos: DataFrame, slack_ms: int = 1000) -> DataFrame:
+    """Violations of shards of segments (shard, count, digest told) by what they hold (shard, segment_id, video, start_ms, end_ms, text): COUNT, DIGEST, and of segments
+    INTERVAL (negative or turned round), LATE (beyond the video's duration and `slack_ms`) and UNKNOWN_VIDEO.
+
+    The digest of a shard is the sum of hashes of its segments, so it needs no order."""
+    line = F.xxhash64("segment_id", "video", "start_ms", "end_ms", "text").cast("decimal(38,0)")
+    held = segments.groupBy(F.col("shard").alias("_s")).agg(F.count("*").alias("n"), F.sum(line).alias("d"))
+    met = shards.join(held, F.col("shard") == F.col("_s"), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("d", F.coalesce("d", F.lit(0).cast("decimal(38,0)")))
+    wrong = violation(met.filter("count <> n"), "COUNT", F.col("shard"), F.col("n")).unionByName(violation(met.filter("NOT digest <=> d"), "DIGEST", F.col("shard"), F.lit("")))
+    known = videos.select(F.col("video").alias("_v"), "duration_ms")
+    timed = segments.join(known, F.col("video") == F.col("_v"), "left")
+    span = F.concat_ws("..", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"))
+    rules = (
+        ("UNKNOWN_VIDEO", F.col("_v").isNull(), F.col("video")), ("INTERVAL", ~F.coalesce((F.col("start_ms") >= 0) & (F.col("end_ms") >= F.col("start_ms")), F.lit(False)), span),
+        ("LATE", F.col("end_ms") > F.col("duration_ms") + slack_ms, span),
+    )
+    for code, broken, detail in rules:
+        wrong = wrong.unionByName(violation(timed.filter(broken), code, F.col("segment_id"), detail))
+    return wrong
+
+
+def segment_digest() -> Column:
+    """The digest that artifact_violations expects of a shard, as an aggregate over its segments."""
+    return F.sum(F.xxhash64("segment_id", "video", "start_ms", "end_ms", "text").cast("decimal(38,0)"))
+
+
 def extensions(paths: DataFrame, path: str) -> DataFrame:
     """extension, n, sample: how often each file extension occurs (lower case, empty for none) and its least path."""
     name = F.regexp_extract(F.regexp_replace(path, r"[?#].*$", ""), r"([^/]*)$", 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["indexes", "lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog", "search", "lanes", "artifacts", "annotation", "runs"]
+MODULES = ["indexes", "lexical", "dense", "structured", "timeline", "fusion", "evaluation", "catalog", "search", "lanes", "artifacts", "annotation", "runs", "library"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

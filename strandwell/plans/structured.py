@@ -87,9 +87,17 @@ def facet_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K).drop("rank")
 
 
+#: A name as it stands with marks and punctuation, a type, a word of names, and words of which one is none.
+DISCOVERED = ["  Réd RING! ", "economy", "ring", "red nothing"]
+
+
 def facet_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _facets(spark, sf_dir).select("facet_id", "value").distinct()
-    return S.discover(words, "red ring").unionByName(S.discover(words, "economy")).unionByName(S.discover(words, "red nothing"))
+    found = None
+    for text in DISCOVERED:
+        one = S.discover(words, text).withColumn("asked", F.lit(text))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +126,12 @@ WITH f AS (SELECT p_partkey AS frame, p_partkey % 40 AS video, unnest([{'namespa
   {'namespace': 'size', 'value': 'size ' || (p_size // 10)}, {'namespace': 'name', 'value': lower(p_name)}]) AS x FROM part),
 g AS (SELECT frame, video, x.namespace AS namespace, x.value AS value, x.namespace || '/' || x.value AS facet_id FROM f)
 """
-_DISCOVER = """(SELECT facet_id, stage FROM (SELECT facet_id, CASE WHEN value = '{t}' THEN 0 WHEN {e} THEN 1 WHEN {s} THEN 2 END AS stage FROM (SELECT DISTINCT facet_id, value, string_split(value, ' ') AS w FROM g)) WHERE stage IS NOT NULL QUALIFY stage = min(stage) OVER () ORDER BY stage, facet_id LIMIT 25)"""
-
-
 def _discover(text: str) -> str:
-    has = [f"list_contains(w, '{w}')" for w in text.split()]
-    return _DISCOVER.format(t=text, e=" AND ".join(has), s=" OR ".join(has))
+    plain = text.strip(" !").lower().replace("é", "e")
+    words = ", ".join(f"'{w}'" for w in text.strip(" !").lower().split())
+    return f"""(WITH v AS (SELECT DISTINCT facet_id, value, ' ' || array_to_string(regexp_extract_all(value, '[a-z0-9_]+'), ' ') || ' ' AS t FROM g),
+c AS (SELECT facet_id, CASE WHEN value = '{plain}' THEN 0 WHEN contains(t, ' {plain} ') THEN 1 WHEN len(list_intersect(string_split(t, ' '), [{words}])) > 0 THEN 2 END AS stage FROM v)
+SELECT '{text}' AS asked, facet_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY facet_id) AS n, min(stage) OVER () AS least FROM c WHERE stage IS NOT NULL) WHERE (stage < 2 OR least = 2) AND (stage = 0 OR n <= 25))"""
 
 
 _W = ", ".join(f"({q}, '{f}')" for q, f in WANTED)
@@ -140,7 +148,7 @@ ORACLES = {
 s AS (SELECT query_id, facet_id, round(ln((total + 1) / (df + 1)) + 1, 4) AS weight FROM w JOIN n USING (facet_id), t),
 h AS (SELECT DISTINCT query_id, video, frame, facet_id, weight FROM g JOIN s USING (facet_id))
 SELECT * FROM (SELECT query_id, video, frame, round(sum(weight), 4) AS score, string_agg(facet_id, ',' ORDER BY facet_id) AS matched FROM h GROUP BY query_id, video, frame) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame) <= {K}""",
-    "facet_discover": f"{_FACETS} {_discover('red ring')} UNION ALL {_discover('economy')} UNION ALL {_discover('red nothing')}",
+    "facet_discover": f"{_FACETS} {' UNION ALL '.join(map(_discover, DISCOVERED))}",
     "namespace_counts": f"{_FACETS} SELECT namespace, count(*) AS n FROM g GROUP BY namespace",
     "vocabulary_audit": f"""{_FACETS}, r AS (SELECT namespace, value, length(value) AS len, row_number() OVER (PARTITION BY namespace ORDER BY length(value), value) - 1 AS r, count(*) OVER (PARTITION BY namespace) AS n FROM g)
 SELECT namespace, count(*) AS n, count(DISTINCT value) AS n_distinct, max(CASE WHEN r = least(floor(n * 0.5), n - 1) THEN len END)::INTEGER AS p50, max(CASE WHEN r = least(floor(n * 0.9), n - 1) THEN len END)::INTEGER AS p90, max(CASE WHEN r = least(floor(n * 0.99), n - 1) THEN len END)::INTEGER AS p99 FROM r GROUP BY namespace""",
