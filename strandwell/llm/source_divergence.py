@@ -2,7 +2,7 @@
 
 1. Tasks cut blocks of whole documents into terms, sort each block by (term, source, document) and scan its runs, so that a block sends one
    record of document frequency and count for each (lang, term, source), however often the term stands in it.
-2. The records are dealt by (lang, term) and sorted by (lang, term, source); one scan adds up runs, knows at the end of a term's run in how
+2. The records are dealt by (lang, term) and sorted by (lang, term, source), lang and term being one key of bytes; one scan adds up runs, knows at the end of a term's run in how
    many documents of the language it stands, and emits the kept terms. It holds the run of one term: a row for each of its sources.
 3. With the totals known, a second scan over the kept terms, dealt and sorted alike, emits the partial sums of the pairs of sources that
    share a term. What a term adds where one or both sources lack it depends on its count alone, so it comes from a histogram of counts:
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strandwell.llm.common import materialise, tidied
 
 #: Bytes of text that a block holds at most; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
@@ -41,8 +41,8 @@ IN_TERM[ord("A") : ord("Z") + 1] = IN_TERM[ord("a") : ord("z") + 1] = IN_TERM[12
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-RECORDS = "lang string, term binary, source string, documents long, count long"
-KEPT = "lang string, term binary, source string, count long, in_lang long, first boolean"
+RECORDS = "key binary, source string, documents long, count long"
+KEPT = "key binary, source string, count long, in_lang long, first boolean"
 SHARED = "lang string, a string, b string, value long"
 
 
@@ -56,15 +56,14 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     begins = inside[:-1].copy()
     begins[1:] &= ~inside[:-2]
     cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(raw)]
+    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
     begins[cuts] = inside[cuts]  # a text's first byte begins a term even where the text before it ended in one
-    letters = inside[:-1]
+    ends = inside[:-1] & ~inside[1:]
+    ends[cuts - 1] |= inside[cuts - 1]
     starts = np.flatnonzero(begins)
-    kept_before = np.cumsum(letters, dtype=np.int32)
-    edges = np.empty(len(starts) + 1, dtype=np.int32)
-    edges[:-1] = kept_before[starts] - 1
-    edges[-1] = kept_before[-1] if len(raw) else 0
-    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(LOWER[raw[letters]])])
+    edges = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(np.flatnonzero(ends) - starts + 1, out=edges[1:])
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(LOWER[raw[inside[:-1]]])])
     return terms, np.diff(np.searchsorted(starts, offsets))
 
 
@@ -84,14 +83,14 @@ def block_records(block: pa.RecordBatch) -> pa.RecordBatch:
     code, at = np.divmod(key[document], max(1, len(order)))
     of_run = group[order][at] if len(key) else at
     run = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (of_run[1:] != of_run[:-1])]) if len(key) else document
+    lang = langs.dictionary.cast(pa.binary()).take(pa.array(of_run[run] // width))
     columns = [
-        langs.dictionary.take(pa.array(of_run[run] // width)),
-        coded.dictionary.take(pa.array(code[run])),
+        pc.binary_join_element_wise(lang, coded.dictionary.take(pa.array(code[run])), b"\0"),
         sources.dictionary.take(pa.array(of_run[run] % width)),
         pa.array(np.diff(np.r_[run, len(document)])),
         pa.array(np.diff(np.r_[document[run], len(key)])),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "documents", "count"])
+    return pa.RecordBatch.from_arrays(columns, ["key", "source", "documents", "count"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """lang, term, source, documents, count: one record for each block of documents and (lang, term, source) in it."""
+    """key, source, documents, count: one record for each block of documents and (lang, term, source) in it; a key is lang, a zero byte and term."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +133,8 @@ def _changes(*columns: pa.Array) -> np.ndarray:
     return new
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], reduce) -> Iterator[pa.RecordBatch]:
-    """Batches of sorted rows, reduced, and cut anew so that no run of (lang, term) is divided. What is carried over is one reduced run."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], reduce, keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows, reduced, and cut anew so that no run of the first `keys` columns is divided. What is carried over is one reduced run."""
     carried: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -143,7 +142,7 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], reduce) -> Iterator[pa.Record
         if carried is not None:
             batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
         batch = reduce(batch)
-        last = int(np.flatnonzero(_changes(batch.column(0), batch.column(1)))[-1])
+        last = int(np.flatnonzero(_changes(*batch.columns[:keys]))[-1])
         if last:
             yield batch.slice(0, last)
         carried = batch.slice(last)
@@ -152,28 +151,31 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], reduce) -> Iterator[pa.Record
 
 
 def _added(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Neighbouring records of one (lang, term, source) become one."""
-    at = np.flatnonzero(_changes(*batch.columns[:3]))
-    sums = [np.add.reduceat(batch.column(i).to_numpy(), at) for i in (3, 4)]
-    return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(3)), *map(pa.array, sums)], batch.schema.names)
+    """Neighbouring records of one key and source become one."""
+    at = np.flatnonzero(_changes(*batch.columns[:2]))
+    sums = [np.add.reduceat(batch.column(i).to_numpy(), at) for i in (2, 3)]
+    return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(2)), *map(pa.array, sums)], batch.schema.names)
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """lang, term, source, count, in_lang (its count in the lang), first (of its term): the terms in at least `least` documents of their lang."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in _whole_runs(batches, _added):
-            new = _changes(runs.column(0), runs.column(1))
+        for runs in _whole_runs(batches, _added, 1):
+            new = _changes(runs.column(0))
             at = np.flatnonzero(new)
             sizes = np.diff(np.r_[at, runs.num_rows])
-            documents, count = (runs.column(i).to_numpy() for i in (3, 4))
+            documents, count = (runs.column(i).to_numpy() for i in (2, 3))
             keep = np.repeat(np.add.reduceat(documents, at) >= least, sizes)
             total = np.repeat(np.add.reduceat(count, at), sizes)
-            columns = [*(runs.column(i) for i in (0, 1, 2, 4)), pa.array(total), pa.array(new)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "count", "in_lang", "first"]).filter(pa.array(keep))
+            columns = [*(runs.column(i) for i in (0, 1, 3)), pa.array(total), pa.array(new)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "source", "count", "in_lang", "first"]).filter(pa.array(keep))
 
-    dealt = records(docs).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return dealt.mapInArrow(tidied(scan), KEPT)
+    found = records(docs).repartition("key").sortWithinPartitions("key", "source").mapInArrow(tidied(scan), KEPT)
+    # No term holds a zero byte, so the last one of a key ends the lang.
+    key = F.col("key").cast("string")
+    named = found.withColumn("term", F.substring_index(key, "\0", -1)).withColumn("lang", F.substring(key, F.lit(1), F.length(key) - F.length("term") - 1))
+    return named.select("lang", "term", "source", "count", "in_lang", "first")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -210,7 +212,7 @@ def shared_terms(shares: DataFrame) -> DataFrame:
     `shares` has lang, term, source, p, zero, one row for each (lang, term, source)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in _whole_runs(batches, lambda batch: batch):
+        for runs in _whole_runs(batches, lambda batch: batch, 2):
             run = np.cumsum(_changes(runs.column(0), runs.column(1)))
             lang, source = runs.column(0).dictionary_encode(), runs.column(2).dictionary_encode()
             n = len(source.dictionary)
@@ -255,7 +257,7 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
         pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value")
     )
     terms = kept.join(groups, ["lang", "source"]).withColumns({"p": share(F.col("count"), F.col("total")), "q": share(F.col("in_lang"), F.col("lang_total"))})
-    out = terms.filter("p > q").select("lang", "source", F.col("term").cast("string").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+    out = terms.filter("p > q").select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     out = out.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
     parts = [(both.withColumn("rank", F.row_number().over(ranked)), "pair"), (out, "term")]
     found = [part.select("lang", "source", F.lit(name).alias("part"), "item", F.col("value").cast("long").alias("value"), "rank") for part, name in parts]

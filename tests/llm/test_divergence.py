@@ -74,7 +74,7 @@ def test_hot_source_repeats_and_nulls(spark):
 
 def test_many_sources(spark):
     rng = random.Random(2)
-    compare(spark, [(i, " ".join(rng.choices("abcdefgh", k=12)), "en", f"s{rng.randrange(40)}", 1) for i in range(300)], least=3)
+    compare(spark, [(i, " ".join(rng.choices("abcdefgh", k=12)), "e\0n" if i % 9 else "e", f"s{rng.randrange(40)}", 1) for i in range(300)], least=3)
 
 
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
@@ -91,6 +91,8 @@ def test_terms_of_texts():
     texts = ["abc", "Def gh", "", "é漢x9Y", "---", "z"]
     terms, lengths = terms_of(pa.array([t.encode() for t in texts], pa.binary()))
     assert [t.decode() for t in terms.to_pylist()] == ["abc", "def", "gh", "é漢x", "y", "z"] and lengths.tolist() == [1, 2, 0, 2, 0, 1]
+    terms, lengths = terms_of(pa.array([b"", b"ab", b"", b"cd", b"e f"], pa.binary()))
+    assert terms.to_pylist() == [b"ab", b"cd", b"e", b"f"] and lengths.tolist() == [0, 1, 0, 1, 2]
     terms, lengths = terms_of(pa.array([b"ab c", b"x"], pa.binary()).slice(1))
     assert terms.to_pylist() == [b"x"] and lengths.tolist() == [1]
     assert terms_of(pa.array([b""], pa.binary()))[1].tolist() == [0]
@@ -98,7 +100,7 @@ def test_terms_of_texts():
 
 def test_records_of_a_block():
     block = pa.RecordBatch.from_arrays([pa.array([b"a b a", b"b", b"a"]), pa.array(["en", "en", "de"]), pa.array(["s", "s", "s"])], ["text", "lang", "source"])
-    assert {tuple(r.values()) for r in block_records(block).to_pylist()} == {("en", b"a", "s", 1, 2), ("en", b"b", "s", 2, 2), ("de", b"a", "s", 1, 1)}
+    assert {tuple(r.values()) for r in block_records(block).to_pylist()} == {(b"en\0a", "s", 1, 2), (b"en\0b", "s", 2, 2), (b"de\0a", "s", 1, 1)}
 
 
 def test_shares_are_exact(spark):
