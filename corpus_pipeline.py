@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as parquet and read again as the docs of the next
 one. All but the last return the columns of documents. Labels come from the labels table of sf_dir.
+
+Defined results, stage by stage:
+
+* quality and toxicity score a null text as an empty one; a row without doc_id is judged and never learnt from; without any usable label all rows stay; repeated rows
+  are judged alike.
+* near copies: null texts and texts without shingles are classes of their own text; of a class the least doc_id stays (none before others only where all have none), of
+  rows that repeat id and text the first by its columns.
+* mixture: a null source is a source of its own; a null text has size 0; a row may come twice, and rows that the mix doesn't take go.
+* pieces: a null text has no ids; one row for each row.
+
+Empty documents give no rows at every stage; columns beyond those of documents are kept as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
