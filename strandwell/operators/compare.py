@@ -1,4 +1,8 @@
-"""Lanes side by side: set algebra over the videos they return, and agreement of two lanes query by query."""
+"""Lanes side by side: set algebra over the videos they return, and agreement of two lanes query by query.
+
+Defined results: a null video is one video; repeated hits count once; a query without hits gives no row, a lane without hits none of its own; no hits give no rows, and
+`agreement` a row of no queries with a null mean for each pair and kind.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,11 @@
 """Exact dense search: cosine similarity of query vectors with every row, many queries at a time.
 
 Query vectors are broadcast after a check of their number (`MOST_QUERIES`); beyond it, blocks of queries meet blocks of rows. The rows are scanned once, and
-each task keeps what can still be among the best. Scores are ranked as they are and rounded where they are shown. Vectors are compared in double precision; vectors that are null, of another length, zero or not finite are left out.
+each task keeps what can still be among the best. Scores are ranked as they are and rounded where they are shown. Vectors are compared in double precision. `vectors`
+keeps them in a stored index, which this module's expressions prepare and check.
+
+Defined results: vectors that are null, of another length, zero or not finite are left out; equal scores rank by uid, null first; repeated uids are rows of their own;
+fewer than k rows give fewer; no rows or no queries give no rows.
 """
 
 from __future__ import annotations

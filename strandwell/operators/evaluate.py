@@ -1,4 +1,8 @@
-"""Scores of ranked predictions against ground truth, and their summaries."""
+"""Scores of ranked predictions against ground truth, and their summaries.
+
+Defined results: a question without predictions has no first rank and scores 0; null videos and frames are never right; of repeated ranks each counts; a query_id that
+stands twice in the truth gives two rows; no truth gives no rows, and a summary of no rows counts 0 with null means.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Batch jobs as tables: shards, resumption, merging, and upserts."""
+"""Batch jobs as tables: shards, resumption, merging, and upserts.
+
+Defined results: rows with a null key are numbered first and are never done, so they stay pending; a repeated item is expected once and handled as often as it stands there;
+of equal versions the new row stays; no rows give no rows, and a check of no items is complete.
+"""
 
 from __future__ import annotations
 

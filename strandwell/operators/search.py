@@ -2,6 +2,9 @@
 
 A lane is anything with a name, a check whether it is available, and `hits`, a DataFrame of the fusion module's hits. Each lane runs by itself and
 hands over its `PER_LANE` best hits; a lane that can't be planned or fails when it runs is left out and reported, as long as another one answers.
+
+Defined results: a request that breaks a rule is an error before anything runs; a lane without hits is EMPTY and fine; if every lane fails there are no windows and the
+status is ERROR; a lane that is asked for twice answers once.
 """
 
 from __future__ import annotations

@@ -2,6 +2,9 @@
 
 Detections are rows of (frame, class, score, ...); postings hold one row for each frame and class. Facets are rows of (frame, facet).
 Everything is grouping with partial aggregation and joins against the classes or facets of a request, which are broadcast.
+
+Defined results: detections of a null class are a class without a name, which no request asks for; null scores reach no threshold; equal scores count the smaller ordinal;
+repeated facets of a frame count once; a request of no known class or facet gives no rows; no rows give no rows.
 """
 
 from __future__ import annotations

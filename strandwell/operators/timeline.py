@@ -4,6 +4,9 @@ Frames are rows of (video, uid, ms). Nearest-neighbour joins put probes and fram
 seen from the left and from the right along it, so each is one shuffle and one sort by video, whatever the number of probes.
 A video with very many rows can be cut by `span_ms`: rows are then dealt by video and span of time, and the nearest frame
 of a neighbouring span is joined in from a table of one row for each span.
+
+Defined results: rows with a null video or time meet nothing; frames of one time count as the one of the smallest uid; repeated probes give a row each; a probe whose
+video has no frames is NO_KEYFRAME in `nearest` and gives no row elsewhere; no probes give no rows.
 """
 
 from __future__ import annotations

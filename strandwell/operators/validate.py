@@ -1,4 +1,8 @@
-"""Catalog validation: every rule yields rows of (code, entity, detail); a catalog without rows is valid."""
+"""Catalog validation: every rule yields rows of (code, entity, detail); a catalog without rows is valid.
+
+Defined results: a rule that can't be decided because of nulls is broken; a null entity is shown as null; repeated rows that break a rule give a row each; empty tables
+break only rules about their size; null keys are orphans of nothing.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Readers and writers for manifests, frame maps, archives and vectors. All go through Spark's readers, so any store works."""
+"""Readers and writers for manifests, frame maps, archives and vectors. All go through Spark's readers, so any store works.
+
+Defined results: blank lines of manifests are no rows; a line that breaks its format fails the query, a torn end only where it isn't asked for; empty files give no rows.
+"""
 
 from __future__ import annotations
 
