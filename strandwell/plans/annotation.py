@@ -9,8 +9,6 @@ from strandwell.operators import annotation as A
 from strandwell.operators import taxonomy as T
 from strandwell.sources.tables import table
 
-K = F.col("k")
-
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("KIS"), F.lit("QA"), F.lit("TRAKE")), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -20,20 +18,21 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decisions(spark: SparkSession, sf_dir: str, spoilt: bool) -> DataFrame:
     """A decision for every second query; spoilt ones lack videos, answers and order, come twice, or belong to no query."""
+    k = F.col("k")
     rows = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"))
-    bad = lambda n: (K % n == 0) if spoilt else F.lit(False)
-    decision = F.when(bad(19), "MAYBE").when(K % 5 < 2, "VERIFIED").when(K % 5 == 2, "NEEDS_MORE_REVIEW").when(K % 5 == 3, "NOT_FOUND_IN_CURRENT_POOL").otherwise("UNREVIEWED")
-    start = K % 100
+    bad = lambda n: (k % n == 0) if spoilt else F.lit(False)
+    decision = F.when(bad(19), "MAYBE").when(k % 5 < 2, "VERIFIED").when(k % 5 == 2, "NEEDS_MORE_REVIEW").when(k % 5 == 3, "NOT_FOUND_IN_CURRENT_POOL").otherwise("UNREVIEWED")
+    start = k % 100
     end = start + F.when(bad(11), -1).otherwise(9)
     event = lambda order, by: F.struct(order.alias("event_order"), (start + by).alias("start_frame"), (start + by + 5).alias("representative_frame"), (end + by).alias("end_frame"))
     events = F.array(event(F.when(bad(17), 0).otherwise(1), 20), event(F.lit(0), 0))
     events = F.when(bad(31), F.slice(events, 1, 0)).otherwise(events)
     rows = rows.select(
-        "k", K.alias("query_id"), decision.alias("decision"), F.when(~bad(7), F.concat(F.lit("V"), (K % 40).cast("string"))).alias("video_id"), start.alias("start_frame"), (start + 5).alias("representative_frame"),
-        end.alias("end_frame"), F.when(bad(13), "").otherwise(F.concat(F.lit("a"), (K % 10).cast("string"))).alias("answer_text"), events.alias("events"),
+        "k", k.alias("query_id"), decision.alias("decision"), F.when(~bad(7), F.concat(F.lit("V"), (k % 40).cast("string"))).alias("video_id"), start.alias("start_frame"), (start + 5).alias("representative_frame"),
+        end.alias("end_frame"), F.when(bad(13), "").otherwise(F.concat(F.lit("a"), (k % 10).cast("string"))).alias("answer_text"), events.alias("events"),
     )
     if spoilt:
-        rows = rows.unionByName(rows.filter("k % 23 = 0")).unionByName(rows.filter("k % 29 = 0").withColumn("query_id", -K))
+        rows = rows.unionByName(rows.filter("k % 23 = 0")).unionByName(rows.filter("k % 29 = 0").withColumn("query_id", -k))
     return rows.drop("k")
 
 
