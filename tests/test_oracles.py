@@ -48,6 +48,15 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_the_registry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert found.returncode == 0, found.stderr
+
+
 def test_rest_stands_without_the_corpus_operators(monkeypatch):
     import importlib.util
 
