@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def millis(seconds: Column) -> Column:
@@ -55,3 +59,15 @@ def safe_path(path: Column) -> Column:
 def natural_key(name: Column) -> Column:
     """Order of names like L12_V003 by their numbers."""
     return F.struct(F.regexp_extract(name, r"L(\d+)", 1).try_cast("int").alias("l"), F.regexp_extract(name, r"V(\d+)", 1).try_cast("int").alias("v"))
+
+
+def stable_id(name: Column) -> Column:
+    """A positive number of 63 bits from a name, whatever the order of files: the first 8 bytes of its BLAKE2b digest without the sign. Null for null.
+
+    No function of Spark has this digest, so names go through Arrow batches."""
+
+    def digest(names: pd.Series) -> pd.Series:
+        found = [None if n is None else int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "big") & ((1 << 63) - 1) for n in names]
+        return pd.Series(found, dtype="Int64")
+
+    return F.pandas_udf(digest, LongType())(name)

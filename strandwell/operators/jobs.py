@@ -101,8 +101,27 @@ def repair(segments: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return segments.join(done.select(key).distinct(), key, "left_semi")
 
 
-def merge(parts: list[DataFrame], key: str) -> DataFrame:
-    """All rows of the parts; a key that comes twice fails the query."""
+def repair_violations(items: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """key, code, n of what a run that is taken up must not hold: items that are done and failed (BOTH), items of another shard (OUTSIDE), records without a key (NO_KEY), and
+    items that are done twice (REPEATED)."""
+    marks = done.select(key, F.lit(1).alias("d"), F.lit(0).alias("f")).unionByName(failed.select(key, F.lit(0).alias("d"), F.lit(1).alias("f")))
+    by_key = marks.groupBy(key).agg(F.sum("d").alias("d"), F.sum("f").alias("f"))
+    mine = items.select(F.col(key).alias("_k")).distinct()
+    met = by_key.join(mine, F.col(key) == F.col("_k"), "left")
+    there = F.col(key).isNotNull()
+    codes = F.array(
+        F.when(~there, F.struct(F.lit("NO_KEY").alias("code"), (F.col("d") + F.col("f")).alias("n"))), F.when(there & (F.col("d") > 0) & (F.col("f") > 0), F.struct(F.lit("BOTH").alias("code"), (F.col("d") + F.col("f")).alias("n"))),
+        F.when(there & F.col("_k").isNull(), F.struct(F.lit("OUTSIDE").alias("code"), (F.col("d") + F.col("f")).alias("n"))), F.when(there & (F.col("d") > 1), F.struct(F.lit("REPEATED").alias("code"), F.col("d").alias("n"))),
+    )
+    return met.select(key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("c")).select(key, "c.code", "c.n")
+
+
+def merge(parts: list[DataFrame], key: str, contracts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """All rows of the parts; a key that comes twice fails the query.
+
+    `contracts` are the hashes of each part's configuration and manifest: parts of several contracts are an error before anything is read."""
+    if contracts is not None and (len(contracts) != len(parts) or len(set(contracts)) != 1):
+        raise ValueError("parts of one configuration and one manifest can be merged")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

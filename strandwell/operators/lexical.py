@@ -46,7 +46,7 @@ _QUOTED = re.compile(r'"([^"]*)"')
 _WORD = re.compile(r"\w+")
 
 
-def compile_text(query_id: int, text: str, strict: bool = False, scope: tuple[str, ...] | None = None) -> TextQuery:
+def compile_text(query_id: int, text: str, strict: bool = False, scope: tuple[str, ...] | None = None, stopwords: tuple[str, ...] = STOPWORDS) -> TextQuery:
     """The request that a line of text asks for: phrases in quotes first, then the other words, each once.
 
     An odd number of quotes is an error. Strict requests hold every word. Relaxed ones leave out stop words (unless nothing else is left) and
@@ -56,16 +56,16 @@ def compile_text(query_id: int, text: str, strict: bool = False, scope: tuple[st
     phrases = [" ".join(_WORD.findall(part.lower())) for part in _QUOTED.findall(text)]
     words = _WORD.findall(_QUOTED.sub(" ", text).lower())
     if not strict:
-        words = [w for w in words if w not in STOPWORDS] or ([] if any(phrases) else words)
+        words = [w for w in words if w not in stopwords] or ([] if any(phrases) else words)
     terms = tuple(dict.fromkeys(t for t in (*phrases, *words) if t))
     if not terms:
         raise ValueError("no words")
     return TextQuery(query_id, terms if strict else terms[:MOST_TERMS], scope)
 
 
-def relaxed(query: TextQuery, most: int = MOST_TERMS) -> TextQuery:
+def relaxed(query: TextQuery, most: int = MOST_TERMS, stopwords: tuple[str, ...] = STOPWORDS) -> TextQuery:
     """Without stop words (unless nothing else is left) and with `most` terms at most."""
-    kept = tuple(t for t in query.terms if t not in STOPWORDS) or query.terms
+    kept = tuple(t for t in query.terms if t not in stopwords) or query.terms
     return TextQuery(query.query_id, tuple(dict.fromkeys(kept))[:most], query.scope)
 
 

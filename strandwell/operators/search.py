@@ -55,6 +55,21 @@ class Request:
             raise ValueError("limit")
 
 
+MOST_SCOPE = 100
+
+
+def scope_of(video_id: str | None, video_ids: tuple[str, ...] | None) -> tuple[str, ...] | None:
+    """The scope that one video or a list of videos stands for: None without either; both at once, an empty or repeated id or more than MOST_SCOPE are errors."""
+    if video_id is not None and video_ids is not None:
+        raise ValueError("video_id or video_ids, not both")
+    ids = (video_id,) if video_id is not None else video_ids
+    if ids is None:
+        return None
+    if len(ids) > MOST_SCOPE or len(set(ids)) != len(ids) or any(not v or not v.strip() for v in ids):
+        raise ValueError("video_ids")
+    return tuple(ids)
+
+
 class Lane(Protocol):
     """What a lane must offer."""
 
@@ -75,10 +90,10 @@ class Answer:
     reasons: list[str] = field(default_factory=list)
 
 
-def reasons(query: str) -> list[str]:
+def reasons(query: str, hints: dict[str, tuple[str, ...]] = HINTS) -> list[str]:
     """Lanes that words of the query suggest."""
     words = set(re.findall(r"\w+", query.lower()))
-    return [f"{lane}:{w}" for lane, hints in HINTS.items() for w in hints if w in words]
+    return [f"{lane}:{w}" for lane, said in hints.items() for w in said if w in words]
 
 
 class InvalidConfig(ValueError):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwell.functions.scalars import idf
-from strandwell.functions.text import accentless, facet_phrase, tokens
+from strandwell.functions.text import accentless, collapse, facet_phrase, tokens
 
 
 def postings(detections: DataFrame, best: int = 5) -> DataFrame:
@@ -42,6 +42,23 @@ def resolve(names: list[str], dictionary: DataFrame) -> list[str]:
     return [known[n] for n in wanted if n in known]
 
 
+def class_form(label: Column) -> Column:
+    """A label of a class as it is compared: lower case, underscores and hyphens as spaces, single spaces."""
+    return collapse(F.translate(F.lower(label), "_-", "  "))
+
+
+def resolve_classes(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """query_id, label, class_name, how of each asked label (query_id, label): by its form or that of the entity ('name'), or by the class's own id ('id').
+
+    `dictionary` has class_name (the id), class_norm, class_entity and frame_count; of several classes of one form the most frequent counts, then the smaller id."""
+    known = dictionary.select("class_name", "frame_count", F.explode(F.array_distinct(F.array(class_form(F.col("class_norm")), class_form(F.col("class_entity"))))).alias("form"))
+    first = known.groupBy("form").agg(F.min_by("class_name", F.struct(-F.col("frame_count"), "class_name")).alias("by_name"))
+    wanted = asked.select("query_id", "label", class_form(F.col("label")).alias("form")).distinct()
+    ids = dictionary.select(F.col("class_name").alias("by_id")).distinct()
+    met = wanted.join(first, "form", "left").join(ids, F.col("label") == F.col("by_id"), "left")
+    return met.filter("by_name IS NOT NULL OR by_id IS NOT NULL").select("query_id", "label", F.coalesce("by_name", "by_id").alias("class_name"), F.when(F.col("by_name").isNotNull(), "name").otherwise("id").alias("how"))
+
+
 def search_objects(posted: DataFrame, classes: list[str], match_all: bool, least: float = 0.1, scope: list | None = None, asked: int | None = None) -> DataFrame:
     """video, frame, score: frames with all (score: the least of the classes) or any (the greatest) of the classes at `least` or more.
 

@@ -155,12 +155,17 @@ def unsafe_paths(table: DataFrame, entity: Column, path: Column) -> DataFrame:
     return violation(table.filter(~safe_path(path)), "UNSAFE_PATH", entity, path)
 
 
-def coverage(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
-    """key, n, status: how many children each parent has: HAS_ITEMS or NO_ITEMS."""
+def coverage(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, unavailable: DataFrame | None = None) -> DataFrame:
+    """key, n, status: how many children each parent has: HAS_ITEMS or NO_ITEMS, or UNAVAILABLE (and none) where `unavailable` has its `key`."""
     counts = children.groupBy(F.col(child_key).alias("c")).agg(F.count("*").alias("n"))
     met = parents.join(counts, parents[parent_key] == counts["c"], "left")
     n = F.coalesce("n", F.lit(0))
-    return met.select(F.col(parent_key).alias("key"), n.alias("n"), F.when(n > 0, "HAS_ITEMS").otherwise("NO_ITEMS").alias("status"))
+    found = met.select(F.col(parent_key).alias("key"), n.alias("n"), F.when(n > 0, "HAS_ITEMS").otherwise("NO_ITEMS").alias("status"))
+    if unavailable is None:
+        return found
+    lost = unavailable.select(F.col("key").alias("_k")).distinct()
+    gone = F.col("_k").isNotNull()
+    return found.join(lost, F.col("key") == F.col("_k"), "left").select("key", F.when(gone, 0).otherwise(F.col("n")).alias("n"), F.when(gone, "UNAVAILABLE").otherwise(F.col("status")).alias("status"))
 
 
 def split_matched(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from strandwell.functions.scalars import natural_key
 from strandwell.functions.text import accentless
+from strandwell.operators import jobs as J
 from strandwell.operators import lexical as L
+from strandwell.operators import structured as S
 from strandwell.operators import validate as V
 from strandwell.plans.lexical import K, _values
 from strandwell.plans.timeline import EVENTS, events
@@ -99,7 +101,33 @@ def artifact_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.artifact_violations(shards, spoilt, videos)
 
 
+def availability_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders, without, and those whose orders are not to be had."""
+    customers = table(spark, sf_dir, "customer")
+    return V.coverage(customers, table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", customers.filter("c_custkey % 9 = 4").select(F.col("c_custkey").alias("key")))
+
+
+LABELS = [(1, "Small_Ring"), (1, "brand#7"), (2, "  ECONOMY "), (2, "/m/3"), (3, "no such class"), (3, "red-widget")]
+
+
+def class_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a request among classes that have an id, a name and an entity."""
+    p = table(spark, sf_dir, "part")
+    dictionary = p.select(F.concat(F.lit("/m/"), F.col("p_partkey").cast("string")).alias("class_name"), F.col("p_name").alias("class_norm"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("class_entity"), F.col("p_size").alias("frame_count"))
+    return S.resolve_classes(spark.createDataFrame(LABELS, "query_id int, label string"), dictionary)
+
+
+def repair_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of orders as items of a shard, some done twice, done and failed, of another shard, or without a key."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"))
+    k = F.col("item")
+    done = o.filter(k % 4 == 0).unionByName(o.filter(k % 100 == 8)).unionByName(o.filter(k % 1000 == 1).select(F.lit(None).cast("long").alias("item")))
+    failed = o.filter(k % 4 == 1).unionByName(o.filter(k % 60 == 20)).unionByName(o.filter(k % 500 == 3).select((-k).alias("item")))
+    return J.repair_violations(o, done, failed, "item")
+
+
 QUERIES = {
+    "availability_status": availability_status, "class_resolve": class_resolve, "repair_violations": repair_violations,
     "media_lane": media_lane, "catalog_checksums": catalog_checksums, "modality_audit": modality_audit, "storage_report": storage_report, "frame_document": frame_document,
     "natural_order": natural_order, "artifact_violations": artifact_violations,
 }
@@ -130,6 +158,15 @@ def _top(kind: str) -> str:
 
 
 ORACLES = {
+    "availability_status": "SELECT c_custkey AS key, CASE WHEN c_custkey % 9 = 4 THEN 0 ELSE count(o_orderkey) END AS n, CASE WHEN c_custkey % 9 = 4 THEN 'UNAVAILABLE' WHEN count(o_orderkey) > 0 THEN 'HAS_ITEMS' ELSE 'NO_ITEMS' END AS status FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
+    "class_resolve": """WITH k AS (SELECT '/m/' || p_partkey AS id, p_size AS n, lower(p_name) AS form FROM part UNION SELECT '/m/' || p_partkey, p_size, lower(CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END) FROM part),
+f AS (SELECT form, id AS by_name FROM k QUALIFY row_number() OVER (PARTITION BY form ORDER BY n DESC, id) = 1), a(query_id, label, form) AS (VALUES (1, 'Small_Ring', 'small ring'), (1, 'brand#7', 'brand#7'), (2, '  ECONOMY ', 'economy'), (2, '/m/3', '/m/3'), (3, 'no such class', 'no such class'), (3, 'red-widget', 'red widget'))
+SELECT query_id, label, coalesce(by_name, id) AS class_name, CASE WHEN by_name IS NULL THEN 'id' ELSE 'name' END AS how FROM a LEFT JOIN f USING (form) LEFT JOIN (SELECT DISTINCT id FROM k) i ON i.id = label WHERE by_name IS NOT NULL OR id IS NOT NULL""",
+    "repair_violations": """WITH d AS (SELECT o_orderkey AS item FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 8 UNION ALL SELECT NULL FROM orders WHERE o_orderkey % 1000 = 1),
+f AS (SELECT o_orderkey AS item FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 60 = 20 UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 500 = 3),
+m AS (SELECT item, count(*) FILTER (k = 'd') AS d, count(*) FILTER (k = 'f') AS f FROM (SELECT item, 'd' AS k FROM d UNION ALL SELECT item, 'f' FROM f) GROUP BY item)
+SELECT item, 'NO_KEY' AS code, d + f AS n FROM m WHERE item IS NULL UNION ALL SELECT item, 'BOTH', d + f FROM m WHERE item IS NOT NULL AND d > 0 AND f > 0 UNION ALL SELECT item, 'OUTSIDE', d + f FROM m WHERE item NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT item, 'REPEATED', d FROM m WHERE item IS NOT NULL AND d > 1""",
     "media_lane": f"""WITH d AS (SELECT p_partkey AS uid, p_brand AS brand, DATE '2000-01-01' + (p_partkey % 9000)::INTEGER AS day, {', '.join(f"regexp_extract_all(lower({x}), {_WORD}) AS {f}" for f, x in _FIELDS.items())} FROM part),
 m AS (SELECT *, {' + '.join(f'len({f})' for f in _FIELDS)} AS len FROM d), c AS (SELECT count(*) AS n_docs, avg(len) AS avgdl FROM m), q AS (SELECT * FROM {_values(ASKED)}),
 {_rated('', MEDIA)}, {_rated('_p', {'plain': 10.0})},
