@@ -1,7 +1,7 @@
 """Stored indexes: tables derived once, found again by what they were made of.
 
-An index lies in a folder of its own below spark.checkpoint.dir (or `spark.strandwell.index.dir`), named by the index, its parameters and the files
-it was made from: their paths, lengths and times of modification. A session that asks for it reads what is there, whoever built it; where a
+An index lies in a folder of its own below spark.checkpoint.dir (or `spark.strandwell.index.dir`), named by the index, its form, its parameters and the
+files it was made from: their paths, lengths and times of modification. A session that asks for it reads what is there, whoever built it; where a
 source or a parameter changed, the name differs and the index is built anew.
 
 A build writes to a folder of its own, then the manifest: of every table the files, rows and a digest of the rows. Only then it is published by one
@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Raised whenever what builders write changes its form: indexes of another form are not read.
+FORMAT = 2
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, one of this machine if the executors are this machine too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -90,7 +94,7 @@ class Source:
         return cls(paths, row["n"], row["size"] or 0, str(row["state"]))
 
     def version(self, parameters: dict) -> str:
-        said = json.dumps([self.files, self.size, self.state, parameters], sort_keys=True)
+        said = json.dumps([FORMAT, self.files, self.size, self.state, parameters], sort_keys=True)
         return hashlib.sha256(said.encode()).hexdigest()[:32]
 
 
