@@ -96,8 +96,10 @@ f AS (SELECT query_id, query_label, u.uid AS vec_id, u.label, list_inner_product
 _RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank"
 
 ORACLES = {
-    "vector_shards": """WITH v AS (SELECT (vec_id % 7)::INTEGER AS shard, CASE WHEN vec_id % 101 = 0 THEN 'EMPTY' WHEN vec_id % 103 = 0 THEN 'SHAPE' WHEN vec_id % 107 = 0 THEN 'NOT_FINITE' WHEN vec_id % 109 = 0 THEN 'NORM' END AS code FROM embeddings)
-SELECT shard, code, count(*) AS n FROM v WHERE code IS NOT NULL GROUP BY ALL UNION ALL SELECT 3, 'ROWS', count(*) FROM v WHERE shard = 3""",
+    "vector_shards": """WITH v AS (SELECT (vec_id % 7)::INTEGER AS shard, CASE WHEN vec_id % 101 = 0 THEN 'EMPTY' WHEN vec_id % 103 = 0 THEN 'SHAPE' WHEN vec_id % 107 = 0 THEN 'NOT_FINITE' WHEN vec_id % 109 = 0 THEN 'NORM' END AS code FROM embeddings),
+-- A vector that lost components has another length too.
+w AS (SELECT shard, code FROM v WHERE code IS NOT NULL UNION ALL SELECT shard, 'NORM' FROM v WHERE code = 'SHAPE')
+SELECT shard, code, count(*) AS n FROM w GROUP BY ALL UNION ALL SELECT 3, 'ROWS', count(*) FROM v WHERE shard = 3""",
     "dense_cosine_topk": f"{_BASE} SELECT query_id, {_RANK}, vec_id, round(score, 6) AS score FROM f QUALIFY rank <= {K}",
     "dense_scoped_prefilter": f"{_BASE} SELECT query_id, {_RANK}, vec_id, round(score, 6) AS score FROM f WHERE label = query_label QUALIFY rank <= {K}",
     "dense_scoped_postfilter": f"{_BASE}, r AS (SELECT query_id, {_RANK}, vec_id, score, label, query_label FROM f QUALIFY rank <= {K}) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE label = query_label",
