@@ -146,7 +146,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pilot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.pilot(_hits(spark, sf_dir), 5, 10, 1000, 40)
+    return J.pilot(_hits(spark, sf_dir, 20), 5, 10, 1000, 40)
 
 
 def dense_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:

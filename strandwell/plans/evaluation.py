@@ -17,35 +17,42 @@ LANES = ["click", "error", "purchase", "view"]
 PAIRS = [("click", "view"), ("click", "purchase"), ("view", "purchase"), ("click", "error")]
 
 
-#: Hits of a lane that a comparison looks at: it is about the best of each.
+#: Hits of a lane whose items and videos `lane_jaccard` sets side by side.
 COMPARED = 20
 
 
-def _hits(spark: SparkSession, sf_dir: str, top: int | None = COMPARED) -> DataFrame:
-    """query_id, lane, video, item, start, end, rank: each lane's events for the queries 0 to 4, all or the best `top`."""
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, lane, video, item, start, end, uid, value: all events of each lane for the queries 0 to 4."""
     rows = events(spark, sf_dir).filter(F.col("space").isin(LANES))
     start = F.floor(F.col("ms") % 300_000 / 10_000) * 10
-    rows = rows.select((F.col("uid") % 5).alias("query_id"), F.col("space").alias("lane"), "video", (F.col("uid") % 97).alias("item"), start.alias("start"), (start + 10).alias("end"), "uid", "value")
+    return rows.select((F.col("uid") % 5).alias("query_id"), F.col("space").alias("lane"), "video", (F.col("uid") % 97).alias("item"), start.alias("start"), (start + 10).alias("end"), "uid", "value")
+
+
+def _hits(spark: SparkSession, sf_dir: str, top: int | None) -> DataFrame:
+    """Each lane's events with their rank, all or the best `top`."""
+    rows = _found(spark, sf_dir)
+    if top is None:
+        named = rows.withColumnsRenamed({"value": "raw_score", "uid": "evidence_id"}).withColumn("provider", F.concat_ws(":", "lane", "query_id"))
+        return ranked(named).drop("provider").withColumnsRenamed({"raw_score": "value", "evidence_id": "uid"})
     order = Window.partitionBy("query_id", "lane").orderBy(F.col("value").desc(), "uid")
-    ranked_rows = rows.withColumn("rank", F.row_number().over(order))
-    return ranked_rows if top is None else ranked_rows.filter(F.col("rank") <= top)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def compare_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.set_algebra(_hits(spark, sf_dir), LANES)
+    return P.set_algebra(_found(spark, sf_dir), LANES)
 
 
 def compare_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.unique_to_lane(_hits(spark, sf_dir))
+    return P.unique_to_lane(_hits(spark, sf_dir, COMPARED))
 
 
 def compare_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pairwise(_hits(spark, sf_dir))
+    return P.pairwise(_hits(spark, sf_dir, COMPARED))
 
 
 def lane_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four pairs of lanes by the items and by the videos of their best hits."""
-    return P.agreement(_hits(spark, sf_dir), PAIRS, ["item", "video"])
+    return P.agreement(_hits(spark, sf_dir, COMPARED), PAIRS, ["item", "video"])
 
 
 def lane_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +221,7 @@ z AS (SELECT match_group, row_number() OVER (PARTITION BY {case}, match_group OR
 
 
 ORACLES = {
-    "compare_set_algebra": f"WITH {_HITS}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n FROM h GROUP BY ALL) SELECT query_id, count(*) AS n_union, count(*) FILTER (n = 4) AS n_intersection, count(*) FILTER (n = 1) AS n_unique FROM s GROUP BY query_id",
+    "compare_set_algebra": f"WITH {_ALL}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n FROM h GROUP BY ALL) SELECT query_id, count(*) AS n_union, count(*) FILTER (n = 4) AS n_intersection, count(*) FILTER (n = 1) AS n_unique FROM s GROUP BY query_id",
     "compare_unique": f"WITH {_HITS}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n, min(lane) AS only FROM h GROUP BY ALL) SELECT l.query_id, l.lane, count(s.video) AS n_unique FROM (SELECT DISTINCT query_id, lane FROM h) l LEFT JOIN s ON s.query_id = l.query_id AND s.only = l.lane AND s.n = 1 GROUP BY ALL",
     "compare_pairwise": f"""WITH {_HITS}, d AS (SELECT DISTINCT query_id, lane, video FROM h), s AS (SELECT query_id, lane, list(video) AS v FROM d GROUP BY ALL)
 SELECT a.query_id, a.lane AS lane_a, b.lane AS lane_b, len(list_intersect(a.v, b.v))::BIGINT AS overlap, round(len(list_intersect(a.v, b.v)) / (len(a.v) + len(b.v) - len(list_intersect(a.v, b.v))), 4) AS jaccard FROM s a JOIN s b ON a.query_id = b.query_id AND a.lane < b.lane""",

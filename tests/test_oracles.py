@@ -74,3 +74,21 @@ def test_every_row_counts(spark, name):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
     assert con.execute("SELECT max(user_id) FROM events").fetchone()[0] > 60
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", ["compare_set_algebra", "compare_unique"])
+def test_lanes_are_compared_whole(spark, name):
+    """Every video of a lane is compared, not those of its best hits alone."""
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    got = QUERIES[name](spark, sf)
+    assert rows(got.toPandas()) == rows(con.execute(ORACLES[name]).df())
+    users = "SELECT count(DISTINCT user_id) FROM events WHERE event_id % 5 = 0 AND event_type IN ({})"
+    if name == "compare_set_algebra":
+        assert got.filter("query_id = 0").first()["n_union"] == con.execute(users.format("'click', 'error', 'purchase', 'view'")).fetchone()[0]
+    if name == "compare_pairwise":
+        row = got.filter("query_id = 0 AND lane_a = 'click' AND lane_b = 'view'").first()
+        assert round(row["overlap"] / con.execute(users.format("'click', 'view'")).fetchone()[0], 4) == row["jaccard"]
+    if name == "compare_unique":
+        alone = "SELECT count(*) FROM (SELECT user_id FROM events WHERE event_id % 5 = 0 AND event_type IN ('click', 'error', 'purchase', 'view') GROUP BY 1 HAVING count(DISTINCT event_type) = 1 AND min(event_type) = 'view')"
+        assert got.filter("query_id = 0 AND lane = 'view'").first()["n_unique"] == con.execute(alone).fetchone()[0]
