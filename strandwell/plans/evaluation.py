@@ -47,7 +47,7 @@ def compare_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pairwise(_hits(spark, sf_dir, COMPARED))
+    return P.pairwise(_found(spark, sf_dir))
 
 
 def lane_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ z AS (SELECT match_group, row_number() OVER (PARTITION BY {case}, match_group OR
 ORACLES = {
     "compare_set_algebra": f"WITH {_ALL}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n FROM h GROUP BY ALL) SELECT query_id, count(*) AS n_union, count(*) FILTER (n = 4) AS n_intersection, count(*) FILTER (n = 1) AS n_unique FROM s GROUP BY query_id",
     "compare_unique": f"WITH {_ALL}, s AS (SELECT query_id, video, count(DISTINCT lane) AS n, min(lane) AS only FROM h GROUP BY ALL) SELECT l.query_id, l.lane, count(s.video) AS n_unique FROM (SELECT DISTINCT query_id, lane FROM h) l LEFT JOIN s ON s.query_id = l.query_id AND s.only = l.lane AND s.n = 1 GROUP BY ALL",
-    "compare_pairwise": f"""WITH {_HITS}, d AS (SELECT DISTINCT query_id, lane, video FROM h), s AS (SELECT query_id, lane, list(video) AS v FROM d GROUP BY ALL)
+    "compare_pairwise": f"""WITH {_ALL}, d AS (SELECT DISTINCT query_id, lane, video FROM h), s AS (SELECT query_id, lane, list(video) AS v FROM d GROUP BY ALL)
 SELECT a.query_id, a.lane AS lane_a, b.lane AS lane_b, len(list_intersect(a.v, b.v))::BIGINT AS overlap, round(len(list_intersect(a.v, b.v)) / (len(a.v) + len(b.v) - len(list_intersect(a.v, b.v))), 4) AS jaccard FROM s a JOIN s b ON a.query_id = b.query_id AND a.lane < b.lane""",
     "lane_jaccard": f"""WITH {_HITS}, """ + ", ".join(
         f"""p{i}{kind} AS (SELECT '{a}' AS lane_a, '{b}' AS lane_b, '{kind}' AS kind, count(*) AS queries, round(avg(both_ / (both_ + oa + ob)), 4) AS mean_jaccard, sum(oa)::BIGINT AS only_a, sum(ob)::BIGINT AS only_b, sum(both_)::BIGINT AS shared FROM

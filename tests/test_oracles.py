@@ -76,7 +76,7 @@ def test_every_row_counts(spark, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["compare_set_algebra", "compare_unique"])
+@pytest.mark.parametrize("name", ["compare_set_algebra", "compare_unique", "compare_pairwise"])
 def test_lanes_are_compared_whole(spark, name):
     """Every video of a lane is compared, not those of its best hits alone."""
     sf, con = "/root/testdata/sf0.01", duckdb.connect()
