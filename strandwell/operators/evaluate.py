@@ -76,15 +76,23 @@ def invalid_predictions(predictions: DataFrame, most: int = 100) -> DataFrame:
 WHOLE_RANKS, PHRASE_RANKS, KEPT = (9, 40), 20, 20
 
 
-def votes(hits: DataFrame, whole: str, phrase: str, speech: str, keep: int = KEPT) -> DataFrame:
-    """query_id, place, video, votes, lanes: the `keep` videos of the most votes of each query, ties to the smaller video.
+def candidates(hits: DataFrame, whole: str, phrase: str, speech: str, every: bool = False) -> DataFrame:
+    """query_id, video, votes, lanes: all videos with votes.
 
     A hit of the whole query has 50 - rank votes at ranks 9 to 40 (the first eight are looked at anyway), one of a phrase 21 - rank among its 20 best,
-    one of speech 30 among its 20 best."""
+    one of speech 30 among its 20 best. With `every`, all hits of speech vote, and hits whose rank has no votes make their video a candidate too."""
     rank, lane = F.col("rank"), F.col("lane")
-    vote = F.when((lane == whole) & rank.between(*WHOLE_RANKS), 50 - rank).when((lane == phrase) & (rank <= PHRASE_RANKS), PHRASE_RANKS + 1 - rank).when((lane == speech) & (rank <= PHRASE_RANKS), F.lit(30))
+    heard = (lane == speech) & (F.lit(every) | (rank <= PHRASE_RANKS))
+    vote = F.when((lane == whole) & rank.between(*WHOLE_RANKS), 50 - rank).when((lane == phrase) & (rank <= PHRASE_RANKS), PHRASE_RANKS + 1 - rank).when(heard, F.lit(30))
+    if every:
+        vote = vote.when(lane.isin(whole, phrase), F.lit(0))
     cast = hits.withColumn("v", vote).filter("v IS NOT NULL")
-    found = cast.groupBy("query_id", "video").agg(F.sum("v").cast("long").alias("votes"), F.countDistinct("lane").alias("lanes"))
+    return cast.groupBy("query_id", "video").agg(F.sum("v").cast("long").alias("votes"), F.countDistinct("lane").alias("lanes"))
+
+
+def votes(hits: DataFrame, whole: str, phrase: str, speech: str, keep: int = KEPT) -> DataFrame:
+    """query_id, place, video, votes, lanes: the `keep` candidates of the most votes of each query, ties to the smaller video."""
+    found = candidates(hits, whole, phrase, speech)
     order = Window.partitionBy("query_id").orderBy(F.desc("votes"), "video")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).select("query_id", "place", "video", "votes", "lanes")
 

@@ -30,12 +30,15 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, top: int | None) -> DataFrame:
     """Each lane's events with their rank, all or the best `top`."""
-    rows = _found(spark, sf_dir)
-    if top is None:
-        named = rows.withColumnsRenamed({"value": "raw_score", "uid": "evidence_id"}).withColumn("provider", F.concat_ws(":", "lane", "query_id"))
-        return ranked(named).drop("provider").withColumnsRenamed({"raw_score": "value", "evidence_id": "uid"})
     order = Window.partitionBy("query_id", "lane").orderBy(F.col("value").desc(), "uid")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked_rows = _found(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    return ranked_rows if top is None else ranked_rows.filter(F.col("rank") <= top)
+
+
+def _all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, lane, video, rank: all of each lane's events, ranked without one task for a whole lane."""
+    rows = _found(spark, sf_dir).withColumnsRenamed({"value": "raw_score", "uid": "evidence_id"})
+    return ranked(rows.withColumn("provider", F.concat_ws(":", "lane", "query_id"))).select("query_id", "lane", "video", "rank")
 
 
 def compare_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +169,10 @@ def prediction_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.votes(_hits(spark, sf_dir, None), "click", "view", "purchase")
+    """All candidates: every hit of the three lanes, whatever its rank, and every video that has one."""
+    found = E.candidates(_all_hits(spark, sf_dir), "click", "view", "purchase", every=True)
+    named = found.withColumnsRenamed({"query_id": "provider", "votes": "raw_score", "video": "evidence_id"})
+    return ranked(named).select(F.col("provider").alias("query_id"), F.col("rank").alias("place"), F.col("evidence_id").alias("video"), F.col("raw_score").alias("votes"), "lanes")
 
 
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,9 +260,9 @@ SELECT g.query_id, first_rank, {", ".join(f"round(coalesce(a{k}, 0), 6) AS r_at_
     "eval_breakdown": f"WITH {_KIS} SELECT 't' || query_id % 3 AS trap, {_MEANS} FROM k GROUP BY 1",
     "prediction_violations": f"""WITH {_TRUTH}, n AS (SELECT query_id, count(*) AS n, count(DISTINCT rank) AS ranks, count(DISTINCT (video, frame % 40)) AS places FROM p GROUP BY 1)
 SELECT query_id, 'TOO_MANY' AS code, n - 60 AS n FROM n WHERE n > 60 UNION ALL SELECT query_id, 'REPEATED_RANK', n - ranks FROM n WHERE n > ranks UNION ALL SELECT query_id, 'REPEATED_PLACE', n - places FROM n WHERE n > places""",
-    "candidate_votes": f"""WITH {_ALL}, v AS (SELECT query_id, video, lane, CASE WHEN lane = 'click' AND rank BETWEEN 9 AND 40 THEN 50 - rank WHEN lane = 'view' AND rank <= 20 THEN 21 - rank WHEN lane = 'purchase' AND rank <= 20 THEN 30 END AS v FROM h),
-c AS (SELECT query_id, video, sum(v)::BIGINT AS votes, count(DISTINCT lane) AS lanes FROM v WHERE v IS NOT NULL GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, video NULLS FIRST)::INTEGER AS place, video, votes, lanes FROM c QUALIFY place <= 20""",
+    "candidate_votes": f"""WITH {_ALL}, v AS (SELECT query_id, video, lane, CASE WHEN lane = 'click' AND rank BETWEEN 9 AND 40 THEN 50 - rank WHEN lane = 'view' AND rank <= 20 THEN 21 - rank WHEN lane = 'purchase' THEN 30 ELSE 0 END AS v FROM h WHERE lane IN ('click', 'view', 'purchase')),
+c AS (SELECT query_id, video, sum(v)::BIGINT AS votes, count(DISTINCT lane) AS lanes FROM v GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, video NULLS FIRST)::INTEGER AS place, video, votes, lanes FROM c""",
     "review_candidates": f"""WITH {_ALL}, c AS (SELECT query_id, video, start, "end", count(DISTINCT lane)::INTEGER AS n_lanes, {', '.join(f'min(rank) FILTER (lane = {x!r})::INTEGER AS rank_{x}' for x in LANES)} FROM h GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n_lanes DESC, {', '.join(f'coalesce(rank_{x}, 999)' for x in LANES)}, video NULLS FIRST, start, "end")::INTEGER AS place, video, start, "end", n_lanes, {', '.join(f'rank_{x}' for x in LANES)} FROM c QUALIFY place <= 8""",
 }

@@ -92,3 +92,14 @@ def test_lanes_are_compared_whole(spark, name):
     if name == "compare_unique":
         alone = "SELECT count(*) FROM (SELECT user_id FROM events WHERE event_id % 5 = 0 AND event_type IN ('click', 'error', 'purchase', 'view') GROUP BY 1 HAVING count(DISTINCT event_type) = 1 AND min(event_type) = 'view')"
         assert got.filter("query_id = 0 AND lane = 'view'").first()["n_unique"] == con.execute(alone).fetchone()[0]
+
+
+def test_every_hit_makes_a_candidate(spark):
+    """Videos whose hits rank low are candidates too, and there are as many as have hits."""
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    got = QUERIES["candidate_votes"](spark, sf).toPandas()
+    assert rows(got) == rows(con.execute(ORACLES["candidate_votes"]).df())
+    assert len(got) == con.execute("SELECT count(*) FROM (SELECT DISTINCT event_id % 5, user_id FROM events WHERE event_type IN ('click', 'view', 'purchase'))").fetchone()[0]
+    bought = con.execute("SELECT 30 * count(*) FROM events WHERE event_type = 'purchase'").fetchone()[0]
+    assert got["votes"].sum() == bought + 5 * (sum(50 - k for k in range(9, 41)) + sum(21 - k for k in range(1, 21)))
