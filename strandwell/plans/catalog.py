@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwell.operators import jobs as J
 from strandwell.operators import validate as V
-from strandwell.plans.evaluation import _hits
+from strandwell.plans.evaluation import _all_hits
 from strandwell.plans.timeline import EVENTS, events
 from strandwell.sources.tables import table
 
@@ -146,7 +146,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pilot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.pilot(_hits(spark, sf_dir, 20), 5, 10, 1000, 40)
+    return J.pilot(_all_hits(spark, sf_dir), 5, 10, 1000, 40)
 
 
 def dense_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ SELECT *, CASE WHEN finished = 0 THEN 'PENDING' WHEN finished < expected THEN 'P
     "merge_shards": "SELECT p_partkey, p_brand FROM part",
     "upsert": """WITH u AS (SELECT c_custkey, round(c_acctbal, 2) AS balance FROM customer UNION ALL SELECT o_custkey, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 3 = 0) SELECT c_custkey, max(balance) AS balance FROM u GROUP BY 1""",
     "insert_ignore": "SELECT s_suppkey AS key, 'old' AS origin FROM supplier UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
-    "pilot_candidates": f"""WITH {EVENTS}, h AS (SELECT uid % 5 AS query_id, space AS lane, video, row_number() OVER (PARTITION BY uid % 5, space ORDER BY value DESC, uid) AS rank FROM e WHERE space IN {_LANES} QUALIFY rank <= 20),
+    "pilot_candidates": f"""WITH {EVENTS}, h AS (SELECT uid % 5 AS query_id, space AS lane, video, row_number() OVER (PARTITION BY uid % 5, space ORDER BY value DESC, uid) AS rank FROM e WHERE space IN {_LANES}),
 b AS (SELECT video, min(rank)::INTEGER AS best, string_agg(DISTINCT query_id || '=' || rank, ',' ORDER BY query_id || '=' || rank) AS queries FROM h GROUP BY 1), c AS (SELECT count(*) FILTER (best <= 5) AS close FROM b)
 SELECT video, best, queries FROM b, c WHERE best <= CASE WHEN close < 1000 THEN 10 ELSE 5 END ORDER BY best, video LIMIT 40""",
     "dense_eligibility": "WITH i AS (SELECT conv_id * 1000 + turn AS uid FROM conversations WHERE length(trim(text)) >= 200), n AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS idx FROM i) SELECT uid, idx, (idx // 50)::INTEGER AS shard, (idx % 50)::INTEGER AS place FROM n",

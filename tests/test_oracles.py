@@ -103,3 +103,12 @@ def test_every_hit_makes_a_candidate(spark):
     assert len(got) == con.execute("SELECT count(*) FROM (SELECT DISTINCT event_id % 5, user_id FROM events WHERE event_type IN ('click', 'view', 'purchase'))").fetchone()[0]
     bought = con.execute("SELECT 30 * count(*) FROM events WHERE event_type = 'purchase'").fetchone()[0]
     assert got["votes"].sum() == bought + 5 * (sum(50 - k for k in range(9, 41)) + sum(21 - k for k in range(1, 21)))
+
+
+def test_pilot_tells_every_hit_of_a_candidate(spark):
+    """The queries of a candidate are told with all of its ranks, low ones too."""
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    got = QUERIES["pilot_candidates"](spark, sf).toPandas()
+    assert rows(got) == rows(con.execute(ORACLES["pilot_candidates"]).df())
+    assert max(int(q.split("=")[1]) for x in got["queries"] for q in x.split(",")) > 60
