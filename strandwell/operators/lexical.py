@@ -112,7 +112,7 @@ def term_scores(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -
 
 def write_postings(index: DataFrame, fields: list[str], path: str, size: int = 0) -> None:
     """Stores the postings (term, uid, len, counts and positions by field) of an index of token arrays made from `size` bytes, and its totals."""
-    P.write(P.word_postings(index, fields), lengths(index, fields), fields, path, size)
+    P.write(P.word_postings(index, fields), index.agg(F.count("*").alias("n_docs")), fields, path, size)
 
 
 def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], weights: dict[str, float]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A task groups the words of a block of rows in one sort and sends one posting for each (term, row): its counts and its positions by field. Postings
 are dealt once, by a hash of the term, and written sorted by term, so that a request reads the partitions, row groups and pages of its
-terms only. Partitions follow the size of the source; where one would pass `PART_BYTES`, its rows are dealt over several files by their uid, so the postings of
-a term that is everywhere spread too. Positions are whole numbers in rising order, which the file format stores as differences.
+terms only. Partitions follow the size of the source; tasks that write them follow the size of the postings, so the postings of a term that is everywhere are
+spread over several. Positions are whole numbers in rising order, which the file format stores as differences.
 
 Phrases are met by intersecting positions shifted by the words' places; substrings by the positions of a cover of their trigrams, the rarest first.
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
 #: Terms that a task groups at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
 MOST_CANDIDATES = 100_000
 
@@ -37,6 +37,11 @@ def buckets_for(size: int) -> tuple[int, int]:
     return buckets, max(1, -(-size // (buckets * PART_BYTES)))
 
 
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows by bucket and term. A task takes what Spark's advisory size says: a large bucket, as that of a term which is everywhere, is split over several."""
+    return rows.hint("rebalance", tasks, "bucket").sortWithinPartitions("bucket", "term")
+
+
 def _grouped(uids: pa.Array, lengths: np.ndarray, names: pa.Array, code: np.ndarray, row: np.ndarray, field: np.ndarray, position: np.ndarray, fields: list[str]) -> pa.RecordBatch:
     """The postings of a block: term `code` (of `names`) at `position` of a field of a row. Positions of one (row, field) come in rising order."""
     key = (code.astype(np.int64) * max(1, len(uids)) + row) * len(fields) + field
@@ -58,11 +63,11 @@ def _schema(uid: T.DataType, fields: list[str]) -> T.StructType:
     return T.StructType([T.StructField("term", T.StringType()), T.StructField("uid", uid), T.StructField("len", T.IntegerType()), *counts, *places])
 
 
-def _blocks(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about BLOCK terms each; a longer row is a range of its own."""
+def _blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about `most` terms each; a longer row is a range of its own."""
     start = used = 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and used + n > BLOCK:
+        if i > start and used + n > most:
             yield start, i - start
             start, used = i, 0
         used += n
@@ -76,7 +81,7 @@ def word_postings(index: DataFrame, fields: list[str]) -> DataFrame:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
-            for start, n in _blocks(batch, sizes):
+            for start, n in _blocks(batch, sizes, BLOCK):
                 part = batch.slice(start, n)
                 each = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in part.columns[1:]]
                 words = pa.chunked_array([c.flatten() for c in part.columns[1:]], pa.string()).combine_chunks().dictionary_encode()
@@ -95,7 +100,7 @@ def trigram_postings(texts: DataFrame) -> DataFrame:
         for batch in batches:
             points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in batch.column(1).to_pylist()]
             sizes = np.array([max(0, len(p) - 2) for p in points], dtype=np.int64)
-            for start, n in _blocks(batch, sizes):
+            for start, n in _blocks(batch, sizes, 4 * BLOCK):  # a block names each of its trigrams, most of which come in every block
                 some = sizes[start : start + n]
                 keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points[start : start + n] if len(p) > 2]
                 found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
@@ -108,19 +113,25 @@ def trigram_postings(texts: DataFrame) -> DataFrame:
 
 
 def write(postings: DataFrame, totals: DataFrame, fields: list[str], path: str, size: int) -> None:
-    """Stores postings by bucket and term, the number of rows for each term, and the totals (n_docs, avgdl; one row) of a source of `size` bytes."""
+    """Stores postings by bucket and term, the number of rows for each term, and the totals (n_docs, avgdl; one row) of a source of `size` bytes.
+
+    Where `totals` has no avgdl it is made from the postings, which count every token once, so that texts aren't cut into tokens again."""
     buckets, files = buckets_for(size)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-    dealt = postings.withColumn("bucket", bucket).withColumn("_file", F.pmod(F.xxhash64("uid"), F.lit(files)))
-    dealt = dealt.repartition(buckets * files, "bucket", "_file").sortWithinPartitions("bucket", "term").drop("_file")
     # The second version of the format stores rising whole numbers as differences.
-    kept = dealt.write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20)
+    kept = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20)
     for f in fields:
         kept = kept.option(f"parquet.enable.dictionary#p_{f}.list.element", "false")
     kept.parquet(f"{path}/postings")
+    spark = postings.sparkSession
     schema = T.StructType([*postings.schema.fields, T.StructField("bucket", T.IntegerType())])
-    back = postings.sparkSession.read.schema(schema).parquet(f"{path}/postings")
-    back.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/terms")
+    back = spark.read.schema(schema).parquet(f"{path}/postings")
+    n = sum((F.col(f"n_{f}") for f in fields[1:]), F.col(f"n_{fields[0]}"))
+    counts = back.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum(n).alias("n"))
+    _dealt(counts, buckets).write.partitionBy("bucket").parquet(f"{path}/terms")
+    if "avgdl" not in totals.columns:
+        tokens = spark.read.schema("n long").parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
+        totals = totals.crossJoin(tokens).select("n_docs", F.try_divide("n", "n_docs").alias("avgdl"))  # one row each
     totals.withColumn("buckets", F.lit(buckets)).withColumn("schema", F.lit(schema.json())).coalesce(1).write.parquet(f"{path}/totals")
 
 

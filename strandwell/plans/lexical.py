@@ -44,8 +44,7 @@ def word_index(spark: SparkSession, sf_dir: str) -> str:
 def trigram_index(spark: SparkSession, sf_dir: str) -> str:
     """Where the trigrams of the documents' folded texts lie."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), accentless(F.col("text")).alias("text"))
-    totals = texts.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgdl"))
-    return stored(spark, "trigrams", [f"{sf_dir}/documents.parquet"], {"form": "accentless"}, lambda path, source: P.write(P.trigram_postings(texts), totals, ["text"], path, source.size))
+    return stored(spark, "trigrams", [f"{sf_dir}/documents.parquet"], {"form": "accentless"}, lambda path, source: P.write(P.trigram_postings(texts), texts.agg(F.count("*").alias("n_docs")), ["text"], path, source.size))
 
 
 def _scores(spark: SparkSession, sf_dir: str, queries: list[L.TextQuery]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 
 #: Raised whenever what builders write changes its form: indexes of another form are not read.
-FORMAT = 2
+FORMAT = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,13 +99,15 @@ class Source:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """part (table/file), rows, digest of the tables below a path; the manifest itself is left out, files that can't be read count as none."""
+    """part (table/folders/file), rows, digest of the tables below a path; the manifest itself is left out, files that can't be read count as none."""
     files, found = Files(spark, path), None
     for name in files.folders(path):
         if name in ("manifest", "about") or not files.size(f"{path}/{name}"):
             continue
         table = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/{name}")
-        rows = table.select(F.concat(F.lit(f"{name}/"), "_metadata.file_name").alias("part"), F.xxhash64(*table.columns).cast("decimal(38,0)").alias("h"))
+        # A task gives its files in several folders one name.
+        below = F.regexp_extract("_metadata.file_path", f".*/{name}/(.*)$", 1)
+        rows = table.select(F.concat(F.lit(f"{name}/"), below).alias("part"), F.xxhash64(*table.columns).cast("decimal(38,0)").alias("h"))
         each = rows.groupBy("part").agg(F.count("*").alias("rows"), F.sum("h").alias("digest"))
         found = each if found is None else found.unionByName(each)
     return found if found is not None else spark.createDataFrame([], "part string, rows long, digest decimal(38,0)")

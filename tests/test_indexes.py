@@ -139,3 +139,20 @@ def test_partitions_follow_the_source():
     assert P.buckets_for(0) == (16, 1) and P.buckets_for(10 << 30) == (160, 1)
     buckets, files = P.buckets_for(100 << 40)
     assert buckets == P.MOST and buckets * files * P.PART_BYTES >= 100 << 40
+
+
+def test_a_term_that_is_everywhere_is_dealt_over_tasks(spark, tmp_path):
+    """Postings of one term are written by several tasks where they are many, and found whole; the average length is as counted from the rows."""
+    index = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("uid"), F.array(F.lit("the"), F.concat(F.lit("w"), (F.col("id") % 3).cast("string")), F.lit("the")).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        L.write_postings(index, ["text"], str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    found = P.read(spark, str(tmp_path / "p"), ["the"])
+    assert found.count() == 60_000 and found.filter("n_text = 2 AND p_text = array(0, 2)").count() == 60_000
+    assert found.select("_metadata.file_path").distinct().count() > 1
+    assert P.frequencies(spark, str(tmp_path / "p"), ["the", "w1", "none"]) == {"the": 60_000, "w1": 20_000}
+    totals = P.totals_of(spark, str(tmp_path / "p"))
+    assert (totals["n_docs"], totals["avgdl"]) == tuple(L.lengths(index, ["text"]).first())
