@@ -282,6 +282,8 @@ class Transducer:
                                 if not (finite(before, piece) if fit is None else fit):
                                     continue
                             best, taken = total, piece
+                            if filtered:  # all longer arcs have an infinite weight
+                                break
                 state = best, taken
                 if end <= SHARED:
                     known.put(prefix, state)
@@ -305,16 +307,21 @@ class Transducer:
         return out if text else []
 
     def ids_of(self, word: str) -> bytes:
+        path, ids = self.path(word), self.id
+        try:
+            return struct.pack(f"<{len(path)}i", *[ids[p] for p in path])
+        except KeyError:  # a character without a piece
+            pass
         found: list[int] = []
         lost = False  # the piece before was unknown: neighbouring unknown characters are one piece
-        for p in self.path(word):
-            if p in self.id:
-                found.append(self.id[p])
+        for p in path:
+            if p in ids:
+                found.append(ids[p])
             elif self.byte:
                 found += [self.byte[b] for b in p.encode("utf-8")]
             elif not lost:
                 found.append(self.unknown)
-            lost = p not in self.id
+            lost = p not in ids
         return struct.pack(f"<{len(found)}i", *found)
 
     def word_ids(self, word: str) -> bytes:
