@@ -100,8 +100,24 @@ def _released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What an operator's module keeps in a Python worker between its tasks: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def make_room(module: str) -> None:
+    """Drops what other modules keep in this worker: a worker goes from one operator's tasks to the next one's."""
+    others = [m for m in KEPT if m != module]
+    for other in others:
+        KEPT.pop(other)()
+    if others:
+        _released()
+
+
 def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most_bytes: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function for mapInArrow, fed with parts of batches of about `most_bytes`, and memory released at its end."""
+    """The function for mapInArrow, fed with parts of batches of about `most_bytes`, and memory released at its end.
+
+    What other operators keep in the worker goes first."""
+    module = function.__module__
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +126,7 @@ def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 yield batch.slice(start, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(module)
         try:
             yield from function(parts(batches))
         finally:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from strandwell.llm.common import slices, tidied, whole_text
+from strandwell.llm.common import KEPT, slices, tidied, whole_text
 
 SPACE = "▁"
 CACHE = 150_000
@@ -367,6 +367,7 @@ def calm() -> Iterator[None]:
 @lru_cache(maxsize=2)
 def compile_model(path: str) -> Transducer:
     """The transducer of a model file, compiled once in each Python process."""
+    KEPT[__name__] = compile_model.cache_clear
     return Transducer(**read_model(path))
 
 

@@ -210,3 +210,25 @@ def test_order_does_not_depend_on_splits(spark, sf):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert one.filter(F.col("slot") < 0).count() == 0
+
+
+def test_another_operator_frees_the_encoder(spark):
+    """A worker that goes on to another operator no longer holds the encoder and its caches."""
+    from pyspark.sql import functions as F
+
+    from strandwell.llm import common, toxicity_fm
+    from strandwell.llm.sentencepiece_fst import encode_column
+    from strandwell.llm.tokenizer_files import tokenizer_path
+
+    docs = spark.range(0, 40, 1, 4).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"))
+
+    def held(batches):
+        from strandwell.llm.sentencepiece_fst import compile_model
+
+        for batch in batches:
+            yield batch.set_column(0, "doc_id", common.pa.array([compile_model.cache_info().currsize] * batch.num_rows, common.pa.int64()))
+
+    assert encode_column(docs, tokenizer_path("piece_bpe_32k.model")).count() == 40
+    encode_column(docs, tokenizer_path("piece_bpe_32k.model")).collect()
+    held.__module__ = toxicity_fm.__name__
+    assert {r["doc_id"] for r in docs.mapInArrow(common.tidied(held), docs.schema).collect()} == {0}
