@@ -105,10 +105,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         if name in ("manifest", "about") or not files.size(f"{path}/{name}"):
             continue
         table = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/{name}")
-        # A task gives its files in several folders one name.
-        below = F.regexp_extract("_metadata.file_path", f".*/{name}/(.*)$", 1)
-        rows = table.select(F.concat(F.lit(f"{name}/"), below).alias("part"), F.xxhash64(*table.columns).cast("decimal(38,0)").alias("h"))
+        rows = table.select(F.col("_metadata.file_path").alias("part"), F.xxhash64(*table.columns).cast("decimal(38,0)").alias("h"))
         each = rows.groupBy("part").agg(F.count("*").alias("rows"), F.sum("h").alias("digest"))
+        # A task gives its files in several folders one name, so the folder is part of it; cut out once for each file.
+        each = each.withColumn("part", F.concat(F.lit(f"{name}/"), F.regexp_extract("part", f".*/{name}/(.*)$", 1)))
         found = each if found is None else found.unionByName(each)
     return found if found is not None else spark.createDataFrame([], "part string, rows long, digest decimal(38,0)")
 
