@@ -112,7 +112,7 @@ def term_scores(index: DataFrame, terms: DataFrame, weights: dict[str, float]) -
 
 def write_postings(index: DataFrame, fields: list[str], path: str, size: int = 0) -> None:
     """Stores the postings (term, uid, len, counts and positions by field) of an index of token arrays made from `size` bytes, and its totals."""
-    P.write(P.word_postings(index, fields), index.agg(F.count("*").alias("n_docs")), fields, path, size)
+    P.write(P.packed_words(index, fields), index.agg(F.count("*").alias("n_docs")), fields, path, size)
 
 
 def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], weights: dict[str, float]) -> DataFrame:
@@ -120,7 +120,7 @@ def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], wei
     totals = P.totals_of(spark, path)
     wanted = sorted({t for q in queries for t in q.terms})
     f = sum((F.col(f"n_{name}") * float(w) for name, w in weights.items()), F.lit(0.0))
-    counts = P.read(spark, path, wanted).select("term", "uid", "len", f.alias("f")).filter("f > 0")
+    counts = P.read(spark, path, wanted, ["uid", "len", *(f"n_{name}" for name in weights)]).select("term", "uid", "len", f.alias("f")).filter("f > 0")
     df = counts.groupBy("term").agg(F.count("*").alias("n"))
     ratio = F.log((F.lit(totals["n_docs"]) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     rated = df.select("term", F.greatest(ratio, F.lit(FLOOR)).alias("idf"))

@@ -1,7 +1,8 @@
 """Stored postings with positions: words of fields, and trigrams of folded texts.
 
-A task groups the words of a block of rows in one sort and sends one posting for each (term, row): its counts and its positions by field. Postings
-are dealt once, by a hash of the term, and written sorted by term, so that a request reads the partitions, row groups and pages of its
+A task groups the words of a block of rows in one sort and sends one row for each term of the block, which packs the term's postings: of each row
+of the source that holds it the id, the length, the counts and the positions by field. So what is shuffled, sorted, written and audited are as many rows
+as blocks have terms, and not as there are postings; a packed row is never longer than its block. They are dealt once, by a hash of the term, and written sorted by term, so that a request reads the partitions, row groups and pages of its
 terms only. Partitions follow the size of the source; tasks that write them follow the size of the postings, so the postings of a term that is everywhere are
 spread over several. Positions are whole numbers in rising order, which the file format stores as differences.
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
 #: Terms that a task groups at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
 MOST_CANDIDATES = 100_000
 
@@ -43,24 +45,46 @@ def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
 
 
 def _grouped(uids: pa.Array, lengths: np.ndarray, names: pa.Array, code: np.ndarray, row: np.ndarray, field: np.ndarray, position: np.ndarray, fields: list[str]) -> pa.RecordBatch:
-    """The postings of a block: term `code` (of `names`) at `position` of a field of a row. Positions of one (row, field) come in rising order."""
-    key = (code.astype(np.int64) * max(1, len(uids)) + row) * len(fields) + field
-    order = np.argsort(key, kind="stable")
-    posting = key[order] // len(fields)
-    at = np.flatnonzero(np.r_[True, posting[1:] != posting[:-1]]) if len(posting) else np.zeros(0, dtype=np.int64)
-    field, position = field[order], position[order].astype(np.int32)
-    columns = [names.take(pa.array(code[order][at])), uids.take(pa.array(row[order][at])), pa.array(lengths[row[order][at]].astype(np.int32))]
+    """The postings of a block, packed: one row for each term `code` (of `names`), which stands at `position` of a field of a row.
+
+    Positions of one (row, field) come in rising order, and the fields of a row in theirs."""
+    if len(fields) > 1:
+        by_row = np.argsort(row, kind="stable")
+        code, row, field, position = code[by_row], row[by_row], field[by_row], position[by_row]
+    # By the lower two bytes and then the upper ones, as numbers of two bytes are sorted without comparing them.
+    order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(names) > 1 << 16:
+        order = order[np.argsort((code >> 16).astype(np.uint16)[order], kind="stable")]
+    code, row, field, position = code[order], row[order], field[order], position[order]
+    new = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])] if len(code) else np.zeros(0, dtype=bool)
+    at = np.flatnonzero(new)
+    term = code[at]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(at) else at
+    ends = np.r_[first, len(at)].astype(np.int32)
+    packed = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
+    tokens = np.diff(np.r_[at[first], len(code)])
+    columns = [names.take(pa.array(term[first])), pa.array(np.diff(ends)), pa.array(tokens.astype(np.int64))]
+    columns += [packed(uids.take(pa.array(row[at]))), packed(pa.array(lengths[row[at]].astype(np.int32)))]
     counts = [np.add.reduceat(field == k, at, dtype=np.int32) if len(at) else np.zeros(0, dtype=np.int32) for k in range(len(fields))]
-    columns += [pa.array(c) for c in counts]
+    columns += [packed(pa.array(n)) for n in counts]
     for k, n in enumerate(counts):
-        columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(position[field == k])))
-    return pa.RecordBatch.from_arrays(columns, ["term", "uid", "len", *(f"n_{f}" for f in fields), *(f"p_{f}" for f in fields)])
+        columns.append(packed(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(position[field == k]))))
+    return pa.RecordBatch.from_arrays(columns, ["term", "entries", "tokens", "uid", "len", *(f"n_{f}" for f in fields), *(f"p_{f}" for f in fields)])
 
 
 def _schema(uid: T.DataType, fields: list[str]) -> T.StructType:
-    counts = [T.StructField(f"n_{f}", T.IntegerType()) for f in fields]
-    places = [T.StructField(f"p_{f}", T.ArrayType(T.IntegerType())) for f in fields]
-    return T.StructType([T.StructField("term", T.StringType()), T.StructField("uid", uid), T.StructField("len", T.IntegerType()), *counts, *places])
+    """A packed row: a term, how many rows of its block hold it and how often in all, and these rows' ids, lengths, counts and positions."""
+    whole, many = T.IntegerType(), T.ArrayType
+    counts = [T.StructField(f"n_{f}", many(whole)) for f in fields]
+    places = [T.StructField(f"p_{f}", many(many(whole))) for f in fields]
+    told = [T.StructField("term", T.StringType()), T.StructField("entries", whole), T.StructField("tokens", T.LongType())]
+    return T.StructType([*told, T.StructField("uid", many(uid)), T.StructField("len", many(whole)), *counts, *places])
+
+
+def unpacked(packed: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """term and the columns asked for (all, if none are named) of packed postings, a row for each posting."""
+    columns = columns or [c for c in packed.columns if c not in ("term", "entries", "tokens", "bucket")]
+    return packed.select("term", F.inline(F.arrays_zip(*columns)))
 
 
 def _blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -75,8 +99,18 @@ def _blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tup
         yield start, batch.num_rows - start
 
 
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for each of some sizes."""
+    return (np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)).astype(np.int32)
+
+
 def word_postings(index: DataFrame, fields: list[str]) -> DataFrame:
     """term, uid, len (of all fields), n_<field>, p_<field> of an index of token arrays (uid and the fields)."""
+    return unpacked(packed_words(index, fields))
+
+
+def packed_words(index: DataFrame, fields: list[str]) -> DataFrame:
+    """The postings of an index of token arrays (uid and the fields), a row for each term of a block of rows."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,49 +119,48 @@ def word_postings(index: DataFrame, fields: list[str]) -> DataFrame:
                 part = batch.slice(start, n)
                 each = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in part.columns[1:]]
                 words = pa.chunked_array([c.flatten() for c in part.columns[1:]], pa.string()).combine_chunks().dictionary_encode()
-                row = np.concatenate([np.repeat(np.arange(n), e) for e in each])
-                field = np.concatenate([np.full(e.sum(), k) for k, e in enumerate(each)])
-                position = np.concatenate([np.arange(e.sum()) - np.repeat(np.cumsum(e) - e, e) for e in each])
+                row = np.concatenate([np.repeat(np.arange(n, dtype=np.int32), e) for e in each])
+                field = np.concatenate([np.full(e.sum(), k, dtype=np.int8) for k, e in enumerate(each)])
+                position = np.concatenate([_places(e) for e in each])
                 yield _grouped(part.column(0), sizes[start : start + n], words.dictionary, words.indices.to_numpy(), row, field, position, fields)
 
     return index.select("uid", *fields).mapInArrow(group, _schema(index.schema["uid"].dataType, fields))
 
 
 def trigram_postings(texts: DataFrame) -> DataFrame:
-    """term (three characters), uid, len (trigrams of the text), n_text, p_text of (uid, text)."""
+    """Packed postings of (uid, text): term (three characters), and of each text uid, len (its trigrams), n_text, p_text."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in batch.column(1).to_pylist()]
-            sizes = np.array([max(0, len(p) - 2) for p in points], dtype=np.int64)
-            for start, n in _blocks(batch, sizes, 4 * BLOCK):  # a block names each of its trigrams, most of which come in every block
+            texts = batch.column(1)
+            sizes = np.maximum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - 2, 0)
+            for start, n in _blocks(batch, sizes, BLOCK):
                 some = sizes[start : start + n]
-                keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points[start : start + n] if len(p) > 2]
+                points = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in texts.slice(start, n).to_pylist())
+                keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
                 found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
                 names = pa.array(["".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in found.tolist()], pa.string())
-                position = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
-                row = np.repeat(np.arange(n), some)
-                yield _grouped(batch.column(0).slice(start, n), some, names, code, row, np.zeros(len(row), dtype=np.int64), position, ["text"])
+                row = np.repeat(np.arange(n, dtype=np.int32), some)
+                yield _grouped(batch.column(0).slice(start, n), some, names, code.astype(np.int32), row, np.zeros(len(row), dtype=np.int8), _places(some), ["text"])
 
     return texts.select("uid", "text").mapInArrow(group, _schema(texts.schema["uid"].dataType, ["text"]))
 
 
 def write(postings: DataFrame, totals: DataFrame, fields: list[str], path: str, size: int) -> None:
-    """Stores postings by bucket and term, the number of rows for each term, and the totals (n_docs, avgdl; one row) of a source of `size` bytes.
+    """Stores packed postings by bucket and term, the number of rows for each term, and the totals (n_docs, avgdl; one row) of a source of `size` bytes.
 
     Where `totals` has no avgdl it is made from the postings, which count every token once, so that texts aren't cut into tokens again."""
     buckets, files = buckets_for(size)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
     # The second version of the format stores rising whole numbers as differences.
     kept = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20)
-    for f in fields:
-        kept = kept.option(f"parquet.enable.dictionary#p_{f}.list.element", "false")
+    for rising in ("uid.list.element", *(f"p_{f}.list.element.list.element" for f in fields)):
+        kept = kept.option(f"parquet.enable.dictionary#{rising}", "false")
     kept.parquet(f"{path}/postings")
     spark = postings.sparkSession
     schema = T.StructType([*postings.schema.fields, T.StructField("bucket", T.IntegerType())])
     back = spark.read.schema(schema).parquet(f"{path}/postings")
-    n = sum((F.col(f"n_{f}") for f in fields[1:]), F.col(f"n_{fields[0]}"))
-    counts = back.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum(n).alias("n"))
+    counts = back.groupBy("bucket", "term").agg(F.sum("entries").alias("df"), F.sum("tokens").alias("n"))
     _dealt(counts, buckets).write.partitionBy("bucket").parquet(f"{path}/terms")
     if "avgdl" not in totals.columns:
         tokens = spark.read.schema("n long").parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
@@ -147,9 +180,9 @@ def _of_terms(spark: SparkSession, path: str, table: str, terms: list[str]) -> D
     return spark.read.schema(schema).parquet(f"{path}/{table}").filter(F.col("bucket").isin(here) & F.col("term").isin(terms))
 
 
-def read(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """The postings of some terms: only their partitions and pages are read."""
-    return _of_terms(spark, path, "postings", terms)
+def read(spark: SparkSession, path: str, terms: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The postings of some terms, with the columns asked for: only these, and the terms' partitions and pages, are read."""
+    return unpacked(_of_terms(spark, path, "postings", terms), columns)
 
 
 def frequencies(spark: SparkSession, path: str, terms: list[str]) -> dict[str, int]:
@@ -182,7 +215,7 @@ def phrase_counts(spark: SparkSession, path: str, phrases: list[tuple], field: s
     """query_id, uid, f, len: how often each phrase (query_id, words) occurs in a field of the stored rows."""
     wanted = [(q, place, word) for q, words in phrases for place, word in enumerate(words)]
     terms = sorted({t for *_, t in wanted})
-    rows = read(spark, path, terms).select("term", "uid", "len", F.col(f"p_{field}").alias("p"))
+    rows = read(spark, path, terms, ["uid", "len", f"p_{field}"]).withColumnRenamed(f"p_{field}", "p")
     return _starts(rows, wanted, kind).select("query_id", "uid", F.size("starts").alias("f"), "len")
 
 
@@ -207,10 +240,10 @@ def substring_counts(spark: SparkSession, path: str, needles: list[tuple], kind:
         uid = read(spark, path, []).schema["uid"].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {kind}, uid {uid}, f int, len int")
     wanted = [(q, place, gram) for q, n in needles for place, gram in cover(n, df)]
-    rows = read(spark, path, sorted({g for *_, g in wanted})).select("term", "uid", "len", F.col("p_text").alias("p"))
+    rows = read(spark, path, sorted({g for *_, g in wanted}), ["uid", "len", "p_text"]).withColumnRenamed("p_text", "p")
     rarest = {min((g for x, _, g in wanted if x == q), key=lambda g: (df[g], g)) for q, _ in needles}
     if sum(df[g] for g in rarest) <= MOST_CANDIDATES:
-        candidates = read(spark, path, sorted(rarest)).select("uid").distinct()
+        candidates = read(spark, path, sorted(rarest), ["uid"]).select("uid").distinct()
         rows = rows.join(F.broadcast(candidates), rows["uid"].eqNullSafe(candidates["uid"]), "left_semi")
     sizes = spark.createDataFrame([(q, len(n)) for q, n in needles], f"query_id {kind}, size int")
     found = _starts(rows, wanted, kind).join(F.broadcast(sizes), "query_id")

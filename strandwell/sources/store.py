@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 
 #: Raised whenever what builders write changes its form: indexes of another form are not read.
-FORMAT = 3
+FORMAT = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,14 +99,20 @@ class Source:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """part (table/folders/file), rows, digest of the tables below a path; the manifest itself is left out, files that can't be read count as none."""
+    """part (table/folders/file), rows, digest of the tables below a path; the manifest itself is left out, files that can't be read count as none.
+
+    Of a table that packs several rows into one, which has a column `entries` with their number, these are the rows."""
     files, found = Files(spark, path), None
     for name in files.folders(path):
         if name in ("manifest", "about") or not files.size(f"{path}/{name}"):
             continue
         table = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/{name}")
-        rows = table.select(F.col("_metadata.file_path").alias("part"), F.xxhash64(*table.columns).cast("decimal(38,0)").alias("h"))
-        each = rows.groupBy("part").agg(F.count("*").alias("rows"), F.sum("h").alias("digest"))
+        n = F.col("entries").cast("long") if "entries" in table.columns else F.lit(1).cast("long")
+        rows = table.select(F.col("_metadata.file_path").alias("part"), n.alias("n"), F.xxhash64(*table.columns).alias("h"))
+        # Both halves of the hashes are summed by themselves, as whole numbers that stay below 64 bits.
+        each = rows.groupBy("part").agg(F.sum("n").alias("rows"), F.sum(F.shiftright("h", 32)).alias("high"), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"))
+        exact = lambda c: F.col(c).cast("decimal(25,0)")
+        each = each.select("part", "rows", (exact("high") * F.lit(1 << 32).cast("decimal(10,0)") + exact("low")).cast("decimal(38,0)").alias("digest"))
         # A task gives its files in several folders one name, so the folder is part of it; cut out once for each file.
         each = each.withColumn("part", F.concat(F.lit(f"{name}/"), F.regexp_extract("part", f".*/{name}/(.*)$", 1)))
         found = each if found is None else found.unionByName(each)

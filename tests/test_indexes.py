@@ -156,3 +156,27 @@ def test_a_term_that_is_everywhere_is_dealt_over_tasks(spark, tmp_path):
     assert P.frequencies(spark, str(tmp_path / "p"), ["the", "w1", "none"]) == {"the": 60_000, "w1": 20_000}
     totals = P.totals_of(spark, str(tmp_path / "p"))
     assert (totals["n_docs"], totals["avgdl"]) == tuple(L.lengths(index, ["text"]).first())
+
+
+def test_a_block_sends_a_row_for_each_term(spark, home):
+    """What is shuffled and written are rows of terms, not of postings; manifests count the postings, and each is found."""
+    sf = documents(spark, home, ["la onti la", "onti", None, "la onti reat"] * 500)
+    path = word_index(spark, sf)
+    stored, told = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/manifest")
+    blocks = spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+    assert stored.count() <= 3 * blocks and told.filter("part LIKE 'postings/%'").agg(F.sum("rows")).first()[0] == 3000
+    assert P.frequencies(spark, path, ["la", "onti", "reat"]) == {"la": 1000, "onti": 1500, "reat": 500}
+    found = {r["uid"]: (r["len"], r["n_text"], r["p_text"]) for r in P.read(spark, path, ["la"]).collect()}
+    assert len(found) == 1000 and found[0] == (3, 2, [0, 2]) and found[1999] == (3, 1, [0])
+    assert P.read(spark, path, ["la"], ["uid"]).columns == ["term", "uid"]
+
+
+def test_a_block_of_many_terms(spark):
+    """More terms than two bytes can number, in two fields of three rows."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(70_000)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    index = spark.range(0, 3, 1, 1).select(F.col("id").alias("uid"), words.alias("x"), F.reverse(words).alias("y"))
+    packed = P.packed_words(index, ["x", "y"])
+    assert packed.count() == 70_001 and packed.filter("entries <> 3 OR tokens <> 6 OR uid <> array(0L, 1L, 2L)").count() == 0
+    place = F.substring("term", 2, 9).cast("int")
+    right = (F.col("p_x") == F.array(place)) & (F.col("p_y") == F.array(70_000 - place)) & (F.col("len") == 140_002)
+    assert P.word_postings(index, ["x", "y"]).filter(right).count() == 210_003
