@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,25 +66,39 @@ def _grouped(uids: pa.Array, lengths: np.ndarray, names: pa.Array, code: np.ndar
     columns = [names.take(pa.array(term[first])), pa.array(np.diff(ends)), pa.array(tokens.astype(np.int64))]
     columns += [packed(uids.take(pa.array(row[at]))), packed(pa.array(lengths[row[at]].astype(np.int32)))]
     counts = [np.add.reduceat(field == k, at, dtype=np.int32) if len(at) else np.zeros(0, dtype=np.int32) for k in range(len(fields))]
-    columns += [packed(pa.array(n)) for n in counts]
-    for k, n in enumerate(counts):
-        columns.append(packed(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(position[field == k]))))
-    return pa.RecordBatch.from_arrays(columns, ["term", "entries", "tokens", "uid", "len", *(f"n_{f}" for f in fields), *(f"p_{f}" for f in fields)])
+    upto = [np.r_[0, np.cumsum(n)].astype(np.int32) for n in counts]
+    columns += [packed(pa.array(u[1:] - np.repeat(u[first], np.diff(ends)))) for u in upto]
+    for k, u in enumerate(upto):
+        columns.append(pa.ListArray.from_arrays(pa.array(u[ends]), pa.array(position[field == k])))
+    return pa.RecordBatch.from_arrays(columns, ["term", "entries", "tokens", "uid", "len", *(f"e_{f}" for f in fields), *(f"p_{f}" for f in fields)])
 
 
 def _schema(uid: T.DataType, fields: list[str]) -> T.StructType:
-    """A packed row: a term, how many rows of its block hold it and how often in all, and these rows' ids, lengths, counts and positions."""
+    """A packed row: a term, how many rows of its block hold it and how often in all, and these rows' ids, lengths, and positions in one list for each
+    field (p_<field>) with the place where each row's end (e_<field>)."""
     whole, many = T.IntegerType(), T.ArrayType
-    counts = [T.StructField(f"n_{f}", many(whole)) for f in fields]
-    places = [T.StructField(f"p_{f}", many(many(whole))) for f in fields]
+    counts = [T.StructField(f"e_{f}", many(whole)) for f in fields]
+    places = [T.StructField(f"p_{f}", many(whole)) for f in fields]
     told = [T.StructField("term", T.StringType()), T.StructField("entries", whole), T.StructField("tokens", T.LongType())]
     return T.StructType([*told, T.StructField("uid", many(uid)), T.StructField("len", many(whole)), *counts, *places])
 
 
 def unpacked(packed: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """term and the columns asked for (all, if none are named) of packed postings, a row for each posting."""
-    columns = columns or [c for c in packed.columns if c not in ("term", "entries", "tokens", "bucket")]
-    return packed.select("term", F.inline(F.arrays_zip(*columns)))
+    fields = [c[2:] for c in packed.columns if c.startswith("e_")]
+    columns = columns or ["uid", "len", *(f"n_{f}" for f in fields), *(f"p_{f}" for f in fields)]
+
+    def each(column: str) -> Column:
+        kind, ends = column[:2], F.col(f"e_{column[2:]}") if column[2:] in fields else None
+        if ends is None or kind not in ("n_", "p_"):
+            return F.col(column)
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        if kind == "n_":
+            return F.transform(ends, lambda end, i: end - before(i))
+        return F.transform(ends, lambda end, i: F.slice(F.col(column), before(i) + 1, end - before(i)))
+
+    rows = packed.select("term", *[each(c).alias(c) for c in columns])
+    return rows.select("term", F.inline(F.arrays_zip(*columns)))
 
 
 def _blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -154,7 +168,7 @@ def write(postings: DataFrame, totals: DataFrame, fields: list[str], path: str,
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
     # The second version of the format stores rising whole numbers as differences.
     kept = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20)
-    for rising in ("uid.list.element", *(f"p_{f}.list.element.list.element" for f in fields)):
+    for rising in ("uid.list.element", *(f"{kind}_{f}.list.element" for kind in "ep" for f in fields)):
         kept = kept.option(f"parquet.enable.dictionary#{rising}", "false")
     kept.parquet(f"{path}/postings")
     spark = postings.sparkSession
