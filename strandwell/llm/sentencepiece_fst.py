@@ -4,13 +4,15 @@
 
 * The normaliser: the model's character map (the longest rule at a place wins, as its trie says), extra white space, dummy prefix, and
   spaces to U+2581.
-* The pieces: one path for each, spelt out from its last character to its first, with the negated score as its weight, and a dearer path
-  for a character without a piece, which becomes bytes or the unknown piece.
+* The pieces: one path for each with the negated score as its weight, and a dearer path for a character without a piece, which becomes bytes or
+  the unknown piece. In a unigram model they are spelt out from the last character to the first; in a BPE model from the first on, with links from each
+  state to that of its longest proper ending, so that one step of a word tells all arcs into the position behind it.
 * The filter of neighbours. In a unigram model it gives every pair the weight 0. In a BPE model a segmentation is the one that merging
   makes exactly if each pair of neighbouring pieces, merged alone, stays this pair; it gives all other pairs an infinite weight.
 
 The composition is a lattice over the input's positions; the encoding is its shortest path in the tropical semiring: along an arc, weights of
-state, piece and filter are added, and at a position the least sum wins. Every arc into a position is weighed.
+state, piece and filter are added, and at a position the least sum wins. Arcs into a position are weighed until one is known to win: in a BPE model the
+one that the filter leaves finite, as all others are infinite.
 
 The lattice falls apart wherever no piece has the two neighbouring characters side by side, which is so before each word unless a
 piece has U+2581 behind another character (checked when compiling); the paths of such parts are remembered in caches of two generations:
@@ -31,7 +33,7 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 from operator import add
@@ -48,6 +50,8 @@ SPACE = "▁"
 CACHE = 150_000
 #: Length up to which the steps of a word's beginning are remembered.
 SHARED = 9
+#: Bytes of texts whose words are worked out together.
+LEARNT = 4 << 20
 #: Pairs of neighbours that the filter remembers before it starts anew.
 PAIRS = 300_000
 # Fixed value: by how much an unknown character is dearer than the dearest piece.
@@ -178,11 +182,14 @@ class Transducer:
         if any(t == USER for _, _, t in pieces):
             raise ValueError("models with user-defined pieces are not supported")
         self.arcs: dict = {}  # pieces by their characters from the last to the first; "" holds the piece that ends there
-        for p in self.id:
-            node = self.arcs
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = p
+        if kind == BPE:
+            self._link()
+        else:
+            for p in self.id:
+                node = self.arcs
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[""] = p
         self.text = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces
         ]
@@ -195,6 +202,35 @@ class Transducer:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
 
+    def _link(self) -> None:
+        """States by the beginnings of pieces: `steps` has the next ones by character, `links` that of the longest proper ending which begins a piece, too,
+        and `ends` the pieces that end in a state with their lengths, the longest first."""
+        steps: list[dict[str, int]] = [{}]
+        here: list[str | None] = [None]
+        for p in self.id:
+            at = 0
+            for c in p:
+                to = steps[at].get(c)
+                if to is None:
+                    to = steps[at][c] = len(steps)
+                    steps.append({})
+                    here.append(None)
+                at = to
+            here[at] = p
+        links, ends = [0] * len(steps), [()] * len(steps)
+        todo = list(steps[0].values())
+        for at in todo:  # shorter beginnings come before longer ones
+            shorter = ends[links[at]]
+            ends[at] = ((here[at], len(here[at])), *shorter) if here[at] is not None else shorter
+            for c, to in steps[at].items():
+                if at:
+                    link = links[at]
+                    while link and c not in steps[link]:
+                        link = links[link]
+                    links[to] = steps[link].get(c, 0)
+                todo.append(to)
+        self.steps, self.links, self.ends = steps, links, ends
+
     def mapped(self, text: str) -> str:
         """The text after the character map."""
         return self.find_rule(lambda m: self.rules[m.group()], text) if self.find_rule else text
@@ -214,16 +250,17 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The symbols left when neighbours of the best-scored joint piece are merged, leftmost first, until none is a piece."""
-        symbols = list(text)
-        while True:
-            best, at = math.inf, -1
-            for k in range(len(symbols) - 1):
-                w = self.weight.get(symbols[k] + symbols[k + 1])
-                if w is not None and w < best:
-                    best, at = w, k
-            if at < 0:
-                return symbols
+        symbols, weight = list(text), self.weight.get
+        joint = [weight(a + b, math.inf) for a, b in zip(symbols, symbols[1:])]
+        while joint and (best := min(joint)) < math.inf:
+            at = joint.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del joint[at]
+            if at:
+                joint[at - 1] = weight(symbols[at - 1] + symbols[at], math.inf)
+            if at < len(joint):
+                joint[at] = weight(symbols[at] + symbols[at + 1], math.inf)
+        return symbols
 
     def finite(self, before: str, piece: str) -> bool:
         """The compiled filter: whether a piece may follow another. A pair is worked out when it first comes up."""
@@ -233,8 +270,9 @@ class Transducer:
         fit = row.get(piece)
         if fit is None:
             if self.n_pairs >= PAIRS:
-                self.pairs, self.n_pairs = {before: {}}, 0
-                row = self.pairs[before]
+                for old in self.pairs.values():
+                    old.clear()
+                self.n_pairs = 0
             if not before or before[-1] + piece[0] not in self.neighbours:  # nothing spans the border
                 fit = self.merged(piece) == [piece]
             else:
@@ -244,12 +282,60 @@ class Transducer:
         return fit
 
     def path(self, word: str) -> list[str]:
-        """The shortest path through the lattice of a word: its pieces, and single characters where bytes stand in.
+        """The shortest path through the lattice of a word: its pieces, and single characters where bytes stand in."""
+        last = next(self._lattices([word])) if self.kind == BPE else self._cheapest(word)
+        return self._back(last, word)
 
-        A position's state is the last piece of its shortest path. In a BPE model this is all that the filter asks for, as only one path to a
-        position has a finite weight; it depends on what lies before, so words with a common beginning share these steps."""
+    def _back(self, last: list[str], word: str) -> list[str]:
+        """The pieces of a word by the last piece of the path to each of its positions."""
+        out, at = [], len(word)
+        while at:
+            piece = last[at]
+            if not piece:
+                raise ValueError(f"no path through {word!r}")
+            out.append(piece)
+            at -= len(piece)
+        out.reverse()
+        return out
+
+    def _lattices(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """For each word the last piece of the path to each position of a BPE model's lattice; the list is the next word's, too.
+
+        Only one path to a position has a finite weight, so its sum needn't be told. It depends on what lies before: the steps that a word shares
+        with the one before it stay, so sorted words take few."""
+        steps, links, ends, pairs, finite = self.steps, self.links, self.ends, self.pairs, self.finite
+        last, rows, states, before = [""], [pairs.setdefault("", {})], [0], ""
+        for word in words:
+            same = min(len(word), len(before))
+            while word[:same] != before[:same]:
+                same -= 1
+            del last[same + 1 :], rows[same + 1 :], states[same + 1 :]
+            at = states[same]
+            for c in word[same:]:
+                to = steps[at].get(c)
+                while to is None and at:
+                    at = links[at]
+                    to = steps[at].get(c)
+                at, taken = to or 0, ""
+                for piece, size in ends[at]:
+                    fit = rows[-size].get(piece)
+                    if finite(last[-size], piece) if fit is None else fit:
+                        taken = piece
+                        break
+                else:
+                    if c not in self.id and finite(last[-1], c):
+                        taken = c
+                last.append(taken)
+                row = pairs.get(taken)
+                rows.append(pairs.setdefault(taken, {}) if row is None else row)
+                states.append(at)
+            before = word
+            yield last
+
+    def _cheapest(self, word: str) -> list[str]:
+        """The last piece of the shortest path to each position of a unigram model's lattice; words with a common beginning share these steps."""
         n, known, weight, ids, arcs = len(word), self.known, self.weight, self.id, self.arcs
-        filtered, finite, pairs, old = self.kind == BPE, self.finite, self.pairs, known.old
+        old = known.old
         cost, last = [0.0] + [math.inf] * n, [""] * (n + 1)
         for end in range(1, n + 1):
             state = None
@@ -262,8 +348,6 @@ class Transducer:
                 best, taken = math.inf, ""
                 if word[end - 1] not in ids:
                     best, taken = cost[end - 1] + self.unknown_weight, word[end - 1]
-                    if filtered and not finite(last[end - 1], taken):
-                        best, taken = math.inf, ""
                 # The arcs of pieces that end here, from the shortest on; of equal sums the longest piece's is taken.
                 node, start = arcs, end
                 while start:
@@ -275,26 +359,12 @@ class Transducer:
                     if piece is not None:
                         total = cost[start] + weight[piece]
                         if total <= best:
-                            if filtered:
-                                before = last[start]
-                                row = pairs.get(before)
-                                fit = None if row is None else row.get(piece)
-                                if not (finite(before, piece) if fit is None else fit):
-                                    continue
                             best, taken = total, piece
-                            if filtered:  # all longer arcs have an infinite weight
-                                break
                 state = best, taken
                 if end <= SHARED:
                     known.put(prefix, state)
             cost[end], last[end] = state
-        out, at = [], n
-        while at:
-            if not last[at]:
-                raise ValueError(f"no path through {word!r}")
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+        return last
 
     def cut(self, text: str) -> list[str]:
         """The text cut wherever no piece has the two characters next to each other, so that no arc spans the place."""
@@ -307,7 +377,10 @@ class Transducer:
         return out if text else []
 
     def ids_of(self, word: str) -> bytes:
-        path, ids = self.path(word), self.id
+        return self.numbered(self.path(word))
+
+    def numbered(self, path: list[str]) -> bytes:
+        ids = self.id
         try:
             return struct.pack(f"<{len(path)}i", *[ids[p] for p in path])
         except KeyError:  # a character without a piece
@@ -328,21 +401,38 @@ class Transducer:
         """The ids of a normalised text, part by part of the lattice, from the cache where it has them."""
         if not self.byte and self.unknown_in(word):
             return self.ids_of(word)  # unknown characters of two parts may be one piece
-        parts = self.cut(word)
-        if len(parts) == 1 and len(word) <= 64:
+        if len(word) <= 64:
             return self.ids_of(word)  # whoever asks remembers it
+        parts = self.cut(word)
         return b"".join(map(self.paths.__getitem__, parts))
 
     def unknown_in(self, word: str) -> bool:
         return any(c not in self.id for c in word)
 
+    def words(self, text: str) -> list[str] | None:
+        """The words of a mapped text, if single spaces are all that lies between them: each begins with one U+2581, as the dummy prefix gives one to the first."""
+        if not (self.by_space and text) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return None
+        return text.split(" ")
+
+    def learn(self, words: set[str]) -> None:
+        """Puts short words that no cache has into it, in sorted order."""
+        fresh = [SPACE + w for w in sorted(words.difference(self.spaced, self.spaced.old)) if len(w) < 64]
+        for word, last in zip(fresh, self._lattices(fresh)):
+            self.spaced.put(word[1:], self.numbered(self._back(last, word)))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        mapped = [self.mapped(t) for t in texts]
+        cut = [self.words(t) for t in mapped]
+        if self.kind == BPE and self.byte:  # else unknown characters of neighbouring parts may be one piece
+            self.learn(set().union(*filter(None, cut)))
+        find = self.spaced.__getitem__
+        return [self.word_ids(self.spelt(t)) if words is None else b"".join(map(find, words)) for t, words in zip(mapped, cut)]
+
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        text = self.mapped(text)
-        if not (self.by_space and text) or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            return self.word_ids(self.spelt(text))
-        # Words between single spaces: each begins with one U+2581, as the dummy prefix gives one to the first.
-        return b"".join(map(self.spaced.__getitem__, text.split(" ")))
+        return self.encode_all([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<i4").tolist()
@@ -381,9 +471,9 @@ def encode_column(docs: DataFrame, model_path: str, keep: list[str] | None = Non
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compile_model(model_path)
         for batch in batches:
-            for part in slices(batch, len(keep), 2 << 20):
+            for part in slices(batch, len(keep), LEARNT):
                 with calm():
-                    packed = [fst.encode_packed(t) for t in part.column(len(keep)).to_pylist()]
+                    packed = fst.encode_all(part.column(len(keep)).to_pylist())
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(np.diff(offsets).astype(np.int64)), ids], [*keep, "n_tokens", "ids"])
@@ -413,17 +503,18 @@ def round_trips(docs: DataFrame, model_path: str) -> DataFrame:
         fst = compile_model(model_path)
         low, high = (min(fst.byte.values()), max(fst.byte.values())) if fst.byte else (1, 0)
         for batch in batches:
-            rows = []
-            with calm():
-                encoded = [(text, fst.encode_packed(text)) for text in batch.column(1).to_pylist()]
-            for text, packed in encoded:
-                ids = np.frombuffer(packed, dtype="<i4")
-                back = fst.decode(ids.tolist())
-                in_bytes = int(((ids >= low) & (ids <= high)).sum())
-                raw = back.encode("utf-8")
-                rows.append((len(text.encode("utf-8")), len(ids), in_bytes, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest(), back == text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [c.split()[0] for c in DIGESTS.split(", ")])
+            for part in slices(batch, 1, LEARNT):
+                texts, rows = part.column(1).to_pylist(), []
+                with calm():
+                    encoded = fst.encode_all(texts)
+                for text, packed in zip(texts, encoded):
+                    ids = np.frombuffer(packed, dtype="<i4")
+                    back = fst.decode(ids.tolist())
+                    in_bytes = int(((ids >= low) & (ids <= high)).sum())
+                    raw = back.encode("utf-8")
+                    rows.append((len(text.encode("utf-8")), len(ids), in_bytes, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest(), back == text))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [c.split()[0] for c in DIGESTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidied(both), DIGESTS)

@@ -148,6 +148,27 @@ def test_neighbours_are_remembered_up_to_a_bound(monkeypatch):
         assert fst.n_pairs <= 50 >= sum(map(len, fst.pairs.values())) and len(fst.spaced) + len(fst.spaced.old) <= 40
 
 
+def test_words_of_a_slice_share_their_beginnings():
+    """Steps through the lattice of a common beginning are taken once, and all texts of a slice get the ids that each gets by itself."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, fst = sentencepiece.SentencePieceProcessor(model_file=path), S.Transducer(**S.read_model(path))
+
+    class Counted(list):
+        taken = 0
+
+        def __getitem__(self, at):
+            Counted.taken += 1
+            return list.__getitem__(self, at)
+
+    rng = random.Random(5)
+    words = ["incontrovertiblenesses" + "".join(rng.choices("abcdeé☃", k=2)) for _ in range(400)]
+    texts = ["", " ".join(words), "a  b ", "▁", *words[:20], "x" * 70 + "☃" + "y" * 70, "the of"]
+    fst.ends = Counted(fst.ends)
+    fst.learn(set(words))
+    assert Counted.taken < 24 + 3 * len(set(words))
+    assert [np.frombuffer(ids, dtype="<i4").tolist() for ids in fst.encode_all(texts)] == [library.encode(t) for t in texts]
+
+
 def test_kept_columns_of_the_operators_names_give_way(spark):
     docs = spark.createDataFrame([(1, "a b", 9, 8, 7)], "doc_id long, text string, ids int, n_tokens int, _text int")
     found = S.encode_column(docs, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "ids", "n_tokens", "_text"])
