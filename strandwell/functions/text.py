@@ -39,8 +39,8 @@ def facet_phrase(text: Column) -> Column:
 
 
 def accentless(text: Column) -> Column:
-    """Lower case without marks."""
-    return strip_accents(F.lower(text))
+    """Lower case without marks. Texts with one byte a character have none to look for."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(strip_accents(F.lower(text)))
 
 
 def tokens(text: Column) -> Column:

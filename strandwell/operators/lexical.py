@@ -115,6 +115,11 @@ def write_postings(index: DataFrame, fields: list[str], path: str, size: int = 0
     P.write(P.packed_words(index, fields), index.agg(F.count("*").alias("n_docs")), fields, path, size)
 
 
+def write_texts(texts: DataFrame, fields: list[str], path: str, size: int = 0) -> None:
+    """As write_postings, of a table of texts (uid and the fields) whose words are those of `tokens`."""
+    P.write(P.packed_texts(texts, fields), texts.agg(F.count("*").alias("n_docs")), fields, path, size)
+
+
 def indexed_scores(spark: SparkSession, path: str, queries: list[TextQuery], weights: dict[str, float]) -> DataFrame:
     """As term_scores, from stored postings: only the partitions and pages of the request's terms are read, without their positions."""
     totals = P.totals_of(spark, path)

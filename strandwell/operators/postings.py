@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwell.functions.text import WORD
+
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
-#: Terms that a task groups at once.
-BLOCK = 1 << 20
+#: Terms that a task groups at once, and the bytes of rows that it holds for this beyond one batch.
+BLOCK, HELD = 1 << 22, 256 << 20
+#: Packed rows that a task sends at once, and bytes of texts that it cuts into words at once.
+SENT, CUT = 1 << 16, 1 << 20
 #: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
 MOST_CANDIDATES = 100_000
 
@@ -101,16 +105,36 @@ def unpacked(packed: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return rows.select("term", F.inline(F.arrays_zip(*columns)))
 
 
-def _blocks(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about `most` terms each; a longer row is a range of its own."""
-    start = used = 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > start and used + n > most:
-            yield start, i - start
-            start, used = i, 0
-        used += n
-    if batch.num_rows > start:
-        yield start, batch.num_rows - start
+def _blocks(batches: Iterator[pa.RecordBatch], sizes_of: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows that hold about `most` terms in all, with the terms of each, whatever the batches they came in; a longer row is a block of its own."""
+    held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    used = 0
+
+    def block() -> tuple[pa.RecordBatch, np.ndarray]:
+        parts, sizes = zip(*held)
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0], np.concatenate(sizes)
+
+    for batch in batches:
+        if held and sum(part.nbytes for part, _ in held) + batch.nbytes > HELD:
+            yield block()
+            held, used = [], 0
+        sizes, start = sizes_of(batch), 0
+        for i, n in enumerate(sizes.tolist()):
+            if used and used + n > most:
+                if i > start:
+                    held.append((batch.slice(start, i - start), sizes[start:i]))
+                yield block()
+                held, used, start = [], 0, i
+            used += max(n, 1)  # rows without terms take room, too
+        if batch.num_rows > start:
+            held.append((batch.slice(start), sizes[start:]))
+    if held:
+        yield block()
+
+
+def _sent(packed: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows in batches of a bounded size."""
+    return (packed.slice(start, most) for start in range(0, packed.num_rows, most))
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -118,44 +142,87 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return (np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)).astype(np.int32)
 
 
+def word_letters(spark: SparkSession) -> np.ndarray:
+    """Of every code point whether it belongs to words, as Spark's own expression for words has it (a bit each)."""
+    letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    # Surrogates, which are no characters, are left out.
+    found = spark.range(0xD800).unionByName(spark.range(0xE000, 0x110000)).filter(F.rlike(letter, F.lit(WORD))).toArrow()
+    letters = np.zeros(0x110000, dtype=bool)
+    letters[found["id"].to_numpy()] = True
+    return np.packbits(letters)
+
+
+def _cut(texts: pa.Array, letters: np.ndarray) -> pa.ListArray:
+    """The words of each text, in order: its longest runs of letters."""
+    texts = texts.fill_null("")
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    starts = np.r_[0, ends[:-1]]
+    inside = letters[chars]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    first[starts[starts < ends]] = inside[starts[starts < ends]]  # a word ends with its text
+    at, kept = np.flatnonzero(first), chars[inside]
+    place = np.r_[np.cumsum(inside, dtype=np.int32)[at] - 1, len(kept)].astype(np.int32)
+    if len(kept) and kept.max() > 0x7F:
+        width = 1 + (kept > 0x7F).astype(np.int8) + (kept > 0x7FF) + (kept > 0xFFFF)
+        place = np.r_[0, np.cumsum(width, dtype=np.int32)].astype(np.int32)[place]
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(place), pa.py_buffer(kept.tobytes().decode("utf-32-le").encode()))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.r_[0, ends]).astype(np.int32)), words)
+
+
+def packed_texts(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """As packed_words, of a table of texts (uid and the fields): they are brought to lower case by Spark and cut into words in the task that groups these,
+    many texts in one pass."""
+    letters = word_letters(texts.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(letters).astype(bool)
+        for batch in batches:
+            sizes = sum(pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+            for part, _ in _blocks(iter([batch]), lambda _, sizes=sizes: sizes, CUT):
+                yield pa.RecordBatch.from_arrays([part.column(0), *[_cut(c, known) for c in part.columns[1:]]], ["uid", *fields])
+
+    lower = texts.select("uid", *[F.lower(f).alias(f) for f in fields])
+    return lower.mapInArrow(lambda batches: _group_words(cut(batches), fields, BLOCK, SENT), _schema(texts.schema["uid"].dataType, fields))
+
+
 def word_postings(index: DataFrame, fields: list[str]) -> DataFrame:
     """term, uid, len (of all fields), n_<field>, p_<field> of an index of token arrays (uid and the fields)."""
     return unpacked(packed_words(index, fields))
 
 
-def packed_words(index: DataFrame, fields: list[str]) -> DataFrame:
-    """The postings of an index of token arrays (uid and the fields), a row for each term of a block of rows."""
+def _group_words(batches: Iterator[pa.RecordBatch], fields: list[str], most: int, sent: int) -> Iterator[pa.RecordBatch]:
+    """Packed postings of rows of an id and word arrays."""
+    lengths = lambda c: c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for part, sizes in _blocks(batches, lambda batch: sum(lengths(c).astype(np.int64) for c in batch.columns[1:]), most):
+        each = [lengths(c) for c in part.columns[1:]]
+        words = pa.chunked_array([c.flatten() for c in part.columns[1:]], pa.string()).combine_chunks().dictionary_encode()
+        row = np.concatenate([np.repeat(np.arange(part.num_rows, dtype=np.int32), e) for e in each])
+        field = np.concatenate([np.full(e.sum(), k, dtype=np.int8) for k, e in enumerate(each)])
+        position = np.concatenate([_places(e) for e in each])
+        yield from _sent(_grouped(part.column(0), sizes, words.dictionary, words.indices.to_numpy(), row, field, position, fields), sent)
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
-            for start, n in _blocks(batch, sizes, BLOCK):
-                part = batch.slice(start, n)
-                each = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in part.columns[1:]]
-                words = pa.chunked_array([c.flatten() for c in part.columns[1:]], pa.string()).combine_chunks().dictionary_encode()
-                row = np.concatenate([np.repeat(np.arange(n, dtype=np.int32), e) for e in each])
-                field = np.concatenate([np.full(e.sum(), k, dtype=np.int8) for k, e in enumerate(each)])
-                position = np.concatenate([_places(e) for e in each])
-                yield _grouped(part.column(0), sizes[start : start + n], words.dictionary, words.indices.to_numpy(), row, field, position, fields)
 
-    return index.select("uid", *fields).mapInArrow(group, _schema(index.schema["uid"].dataType, fields))
+def packed_words(index: DataFrame, fields: list[str]) -> DataFrame:
+    """The postings of an index of token arrays (uid and the fields), a row for each term of a block of rows."""
+    return index.select("uid", *fields).mapInArrow(lambda batches: _group_words(batches, fields, BLOCK, SENT), _schema(index.schema["uid"].dataType, fields))
 
 
 def trigram_postings(texts: DataFrame) -> DataFrame:
     """Packed postings of (uid, text): term (three characters), and of each text uid, len (its trigrams), n_text, p_text."""
 
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        return np.maximum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - 2, 0)
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            sizes = np.maximum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - 2, 0)
-            for start, n in _blocks(batch, sizes, BLOCK):
-                some = sizes[start : start + n]
-                points = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in texts.slice(start, n).to_pylist())
-                keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
-                found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
-                names = pa.array(["".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in found.tolist()], pa.string())
-                row = np.repeat(np.arange(n, dtype=np.int32), some)
-                yield _grouped(batch.column(0).slice(start, n), some, names, code.astype(np.int32), row, np.zeros(len(row), dtype=np.int8), _places(some), ["text"])
+        for part, sizes in _blocks(batches, count, BLOCK):
+            points = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in part.column(1).to_pylist())
+            keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
+            found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
+            names = pa.array(["".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in found.tolist()], pa.string())
+            row = np.repeat(np.arange(part.num_rows, dtype=np.int32), sizes)
+            yield from _sent(_grouped(part.column(0), sizes, names, code.astype(np.int32), row, np.zeros(len(row), dtype=np.int8), _places(sizes), ["text"]), SENT)
 
     return texts.select("uid", "text").mapInArrow(group, _schema(texts.schema["uid"].dataType, ["text"]))
 
@@ -166,10 +233,9 @@ def write(postings: DataFrame, totals: DataFrame, fields: list[str], path: str,
     Where `totals` has no avgdl it is made from the postings, which count every token once, so that texts aren't cut into tokens again."""
     buckets, files = buckets_for(size)
     bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-    # The second version of the format stores rising whole numbers as differences.
-    kept = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20)
-    for rising in ("uid.list.element", *(f"{kind}_{f}.list.element" for kind in "ep" for f in fields)):
-        kept = kept.option(f"parquet.enable.dictionary#{rising}", "false")
+    # The second version of the format stores rising whole numbers as differences, and sorted terms by what they don't share; dictionaries would only be tried in vain.
+    dealt = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket")
+    kept = dealt.option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false")
     kept.parquet(f"{path}/postings")
     spark = postings.sparkSession
     schema = T.StructType([*postings.schema.fields, T.StructField("bucket", T.IntegerType())])

@@ -33,8 +33,8 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _postings(spark: SparkSession, sf_dir: str, name: str, text: Column) -> str:
     """Where the postings of the documents lie; built by the first query that asks for them, in whichever session."""
-    index = L.indexed(table(spark, sf_dir, "documents"), "doc_id", {"text": text})
-    return stored(spark, name, [f"{sf_dir}/documents.parquet"], {"fields": ["text"], "form": name}, lambda path, source: L.write_postings(index, ["text"], path, source.size))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), text.alias("text"))
+    return stored(spark, name, [f"{sf_dir}/documents.parquet"], {"fields": ["text"], "form": name}, lambda path, source: L.write_texts(texts, ["text"], path, source.size))
 
 
 def word_index(spark: SparkSession, sf_dir: str) -> str:
@@ -189,8 +189,8 @@ TITLE, BODY = r"(?s)<title>(.*?)</title>", r"(?s)<script>.*?</script>|<style>.*?
 
 def _page_postings(spark: SparkSession, sf_dir: str) -> str:
     fields = {"title": F.regexp_extract("html", TITLE, 1), "body": F.regexp_replace("html", BODY, " "), "url": F.col("url")}
-    index = L.indexed(table(spark, sf_dir, "pages"), "page_id", fields)
-    return stored(spark, "pages", [f"{sf_dir}/pages.parquet"], {"fields": list(fields)}, lambda path, source: L.write_postings(index, list(fields), path, source.size))
+    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("uid"), *[text.alias(name) for name, text in fields.items()])
+    return stored(spark, "pages", [f"{sf_dir}/pages.parquet"], {"fields": list(fields)}, lambda path, source: L.write_texts(texts, list(fields), path, source.size))
 
 
 def bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

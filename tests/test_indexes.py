@@ -4,10 +4,11 @@ import glob
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwell.functions.text import accentless
+from strandwell.functions.text import accentless, strip_accents, tokens
 from strandwell.operators import lexical as L
 from strandwell.operators import postings as P
 from strandwell.plans.lexical import bm25_or, word_index
@@ -180,3 +181,41 @@ def test_a_block_of_many_terms(spark):
     place = F.substring("term", 2, 9).cast("int")
     right = (F.col("p_x") == F.array(place)) & (F.col("p_y") == F.array(70_000 - place)) & (F.col("len") == 140_002)
     assert P.word_postings(index, ["x", "y"]).filter(right).count() == 210_003
+
+
+def test_a_block_spans_batches(spark, monkeypatch):
+    """A term of a block is one row, in however many batches the block's rows came; a block ends by its terms, and rows are sent in parts."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = spark.range(0, 100, 1, 1).select(F.col("id").alias("uid"), F.when(F.col("id") % 10 != 3, F.lit("onti de la la")).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = P.packed_words(L.indexed(texts, "uid", {"text": F.col("text")}), ["text"])
+        assert sorted(map(tuple, words.select("term", "entries", "tokens").collect())) == [("de", 90, 90), ("la", 90, 180), ("onti", 90, 90)]
+        assert {r["term"]: r["entries"] for r in P.trigram_postings(texts).select("term", "entries").collect()}["ont"] == 90
+        monkeypatch.setattr(P, "BLOCK", 40)
+        monkeypatch.setattr(P, "SENT", 2)
+        cut = P.packed_words(L.indexed(texts, "uid", {"text": F.col("text")}), ["text"])
+        assert cut.count() == 30 and cut.filter("tokens > 20").count() == 0 and cut.agg(F.sum("tokens")).first()[0] == 360
+        assert rows(P.unpacked(cut)) == rows(P.unpacked(words)) and P.unpacked(cut).count() == 270
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_texts_are_cut_as_by_the_expression_for_words(spark, monkeypatch):
+    """Words of a table of texts, many texts in one pass: marks, digits of any script, letters beyond two bytes, ends of texts, lone and null texts."""
+    texts = ["Ab́c x_1 \U0001d400b ßİ Ⅰ² a\nb", "", None, "end", "start \U0001f600 日本 語-x", "   ", "É", "-", "la" * 40, None, "กำ ٣٤ ª�͸z"]
+    table = spark.createDataFrame([(i, t, t if i % 2 else "la la") for i, t in enumerate(texts)], "uid long, x string, y string").coalesce(1)
+    want = rows(P.word_postings(L.indexed(table, "uid", {"x": F.col("x"), "y": F.col("y")}), ["x", "y"]))
+    for cut in (P.CUT, 1):
+        monkeypatch.setattr(P, "CUT", cut)
+        packed = P.packed_texts(table, ["x", "y"])
+        assert rows(P.unpacked(packed)) == want and len(want) == 25 and packed.filter("term = 'la' AND entries = 6").count() == 1
+    assert P.packed_texts(table.limit(0), ["x", "y"]).count() == 0
+
+
+def test_every_letter_is_known(spark):
+    """The letters of words are those of the expression, over all code points; texts of one byte a character keep what folding would leave."""
+    letters = np.unpackbits(P.word_letters(spark)).astype(bool)
+    some = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame([(c,) for c in some], "c string").select("c", F.size(tokens(F.col("c"))).alias("n"), accentless(F.col("c")).alias("a"), strip_accents(F.lower("c")).alias("b")).collect()
+    assert len(letters) == 0x110000 and all(letters[ord(r["c"])] == (r["n"] == 1) and r["a"] == r["b"] for r in found if len(r["c"].lower()) == 1)
