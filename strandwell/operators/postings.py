@@ -29,8 +29,8 @@ from strandwell.functions.text import WORD
 
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
-#: Terms that a task groups at once, and the bytes of rows that it holds for this beyond one batch.
-BLOCK, HELD = 1 << 22, 256 << 20
+#: Words and trigrams that a task groups at once (trigrams are few kinds, so larger blocks would spare no rows), and the bytes of rows that it holds for this beyond one batch.
+BLOCK, GRAMS, HELD = 1 << 22, 1 << 20, 64 << 20
 #: Packed rows that a task sends at once, and bytes of texts that it cuts into words at once.
 SENT, CUT = 1 << 16, 1 << 20
 #: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
@@ -216,7 +216,7 @@ def trigram_postings(texts: DataFrame) -> DataFrame:
         return np.maximum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - 2, 0)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sizes in _blocks(batches, count, BLOCK):
+        for part, sizes in _blocks(batches, count, GRAMS):
             points = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in part.column(1).to_pylist())
             keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
             found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
