@@ -30,7 +30,7 @@ from strandwell.functions.text import WORD
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
 #: Words and trigrams that a task groups at once (trigrams are few kinds, so larger blocks would spare no rows), and the bytes of rows that it holds for this beyond one batch.
-BLOCK, GRAMS, HELD = 1 << 22, 1 << 20, 64 << 20
+BLOCK, GRAMS, HELD = 1 << 21, 1 << 20, 64 << 20
 #: Packed rows that a task sends at once, and bytes of texts that it cuts into words at once.
 SENT, CUT = 1 << 16, 1 << 20
 #: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
