@@ -6,7 +6,11 @@ as blocks have terms, and not as there are postings; a packed row is never longe
 terms only. Partitions follow the size of the source; tasks that write them follow the size of the postings, so the postings of a term that is everywhere are
 spread over several. Positions are whole numbers in rising order, which the file format stores as differences.
 
-Phrases are met by intersecting positions shifted by the words' places; substrings by the positions of a cover of their trigrams, the rarest first.
+Trigrams are as many as the texts have characters, so a posting of theirs is one number: where the trigram stands in its block, whose rows follow each other
+with a gap. They are stored as differences of one byte or more, and a row without a term tells each block's ids and lengths once. Nothing of them is
+shuffled: a task sorts the postings of its split by term and writes them, a file for each of a fixed number of buckets.
+
+Phrases are met by intersecting positions shifted by the words' places; substrings in each block by the places of a cover of their trigrams, the fewest first.
 
 Defined results: a null text has no terms; a null uid is a row like others; repeated uids have a posting for each row, and count as rows of their own
 only where `uid` tells them apart; an empty phrase or a needle below three characters matches nothing; no rows give an empty index.
@@ -17,10 +21,13 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +36,15 @@ from strandwell.functions.text import WORD
 
 #: Bytes of a source for each partition, and the partitions that there are at least and at most.
 PART_BYTES, FEWEST, MOST = 64 << 20, 16, 4096
-#: Words and trigrams that a task groups at once (trigrams are few kinds, so larger blocks would spare no rows), and the bytes of rows that it holds for this beyond one batch.
-BLOCK, GRAMS, HELD = 1 << 21, 1 << 20, 64 << 20
+#: Words and trigrams that a task groups at once, and the bytes of rows that it holds for this beyond one batch.
+BLOCK, GRAMS, HELD = 1 << 21, 1 << 21, 64 << 20
+#: Places between the trigrams of two rows of a block: as many as keep a cover, which goes by steps of three at most, from leading into the next row.
+GAP = 3
+#: Rows of a page of trigrams, so that a request reads few others beside its own.
+PAGE = 256
 #: Packed rows that a task sends at once, and bytes of texts that it cuts into words at once.
 SENT, CUT = 1 << 16, 1 << 20
-#: Documents of a rarest trigram whose ids are broadcast, so that other trigrams' postings are dropped before they travel.
+#: Documents of the rarest trigrams whose blocks are broadcast, so that other blocks' postings are dropped before they travel.
 MOST_CANDIDATES = 100_000
 
 
@@ -209,38 +220,118 @@ def packed_words(index: DataFrame, fields: list[str]) -> DataFrame:
     return index.select("uid", *fields).mapInArrow(lambda batches: _group_words(batches, fields, BLOCK, SENT), _schema(index.schema["uid"].dataType, fields))
 
 
+def _shortened(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in one byte or more, seven bits each, the lowest first; all but a number's last byte have the eighth bit. And where each ends."""
+    size = 1 + sum((values >= 1 << bits).astype(np.int8) for bits in (7, 14, 21, 28))
+    ends = np.cumsum(size, dtype=np.int64)
+    packed = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    for k in range(size.max(initial=0)):
+        longer = size > k
+        packed[ends[longer] - size[longer] + k] = values[longer] >> 7 * k & 0x7F | (size[longer] > k + 1) * 0x80
+    return packed, ends
+
+
+def _lengthened(packed: bytes) -> np.ndarray:
+    """The numbers that `_shortened` took, summed up one after the other."""
+    each = np.frombuffer(packed, dtype=np.uint8)
+    ends = np.flatnonzero(each < 0x80) + 1
+    first = np.r_[0, ends[:-1]]
+    return np.cumsum(np.add.reduceat((each & 0x7F).astype(np.int64) << 7 * _places(ends - first), first))
+
+
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """Where the rows of a block begin."""
+    return np.cumsum(lengths, dtype=np.int64) - lengths + GAP * np.arange(len(lengths))
+
+
+def _sorted(code: np.ndarray) -> np.ndarray:
+    """The order of whole numbers, equal ones as they come: by two bytes at a time, which are sorted without comparing them."""
+    order, most = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable"), int(code.max(initial=0))
+    for bits in range(16, most.bit_length(), 16):
+        order = order[np.argsort((code >> bits & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def _group_trigrams(texts: pa.Array, sizes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """The trigrams of a block's texts: of each kind its name, in how many texts it is, how often in all, and its packed places."""
+    chars = np.frombuffer("".join(texts.fill_null("").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    long = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    # The block's characters are numbered, so that a trigram is a small number.
+    used = np.flatnonzero(np.bincount(chars, minlength=1))
+    number = np.zeros(used.max(initial=0) + 1, dtype=np.int64)
+    number[used] = np.arange(len(used))
+    chars, inside = number[chars], _places(sizes)
+    at = np.repeat(np.cumsum(long) - long, sizes) + inside
+    code = (chars[at] * len(used) + chars[at + 1]) * len(used) + chars[at + 2]
+    del chars, at
+    order = _sorted(code)
+    code, row = code[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    place = (np.repeat(_begins(sizes), sizes) + inside)[order]
+    del order, inside
+    new = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    step = np.diff(place, prepend=0)
+    step[first] = place[first]
+    new[1:] |= row[1:] != row[:-1]
+    entries = np.add.reduceat(new, first, dtype=np.int32) if len(first) else np.zeros(0, dtype=np.int32)
+    packed, ends = _shortened(step)
+    kinds = [used[code[first] // len(used) ** k % len(used)].tolist() for k in (2, 1, 0)] if len(first) else [[]] * 3
+    names = pa.array([chr(a) + chr(b) + chr(c) for a, b, c in zip(*kinds)], pa.string())
+    last = np.r_[first, len(code)]
+    offsets = pa.py_buffer(np.r_[0, ends][last].astype(np.int32))
+    return names, entries, np.diff(last), pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(packed)])
+
+
 def trigram_postings(texts: DataFrame) -> DataFrame:
-    """Packed postings of (uid, text): term (three characters), and of each text uid, len (its trigrams), n_text, p_text."""
+    """Packed postings of (uid, text), by blocks of rows: of each term (three characters) the number of rows that hold it, how often they do in all, and its places
+    in the block; and a row of the empty term with the ids and lengths (in trigrams) of the block's rows."""
+    uid = texts.schema["uid"].dataType
+    told = [T.StructField("term", T.StringType()), T.StructField("entries", T.IntegerType()), T.StructField("tokens", T.LongType()), T.StructField("block", T.LongType())]
+    schema = T.StructType([*told, T.StructField("uid", T.ArrayType(uid)), T.StructField("len", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType())])
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
         return np.maximum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) - 2, 0)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32  # a task that runs again numbers its blocks as before
         for part, sizes in _blocks(batches, count, GRAMS):
-            points = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in part.column(1).to_pylist())
-            keys = [p[:-2] << 42 | p[1:-1] << 21 | p[2:] for p in points if len(p) > 2]
-            found, code = np.unique(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), return_inverse=True)
-            names = pa.array(["".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in found.tolist()], pa.string())
-            row = np.repeat(np.arange(part.num_rows, dtype=np.int32), sizes)
-            yield from _sent(_grouped(part.column(0), sizes, names, code.astype(np.int32), row, np.zeros(len(row), dtype=np.int8), _places(sizes), ["text"]), SENT)
+            names, entries, tokens, places = _group_trigrams(part.column(1), sizes)
+            rows, n, ids = part.num_rows, len(names), part.column(0)
+            none = lambda kind: pa.nulls(n, pa.list_(kind))
+            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), values)
+            about = [pa.array([""]), pa.array([0], pa.int32()), pa.array([0]), pa.array([block]), whole(ids), whole(pa.array(sizes.astype(np.int32))), pa.nulls(1, pa.binary())]
+            terms = [names, pa.array(entries), pa.array(tokens.astype(np.int64)), pa.array(np.full(n, block)), none(ids.type), none(pa.int32()), places]
+            for columns in (about, terms):
+                yield from _sent(pa.RecordBatch.from_arrays(columns, schema.names), SENT)
+            block += 1
+
+    return texts.select("uid", "text").mapInArrow(group, schema)
+
 
-    return texts.select("uid", "text").mapInArrow(group, _schema(texts.schema["uid"].dataType, ["text"]))
+def _laid(postings: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Packed postings as they are written, with their bucket, and the number of buckets.
+
+    Words are dealt by term. Trigrams aren't shuffled: each task sorts and writes its own, so files are as many as tasks by buckets, and these stay few."""
+    whole = "block" in postings.columns
+    buckets, files = (FEWEST, 1) if whole else buckets_for(size)
+    rows = postings.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
+    return rows.sortWithinPartitions("bucket", "term") if whole else _dealt(rows, buckets * files), buckets
 
 
 def write(postings: DataFrame, totals: DataFrame, fields: list[str], path: str, size: int) -> None:
     """Stores packed postings by bucket and term, the number of rows for each term, and the totals (n_docs, avgdl; one row) of a source of `size` bytes.
 
     Where `totals` has no avgdl it is made from the postings, which count every token once, so that texts aren't cut into tokens again."""
-    buckets, files = buckets_for(size)
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    laid, buckets = _laid(postings, size)
     # The second version of the format stores rising whole numbers as differences, and sorted terms by what they don't share; dictionaries would only be tried in vain.
-    dealt = _dealt(postings.withColumn("bucket", bucket), buckets * files).write.partitionBy("bucket")
-    kept = dealt.option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false")
+    kept = laid.write.partitionBy("bucket").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false")
+    if "block" in postings.columns:
+        kept = kept.option("parquet.page.row.count.limit", PAGE).option("compression", "zstd")
     kept.parquet(f"{path}/postings")
     spark = postings.sparkSession
     schema = T.StructType([*postings.schema.fields, T.StructField("bucket", T.IntegerType())])
     back = spark.read.schema(schema).parquet(f"{path}/postings")
-    counts = back.groupBy("bucket", "term").agg(F.sum("entries").alias("df"), F.sum("tokens").alias("n"))
+    counts = back.filter("entries > 0").groupBy("bucket", "term").agg(F.sum("entries").alias("df"), F.sum("tokens").alias("n"))
     _dealt(counts, buckets).write.partitionBy("bucket").parquet(f"{path}/terms")
     if "avgdl" not in totals.columns:
         tokens = spark.read.schema("n long").parquet(f"{path}/terms").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
@@ -257,7 +348,10 @@ def _of_terms(spark: SparkSession, path: str, table: str, terms: list[str]) -> D
     totals = totals_of(spark, path)
     schema = T.StructType.fromJson(json.loads(totals["schema"])) if table == "postings" else "term string, df long, bucket int"
     here = sorted({zlib.crc32(t.encode()) % totals["buckets"] for t in terms})
-    return spark.read.schema(schema).parquet(f"{path}/{table}").filter(F.col("bucket").isin(here) & F.col("term").isin(terms))
+    # Pages are found by each term of a short list, but only by the first and last one of a list that is longer than Spark's setting for this.
+    terms, most = sorted(terms), max(1, int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold")))
+    asked = [F.col("term").isin(terms[i : i + most]) for i in range(0, max(1, len(terms)), most)]
+    return spark.read.schema(schema).parquet(f"{path}/{table}").filter(F.col("bucket").isin(here) & reduce(or_, asked))
 
 
 def read(spark: SparkSession, path: str, terms: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -308,30 +402,65 @@ def cover(needle: str, df: dict[str, int]) -> list[tuple[int, str]]:
     return [(i, grams[i]) for i in sorted(places)]
 
 
+def _standing(places: dict[str, np.ndarray], wanted: list[tuple[int, str]]) -> np.ndarray:
+    """Where in a block a needle stands, by the places of the trigrams of its cover: each list, shifted, is looked up in the next, the shortest first."""
+    if not all(gram in places for _, gram in wanted):
+        return np.zeros(0, dtype=np.int64)
+    found, *others = sorted((places[gram] - at for at, gram in wanted), key=len)
+    for more in others:
+        found = found[more[np.minimum(np.searchsorted(more, found), len(more) - 1)] == found]
+    return found
+
+
+def _apart(starts: np.ndarray, size: int) -> np.ndarray:
+    """Occurrences taken from the left; one that overlaps the last one taken doesn't count."""
+    if not (np.diff(starts) < size).any():
+        return starts
+    kept, free = [], -1
+    for start in starts.tolist():
+        if start >= free:
+            kept.append(start)
+            free = start + size
+    return np.array(kept)
+
+
 def substring_counts(spark: SparkSession, path: str, needles: list[tuple], kind: str = "int") -> DataFrame:
     """query_id, uid, f, len: how often each needle (query_id, folded text of three characters or more) occurs, without overlap, in the stored texts.
 
-    All postings come from the index: rows with the rarest trigram are the candidates, the others of the cover are read for these."""
+    All postings come from the index: blocks with the rarest trigram are the candidates, the others of the cover are read for these. A block's postings of the
+    request, which are no more than its characters, meet in one group."""
     needles = [(q, n) for q, n in needles if len(n) >= 3]
     df = frequencies(spark, path, sorted({n[i : i + 3] for _, n in needles for i in range(len(n) - 2)})) if needles else {}
     # A needle with a trigram that no row has is nowhere.
     needles = [(q, n) for q, n in needles if all(n[i : i + 3] in df for i in range(len(n) - 2))]
+    uid = T.StructType.fromJson(json.loads(totals_of(spark, path)["schema"]))["uid"].dataType.elementType.simpleString()
     if not needles:
-        uid = read(spark, path, []).schema["uid"].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {kind}, uid {uid}, f int, len int")
-    wanted = [(q, place, gram) for q, n in needles for place, gram in cover(n, df)]
-    rows = read(spark, path, sorted({g for *_, g in wanted}), ["uid", "len", "p_text"]).withColumnRenamed("p_text", "p")
-    rarest = {min((g for x, _, g in wanted if x == q), key=lambda g: (df[g], g)) for q, _ in needles}
+    wanted = [(cover(n, df), len(n)) for _, n in needles]
+    rows = _of_terms(spark, path, "postings", ["", *sorted({g for grams, _ in wanted for _, g in grams})])
+    rarest = {min((g for _, g in grams), key=lambda g: (df[g], g)) for grams, _ in wanted}
     if sum(df[g] for g in rarest) <= MOST_CANDIDATES:
-        candidates = read(spark, path, sorted(rarest), ["uid"]).select("uid").distinct()
-        rows = rows.join(F.broadcast(candidates), rows["uid"].eqNullSafe(candidates["uid"]), "left_semi")
-    sizes = spark.createDataFrame([(q, len(n)) for q, n in needles], f"query_id {kind}, size int")
-    found = _starts(rows, wanted, kind).join(F.broadcast(sizes), "query_id")
-    # Occurrences are taken from the left; one that overlaps the last one taken doesn't count.
-    none = F.struct(F.lit(-1).alias("free"), F.lit(0).alias("f"))
-    step = lambda s, p: F.when(p >= s["free"], F.struct((p + F.col("size")).alias("free"), (s["f"] + 1).alias("f"))).otherwise(s)
-    f = F.aggregate(F.array_sort("starts"), none, step, lambda s: s["f"])
-    return found.select("query_id", "uid", f.alias("f"), "len")
+        candidates = _of_terms(spark, path, "postings", sorted(rarest)).select("block").distinct()
+        rows = rows.join(F.broadcast(candidates), "block", "left_semi")
+
+    def meet(block: pa.Table) -> pa.Table:
+        terms = block["term"].to_pylist()
+        about = terms.index("")
+        places = {term: _lengthened(block["places"][i].as_py()) for i, term in enumerate(terms) if i != about}
+        uids, lengths = block["uid"][about].values, block["len"][about].values
+        begins = _begins(lengths.to_numpy())
+        needle, row, f = [], [], []
+        for k, (grams, size) in enumerate(wanted):
+            held, n = np.unique(np.searchsorted(begins, _apart(_standing(places, grams), size), side="right") - 1, return_counts=True)
+            needle.append(np.full(len(held), k, dtype=np.int32))
+            row.append(held)
+            f.append(n.astype(np.int32))
+        rows = pa.array(np.concatenate(row))
+        return pa.table([pa.array(np.concatenate(needle)), uids.take(rows), pa.array(np.concatenate(f)), lengths.take(rows)], ["needle", "uid", "f", "len"])
+
+    found = rows.select("block", "term", "uid", "len", "places").groupBy("block").applyInArrow(meet, f"needle int, uid {uid}, f int, len int")
+    named = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(needles)], f"needle int, query_id {kind}")
+    return found.join(F.broadcast(named), "needle").select("query_id", "uid", "f", "len")
 
 
 def substring_terms(spark: SparkSession, path: str, needles: list[tuple]) -> DataFrame:

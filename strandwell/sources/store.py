@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 
 #: Raised whenever what builders write changes its form: indexes of another form are not read.
-FORMAT = 5
+FORMAT = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
