@@ -265,3 +265,18 @@ def test_packed_numbers():
     assert (P._lengthened(packed.tobytes()) == np.cumsum(values)).all() and ends.tolist() == [1, 2, 3, 5, 8, 11, 15, 20, 25, 26]
     some = np.random.default_rng(1).integers(0, 1 << 40, 1000)
     assert (np.diff(some[P._sorted(some)]) >= 0).all() and P._sorted(np.array([2, 1, 2, 1])).tolist() == [1, 3, 0, 2]
+
+
+def test_long_lists_of_terms_find_their_pages(spark, tmp_path):
+    """Of a request with many terms, as substring_topk has, each is looked up by itself: by its first and last term alone, nearly every page would be read."""
+    words = [chr(97 + i % 26) * 2 + chr(97 + i // 26) for i in range(300)]
+    table = spark.createDataFrame([(i, " ".join(words)) for i in range(40)], "uid long, text string").coalesce(1)
+    path = str(tmp_path / "t")
+    P.write(P.trigram_postings(table), table.agg(F.count("*").alias("n_docs")), ["text"], path, 1)
+    terms = sorted(words)[::20]
+    found = P._of_terms(spark, path, "postings", terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    lists = [part.split("]")[0].split(",") for part in pushed.split("In(term, [")[1:]]
+    assert len(terms) > 10 and lists and max(map(len, lists)) <= 10 and {t.strip() for some in lists for t in some} == set(terms)
+    assert {r["term"]: r["entries"] for r in found.collect()} == dict.fromkeys(terms, 40) and P._of_terms(spark, path, "postings", []).count() == 0
