@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strandwell.functions.text import accentless, strip_accents, tokens
 from strandwell.operators import lexical as L
 from strandwell.operators import postings as P
+from strandwell.plans.indexes import index_trigrams
 from strandwell.plans.lexical import bm25_or, word_index
 from strandwell.sources import store
 
@@ -280,3 +282,19 @@ def test_long_lists_of_terms_find_their_pages(spark, tmp_path):
     lists = [part.split("]")[0].split(",") for part in pushed.split("In(term, [")[1:]]
     assert len(terms) > 10 and lists and max(map(len, lists)) <= 10 and {t.strip() for some in lists for t in some} == set(terms)
     assert {r["term"]: r["entries"] for r in found.collect()} == dict.fromkeys(terms, 40) and P._of_terms(spark, path, "postings", []).count() == 0
+
+
+def test_a_build_of_trigrams_shuffles_less_than_it_reads(spark, home):
+    """index_trigrams needs the room of its files: what it shuffles are counts. Odd texts count as in the SQL."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=250)) for _ in range(800)] + [None, "", "ab", "abc", "ÀÉÔ", "\U0001d400" * 4, "aaaa"]
+    sf = documents(spark, home, texts)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = {r["part"]: (r["rows"], r["bad"]) for r in index_trigrams(spark, sf).collect()}
+    shuffled = sent() - before
+    plain = ["".join(c for c in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(c)) for t in texts[:-2]] + ["\U0001d400" * 4, "aaaa"]
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in plain]
+    assert got == {"postings": (sum(map(len, grams)), 0), "terms": (len(set().union(*grams)), 0), "totals": (1, 0)}
+    assert 0 < shuffled < sum(len(t or "") for t in texts)
